@@ -1,0 +1,21 @@
+"""Small shared helpers for operators."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+# A side is broadcast only when its row count is at most this many rows.
+BROADCAST_MAX_ROWS = 200_000
+
+
+def checked_broadcast(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS) -> DataFrame:
+    """Broadcast hint behind a size check.
+
+    Counts the rows (one small job; callers pass tables that are cheap to
+    recount: checkpointed, or tiny reference files). Beyond the limit the
+    frame is returned unhinted and the planner/AQE choose a shuffle join,
+    with AQE's skew-join split for hot keys.
+    """
+    n = df.limit(max_rows + 1).count()
+    return F.broadcast(df) if n <= max_rows else df
