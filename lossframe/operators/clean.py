@@ -198,6 +198,8 @@ class CleanResult:
     annotated: DataFrame      # pre-filter rows with audit flags (lazy)
     reported: list[str]
     catalog: Catalog
+    raw: DataFrame | None = None
+    bounds: DataFrame | None = None
 
     def audit(self) -> DataFrame:
         from .audit import cleaning_audit
@@ -241,7 +243,8 @@ def clean(raw: DataFrame, catalog: Catalog = DEFAULT_CATALOG, reference: DataFra
     frame = dedupe_keep_first(
         annotated.where(F.col("_kept")).select(*[f.name for f in catalog.clean_schema().fields]), catalog
     )
-    return CleanResult(frame=frame, annotated=annotated, reported=stats.reported, catalog=catalog)
+    return CleanResult(frame=frame, annotated=annotated, reported=stats.reported, catalog=catalog,
+                       raw=raw, bounds=stats.bounds)
 
 
 def _annotate(parsed: DataFrame, catalog: Catalog, stats: FrameStats, reference: DataFrame | None) -> DataFrame:
@@ -289,13 +292,14 @@ def _annotate(parsed: DataFrame, catalog: Catalog, stats: FrameStats, reference:
     # C15–C18 hierarchy checks
     hierarchy = rules.get("hierarchy", {})
     code = X.normalize_code("county_code")
-    conflict = F.lit(False)
+    prefix_bad = F.lit(False)
     if hierarchy.get("check_code_prefix", True):
         for parent, width in (("province_code", 2), ("city_code", 4)):
             p = X.normalize_code(parent)
             mismatch = code.isNotNull() & p.isNotNull() & (F.substring(code, 1, width) != F.substring(p, 1, width))
-            conflict = conflict | F.coalesce(mismatch, F.lit(False))
-    df = df.withColumn("county_code", code)
+            prefix_bad = prefix_bad | F.coalesce(mismatch, F.lit(False))
+    df = df.withColumn("_prefix_bad", prefix_bad).withColumn("county_code", code)
+    conflict = F.col("_prefix_bad")
     ref = _county_reference(reference) if hierarchy.get("check_name_against_reference", True) else None
     if ref is not None:
         df = df.join(checked_broadcast(ref), F.col("county_code") == F.col("_ref_code"), "left")
@@ -304,10 +308,10 @@ def _annotate(parsed: DataFrame, catalog: Catalog, stats: FrameStats, reference:
             & F.col("_ref_name").isNotNull() & (F.col("_ref_name") != "")
             & (F.col("_ref_name") != F.col("county"))
         )
-        conflict = conflict | F.coalesce(wrong_name, F.lit(False))
-        df = df.withColumn("_hierarchy_ok", ~conflict).drop("_ref_code")
+        df = df.withColumn("_name_bad", F.coalesce(wrong_name, F.lit(False))).drop("_ref_code")
     else:
-        df = df.withColumn("_hierarchy_ok", ~conflict).withColumn("_ref_name", F.lit(None).cast("string"))
+        df = df.withColumn("_name_bad", F.lit(False)).withColumn("_ref_name", F.lit(None).cast("string"))
+    df = df.withColumn("_hierarchy_ok", ~(conflict | F.col("_name_bad")))
 
     # C19, C20 derived dimensions
     df = df.withColumn("season", X.season("month", rules["season_rule"]["flood_season_months"]))

@@ -56,10 +56,11 @@ def clean_cte(catalog: Catalog = DEFAULT_CATALOG) -> str:
     ] + ["'fixture' AS _source_file", "'incidents_raw' AS _source_sheet"]
     nonempty = " OR ".join(f"{c} IS NOT NULL" for c in std)
 
-    p1 = ["_seq", "_source_file", "_source_sheet"]
+    p1 = ["_seq", "_source_file", "_source_sheet", "occur_date IS NOT NULL AS _date_raw"]
     for f in catalog.fields:
         if f.name in catalog.text_fields:
             p1.append(f"{text_clean(f.name)} AS {f.name}")
+            p1.append(f"({text_clean(f.name)}) IS DISTINCT FROM {f.name} AS _chg_{f.name}")
         elif f.name == "occur_date":
             t = trim_ws("occur_date")
             tries = ", ".join(f"try_strptime({t}, {q(fmt)})" for fmt in rules["date_formats"])
@@ -77,6 +78,8 @@ def clean_cte(catalog: Catalog = DEFAULT_CATALOG) -> str:
         if units:
             fac = "CASE " + " ".join(f"WHEN contains(_qt_{m}, {q(u)}) THEN {float(v)!r}" for u, v in units) + " ELSE 1.0 END"
         p2.append(f"{num} * {fac} AS {m}")
+        p2.append(f"{num} AS _num_{m}")
+        p2.append(f"({num} IS NOT NULL AND {fac} <> 1.0) AS _conv_{m}")
 
     region = " AND ".join(f"{c} IS NOT NULL" for c in catalog.required_region_fields) or "TRUE"
     rep = ", ".join(f"count({m}) > 0 AS _r_{m}" for m in catalog.metric_names)
@@ -105,6 +108,10 @@ def clean_cte(catalog: Catalog = DEFAULT_CATALOG) -> str:
         hi = catalog.metric(m).high
         v3 = v2 if hi is None else f"(CASE WHEN {v2} > {float(hi)!r} THEN {float(hi)!r} ELSE {v2} END)"
         p5.append(f"{v3} AS {m}")
+        p5.append(f"(_n >= {minn} AND {iqr} > 0 AND _v1_{m} > {ub}) IS TRUE AS _cap_{m}")
+        p5.append(f"{ub} AS _ub_{m}")
+        p5.append(f"{iqr} AS _iqr_{m}")
+        p5.append((f"({v2} > {float(hi)!r})" if hi is not None else "FALSE") + f" AS _high_{m}")
     code = code_clean("county_code")
     pc, cc = code_clean("province_code"), code_clean("city_code")
     conflict = (f"(({code}) IS NOT NULL AND ({pc}) IS NOT NULL AND substr(({code}), 1, 2) <> substr(({pc}), 1, 2))"
@@ -143,7 +150,11 @@ def clean_cte(catalog: Catalog = DEFAULT_CATALOG) -> str:
         f"p5 AS (SELECT p4.* EXCLUDE ({', '.join(catalog.metric_names)}), qq._n, {', '.join(p5)} FROM p4 LEFT JOIN qq ON p4._t = qq._qt)",
         f"ref AS (SELECT code, max(name) AS name FROM ({duckdb_sql(REGION_DIM_SQL)}) r WHERE level = 3 GROUP BY code)",
         f"p6 AS (SELECT _seq, {', '.join(p6_fields)}, {', '.join(catalog.metric_names)}, _source_file, _source_sheet, "
-        f"_imputed_metrics, NOT ({conflict}) AS _hierarchy_ok FROM p5 LEFT JOIN ref ON ref.code = ({code}))",
+        f"_imputed_metrics, NOT coalesce({conflict}, FALSE) AS _hierarchy_ok, "
+        f"(({code}) IS NOT NULL AND ({pc}) IS NOT NULL AND substr(({code}), 1, 2) <> substr(({pc}), 1, 2)) IS TRUE "
+        f"OR (({code}) IS NOT NULL AND ({cc}) IS NOT NULL AND substr(({code}), 1, 4) <> substr(({cc}), 1, 4)) IS TRUE AS _prefix_bad, "
+        f"(({code}) IS NOT NULL AND county IS NOT NULL AND ref.name IS NOT NULL AND ref.name <> '' AND ref.name <> county) IS TRUE AS _name_bad "
+        f"FROM p5 LEFT JOIN ref ON ref.code = ({code}))",
         f"p7 AS (SELECT *, row_number() OVER (PARTITION BY {keys} ORDER BY _seq) AS _rn FROM p6)",
         f"clean AS (SELECT {', '.join(final_cols)} FROM p7 WHERE _rn = 1)",
     ])

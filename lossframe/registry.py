@@ -56,3 +56,189 @@ def _plan_oracle(plan):
 
 for _p in STANDARD_PLANS:
     register(f"plan_{_p.key}", _plan_oracle(_p))(_plan_query(_p))
+
+
+# -------------------------------------------------- cleaning, step by step ----
+# Spark side: the operators on the raw table / the annotated frame that
+# ``clean`` builds (per-row flags). SQL side: slices of the same CTE chain.
+
+from pyspark.sql import functions as F  # noqa: E402
+
+from .functions import exprs as X  # noqa: E402
+from .operators import clean as C  # noqa: E402
+from .operators.audit import cleaning_audit, hierarchy_issue  # noqa: E402
+from .tables import clean_result, raw_table  # noqa: E402
+
+STD = CAT.standard_columns
+METRICS = CAT.metric_names
+TEXT = CAT.text_fields
+
+
+def _ann(spark, sf):
+    return clean_result(spark, sf).annotated
+
+
+def _kept(spark, sf):
+    return _ann(spark, sf).where(F.col("_kept"))
+
+
+def _parsed(spark, sf):
+    return C.parse_stage(C.drop_empty_rows(raw_table(spark, sf)))
+
+
+def _per_metric_sql(source: str, expr_of) -> str:
+    return " UNION ALL ".join(f"SELECT {D.q(m)} AS metric, CAST({expr_of(m)} AS BIGINT) AS n FROM {source}"
+                              for m in METRICS)
+
+
+def _per_metric_df(df, expr_of):
+    return df.select(F.inline(F.array(*[
+        F.struct(F.lit(m).alias("metric"), expr_of(m).alias("_e")) for m in METRICS]))) \
+        .groupBy("metric").agg(F.sum(F.col("_e").cast("long")).cast("long").alias("n"))
+
+
+register("null_tokens", lambda: D.with_clean(
+    "SELECT _seq, " + ", ".join(f"CASE WHEN {D.missing(c)} THEN NULL ELSE {c} END AS {c}" for c in STD)
+    + " FROM rawstd"))(lambda spark, sf: C.null_tokens(raw_table(spark, sf)).select("_seq", *STD))
+
+register("drop_empty_rows", lambda: D.with_clean("SELECT _seq FROM p1"))(
+    lambda spark, sf: C.drop_empty_rows(raw_table(spark, sf)).select("_seq"))
+
+register("normalize_text", lambda: D.with_clean(f"SELECT _seq, {', '.join(TEXT)} FROM p1"))(
+    lambda spark, sf: _parsed(spark, sf).select("_seq", *TEXT))
+
+register("parse_dates", lambda: D.with_clean("SELECT _seq, occur_date FROM p1"))(
+    lambda spark, sf: _parsed(spark, sf).select("_seq", "occur_date"))
+
+register("calendar_parts", lambda: D.with_clean("SELECT _seq, year, quarter, month, day FROM p2"))(
+    lambda spark, sf: _parsed(spark, sf).select("_seq", "year", "quarter", "month", "day"))
+
+
+def _unit_name(text, units):
+    expr = F.lit(None).cast("string")
+    for u, _ in reversed(X.ordered_units(units)):
+        expr = F.when(text.contains(u), F.lit(u)).otherwise(expr)
+    return expr
+
+
+@register("parse_quantity", lambda: D.with_clean(" UNION ALL ".join(
+    f"SELECT _seq, {D.q(m)} AS metric, _num_{m} AS value, "
+    + ("CASE " + " ".join(f"WHEN contains(_qt_{m}, {D.q(u)}) THEN {D.q(u)}" for u, _ in X.ordered_units(CAT.metric(m).units))
+       + " END" if CAT.metric(m).units else "CAST(NULL AS VARCHAR)")
+    + f" AS unit FROM p2 WHERE _num_{m} IS NOT NULL" for m in METRICS)))
+def q_parse_quantity(spark, sf):
+    raw = C.drop_empty_rows(raw_table(spark, sf))
+    entries = []
+    for m in METRICS:
+        text = X.quantity_text(m)
+        entries.append(F.struct(F.lit(m).alias("metric"), X.number_of_text(text).alias("value"),
+                                _unit_name(text, CAT.metric(m).units).alias("unit")))
+    return raw.select("_seq", F.inline(F.array(*entries))).where(F.col("value").isNotNull())
+
+
+register("convert_units", lambda: D.with_clean(_per_metric_sql("p2", lambda m: f"count_if(_conv_{m})")))(
+    lambda spark, sf: _per_metric_df(_parsed(spark, sf), lambda m: F.col(f"_conv_{m}")))
+
+register("imputed_count", lambda: D.with_clean(
+    "SELECT _imputed_metrics, count(*) AS n FROM clean GROUP BY _imputed_metrics"))(
+    lambda spark, sf: clean_table(spark, sf).groupBy("_imputed_metrics").agg(F.count(F.lit(1)).alias("n")))
+
+register("fill_zero", lambda: D.with_clean(_per_metric_sql(
+    "p2", lambda m: (f"count(*) - count({m})" if CAT.metric(m).fill == 0 else "0"))))(
+    lambda spark, sf: _per_metric_df(_ann(spark, sf), lambda m: F.col(f"_fill_{m}")))
+
+register("drop_missing_region", lambda: D.with_clean(
+    "SELECT _seq FROM p2 WHERE NOT (" + " AND ".join(f"{c} IS NOT NULL" for c in CAT.required_region_fields) + ")"))(
+    lambda spark, sf: _ann(spark, sf).where(~F.col("_kept")).select("_seq"))
+
+register("fill_category", lambda: D.with_clean("SELECT _seq FROM p3 WHERE disaster_type IS NULL"))(
+    lambda spark, sf: _kept(spark, sf).where(F.col("_fill_type")).select("_seq"))
+
+register("clamp_low", lambda: D.with_clean(_per_metric_sql(
+    "p3", lambda m: f"count_if(coalesce({m}, 0.0) < {float(CAT.metric(m).low)!r})")))(
+    lambda spark, sf: _per_metric_df(_kept(spark, sf), lambda m: F.col(f"_low_{m}")))
+
+
+@register("iqr_cap", lambda: D.with_clean(" UNION ALL ".join(
+    f"SELECT _t AS disaster_type, {D.q(m)} AS metric, round(max(_ub_{m}), 4) AS upper_bound, "
+    f"count_if(_cap_{m}) AS capped FROM p5 WHERE _n >= {CAT.rules['outlier']['min_group_size']} "
+    f"AND _iqr_{m} > 0 GROUP BY _t" for m in METRICS)))
+def q_iqr_cap(spark, sf):
+    res = clean_result(spark, sf)
+    capped = res.annotated.where(F.col("_kept")).groupBy("disaster_type").agg(
+        *[F.count_if(F.col(f"_cap_{m}")).alias(f"_n_{m}") for m in METRICS])
+    b = res.bounds.join(capped, res.bounds["_bt"] == capped["disaster_type"], "inner")
+    long = b.select("disaster_type", F.inline(F.array(*[
+        F.struct(F.lit(m).alias("metric"), F.round(F.col(f"_ub_{m}"), 4).alias("upper_bound"),
+                 F.col(f"_n_{m}").cast("long").alias("capped")) for m in METRICS])))
+    return long.where(F.col("upper_bound").isNotNull())
+
+
+register("clamp_high", lambda: D.with_clean(_per_metric_sql("p5", lambda m: f"count_if(_high_{m})")))(
+    lambda spark, sf: _per_metric_df(_kept(spark, sf), lambda m: F.col(f"_high_{m}")))
+
+register("normalize_codes", lambda: D.with_clean("SELECT _seq, county_code FROM p6"))(
+    lambda spark, sf: _kept(spark, sf).select("_seq", "county_code"))
+
+register("hierarchy_prefix", lambda: D.with_clean("SELECT _seq FROM p6 WHERE _prefix_bad"))(
+    lambda spark, sf: _kept(spark, sf).where(F.col("_prefix_bad")).select("_seq"))
+
+register("hierarchy_name", lambda: D.with_clean("SELECT _seq FROM p6 WHERE _name_bad"))(
+    lambda spark, sf: _kept(spark, sf).where(F.col("_name_bad")).select("_seq"))
+
+register("hierarchy_flag", lambda: D.with_clean(
+    "SELECT 'warning' AS level, 'HIERARCHY_CONFLICT' AS code, count(*) AS count, "
+    "array_to_string(list(county || '(' || coalesce(county_code, '') || ')' ORDER BY _seq)[1:8], '; ') AS samples "
+    "FROM p6 WHERE NOT _hierarchy_ok HAVING count(*) > 0"))(
+    lambda spark, sf: hierarchy_issue(clean_result(spark, sf)))
+
+register("season_dim", lambda: D.with_clean("SELECT season, count(*) AS n FROM clean GROUP BY season"))(
+    lambda spark, sf: clean_table(spark, sf).groupBy("season").agg(F.count(F.lit(1)).alias("n")))
+
+register("per_capita_band", lambda: D.with_clean(
+    "SELECT per_capita_level, count(*) AS n, coalesce(sum(direct_economic_loss), 0.0) AS direct_economic_loss "
+    "FROM clean GROUP BY per_capita_level"))(
+    lambda spark, sf: clean_table(spark, sf).groupBy("per_capita_level").agg(
+        F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("direct_economic_loss"), F.lit(0.0)).alias("direct_economic_loss")))
+
+register("dedupe_keep_first", lambda: D.with_clean("SELECT _seq FROM p7 WHERE _rn > 1"))(
+    lambda spark, sf: _kept(spark, sf).select("_seq").join(clean_table(spark, sf).select("_seq"), "_seq", "left_anti"))
+
+
+def _audit_sql() -> str:
+    text_hit = "concat_ws(',', " + ", ".join(f"CASE WHEN sum(_chg_{f}::INT) > 0 THEN {D.q(f)} END" for f in TEXT) + ")"
+    fill_hit = "concat_ws(',', " + ", ".join(
+        f"CASE WHEN count(*) - count({m}) > 0 THEN {D.q(m)} END" for m in METRICS if CAT.metric(m).fill == 0) + ")"
+    region = " AND ".join(f"{c} IS NOT NULL" for c in CAT.required_region_fields)
+    rows = [
+        f"SELECT 1 AS step_no, 0 AS sub, 'drop_empty_rows' AS step, '*' AS field, "
+        f"'drop rows with every data cell empty' AS action, (SELECT count(*) FROM rawstd) - (SELECT count(*) FROM p1) AS affected, '' AS detail",
+        f"SELECT 2, 0, 'normalize_text', {text_hit}, 'remove white space, missing tokens to null', "
+        + " + ".join(f"sum(_chg_{f}::INT)" for f in TEXT) + ", '' FROM p1",
+        "SELECT 3, 0, 'parse_dates', 'occur_date', 'parse with the configured formats', count(occur_date), "
+        "'failed ' || CAST(greatest(count_if(_date_raw) - count(occur_date), 0) AS VARCHAR) FROM p1",
+        "SELECT 4, 0, 'calendar_parts', 'year/quarter/month/day', 'derive calendar parts', count(occur_date), '' FROM p1",
+    ]
+    rows += [f"SELECT 5, {i}, 'convert_units', {D.q(m)}, 'convert to the standard unit', count_if(_conv_{m}), '' FROM p2"
+             for i, m in enumerate(METRICS)]
+    rows.append(f"SELECT 6, 0, 'fill_zero', {fill_hit}, 'fill missing metrics with 0, counted in _imputed_metrics', "
+                + " + ".join(f"(count(*) - count({m}))" for m in METRICS if CAT.metric(m).fill == 0) + ", '' FROM p2")
+    rows.append(f"SELECT 7, 0, 'drop_missing_region', {D.q(','.join(CAT.required_region_fields))}, "
+                f"'drop rows without required region', count_if(NOT ({region})), '' FROM p2")
+    rows.append("SELECT 8, 0, 'fill_category', 'disaster_type', 'missing event type to the other category', "
+                "count_if(disaster_type IS NULL), '' FROM p3")
+    rows += [f"SELECT 9, {i}, 'iqr_cap', {D.q(m)}, 'cap above Q3 + k*IQR per event type', count_if(_cap_{m}), '' FROM p5"
+             for i, m in enumerate(METRICS)]
+    rows.append("SELECT 10, 0, 'clamp_bounds', 'all metrics', 'clamp to business bounds', "
+                + " + ".join(f"count_if(_v1_{m} <> coalesce({m}_raw, 0.0) OR _high_{m})" for m in METRICS) + ", '' FROM p5x")
+    rows.append("SELECT 11, 0, 'hierarchy_check', 'province/city/county codes', 'code prefix and reference name check', "
+                "count_if(NOT _hierarchy_ok), '' FROM p6")
+    rows.append("SELECT 12, 0, 'derive_dimensions', 'season/per_capita_level', 'derive custom dimensions', count(*), '' FROM p6")
+    rows.append(f"SELECT 13, 0, 'dedupe_keep_first', {D.q(','.join(CAT.rules['dedupe_on']))}, "
+                "'keep the first row per business key', count_if(_rn > 1), '' FROM p7")
+    body = " UNION ALL ".join(rows)
+    p5x = "p5x AS (SELECT p5.*, " + ", ".join(f"p4.{m} AS {m}_raw" for m in METRICS) + " FROM p5 JOIN p4 USING (_seq))"
+    return D.with_clean(f"SELECT * FROM ({body}) a WHERE affected > 0", extra_ctes=p5x)
+
+
+register("cleaning_audit", _audit_sql)(lambda spark, sf: cleaning_audit(clean_result(spark, sf)))
