@@ -23,7 +23,7 @@ class AnalysisRequest:
     dimensions: list[str]
     metrics: list[str]
     filters: dict[str, Any] = field(default_factory=dict)
-    limit: int = 50
+    limit: int | None = 50      # None: every group, no top-n cut
     sort_by: str | None = None
     ascending: bool = False
 
@@ -159,7 +159,10 @@ def aggregate(df: DataFrame, request: AnalysisRequest, catalog: Catalog = DEFAUL
         groups = filtered.groupBy(*dim_fields).agg(*sums)
     else:
         groups = filtered.agg(*sums)
-    records = groups.orderBy(*order_columns(request, catalog, dim_fields, metric_cols)).limit(request.limit)
+    keys = order_columns(request, catalog, dim_fields, metric_cols)
+    records = groups.orderBy(*keys) if keys else groups
+    if request.limit is not None:
+        records = records.limit(request.limit)
     totals = filtered.agg(*[F.round(F.coalesce(F.sum(m), F.lit(0.0)), 4).alias(m) for m in metric_cols]) \
         if metric_cols else filtered.agg(F.count(F.lit(1)).alias("rows")).select()
     columns = [{"key": f, "role": "dimension", "label": d.label} for d, f in zip(dims, dim_fields)]

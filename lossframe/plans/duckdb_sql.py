@@ -167,8 +167,9 @@ def with_clean(select_sql: str, catalog: Catalog = DEFAULT_CATALOG, extra_ctes:
 
 # ------------------------------------------------------------ analyses ----
 
-def plan_sql(dimensions: list[str], metrics: list[str], limit: int, catalog: Catalog = DEFAULT_CATALOG,
-             where: str = "TRUE", round_digits: int | None = None) -> str:
+def plan_sql(dimensions: list[str], metrics: list[str], limit: int | None, catalog: Catalog = DEFAULT_CATALOG,
+             where: str = "TRUE", round_digits: int | None = None, sort_by: str | None = None,
+             ascending: bool = False) -> str:
     """Grouped sums, ordered like ``order_columns``, limited."""
     dims = [catalog.dimension(d) for d in dimensions]
     fields = [d.field for d in dims]
@@ -177,6 +178,9 @@ def plan_sql(dimensions: list[str], metrics: list[str], limit: int, catalog: Cat
         return f"round({e}, {round_digits})" if round_digits is not None else e
     sums = ", ".join(f"{mexpr(m)} AS {m}" for m in metrics)
     order = []
+    if sort_by:
+        order.append(f"coalesce(sum({sort_by}), 0.0) {'ASC' if ascending else 'DESC'}" if sort_by in metrics
+                     else f"{sort_by} {'ASC' if ascending else 'DESC'} NULLS LAST")
     if dims:
         d0 = dims[0]
         if d0.kind == "temporal":
@@ -186,12 +190,13 @@ def plan_sql(dimensions: list[str], metrics: list[str], limit: int, catalog: Cat
             order.append(f"CASE WHEN list_position({arr}, CAST({fields[0]} AS VARCHAR)) IS NULL THEN {len(d0.order) + 1} "
                          f"ELSE list_position({arr}, CAST({fields[0]} AS VARCHAR)) END ASC")
         elif metrics:
-            order.append(f"coalesce(sum({metrics[0]}), 0.0) DESC")
+            order.append(f"coalesce(sum({metrics[0]}), 0.0) {'ASC' if ascending else 'DESC'}")
     order += [f"{f} ASC NULLS LAST" for f in fields]
     group = f"GROUP BY {', '.join(fields)}" if fields else ""
     order_sql = f"ORDER BY {', '.join(order)}" if order else ""
     sel = ", ".join(fields + [sums]) if fields else sums
-    return with_clean(f"SELECT {sel} FROM clean WHERE {where} {group} {order_sql} LIMIT {limit}", catalog)
+    lim = f"LIMIT {limit}" if limit is not None else ""
+    return with_clean(f"SELECT {sel} FROM clean WHERE {where} {group} {order_sql} {lim}", catalog)
 
 
 def loss_structure_sql(catalog: Catalog = DEFAULT_CATALOG, where: str = "TRUE") -> str:

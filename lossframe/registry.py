@@ -242,3 +242,63 @@ def _audit_sql() -> str:
 
 
 register("cleaning_audit", _audit_sql)(lambda spark, sf: cleaning_audit(clean_result(spark, sf)))
+
+
+# ------------------------------------------- analysis: one entry point ----
+
+from .operators.analyze import AnalysisRequest, aggregate, loss_structure  # noqa: E402
+
+
+def _req_query(req_factory, part="records"):
+    def q(spark, sf):
+        res = aggregate(clean_table(spark, sf), req_factory(), CAT)
+        return res.meta() if part == "meta" else getattr(res, part)
+    return q
+
+
+def _reg_request(key, req_factory, sql_factory, part="records"):
+    register(key, sql_factory)(_req_query(req_factory, part))
+
+
+LOSS = "direct_economic_loss"
+_reg_request("filter_eq",
+             lambda: AnalysisRequest(["time_year"], [LOSS], {"disaster_type": "2-HIGH", "emergency_level": "no-such-level"}),
+             lambda: D.plan_sql(["time_year"], [LOSS], 50, CAT, where="disaster_type = '2-HIGH'"))
+_reg_request("filter_in",
+             lambda: AnalysisRequest(["disaster_type"], [LOSS], {"emergency_level": ["F", "P"]}),
+             lambda: D.plan_sql(["disaster_type"], [LOSS], 50, CAT, where="emergency_level IN ('F', 'P')"))
+_reg_request("agg_group",
+             lambda: AnalysisRequest(["region_province", "custom_season"], [LOSS, "affected_population", "deaths"], limit=None),
+             lambda: D.plan_sql(["region_province", "custom_season"], [LOSS, "affected_population", "deaths"], None, CAT))
+_reg_request("agg_global", lambda: AnalysisRequest([], METRICS, limit=None),
+             lambda: D.plan_sql([], METRICS, None, CAT))
+_reg_request("order_temporal", lambda: AnalysisRequest(["time_quarter", "disaster_type"], [LOSS], limit=12),
+             lambda: D.plan_sql(["time_quarter", "disaster_type"], [LOSS], 12, CAT))
+_reg_request("order_listed", lambda: AnalysisRequest(["custom_season", "region_province"], [LOSS], limit=None),
+             lambda: D.plan_sql(["custom_season", "region_province"], [LOSS], None, CAT))
+_reg_request("order_metric", lambda: AnalysisRequest(["region_city"], [LOSS], limit=10, ascending=True),
+             lambda: D.plan_sql(["region_city"], [LOSS], 10, CAT, ascending=True))
+_reg_request("sort_by", lambda: AnalysisRequest(["time_month"], [LOSS], limit=5, sort_by=LOSS),
+             lambda: D.plan_sql(["time_month"], [LOSS], 5, CAT, sort_by=LOSS))
+_reg_request("top_n", lambda: AnalysisRequest(["region_county"], [LOSS], limit=10),
+             lambda: D.plan_sql(["region_county"], [LOSS], 10, CAT))
+_reg_request("totals",
+             lambda: AnalysisRequest(["region_county"], [LOSS, "affected_population"], {"custom_season": "汛期"}, limit=5),
+             lambda: D.with_clean(f"SELECT round(coalesce(sum({LOSS}), 0.0), 4) AS {LOSS}, "
+                                  "round(coalesce(sum(affected_population), 0.0), 4) AS affected_population "
+                                  "FROM clean WHERE season = '汛期'"), part="totals")
+_reg_request("result_meta",
+             lambda: AnalysisRequest(["region_county"], [LOSS], {"custom_season": "汛期"}, limit=5),
+             lambda: D.with_clean("SELECT 'rows_input' AS key, count(*) AS value FROM clean UNION ALL "
+                                  "SELECT 'rows_after_filter', count(*) FROM clean WHERE season = '汛期' UNION ALL "
+                                  "SELECT 'record_count', count(DISTINCT coalesce(county, chr(1))) FROM clean WHERE season = '汛期'"),
+             part="meta")
+register("loss_structure", lambda: D.loss_structure_sql(CAT, where="season = '汛期'"))(
+    lambda spark, sf: aggregate(clean_table(spark, sf),
+                                AnalysisRequest(["loss_structure"], [], {"custom_season": "汛期"}), CAT).records)
+
+for _key, _dim in [("by_year", "time_year"), ("by_quarter", "time_quarter"), ("by_month", "time_month"),
+                   ("by_day", "time_day"), ("by_province", "region_province"), ("by_city", "region_city"),
+                   ("by_county", "region_county"), ("by_town", "region_town")]:
+    _reg_request(_key, (lambda d=_dim: AnalysisRequest([d], [LOSS], limit=None)),
+                 (lambda d=_dim: D.plan_sql([d], [LOSS], None, CAT)))
