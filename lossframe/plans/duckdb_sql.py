@@ -214,3 +214,78 @@ def loss_structure_sql(catalog: Catalog = DEFAULT_CATALOG, where: str = "TRUE")
 
 __all__ = ["clean_cte", "with_clean", "plan_sql", "loss_structure_sql", "q", "GEO_FEATURES_SQL",
            "PEOPLE_UNIT", "AMOUNT_UNIT"]
+
+
+def order_sql(dimensions: list[str], metrics: list[str], catalog: Catalog = DEFAULT_CATALOG,
+              sort_by: str | None = None, ascending: bool = False, grouped: bool = True) -> str:
+    """ORDER BY keys of a plan (``grouped``: metric keys are ``sum(m)``)."""
+    dims = [catalog.dimension(d) for d in dimensions]
+    fields = [d.field for d in dims]
+    msum = (lambda m: f"coalesce(sum({m}), 0.0)") if grouped else (lambda m: f"coalesce({m}, 0.0)")
+    order = []
+    if sort_by:
+        order.append(f"{msum(sort_by)} {'ASC' if ascending else 'DESC'}")
+    if dims:
+        d0 = dims[0]
+        if d0.kind == "temporal":
+            order.append(f"{fields[0]} ASC NULLS LAST")
+        elif d0.order:
+            arr = "[" + ", ".join(q(v) for v in d0.order) + "]"
+            pos = f"list_position({arr}, CAST({fields[0]} AS VARCHAR))"
+            order.append(f"CASE WHEN {pos} IS NULL THEN {len(d0.order) + 1} ELSE {pos} END ASC")
+        elif metrics:
+            order.append(f"{msum(metrics[0])} {'ASC' if ascending else 'DESC'}")
+    order += [f"{f} ASC NULLS LAST" for f in fields]
+    return ", ".join(order)
+
+
+def records_cte(name: str, dimensions: list[str], metrics: list[str], limit: int | None,
+                catalog: Catalog = DEFAULT_CATALOG) -> str:
+    """``name AS (...)``: a plan's records with ``pos`` (1-based order)."""
+    fields = [catalog.dimension(d).field for d in dimensions]
+    o = order_sql(dimensions, metrics, catalog)
+    sums = ", ".join(f"coalesce(sum({m}), 0.0) AS {m}" for m in metrics)
+    lim = f"LIMIT {limit}" if limit is not None else ""
+    return (f"{name} AS (SELECT {', '.join(fields)}, {sums}, row_number() OVER (ORDER BY {o}) AS pos "
+            f"FROM clean GROUP BY {', '.join(fields)} ORDER BY {o} {lim})")
+
+
+def quantity_text_sql(c: str) -> str:
+    return f"(CASE WHEN {missing(c)} THEN NULL ELSE replace(replace({trim_ws(c)}, ',', ''), '，', '') END)"
+
+
+def number_sql(c: str) -> str:
+    t = quantity_text_sql(c)
+    return (f"TRY_CAST(NULLIF(regexp_extract(translate({t}, '０１２３４５６７８９', '0123456789'), "
+            f"{q(r'-?\d+(?:\.\d+)?')}, 0), '') AS DOUBLE)")
+
+
+def factor_sql(c: str, units: dict) -> str:
+    t = quantity_text_sql(c)
+    pairs = ordered_units(units)
+    if not pairs:
+        return "1.0"
+    return "(CASE " + " ".join(f"WHEN contains({t}, {q(u)}) THEN {float(v)!r}" for u, v in pairs) + " ELSE 1.0 END)"
+
+
+def ls_cte(catalog: Catalog = DEFAULT_CATALOG, where: str = "TRUE") -> str:
+    parts = []
+    for i, g in enumerate(catalog.loss_groups):
+        expr = " + ".join(f"coalesce(sum({m}), 0.0)" for m in g.metrics)
+        parts.append(f"SELECT {i} AS pos, {q(g.name)} AS loss_type, round({expr}, 4) AS value, {q(g.unit)} AS unit "
+                     f"FROM clean WHERE {where}")
+    body = " UNION ALL ".join(parts)
+    a = q(AMOUNT_UNIT)
+    return (f"ls0 AS ({body}), ls AS (SELECT pos, loss_type, value, unit, CASE WHEN unit = {a} AND "
+            f"sum(CASE WHEN unit = {a} THEN value END) OVER () <> 0 THEN round(value / "
+            f"sum(CASE WHEN unit = {a} THEN value END) OVER (), 4) END AS share FROM ls0)")
+
+
+def geo_ctes() -> str:
+    return (f"feats AS ({duckdb_sql(GEO_FEATURES_SQL)}), "
+            "geo AS (SELECT trim(name) AS name, first(lon ORDER BY pos) AS lon, first(lat ORDER BY pos) AS lat, "
+            "count(*) AS feature_count FROM feats WHERE name IS NOT NULL AND trim(name) <> '' GROUP BY trim(name))")
+
+
+def region_sql() -> str:
+    return duckdb_sql(REGION_DIM_SQL)

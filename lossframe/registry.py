@@ -302,3 +302,314 @@ for _key, _dim in [("by_year", "time_year"), ("by_quarter", "time_quarter"), ("b
                    ("by_county", "region_county"), ("by_town", "region_town")]:
     _reg_request(_key, (lambda d=_dim: AnalysisRequest([d], [LOSS], limit=None)),
                  (lambda d=_dim: D.plan_sql([d], [LOSS], None, CAT)))
+
+
+# ------------------------------------- profiling, facts, charts, quality ----
+
+from .catalog import AMOUNT_UNIT, FLOOD_SEASON, PEOPLE_UNIT  # noqa: E402
+from .operators import charts as V  # noqa: E402
+from .operators import facts as R  # noqa: E402
+from .operators import profile as P  # noqa: E402
+from .operators import quality as Q  # noqa: E402
+from .operators import questions as N  # noqa: E402
+from .plans.standard import PLANS_BY_KEY  # noqa: E402
+from .sources.fixtures import geo_features, read_tables, region_reference  # noqa: E402
+
+RAW_COLS = STD + ["_source_file", "_source_sheet"]
+
+
+def _recs(name, key):
+    p = PLANS_BY_KEY[key]
+    return D.records_cte(name, list(p.dimensions), list(p.metrics), p.limit, CAT)
+
+
+# P1
+def _profile_sql():
+    parts = []
+    for c in RAW_COLS:
+        is_m = c in METRICS
+        num = D.number_sql(c) if is_m else "NULL"
+        parts.append(
+            f"SELECT {D.q(c)} AS field, CAST(count(*) - count({c}) AS BIGINT) AS missing, "
+            f"round((count(*) - count({c})) / greatest(count(*), 1), 4) AS missing_rate, "
+            f"CAST(count(DISTINCT {c}) AS BIGINT) AS distinct_values, "
+            + (f"round(count({num}) / greatest(count(*), 1), 4)" if is_m else "CAST(NULL AS DOUBLE)")
+            + " AS numeric_parse_rate, " + (f"max({num})" if is_m else "CAST(NULL AS DOUBLE)") + " AS max FROM rawstd")
+    return D.with_clean(" UNION ALL ".join(parts))
+
+
+register("profile_columns", _profile_sql)(lambda spark, sf: P.profile_columns(raw_table(spark, sf).drop("_seq")))
+
+
+# P2
+def _overview_sql():
+    tot = ", ".join(f"round(coalesce(sum({m}), 0.0), 2) AS total_{m}" for m in METRICS)
+    return D.with_clean(
+        "SELECT count(*) AS records, count(DISTINCT disaster_type) AS event_types, count(DISTINCT county) AS counties, "
+        "strftime(min(occur_date), '%Y-%m-%d') AS period_start, strftime(max(occur_date), '%Y-%m-%d') AS period_end, "
+        f"{tot}, round(coalesce(sum(direct_economic_loss), 0.0) / count(*), 2) AS mean_direct_loss, "
+        "count_if(_imputed_metrics > 0) AS imputed_records, count_if(NOT _hierarchy_ok) AS hierarchy_conflicts FROM clean")
+
+
+register("overview_kpis", _overview_sql)(lambda spark, sf: P.overview_kpis(clean_table(spark, sf)))
+
+# P4
+register("unit_aware_sum", lambda: D.with_clean(" UNION ALL ".join(
+    f"SELECT {D.q(m)} AS metric, round(coalesce(sum({D.number_sql(m)} * {D.factor_sql(m, CAT.metric(m).units)}), 0.0), 4) "
+    f"AS total FROM rawstd" for m in METRICS)))(lambda spark, sf: P.unit_aware_sum(raw_table(spark, sf)))
+
+
+# P5
+def _hints_sql():
+    parts = []
+    for name, d in CAT.dimensions.items():
+        if d.is_virtual or not d.field:
+            continue
+        parts.append(f"SELECT {D.q(name)} AS dimension, count(*) AS n, string_agg(v, '|' ORDER BY v) AS hint_values "
+                     f"FROM (SELECT DISTINCT CAST({d.field} AS VARCHAR) AS v FROM clean WHERE {d.field} IS NOT NULL) "
+                     f"HAVING count(*) BETWEEN 1 AND 40")
+    return D.with_clean(" UNION ALL ".join(parts))
+
+
+register("filter_hints", _hints_sql)(lambda spark, sf: P.filter_hints(clean_table(spark, sf)))
+
+
+# R1–R13
+def _facts_sql(select: str, *ctes: str) -> str:
+    return D.with_clean(select, extra_ctes=", ".join(ctes))
+
+
+TOTAL_LOSS = f"(SELECT round(coalesce(sum({LOSS}), 0.0), 4) FROM clean)"
+
+register("fact_top_k", lambda: _facts_sql(
+    f"SELECT rank, county, value FROM (SELECT row_number() OVER (ORDER BY {LOSS} DESC, county ASC NULLS LAST) AS rank, "
+    f"county, {LOSS} AS value FROM cr) WHERE rank <= 3", _recs("cr", "county_ranking")))(
+    lambda spark, sf: R.fact_top_k(clean_table(spark, sf)))
+
+register("fact_peak_year", lambda: _facts_sql(
+    f"SELECT min(year) AS first_year, max(year) AS last_year, first(year ORDER BY {LOSS} DESC, year ASC) AS peak_year, "
+    f"max({LOSS}) AS peak_value, round(max({LOSS}) / greatest(sum({LOSS}), 1e-9) * 100, 2) AS peak_share "
+    "FROM yr WHERE year IS NOT NULL HAVING count(*) > 0", _recs("yr", "yearly_trend")))(
+    lambda spark, sf: R.fact_peak_year(clean_table(spark, sf)))
+
+register("fact_yoy", lambda: _facts_sql(
+    "SELECT year AS last_year, recent, previous, CASE WHEN recent > previous THEN 'up' ELSE 'down' END AS direction "
+    f"FROM (SELECT year, {LOSS} AS recent, lag({LOSS}) OVER (ORDER BY year) AS previous, count(*) OVER () AS years, "
+    "row_number() OVER (ORDER BY year DESC) AS r FROM yr WHERE year IS NOT NULL) WHERE r = 1 AND years >= 3",
+    _recs("yr", "yearly_trend")))(lambda spark, sf: R.fact_yoy(clean_table(spark, sf)))
+
+register("fact_season_share", lambda: _facts_sql(
+    "SELECT flood_value, round(flood_value / CASE WHEN total <> 0 THEN total ELSE 1e-9 END * 100, 2) AS flood_share "
+    f"FROM (SELECT max(CASE WHEN season = {D.q(FLOOD_SEASON)} THEN {LOSS} END) AS flood_value, "
+    f"sum(coalesce({LOSS}, 0.0)) AS total FROM se) WHERE flood_value IS NOT NULL", _recs("se", "by_season")))(
+    lambda spark, sf: R.fact_season_share(clean_table(spark, sf)))
+
+register("fact_county_concentration", lambda: _facts_sql(
+    f"SELECT string_agg(county, ',' ORDER BY rank) AS counties, sum(value) AS top_value, "
+    f"round(sum(value) / CASE WHEN {TOTAL_LOSS} <> 0 THEN {TOTAL_LOSS} ELSE 1e-9 END * 100, 2) AS share "
+    f"FROM (SELECT row_number() OVER (ORDER BY {LOSS} DESC, county ASC NULLS LAST) AS rank, county, {LOSS} AS value "
+    "FROM cr) WHERE rank <= 3", _recs("cr", "county_ranking")))(
+    lambda spark, sf: R.fact_county_concentration(clean_table(spark, sf)))
+
+_TYPE_SHARE = (f"SELECT disaster_type, {LOSS} AS value, round({LOSS} / CASE WHEN {TOTAL_LOSS} <> 0 THEN {TOTAL_LOSS} "
+               f"ELSE 1e-9 END * 100, 2) AS share, pos FROM bt")
+register("fact_type_share", lambda: _facts_sql(
+    f"SELECT disaster_type, value, share FROM ({_TYPE_SHARE})", _recs("bt", "by_disaster_type")))(
+    lambda spark, sf: R.fact_type_share(clean_table(spark, sf)))
+
+_ORDER_ARR = "[" + ", ".join(D.q(v) for v in CAT.dimension("disaster_type").order) + "]"
+register("fact_type_leaders", lambda: _facts_sql(
+    f"SELECT rank, disaster_type, value, share FROM (SELECT *, row_number() OVER (ORDER BY value DESC, "
+    f"coalesce(list_position({_ORDER_ARR}, disaster_type), 1000000) ASC, disaster_type ASC) AS rank FROM ({_TYPE_SHARE})) "
+    "WHERE rank <= 3", _recs("bt", "by_disaster_type")))(lambda spark, sf: R.fact_type_leaders(clean_table(spark, sf)))
+
+_LS_FACT = (f"SELECT first(loss_type ORDER BY value DESC, pos ASC) FILTER (WHERE unit = {D.q(AMOUNT_UNIT)}) AS largest_type, "
+            f"max(value) FILTER (WHERE unit = {D.q(AMOUNT_UNIT)}) AS largest_value, "
+            f"round(coalesce(first(share ORDER BY value DESC, pos ASC) FILTER (WHERE unit = {D.q(AMOUNT_UNIT)}), 0.0) * 100, 2) "
+            f"AS largest_share, round(coalesce(sum(value) FILTER (WHERE unit = {D.q(PEOPLE_UNIT)}), 0.0), 2) AS casualty_total FROM ls")
+register("fact_loss_structure", lambda: _facts_sql(_LS_FACT, D.ls_cte(CAT)))(
+    lambda spark, sf: R.fact_loss_structure(clean_table(spark, sf)))
+
+
+def _conclusion_sql():
+    lead = (f"SELECT 'leading_type' AS slot, disaster_type AS label, share AS value FROM (SELECT *, row_number() OVER "
+            f"(ORDER BY value DESC, coalesce(list_position({_ORDER_ARR}, disaster_type), 1000000) ASC, disaster_type ASC) "
+            f"AS rank FROM ({_TYPE_SHARE})) WHERE rank = 1")
+    top = (f"SELECT 'top_county_' || CAST(rank AS VARCHAR) AS slot, county AS label, value FROM (SELECT row_number() "
+           f"OVER (ORDER BY {LOSS} DESC, county ASC NULLS LAST) AS rank, county, {LOSS} AS value FROM cr) WHERE rank <= 3")
+    flood = (f"SELECT 'flood_share' AS slot, {D.q(FLOOD_SEASON)} AS label, round(flood_value / CASE WHEN total <> 0 "
+             f"THEN total ELSE 1e-9 END * 100, 2) AS value FROM (SELECT max(CASE WHEN season = {D.q(FLOOD_SEASON)} "
+             f"THEN {LOSS} END) AS flood_value, sum(coalesce({LOSS}, 0.0)) AS total FROM se) WHERE flood_value IS NOT NULL")
+    struct = f"SELECT 'structure_leader' AS slot, largest_type AS label, largest_share AS value FROM ({_LS_FACT})"
+    return _facts_sql(" UNION ALL ".join([lead, top, flood, struct]), _recs("bt", "by_disaster_type"),
+                      _recs("cr", "county_ranking"), _recs("se", "by_season"), D.ls_cte(CAT))
+
+
+register("fact_conclusion", _conclusion_sql)(lambda spark, sf: R.fact_conclusion(clean_table(spark, sf)))
+
+
+def _fmt_sql(x: str) -> str:
+    return (f"CASE WHEN abs({x}) >= 10000 THEN format('{{:,.0f}}', {x}) WHEN {x} = floor({x}) "
+            f"THEN format('{{:,.0f}}', {x}) ELSE format('{{:,.2f}}', {x}) END")
+
+
+def _kpis_sql():
+    kpis = ["records", "event_types", "counties"] + [f"total_{m}" for m in METRICS] + [
+        "mean_direct_loss", "imputed_records", "hierarchy_conflicts"]
+    ov = _overview_sql().split("\n")[-1]
+    body = " UNION ALL ".join(f"SELECT {D.q(k)} AS kpi, CAST({k} AS DOUBLE) AS value FROM ov" for k in kpis)
+    return D.with_clean(f"SELECT kpi, value, {_fmt_sql('value')} AS display FROM ({body})", extra_ctes=f"ov AS ({ov})")
+
+
+register("fact_kpis", _kpis_sql)(lambda spark, sf: R.fact_kpis(P.overview_kpis(clean_table(spark, sf))))
+
+register("format_value", lambda: _facts_sql(
+    f"SELECT disaster_type, {LOSS} AS value, {_fmt_sql(LOSS)} AS display FROM bt", _recs("bt", "by_disaster_type")))(
+    lambda spark, sf: run_plan(clean_table(spark, sf), "by_disaster_type", CAT).records.select(
+        "disaster_type", F.col(LOSS).alias("value"), X.format_value(LOSS).alias("display")))
+
+
+# V1–V6, S9, S10
+register("chart_series", lambda: _facts_sql(
+    f"SELECT pos, CAST(disaster_type AS VARCHAR) AS category, coalesce({LOSS}, 0.0) AS value FROM bt",
+    _recs("bt", "by_disaster_type")))(
+    lambda spark, sf: V.chart_series(run_plan(clean_table(spark, sf), "by_disaster_type", CAT)))
+
+register("chart_pivot", lambda: _facts_sql(
+    "SELECT CAST(c.cat_pos AS INTEGER) AS cat_pos, CAST(c.category AS VARCHAR) AS category, CAST(s.ser_pos AS INTEGER) "
+    "AS ser_pos, s.series, coalesce(m.v, 0.0) AS value FROM cats c CROSS JOIN sers s LEFT JOIN "
+    "(SELECT disaster_type, coalesce(CAST(emergency_level AS VARCHAR), 'None') AS series, "
+    f"first(coalesce({LOSS}, 0.0) ORDER BY pos) AS v FROM mx GROUP BY 1, 2) m "
+    "ON m.disaster_type IS NOT DISTINCT FROM c.category AND m.series = s.series",
+    _recs("mx", "type_level_matrix"),
+    "cats AS (SELECT disaster_type AS category, min(pos) AS cat_pos FROM mx GROUP BY 1)",
+    "sers AS (SELECT series, row_number() OVER (ORDER BY p) AS ser_pos FROM (SELECT coalesce(CAST(emergency_level AS "
+    "VARCHAR), 'None') AS series, min(pos) AS p FROM mx GROUP BY 1))"))(
+    lambda spark, sf: V.chart_pivot(run_plan(clean_table(spark, sf), "type_level_matrix", CAT)))
+
+register("chart_share", lambda: _facts_sql(
+    f"SELECT pos, loss_type, value, round(value / NULLIF(sum(value) OVER (), 0) * 100, 2) AS pct FROM ls "
+    f"WHERE unit = {D.q(AMOUNT_UNIT)}", D.ls_cte(CAT)))(
+    lambda spark, sf: V.chart_share(run_plan(clean_table(spark, sf), "loss_structure", CAT)))
+
+register("region_dim", lambda: D.region_sql())(lambda spark, sf: region_reference(spark, sf))
+
+register("geo_dim", lambda: _facts_sql("SELECT name, lon, lat, feature_count FROM geo", D.geo_ctes()))(
+    lambda spark, sf: V.geo_dim(geo_features(spark, sf)))
+
+
+def _choropleth(spark, sf):
+    res = run_plan(clean_table(spark, sf), "county_choropleth", CAT)
+    return V._with_pos(res, CAT), V.geo_dim(geo_features(spark, sf))
+
+
+_GEO_MATCHED = (f"SELECT trim(county) AS name, round(sum(coalesce({LOSS}, 0.0)), 4) AS value FROM ch "
+                "WHERE trim(county) IN (SELECT name FROM geo) GROUP BY trim(county)")
+register("geo_match", lambda: _facts_sql(_GEO_MATCHED, _recs("ch", "county_choropleth"), D.geo_ctes()))(
+    lambda spark, sf: V.geo_match(*_choropleth(spark, sf), "county", LOSS))
+
+register("geo_unmatched", lambda: _facts_sql(
+    "SELECT pos, CAST(county AS VARCHAR) AS record_name FROM ch WHERE coalesce(trim(county), '') NOT IN "
+    "(SELECT name FROM geo) ORDER BY pos LIMIT 10", _recs("ch", "county_choropleth"), D.geo_ctes()))(
+    lambda spark, sf: V.geo_unmatched(*_choropleth(spark, sf), "county"))
+
+register("geo_missing", lambda: _facts_sql(
+    "SELECT name FROM geo WHERE name NOT IN (SELECT trim(county) FROM ch WHERE county IS NOT NULL)",
+    _recs("ch", "county_choropleth"), D.geo_ctes()))(
+    lambda spark, sf: V.geo_missing(*_choropleth(spark, sf), "county"))
+
+
+def _matched(spark, sf):
+    recs, geo = _choropleth(spark, sf)
+    return V.geo_match(recs, geo, "county", LOSS), geo
+
+
+register("geo_points", lambda: _facts_sql(
+    f"SELECT m.name, m.value, g.lon, g.lat FROM ({_GEO_MATCHED}) m JOIN geo g USING (name)",
+    _recs("ch", "county_choropleth"), D.geo_ctes()))(lambda spark, sf: V.geo_points(*_matched(spark, sf)))
+
+register("geo_scaled", lambda: _facts_sql(
+    "SELECT name, value, round(70.0 + 900.0 * CASE WHEN max(value) OVER () - min(value) OVER () <> 0 THEN "
+    "(value - min(value) OVER ()) / (max(value) OVER () - min(value) OVER ()) ELSE 0.5 END, 6) AS size "
+    f"FROM ({_GEO_MATCHED})", _recs("ch", "county_choropleth"), D.geo_ctes()))(
+    lambda spark, sf: V.geo_scaled(_matched(spark, sf)[0]))
+
+
+# Q1–Q3
+register("dq_row_count", lambda: D.with_clean(
+    "SELECT (SELECT count(*) FROM rawstd) AS rows_in, (SELECT count(*) FROM clean) AS rows_out, "
+    "(SELECT count(*) FROM clean) > 0 AND (SELECT count(*) FROM clean) <= (SELECT count(*) FROM rawstd) AS passed"))(
+    lambda spark, sf: Q.dq_row_count(raw_table(spark, sf), clean_table(spark, sf)))
+
+
+def _dq_totals_sql():
+    parts = []
+    for p in STANDARD_PLANS:
+        if p.key == "loss_structure":
+            parts.append(
+                "SELECT 'loss_structure' AS plan, CAST(count(*) AS BIGINT) AS records, least("
+                f"round(coalesce(sum(value) FILTER (WHERE unit = {D.q(AMOUNT_UNIT)}), 0.0), 2), "
+                f"round(coalesce(sum(value) FILTER (WHERE unit = {D.q(PEOPLE_UNIT)}), 0.0), 2)) AS min_total FROM ls")
+            continue
+        fields = [CAT.dimension(d).field for d in p.dimensions]
+        groups = f"(SELECT count(*) FROM (SELECT 1 FROM clean GROUP BY {', '.join(fields)}))"
+        tots = [f"round(coalesce(sum({m}), 0.0), 4)" for m in p.metrics]
+        low = f"least({', '.join(tots)})" if len(tots) > 1 else tots[0]
+        parts.append(f"SELECT {D.q(p.key)} AS plan, CAST(least({groups}, {p.limit}) AS BIGINT) AS records, "
+                     f"CAST({low} AS DOUBLE) AS min_total FROM clean")
+    body = " UNION ALL ".join(parts)
+    return D.with_clean(f"SELECT plan, records, min_total, coalesce(min_total, 0.0) >= 0 AS passed FROM ({body})",
+                        extra_ctes=D.ls_cte(CAT))
+
+
+def _dq_totals(spark, sf):
+    clean = clean_table(spark, sf)
+    results = {p.key: run_plan(clean, p.key, CAT) for p in STANDARD_PLANS}
+    for key, res in results.items():
+        if res.is_structure:
+            res.totals = res.totals.select("amount_total", "casualty_total")
+    return Q.dq_totals(results)
+
+
+register("dq_totals", _dq_totals_sql)(_dq_totals)
+
+register("dq_metrics", lambda: D.with_clean(" UNION ALL ".join(
+    f"SELECT {D.q(m)} AS metric, count_if({m} IS NULL) AS nulls, count_if({m} < 0) AS negatives, "
+    f"count_if({m} IS NULL) = 0 AND count_if({m} < 0) = 0 AS passed FROM clean" for m in METRICS)))(
+    lambda spark, sf: Q.dq_metrics(clean_table(spark, sf)))
+
+
+# N1, N2
+def _tag_sql(metric_limit: int):
+    text = "coalesce(text, '')"
+
+    def any_of(words):
+        return "(" + " OR ".join(f"contains({text}, {D.q(w)})" for w in words) + ")"
+    structure = any_of(N.DIMENSION_RULES[0][1])
+    dims = []
+    for name, words in N.DIMENSION_RULES:
+        cond = any_of(words) + (f" AND NOT {structure}" if name == "disaster_type" else "")
+        dims.append(f"CASE WHEN {cond} THEN {D.q(name)} END")
+    dim_list = f"list_filter([{', '.join(dims)}], lambda x: x IS NOT NULL)"
+    mets = ", ".join(f"CASE WHEN {any_of(words)} THEN [{', '.join(D.q(m) for m in ms)}] ELSE []::VARCHAR[] END"
+                     for words, ms in N.METRIC_RULES)
+    met_list = f"flatten([{mets}])"
+    first_type = "coalesce(" + ", ".join(f"CASE WHEN contains({text}, {D.q(w)}) THEN {D.q(w)} END" for w in N.TYPE_KEYWORDS) + ")"
+    first_level = "coalesce(" + ", ".join(f"CASE WHEN contains({text}, {D.q(w)}) THEN {D.q(w)} END" for w in N.LEVEL_KEYWORDS) + ")"
+    return (f"SELECT conv_id, turn, array_to_string(CASE WHEN len({dim_list}) = 0 THEN [{D.q(N.DEFAULT_DIMENSION)}] "
+            f"ELSE {dim_list}[1:2] END, '|') AS dims, array_to_string(CASE WHEN len({met_list}) = 0 THEN "
+            f"[{D.q(N.DEFAULT_METRIC)}] ELSE {met_list}[1:{metric_limit}] END, '|') AS metrics, "
+            f"{first_type} AS filter_type, {first_level} AS filter_level FROM conversations")
+
+
+def _tagged(spark, sf):
+    conv = read_tables(spark, sf, ("conversations",))["conversations"]
+    return N.tag_questions(conv.select("conv_id", "turn", "text"))
+
+
+register("tag_questions", lambda: _tag_sql(3))(
+    lambda spark, sf: _tagged(spark, sf).select("conv_id", "turn", F.array_join("dims", "|").alias("dims"),
+                                                F.array_join("metrics", "|").alias("metrics"), "filter_type", "filter_level"))
+register("sanitize_plans", lambda: f"SELECT conv_id, turn, dims, metrics FROM ({_tag_sql(2)})")(
+    lambda spark, sf: N.sanitize_plans(_tagged(spark, sf)).select(
+        "conv_id", "turn", F.array_join("dims", "|").alias("dims"), F.array_join("metrics", "|").alias("metrics")))

@@ -96,12 +96,12 @@ WITH c AS (
   FROM {customer} JOIN {nation} ON c_nationkey = n_nationkey)
 SELECT CAST(nk * 100 + cc AS BIGINT) AS pos,
        'C' || CAST(nk AS STRING) || '-' || CAST(cc AS STRING) AS name,
-       100.0 + nk * 0.25 + cc * 0.01 AS lon, 25.0 + cc * 0.05 AS lat
+       CAST(100.0 + nk * 0.25 + cc * 0.01 AS DOUBLE) AS lon, CAST(25.0 + cc * 0.05 AS DOUBLE) AS lat
 FROM c WHERE cc % 10 <> 0
 UNION ALL
 SELECT CAST(100000 + nk * 100 + cc AS BIGINT) AS pos,
        'C' || CAST(nk AS STRING) || '-' || CAST(cc AS STRING) AS name,
-       101.0 + nk * 0.25 AS lon, 26.0 + cc * 0.05 AS lat
+       CAST(101.0 + nk * 0.25 AS DOUBLE) AS lon, CAST(26.0 + cc * 0.05 AS DOUBLE) AS lat
 FROM c WHERE cc % 45 = 1
 """
 
