@@ -613,3 +613,100 @@ register("tag_questions", lambda: _tag_sql(3))(
 register("sanitize_plans", lambda: f"SELECT conv_id, turn, dims, metrics FROM ({_tag_sql(2)})")(
     lambda spark, sf: N.sanitize_plans(_tagged(spark, sf)).select(
         "conv_id", "turn", F.array_join("dims", "|").alias("dims"), F.array_join("metrics", "|").alias("metrics")))
+
+
+# ------------------------------------------------------- sources and sinks ----
+
+from .sources import headers as H  # noqa: E402
+from .sources import writers as W  # noqa: E402
+from .sources.delimited import ingest_report  # noqa: E402
+from .session import scratch_path  # noqa: E402
+from .tables import csv_ingest  # noqa: E402
+
+
+def _layout_headers() -> list[str]:
+    fixture_cols = [c for c in STD if c not in ("town_code", "village", "village_code")]
+    del fixture_cols
+    return sorted(set(W.label_layout().values()) | {"乡镇代码"} | set(W.alias_layout().values()))
+
+
+def _norm_sql(c: str) -> str:
+    ws = D.WS_SQL[:-1] + " || '_-')"
+    return f"lower(translate(regexp_replace(coalesce({c}, ''), {D.q(r'[（(].*?[)）]')}, '', 'g'), {ws}, ''))"
+
+
+def _alias_sql() -> str:
+    rows = ", ".join(f"({i}, {D.q(k)}, {D.q(t)})" for i, (k, t) in enumerate(H.alias_entries(CAT)))
+    return (f"al0 AS (SELECT * FROM (VALUES {rows}) v(priority, raw_key, target)), "
+            f"al AS (SELECT {_norm_sql('raw_key')} AS norm_key, arg_max(target, priority) AS target FROM al0 "
+            f"WHERE {_norm_sql('raw_key')} <> '' GROUP BY 1)")
+
+
+def _headers_sql() -> str:
+    lab, ali = W.label_layout(), W.alias_layout()
+    present = [c for c in STD]
+    a = [lab[c] for c in present] + ["乡镇代码"]
+    b = [ali[c] for c in present]
+    rows = [f"('a', {i}, {D.q(h)})" for i, h in enumerate(a)] + [f"('b', {i}, {D.q(h)})" for i, h in enumerate(b)]
+    return f"hd AS (SELECT * FROM (VALUES {', '.join(rows)}) v(source, pos, header))"
+
+
+def _mapping_sql() -> str:
+    return (f"mp AS (SELECT source, pos, header, CASE WHEN rn = 1 THEN target END AS target, "
+            f"CASE WHEN rn = 1 THEN 'matched' ELSE 'unmapped' END AS status FROM (SELECT hd.*, al.target, "
+            f"CASE WHEN al.target IS NOT NULL THEN row_number() OVER (PARTITION BY source, al.target ORDER BY pos) END AS rn "
+            f"FROM hd LEFT JOIN al ON al.norm_key = {_norm_sql('header')}))")
+
+
+register("normalize_header", lambda: f"WITH {_headers_sql()} SELECT DISTINCT header, {_norm_sql('header')} AS norm_key FROM hd")(
+    lambda spark, sf: csv_ingest(spark, sf).columns.select("header", H.normalize_header("header").alias("norm_key")).distinct())
+
+register("map_columns", lambda: f"WITH {_headers_sql()}, {_alias_sql()}, {_mapping_sql()} "
+         "SELECT DISTINCT pos, header, target, status FROM mp")(
+    lambda spark, sf: csv_ingest(spark, sf).columns.select("pos", "header", "target", "status").distinct())
+
+register("src_csv", lambda: D.with_clean(
+    "SELECT " + ", ".join(f"NULLIF({c}, '') AS {c}" for c in STD) + " FROM rawstd"))(
+    lambda spark, sf: csv_ingest(spark, sf).frame.select(*STD))
+
+_BUSINESS = [c for c in CLEAN_COLS if c not in ("_seq", "_source_file", "_source_sheet")]
+register("union_sources", lambda: D.with_clean(f"SELECT {', '.join(_BUSINESS)} FROM clean"))(
+    lambda spark, sf: C.clean(csv_ingest(spark, sf).frame, CAT, reference=region_reference(spark, sf)).frame.select(*_BUSINESS))
+
+
+def _ingest_report_sql() -> str:
+    req = CAT.required_fields
+    missing = "concat_ws(',', " + ", ".join(f"CASE WHEN count(NULLIF({c}, '')) = 0 THEN {D.q(c)} END" for c in req) + ")"
+    return D.with_clean(
+        f"SELECT (SELECT count(*) FROM rawstd) AS rows_out, m.matched, m.unmapped, "
+        f"round(m.matched / greatest(m.matched + m.unmapped, 1), 4) AS matched_rate, "
+        f"(SELECT {missing} FROM rawstd) AS missing_required FROM (SELECT count(DISTINCT target) FILTER (WHERE status = 'matched') "
+        f"AS matched, count(DISTINCT header) FILTER (WHERE status = 'unmapped') AS unmapped FROM mp) m",
+        extra_ctes=f"{_headers_sql()}, {_alias_sql()}, {_mapping_sql()}")
+
+
+register("ingest_report", _ingest_report_sql)(lambda spark, sf: ingest_report(csv_ingest(spark, sf), CAT))
+
+
+def _sink_clean(spark, sf):
+    path = scratch_path(spark, "sink_clean")
+    W.write_clean(clean_table(spark, sf), path)
+    return spark.read.parquet(path).select(*CLEAN_COLS)
+
+
+register("sink_clean", lambda: D.with_clean(f"SELECT {', '.join(CLEAN_COLS)} FROM clean"))(_sink_clean)
+
+
+def _quality_log(spark, sf):
+    res = clean_result(spark, sf)
+    path = scratch_path(spark, "quality_log")
+    W.write_quality_log(cleaning_audit(res), res.issues(), path)
+    return spark.read.parquet(f"{path}/issues")
+
+
+register("quality_log", lambda: D.with_clean(
+    "SELECT 'warning' AS level, 'DATE_PARSE_FAILED' AS code, count_if(_date_raw) - count(occur_date) AS count, '' AS samples "
+    "FROM p1 HAVING count_if(_date_raw) - count(occur_date) > 0 UNION ALL "
+    "SELECT 'warning', 'HIERARCHY_CONFLICT', count(*), "
+    "array_to_string(list(county || '(' || coalesce(county_code, '') || ')' ORDER BY _seq)[1:8], '; ') "
+    "FROM p6 WHERE NOT _hierarchy_ok HAVING count(*) > 0"))(_quality_log)

@@ -55,3 +55,36 @@ def clean_table(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def reset() -> None:
     _MEMO.clear()
+
+
+def csv_inputs(spark: SparkSession, sf_dir: str) -> list[str]:
+    """The raw reports written as uploaded CSV files in two header layouts
+    (template labels / aliases + one unknown column), split by a hash of the
+    province so every business key stays in one upload. Written once."""
+    from pyspark.sql import functions as F
+
+    from .sources import writers as W
+    from .sources.files import list_files
+
+    k = _key(spark, sf_dir, "csv")
+    if k not in _MEMO:
+        raw = raw_table(spark, sf_dir)
+        base = scratch_path(spark, "csv")
+        first = F.coalesce(F.xxhash64("province") % 2 == 0, F.lit(False))
+        W.write_reports_csv(raw.where(first), f"{base}/a_labels", W.label_layout(), extra={"乡镇代码": "record_id"})
+        W.write_reports_csv(raw.where(~first), f"{base}/b_aliases", W.alias_layout())
+        _MEMO[k] = list_files(spark, f"{base}/*/*.csv")
+    return list(_MEMO[k])  # type: ignore[arg-type]
+
+
+def csv_ingest(spark: SparkSession, sf_dir: str):
+    from .sources.delimited import read_delimited
+    k = _key(spark, sf_dir, "csv_ingest")
+    if k not in _MEMO:
+        res = read_delimited(spark, csv_inputs(spark, sf_dir), DEFAULT_CATALOG)
+        # pin the ingested rows (and their input order) as a written table
+        path = scratch_path(spark, "ingested")
+        res.frame.write.mode("overwrite").parquet(path)
+        res.frame = spark.read.parquet(path)
+        _MEMO[k] = res
+    return _MEMO[k]
