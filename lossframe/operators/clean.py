@@ -32,6 +32,7 @@ from pyspark.sql import functions as F
 
 from ..catalog import DEFAULT_CATALOG, OTHER_CATEGORY, Catalog
 from ..functions import exprs as X
+from ..session import materialize
 from .quantiles import quantiles_from_ranked, rank_histogram
 from .util import checked_broadcast
 
@@ -177,7 +178,7 @@ def frame_stats(parsed: DataFrame, catalog: Catalog = DEFAULT_CATALOG, kept: Col
     per_metric = qs.join(sizes, "t").select("t", "m", upper.alias("ub"))
     wide = per_metric.groupBy("t").pivot("m", catalog.metric_names).agg(F.first("ub"))
     wide = wide.select(F.col("t").alias("_bt"), *[F.col(m).alias(f"_ub_{m}") for m in catalog.metric_names])
-    return FrameStats(reported, wide.checkpoint(eager=True))
+    return FrameStats(reported, materialize(wide, "iqr-bounds"))
 
 
 # ------------------------------------------------------------ the chain ----

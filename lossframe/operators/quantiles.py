@@ -16,7 +16,8 @@ rank selection instead:
    (``quantiles_from_ranked``).
 
 Every window is bounded by one range partition or by the partition count.
-The partitioned histogram is checkpointed so partition ids are stable.
+The partitioned histogram is written once (lineage cut) so partition ids
+are stable.
 """
 
 from __future__ import annotations
@@ -26,7 +27,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import ensure_checkpoint_dir
+from ..session import materialize
 from .util import checked_broadcast
 
 
@@ -50,14 +51,10 @@ def rank_histogram(hist: DataFrame, group_cols: Sequence[str], value_col: str,
                    num_partitions: int | None = None) -> DataFrame:
     """Range-partition a histogram by (group, value), tag and pin partition ids."""
     spark = hist.sparkSession
-    ensure_checkpoint_dir(spark)
     parts = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     keys = [F.col(c).asc_nulls_first() for c in group_cols] + [F.col(value_col).asc_nulls_first()]
-    return (
-        hist.repartitionByRange(parts, *keys)
-        .withColumn("_pid", F.spark_partition_id())
-        .checkpoint(eager=True)
-    )
+    ranged = hist.repartitionByRange(parts, *keys).withColumn("_pid", F.spark_partition_id())
+    return materialize(ranged, "ranked-histogram")
 
 
 def quantiles_from_ranked(ranked: DataFrame, group_cols: Sequence[str], value_col: str,

@@ -56,3 +56,14 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh folder under the shared checkpoint directory for written tables."""
     base = ensure_checkpoint_dir(spark).rstrip("/")
     return f"{base}/lossframe-scratch/{name}-{uuid.uuid4().hex[:12]}"
+
+
+def materialize(df, name: str):
+    """Cut lineage with one job: write ``df`` as Parquet under the shared
+    checkpoint folder and read it back. (An eager ``checkpoint()`` runs the
+    lineage twice: once to count, once more to write.) Survives executor
+    loss: downstream stages re-read files, never recompute upstream."""
+    spark = df.sparkSession
+    path = scratch_path(spark, name)
+    df.write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)

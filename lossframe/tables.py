@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from .catalog import DEFAULT_CATALOG
-from .operators.clean import CleanResult, clean, to_standard
+from .operators.clean import CleanResult, clean, spread_small_input, to_standard
 from .session import scratch_path
 from .sources.fixtures import incidents_raw, region_reference
 
@@ -30,7 +30,7 @@ def raw_table(spark: SparkSession, sf_dir: str) -> DataFrame:
         raw = to_standard(incidents_raw(spark, sf_dir), DEFAULT_CATALOG,
                           source_file="fixture", source_sheet="incidents_raw")
         path = scratch_path(spark, "raw")
-        raw.write.mode("overwrite").parquet(path)
+        spread_small_input(raw).write.mode("overwrite").parquet(path)
         _MEMO[k] = path
     return spark.read.parquet(_MEMO[k])
 
@@ -84,7 +84,7 @@ def csv_ingest(spark: SparkSession, sf_dir: str):
         res = read_delimited(spark, csv_inputs(spark, sf_dir), DEFAULT_CATALOG)
         # pin the ingested rows (and their input order) as a written table
         path = scratch_path(spark, "ingested")
-        res.frame.write.mode("overwrite").parquet(path)
+        spread_small_input(res.frame).write.mode("overwrite").parquet(path)
         res.frame = spark.read.parquet(path)
         _MEMO[k] = res
     return _MEMO[k]
