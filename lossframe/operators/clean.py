@@ -341,3 +341,18 @@ def dedupe_keep_first(df: DataFrame, catalog: Catalog = DEFAULT_CATALOG, order_c
 
 def clean_frame(raw: DataFrame, catalog: Catalog = DEFAULT_CATALOG, reference: DataFrame | None = None) -> DataFrame:
     return clean(raw, catalog, reference).frame
+
+
+def materialize_annotated(result: CleanResult) -> CleanResult:
+    """Write the annotated rows (with every step's flags) once and derive
+    the cleaned frame from that table.
+
+    The parse runs once for output (plus the column-pruned stats pass);
+    the audit, issues and per-step views become aggregates over a written
+    table instead of re-running the chain, and executor loss re-reads files.
+    """
+    annotated = materialize(result.annotated, "annotated")
+    cols = [f.name for f in result.catalog.clean_schema().fields]
+    frame = dedupe_keep_first(annotated.where(F.col("_kept")).select(*cols), result.catalog)
+    return CleanResult(frame=frame, annotated=annotated, reported=result.reported, catalog=result.catalog,
+                       raw=result.raw, bounds=result.bounds)

@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from .catalog import DEFAULT_CATALOG
-from .operators.clean import CleanResult, clean, spread_small_input, to_standard
+from .operators.clean import CleanResult, clean, materialize_annotated, spread_small_input, to_standard
 from .session import scratch_path
 from .sources.fixtures import incidents_raw, region_reference
 
@@ -38,7 +38,8 @@ def raw_table(spark: SparkSession, sf_dir: str) -> DataFrame:
 def clean_result(spark: SparkSession, sf_dir: str) -> CleanResult:
     k = _key(spark, sf_dir, "clean_result")
     if k not in _MEMO:
-        _MEMO[k] = clean(raw_table(spark, sf_dir), DEFAULT_CATALOG, reference=region_reference(spark, sf_dir))
+        res = clean(raw_table(spark, sf_dir), DEFAULT_CATALOG, reference=region_reference(spark, sf_dir))
+        _MEMO[k] = materialize_annotated(res)
     return _MEMO[k]  # type: ignore[return-value]
 
 
