@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from ..catalog import DEFAULT_CATALOG, Catalog
 from ..operators.analyze import AnalysisRequest, AnalysisResult, aggregate, order_columns
+from ..session import materialize
 
 
 @dataclass(frozen=True)
@@ -51,11 +52,13 @@ def run_plan(clean_df: DataFrame, key: str, catalog: Catalog = DEFAULT_CATALOG)
 
 
 def run_all_shared(clean_df: DataFrame, catalog: Catalog = DEFAULT_CATALOG,
-                   plans: tuple[Plan, ...] = STANDARD_PLANS) -> dict[str, DataFrame]:
+                   plans: tuple[Plan, ...] = STANDARD_PLANS, pin: bool = True) -> dict[str, DataFrame]:
     """All grouped plans from one ``GROUPING SETS`` aggregate.
 
-    Returns lazy, ordered, limited record frames keyed by plan; compute the
-    shared aggregate once (``cache``/checkpoint it) before reading several.
+    Returns ordered, limited record frames keyed by plan. With ``pin`` the
+    shared aggregate runs once, here, and is written to the checkpoint
+    folder (its size is the number of groups, not rows); every plan then
+    reads that small table instead of re-running the scan and shuffle.
     The virtual loss-structure plan is a global aggregate of its own.
     """
     grouped = [p for p in plans if not any(catalog.dimension(d).is_virtual for d in p.dimensions)]
@@ -74,6 +77,8 @@ def run_all_shared(clean_df: DataFrame, catalog: Catalog = DEFAULT_CATALOG,
     sums = ", ".join(f"coalesce(sum(`{m}`), 0D) AS `{m}`" for m in metrics)
     cols = ", ".join(f"`{f}`" for f in fields)
     shared = spark.sql(f"SELECT {cols}, {bits}, {sums} FROM {view} GROUP BY GROUPING SETS ({set_sql})")
+    if pin:
+        shared = materialize(shared, "plan-groups")
     out: dict[str, DataFrame] = {}
     for p in grouped:
         pf = [catalog.dimension(d).field for d in p.dimensions]

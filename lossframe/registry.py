@@ -710,3 +710,36 @@ register("quality_log", lambda: D.with_clean(
     "SELECT 'warning', 'HIERARCHY_CONFLICT', count(*), "
     "array_to_string(list(county || '(' || coalesce(county_code, '') || ')' ORDER BY _seq)[1:8], '; ') "
     "FROM p6 WHERE NOT _hierarchy_ok HAVING count(*) > 0"))(_quality_log)
+
+
+# ------------------------------------------------------------ workbooks ----
+# The raw reports written as workbooks by Spark tasks, read back
+# through the workbook data source (one input partition per workbook).
+
+from .sources.workbook import header_rows, read_cells  # noqa: E402
+from .tables import (WORKBOOK_BLOCK_ROWS, WORKBOOK_COVER_SHEET, WORKBOOK_DATA_SHEET,  # noqa: E402
+                     WORKBOOK_NOTES_SHEET, WORKBOOK_PLAIN_SHEET, workbook_group_sql, workbook_ingest,
+                     workbook_inputs)
+
+
+def _header_detect(spark, sf):
+    cells = read_cells(spark, workbook_inputs(spark, sf))
+    return header_rows(cells).groupBy("sheet", "header_row").agg(F.count(F.lit(1)).alias("workbooks"))
+
+
+def _header_detect_sql() -> str:
+    blocks = (f"wb AS (SELECT DISTINCT {workbook_group_sql()} AS grp, CAST(floor(_seq / {WORKBOOK_BLOCK_ROWS}) AS BIGINT) AS blk "
+              "FROM rawstd)")
+    parts = [(WORKBOOK_DATA_SHEET, 0, "a"), (WORKBOOK_COVER_SHEET, 1, "a"), (WORKBOOK_NOTES_SHEET, 0, "a"),
+             (WORKBOOK_PLAIN_SHEET, 0, "b")]
+    sel = " UNION ALL ".join(
+        f"SELECT {D.q(sheet)} AS sheet, {hdr} AS header_row, count(*) AS workbooks FROM wb WHERE grp = '{g}' HAVING count(*) > 0"
+        for sheet, hdr, g in parts)
+    return D.with_clean(sel, extra_ctes=blocks)
+
+
+register("header_detect", _header_detect_sql)(_header_detect)
+
+register("src_workbook", lambda: D.with_clean(
+    "SELECT " + ", ".join(f"NULLIF({c}, '') AS {c}" for c in STD) + " FROM rawstd"))(
+    lambda spark, sf: workbook_ingest(spark, sf)[0].select(*STD))

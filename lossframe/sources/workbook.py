@@ -13,6 +13,7 @@ resolved). Date-formatted numeric cells stay serial numbers.
 
 from __future__ import annotations
 
+import io
 import re
 import zipfile
 from xml.etree import ElementTree as ET
@@ -24,12 +25,25 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 from ..catalog import DEFAULT_CATALOG, Catalog
 from ..operators.clean import to_standard
 from ..operators.util import checked_broadcast
+from ..session import materialize
 from .headers import map_columns
 
 CELL_SCHEMA = "file string, sheet string, sheet_idx int, row_idx int, col_idx int, value string"
 _NS = {"m": "http://schemas.openxmlformats.org/spreadsheetml/2006/main"}
 _REL = "{http://schemas.openxmlformats.org/officeDocument/2006/relationships}id"
 _REF = re.compile(r"([A-Z]+)(\d+)")
+_C, _V, _IS, _T = (f"{{{_NS['m']}}}{t}" for t in ("c", "v", "is", "t"))
+_BATCH_CELLS = 65_536
+
+
+def _filesystem(path: str):
+    """``(filesystem, path)`` for a local path or any URI pyarrow knows
+    (``file:``, ``hdfs://``, ``s3://``, ...), so tasks read and write the
+    shared folder, not a machine-local one."""
+    from pyarrow import fs
+    if path.startswith("file:"):
+        path = "/" + path[5:].lstrip("/")
+    return fs.FileSystem.from_uri(path) if "://" in path else (fs.LocalFileSystem(), path)
 
 
 def _col_index(letters: str) -> int:
@@ -40,13 +54,15 @@ def _col_index(letters: str) -> int:
 
 
 def _text(node) -> str:
-    return "".join(t.text or "" for t in node.iter(f"{{{_NS['m']}}}t"))
+    return "".join(t.text or "" for t in node.iter(_T))
 
 
 def iter_cells(path: str):
     """Yield ``(sheet, sheet_idx, row_idx, col_idx, value)`` for non-empty cells."""
-    local = path[5:] if path.startswith("file:") else path
-    with zipfile.ZipFile(local) as z:
+    fs, p = _filesystem(path)
+    with fs.open_input_file(p) as f:
+        data = f.read()
+    with zipfile.ZipFile(io.BytesIO(data)) as z:
         names = set(z.namelist())
         shared = []
         if "xl/sharedStrings.xml" in names:
@@ -59,22 +75,23 @@ def iter_cells(path: str):
             target = targets[sh.get(_REL)].lstrip("/")
             target = target if target.startswith("xl/") else f"xl/{target}"
             root = ET.fromstring(z.read(target))
-            for c in root.iter(f"{{{_NS['m']}}}c"):
+            name = sh.get("name")
+            for c in root.iter(_C):
                 m = _REF.match(c.get("r", ""))
                 if not m:
                     continue
                 kind = c.get("t")
-                if kind == "inlineStr":
-                    is_ = c.find("m:is", _NS)
-                    value = _text(is_) if is_ is not None else None
-                else:
-                    v = c.find("m:v", _NS)
-                    value = None if v is None else v.text
-                    if kind == "s" and value is not None:
-                        value = shared[int(value)]
+                value = None
+                for child in c:
+                    if kind == "inlineStr" and child.tag == _IS:
+                        value = _text(child)
+                    elif child.tag == _V:
+                        value = child.text
+                        if kind == "s" and value is not None:
+                            value = shared[int(value)]
                 if value is None or value == "":
                     continue
-                yield sh.get("name"), sheet_idx, int(m.group(2)) - 1, _col_index(m.group(1)), value
+                yield name, sheet_idx, int(m.group(2)) - 1, _col_index(m.group(1)), value
 
 
 class WorkbookDataSource(DataSource):
@@ -99,10 +116,29 @@ class _WorkbookReader(DataSourceReader):
         return [InputPartition(p) for p in self.paths]
 
     def read(self, partition):
+        """Arrow record batches of cells (no per-row conversion in Spark)."""
+        import pyarrow as pa
+
         path = partition.value
         name = path.rsplit("/", 1)[-1]
-        for sheet, sheet_idx, r, c, v in iter_cells(path):
-            yield (name, sheet, sheet_idx, r, c, v)
+        schema = pa.schema([("file", pa.string()), ("sheet", pa.string()), ("sheet_idx", pa.int32()),
+                            ("row_idx", pa.int32()), ("col_idx", pa.int32()), ("value", pa.string())])
+        cols: list[list] = [[], [], [], [], []]
+
+        def batch():
+            n = len(cols[0])
+            return pa.RecordBatch.from_arrays(
+                [pa.array([name] * n, pa.string())] + [pa.array(v, t.type) for v, t in zip(cols, list(schema)[1:])],
+                schema=schema)
+
+        for cell in iter_cells(path):
+            for acc, v in zip(cols, cell):
+                acc.append(v)
+            if len(cols[0]) >= _BATCH_CELLS:
+                yield batch()
+                cols = [[], [], [], [], []]
+        if cols[0]:
+            yield batch()
 
 
 def read_cells(spark: SparkSession, paths: list[str]) -> DataFrame:
@@ -136,8 +172,12 @@ def header_rows(cells: DataFrame) -> DataFrame:
 
 
 def read_workbooks(spark: SparkSession, paths: list[str], catalog: Catalog = DEFAULT_CATALOG):
-    """S2 + S3 + S6 + S7: workbooks → standard raw frame and column mapping."""
-    cells = read_cells(spark, paths)
+    """S2 + S3 + S6 + S7: workbooks → standard raw frame and column mapping.
+
+    The long cells are written once (Python parses each workbook once;
+    header detection, header mapping and the pivot all read that table).
+    """
+    cells = materialize(read_cells(spark, paths), "workbook-cells")
     hdr = header_rows(cells)
     cells = cells.join(checked_broadcast(hdr), ["file", "sheet"])  # one row per sheet
     headers = cells.where(F.col("row_idx") == F.col("header_row")).select(
@@ -155,3 +195,106 @@ def read_workbooks(spark: SparkSession, paths: list[str], catalog: Catalog = DEF
                            + F.col("row_idx").cast("long"))
     rows = rows.withColumnRenamed("file", "_source_file").withColumnRenamed("sheet", "_source_sheet")
     return to_standard(rows, catalog, seq_col="_seq"), mapping
+
+
+# ------------------------------------------------------------- writing ----
+# Workbooks are written by Spark tasks: rows are cut into bounded blocks,
+# every block becomes one workbook written by one task under a name fixed by
+# its content (group + block), so a retried task overwrites the same file.
+
+_SHEET_NS = 'xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main"'
+_R_NS = 'xmlns:r="http://schemas.openxmlformats.org/officeDocument/2006/relationships"'
+
+
+def _col_letters(i: int) -> str:
+    s, i = "", i + 1
+    while i:
+        i, r = divmod(i - 1, 26)
+        s = chr(65 + r) + s
+    return s
+
+
+def xlsx_bytes_to(target, sheets: list[tuple[str, list[list[str | None]]]]) -> None:
+    """Write a minimal workbook: inline-string cells, empty cells left out."""
+    from xml.sax.saxutils import escape
+
+    def attr(v: str) -> str:
+        return escape(v, {'"': "&quot;"})
+
+    with zipfile.ZipFile(target, "w", zipfile.ZIP_DEFLATED) as z:
+        z.writestr("[Content_Types].xml",
+                   '<?xml version="1.0"?><Types xmlns="http://schemas.openxmlformats.org/package/2006/content-types"/>')
+        entries = "".join(f'<sheet name="{attr(n)}" sheetId="{i + 1}" r:id="rId{i + 1}"/>' for i, (n, _) in enumerate(sheets))
+        z.writestr("xl/workbook.xml", f'<?xml version="1.0"?><workbook {_SHEET_NS} {_R_NS}><sheets>{entries}</sheets></workbook>')
+        rels = "".join(f'<Relationship Id="rId{i + 1}" Type="worksheet" Target="worksheets/sheet{i + 1}.xml"/>'
+                       for i in range(len(sheets)))
+        z.writestr("xl/_rels/workbook.xml.rels",
+                   '<?xml version="1.0"?><Relationships xmlns="http://schemas.openxmlformats.org/package/2006/relationships">'
+                   f"{rels}</Relationships>")
+        for i, (_, rows) in enumerate(sheets):
+            parts = [f'<?xml version="1.0"?><worksheet {_SHEET_NS}><sheetData>']
+            for r, row in enumerate(rows):
+                cells = "".join(
+                    f'<c r="{_col_letters(c)}{r + 1}" t="inlineStr"><is><t xml:space="preserve">{escape(v)}</t></is></c>'
+                    for c, v in enumerate(row) if v is not None and v != "")
+                parts.append(f'<row r="{r + 1}">{cells}</row>')
+            parts.append("</sheetData></worksheet>")
+            z.writestr(f"xl/worksheets/sheet{i + 1}.xml", "".join(parts))
+
+
+def write_workbooks(df: DataFrame, path: str, layouts: dict[str, tuple[list[str], list[str]]],
+                    group_col: str, block_col: str, order_col: str = "_seq",
+                    extra_sheets: dict[str, list[tuple[str, list[list[str | None]]]]] | None = None,
+                    data_sheet: dict[str, str] | None = None) -> list[str]:
+    """Write ``df`` as workbooks, one per ``(group, block)``; returns the paths.
+
+    ``layouts[group] = (columns, headers)``: which columns go to the data
+    sheet, under which header texts. ``extra_sheets[group]`` are added after
+    the data sheet. Rows keep ``order_col`` order inside a workbook, and file
+    names sort like ``(group, block)``. The caller bounds a block's size.
+    """
+    extra_sheets = extra_sheets or {}
+    data_sheet = data_sheet or {}
+    base = path.rstrip("/")
+    cols = sorted({c for cs, _ in layouts.values() for c in cs})
+    work = (df.select(F.col(group_col).cast("string").alias("_g"), F.col(block_col).cast("long").alias("_b"),
+                      F.col(order_col).alias("_o"), *cols)
+            .repartition("_g", "_b").sortWithinPartitions("_g", "_b", "_o"))
+
+    def write_part(batches):
+        import pandas as pd
+
+        fs, root = _filesystem(base)
+        fs.create_dir(root, recursive=True)
+        out: list[str] = []
+
+        def flush(key, parts):
+            g, b = key
+            block = pd.concat(parts)
+            columns, headers = layouts[g]
+            body = block[columns].astype(object)
+            rows = [list(headers)] + body.where(body.notna(), None).values.tolist()
+            name = f"{g}-{b:012d}.xlsx"
+            buf = io.BytesIO()
+            xlsx_bytes_to(buf, [(data_sheet.get(g, "Sheet1"), rows)] + list(extra_sheets.get(g, [])))
+            with fs.open_output_stream(f"{root}/{name}") as f:
+                f.write(buf.getvalue())
+            out.append(f"{base}/{name}")
+
+        # rows arrive sorted by (group, block, order): hold one block at a time
+        key, parts = None, []
+        for pdf in batches:
+            for (g, b), part in pdf.groupby(["_g", "_b"], sort=False):
+                k = (g, int(b))
+                if k != key and parts:
+                    flush(key, parts)
+                    parts = []
+                key = k
+                parts.append(part)
+        if parts:
+            flush(key, parts)
+        yield pd.DataFrame({"path": out})
+
+    written = work.mapInPandas(write_part, "path string")
+    # one row per workbook comes back to the driver (the file list)
+    return sorted(r["path"] for r in written.collect())

@@ -89,3 +89,63 @@ def csv_ingest(spark: SparkSession, sf_dir: str):
         res.frame = spark.read.parquet(path)
         _MEMO[k] = res
     return _MEMO[k]
+
+
+# Workbook inputs: rows per workbook are bounded (a spreadsheet holds about
+# a million rows at most); layout group by province-code parity, so every
+# business key stays in one group and keeps its input order there.
+WORKBOOK_BLOCK_ROWS = 50_000
+WORKBOOK_DATA_SHEET = "灾情数据"
+WORKBOOK_COVER_SHEET = "封面"
+WORKBOOK_NOTES_SHEET = "字段说明"
+WORKBOOK_PLAIN_SHEET = "Sheet1"
+
+# The cover sheet of the template workbooks (a title, a unit
+# line, then a small signature table).
+WORKBOOK_COVER = [["灾情统计报表"], ["单位：万元"], ["填报单位", "审核", "填报日期"], ["应急管理部门", "已审核", "2024-01-01"]]
+
+
+def workbook_group_sql(province_code: str = "province_code") -> str:
+    """Layout group of a raw row, the same text for Spark SQL and DuckDB."""
+    return f"CASE WHEN coalesce(TRY_CAST({province_code} AS INTEGER) % 2 = 0, FALSE) THEN 'a' ELSE 'b' END"
+
+
+def workbook_inputs(spark: SparkSession, sf_dir: str) -> list[str]:
+    """The raw reports written as workbooks: group ``a`` with template
+    labels, a cover sheet and a notes sheet; group ``b`` with alias headers
+    on a plain sheet. One workbook per (group, block of input order)."""
+    from pyspark.sql import functions as F
+
+    from .sources import writers as W
+    from .sources.workbook import write_workbooks
+
+    k = _key(spark, sf_dir, "xlsx")
+    if k not in _MEMO:
+        raw = raw_table(spark, sf_dir)
+        cat = DEFAULT_CATALOG
+        labels, aliases = W.label_layout(cat), W.alias_layout(cat)
+        cols = list(cat.standard_columns)
+        layouts = {
+            "a": (cols + ["record_id"], [labels[c] for c in cols] + ["乡镇代码"]),
+            "b": (cols, [aliases[c] for c in cols]),
+        }
+        notes = [["列名", "说明"]] + [[labels[c], c] for c in cols]
+        df = raw.withColumn("_grp", F.expr(workbook_group_sql())).withColumn(
+            "_blk", F.floor(F.col("_seq") / WORKBOOK_BLOCK_ROWS))
+        _MEMO[k] = write_workbooks(
+            df, scratch_path(spark, "xlsx"), layouts, "_grp", "_blk",
+            extra_sheets={"a": [(WORKBOOK_COVER_SHEET, WORKBOOK_COVER), (WORKBOOK_NOTES_SHEET, notes)]},
+            data_sheet={"a": WORKBOOK_DATA_SHEET, "b": WORKBOOK_PLAIN_SHEET})
+    return list(_MEMO[k])  # type: ignore[arg-type]
+
+
+def workbook_ingest(spark: SparkSession, sf_dir: str):
+    """``(frame, mapping)`` of the workbook inputs; the frame is written once."""
+    from .sources.workbook import read_workbooks
+    k = _key(spark, sf_dir, "xlsx_ingest")
+    if k not in _MEMO:
+        frame, mapping = read_workbooks(spark, workbook_inputs(spark, sf_dir), DEFAULT_CATALOG)
+        path = scratch_path(spark, "xlsx-ingested")
+        spread_small_input(frame).write.mode("overwrite").parquet(path)
+        _MEMO[k] = (spark.read.parquet(path), mapping)
+    return _MEMO[k]
