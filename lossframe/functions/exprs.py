@@ -25,20 +25,38 @@ def col_(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def _sql_text(s: str) -> str:
+    """A SQL string literal (raw characters; none needs escaping here)."""
+    if "'" in s or "\\" in s:
+        raise ValueError(f"cannot embed {s!r}")
+    return f"'{s}'"
+
+
+def _sql_name(name: str) -> str:
+    return "`" + name.replace("`", "``") + "`"
+
+
+# Column-name inputs are built as one SQL expression: the JVM parses it in
+# one call instead of one py4j round trip per literal and operator (wide
+# cleaning projections otherwise spend seconds on the driver per plan).
 def trim_ws(c: Column | str) -> Column:
     """Strip leading/trailing Unicode white space (``str.strip`` semantics)."""
-    return F.btrim(col_(c), F.lit(WHITESPACE))
+    if isinstance(c, str):
+        return F.expr(f"btrim({_sql_name(c)}, {_sql_text(WHITESPACE)})")
+    return F.btrim(c, F.lit(WHITESPACE))
 
 
 def is_missing(c: Column | str, tokens: Sequence[str] = NULL_TOKENS) -> Column:
     """True for null or a missing-value token after trim + lower-case."""
-    c = col_(c)
+    if isinstance(c, str):
+        n = _sql_name(c)
+        return F.expr(f"({n} IS NULL OR lower(btrim({n}, {_sql_text(WHITESPACE)})) IN "
+                      f"({', '.join(_sql_text(t) for t in tokens)}))")
     return c.isNull() | F.lower(trim_ws(c)).isin(list(tokens))
 
 
 def null_if_missing(c: Column | str) -> Column:
-    c = col_(c)
-    return F.when(is_missing(c), F.lit(None).cast("string")).otherwise(c)
+    return F.when(is_missing(c), F.lit(None).cast("string")).otherwise(col_(c))
 
 
 def strip_all_ws(c: Column | str) -> Column:
@@ -48,7 +66,6 @@ def strip_all_ws(c: Column | str) -> Column:
 
 def normalize_text(c: Column | str) -> Column:
     """Missing → null, otherwise every white-space character removed."""
-    c = col_(c)
     return F.when(is_missing(c), F.lit(None).cast("string")).otherwise(strip_all_ws(c))
 
 
@@ -92,7 +109,6 @@ def parse_date(c: Column | str, formats: Iterable[str]) -> Column:
 
     Returns TIMESTAMP_NTZ (a naive date-time, like the source's timestamps).
     """
-    c = col_(c)
     text = trim_ws(c)
     attempts = [F.try_to_timestamp(text, F.lit(java_pattern(f))) for f in formats]
     attempts.append(text.try_cast("timestamp"))
@@ -104,7 +120,6 @@ def parse_date(c: Column | str, formats: Iterable[str]) -> Column:
 
 def quantity_text(c: Column | str) -> Column:
     """Missing → null; otherwise trimmed text without thousands separators."""
-    c = col_(c)
     text = F.replace(F.replace(trim_ws(c), F.lit(","), F.lit("")), F.lit("，"), F.lit(""))
     return F.when(is_missing(c), F.lit(None).cast("string")).otherwise(text)
 
@@ -117,6 +132,11 @@ def ordered_units(units: Mapping[str, float]) -> list[tuple[str, float]]:
 
 def factor_of_text(text: Column | str, units: Mapping[str, float]) -> Column:
     """Factor of the longest unit contained in ``quantity_text``; 1.0 if none."""
+    if isinstance(text, str):
+        n = _sql_name(text)
+        arms = " ".join(f"WHEN contains({n}, {_sql_text(u)}) THEN CAST('{float(f)!r}' AS DOUBLE)"
+                        for u, f in ordered_units(units))
+        return F.expr(f"CASE {arms} ELSE CAST(1.0 AS DOUBLE) END" if arms else "CAST(1.0 AS DOUBLE)")
     text = col_(text)
     expr = F.lit(1.0)
     for unit, factor in reversed(ordered_units(units)):
@@ -155,9 +175,8 @@ def unit_converted(c: Column | str, units: Mapping[str, float]) -> Column:
 
 def normalize_code(c: Column | str) -> Column:
     """Missing → null; drop a trailing ``.0`` (spreadsheet float); trim."""
-    c = col_(c)
     return F.when(is_missing(c), F.lit(None).cast("string")).otherwise(
-        trim_ws(F.regexp_replace(c, r"\.0$", ""))
+        trim_ws(F.regexp_replace(col_(c), r"\.0$", ""))
     )
 
 

@@ -224,8 +224,9 @@ def spread_small_input(df: DataFrame) -> DataFrame:
 def clean(raw: DataFrame, catalog: Catalog = DEFAULT_CATALOG, reference: DataFrame | None = None) -> CleanResult:
     """C1–C23 on a ``to_standard``-shaped frame.
 
-    Runs the whole-frame statistics pass eagerly (one histogram job plus
-    small jobs on its checkpoint); the returned frames are lazy.
+    Writes the parsed rows once, then runs the whole-frame statistics pass
+    eagerly (one histogram job plus small jobs on its checkpoint) over that
+    table; the returned frames are lazy.
     """
     rules = catalog.rules
     raw = spread_small_input(raw)
@@ -238,6 +239,10 @@ def clean(raw: DataFrame, catalog: Catalog = DEFAULT_CATALOG, reference: DataFra
         for name in catalog.required_region_fields:
             region_ok = region_ok & F.col(name).isNotNull()
     parsed = parsed.withColumn("_kept", F.col("_nonempty") & region_ok)
+    # The parse is the costly per-row work (string functions on every
+    # cell). Write it once: the statistics pass reads only the metric
+    # columns of this table, the annotation reads it again; no second parse.
+    parsed = materialize(parsed, "parsed")
 
     stats = frame_stats(parsed.where(F.col("_nonempty")), catalog, kept=F.col("_kept"))
     annotated = _annotate(parsed, catalog, stats, reference)

@@ -14,9 +14,11 @@ def profile_columns(raw: DataFrame, catalog: Catalog = DEFAULT_CATALOG) -> DataF
     non-null values; for metrics also the numeric parse rate and the max of
     the parsed number before unit conversion.
 
-    One unpivot to ``(field, value)``; distinct counting is a two-level
-    aggregate (distinct pairs, then count per field), never a per-field
-    set held in one task.
+    One unpivot to ``(field, value)`` and one pass: a two-level aggregate,
+    first per ``(field, value)`` (combined map-side, so a value repeated on
+    millions of rows leaves each map task as one row), then per field. The
+    parsed number is a function of the value, so its count and max carry
+    through the first level. No per-field set is held in one task.
     """
     cols = [c for c in raw.columns if c != "_seq"]
     metrics = set(catalog.metric_names)
@@ -24,12 +26,11 @@ def profile_columns(raw: DataFrame, catalog: Catalog = DEFAULT_CATALOG) -> DataF
         F.struct(F.lit(c).alias("field"), F.col(c).cast("string").alias("value"),
                  (X.parse_number(c) if c in metrics else F.lit(None).cast("double")).alias("num"))
         for c in cols])))
-    base = long.groupBy("field").agg(
-        F.count(F.lit(1)).alias("n"), F.count_if(F.col("value").isNull()).alias("missing"),
-        F.count("num").alias("parsed"), F.max("num").alias("max"))
-    distinct = (long.where(F.col("value").isNotNull()).select("field", "value").distinct()
-                .groupBy("field").agg(F.count(F.lit(1)).alias("distinct")))
-    out = base.join(distinct, "field", "left")
+    per_value = long.groupBy("field", "value").agg(
+        F.count(F.lit(1)).alias("c"), F.count("num").alias("p"), F.max("num").alias("mx"))
+    out = per_value.groupBy("field").agg(
+        F.sum("c").alias("n"), F.coalesce(F.sum(F.when(F.col("value").isNull(), F.col("c"))), F.lit(0)).alias("missing"),
+        F.sum("p").alias("parsed"), F.max("mx").alias("max"), F.count("value").alias("distinct"))
     is_metric = F.col("field").isin(sorted(metrics))
     return out.select(
         "field", F.col("missing").cast("long").alias("missing"),
