@@ -264,8 +264,12 @@ def write_workbooks(df: DataFrame, path: str, layouts: dict[str, tuple[list[str]
     def write_part(batches):
         import pandas as pd
 
+        from pyspark import TaskContext
+
+        ctx = TaskContext.get()
+        attempt = f"{ctx.partitionId()}-{ctx.attemptNumber()}-{ctx.taskAttemptId()}" if ctx else "local"
         fs, root = _filesystem(base)
-        fs.create_dir(root, recursive=True)
+        fs.create_dir(f"{root}/_attempts", recursive=True)
         out: list[str] = []
 
         def flush(key, parts):
@@ -277,8 +281,12 @@ def write_workbooks(df: DataFrame, path: str, layouts: dict[str, tuple[list[str]
             name = f"{g}-{b:012d}.xlsx"
             buf = io.BytesIO()
             xlsx_bytes_to(buf, [(data_sheet.get(g, "Sheet1"), rows)] + list(extra_sheets.get(g, [])))
-            with fs.open_output_stream(f"{root}/{name}") as f:
+            # write under an attempt-specific name, then move into place: a
+            # retried or speculative attempt never exposes a partial file
+            tmp = f"{root}/_attempts/{name}.{attempt}"
+            with fs.open_output_stream(tmp) as f:
                 f.write(buf.getvalue())
+            fs.move(tmp, f"{root}/{name}")
             out.append(f"{base}/{name}")
 
         # rows arrive sorted by (group, block, order): hold one block at a time
