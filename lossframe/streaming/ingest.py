@@ -3,9 +3,15 @@
 Uploaded report files arrive over time. A Structured Streaming file source
 picks up new files of one header layout, maps their headers onto the
 standard fields (same alias rules as the batch sources), and appends them
-to the raw report table in ``foreachBatch``; the stream's checkpoint makes
-each file land exactly once, also after a failure. Input order across
-micro-batches is ``batch id`` major, then the row order within the batch.
+to the raw report table in ``foreachBatch``. Each micro-batch is written
+(overwrite) into its own ``_batch=<id>`` folder, so a batch replayed after
+a failure replaces its own output instead of appending it twice; with the
+stream's checkpoint every file lands exactly once. Input order is
+``_seq`` = batch id | file rank in the batch (by path) | split rank in the
+file | row position in the split. Bit budget: 2^20 batches, 1024 files per
+batch (``maxFilesPerTrigger`` defaults to 1000), 128 splits per file,
+2^26 rows per split; a batch beyond these limits fails instead of
+producing colliding positions.
 
 Cleaning is not streamed: per-type quartiles, the reported-metric set and
 keep-first de-duplication depend on the whole table, so ``clean`` runs as a
@@ -20,10 +26,11 @@ from pyspark.sql import types as T
 
 from ..catalog import DEFAULT_CATALOG, Catalog
 from ..operators.clean import to_standard
+from ..operators.util import checked_broadcast
 from ..session import scratch_path
 from ..sources.headers import map_columns
 
-_LOW33 = (1 << 33) - 1
+_LOW26 = (1 << 26) - 1
 
 
 def layout_mapping(spark: SparkSession, headers: list[str], catalog: Catalog = DEFAULT_CATALOG) -> dict[int, str]:
@@ -45,17 +52,33 @@ def ingest_stream(spark: SparkSession, source_dir: str, headers: list[str], tabl
     mapping = layout_mapping(spark, headers, catalog)
     schema = T.StructType([T.StructField(f"c{i}", T.StringType()) for i in range(len(headers))])
     reader = spark.readStream.schema(schema).option("header", True)
-    if max_files_per_trigger:
-        reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
+    reader = reader.option("maxFilesPerTrigger", max_files_per_trigger or 1000)
     stream = reader.csv(source_dir).select(
         *[F.col(f"c{i}").alias(t) for i, t in sorted(mapping.items())],
-        F.col("_metadata.file_name").alias("_source_file"))
+        F.col("_metadata.file_name").alias("_source_file"), F.col("_metadata.file_path").alias("_fpath"),
+        F.col("_metadata.file_block_start").alias("_fbs"))
 
     def append(batch: DataFrame, batch_id: int) -> None:
-        seq = F.lit(batch_id).cast("long") * F.lit(1 << 33) + F.monotonically_increasing_id().bitwiseAND(F.lit(_LOW33))
-        out = batch.withColumn("_seq", seq).withColumn(
-            "_source_sheet", F.regexp_replace(F.col("_source_file"), r"\.[^.]*$", ""))
-        to_standard(out, catalog, seq_col="_seq").write.mode("append").parquet(table_path)
+        if batch_id >= 1 << 20:
+            raise ValueError("stream position overflow: more than 2^20 micro-batches")
+        # one row per file of this micro-batch (bounded by maxFilesPerTrigger)
+        files = sorted(r["_fpath"] for r in batch.select("_fpath").distinct().collect())
+        if len(files) > 1 << 10:
+            raise ValueError(f"{len(files)} files in one micro-batch; lower maxFilesPerTrigger")
+        stats = batch.agg(F.min(F.when(F.col("_fbs") > 0, F.col("_fbs"))).alias("split"),
+                          F.max("_fbs").alias("last")).first()
+        split = stats["split"] or 1
+        if (stats["last"] or 0) // split >= 1 << 7:
+            raise ValueError("a file has more than 128 splits; raise spark.sql.files.maxPartitionBytes")
+        idx = batch.sparkSession.createDataFrame([(p, i) for i, p in enumerate(files)], "_fp string, _fidx long")
+        brank = (F.col("_fbs") / F.lit(split)).cast("long")
+        seq = (F.lit(batch_id).cast("long") * F.lit(1 << 43) + F.col("_fidx") * F.lit(1 << 33)
+               + brank * F.lit(1 << 26) + F.monotonically_increasing_id().bitwiseAND(F.lit(_LOW26)))
+        out = (batch.join(checked_broadcast(idx), F.col("_fpath") == F.col("_fp"))
+               .withColumn("_seq", seq)
+               .withColumn("_source_sheet", F.regexp_replace(F.col("_source_file"), r"\.[^.]*$", "")))
+        # idempotent: a replayed batch overwrites its own folder
+        to_standard(out, catalog, seq_col="_seq").write.mode("overwrite").parquet(f"{table_path.rstrip('/')}/_batch={batch_id}")
 
     writer = stream.writeStream.foreachBatch(append).option(
         "checkpointLocation", checkpoint or scratch_path(spark, "ingest-stream-ckpt"))

@@ -27,3 +27,7 @@ def test_ingest_stream(spark, sf, tmp_path):
     std = [c for c in raw.columns if c not in ("_seq", "_source_file", "_source_sheet")]
     norm = lambda df: df.select(*[F.when(F.col(c) != "", F.col(c)).alias(c) for c in std])
     assert norm(got).exceptAll(norm(raw)).count() == 0
+    # input positions are unique across files, splits and micro-batches
+    assert got.select("_seq").distinct().count() == got.count()
+    # every micro-batch has its own folder (a replay overwrites, never appends)
+    assert got.select("_batch").distinct().count() >= 2
