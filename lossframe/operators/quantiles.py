@@ -49,11 +49,16 @@ def histogram(df: DataFrame, group_cols: Sequence[str], value_col: str, weight_c
 
 def rank_histogram(hist: DataFrame, group_cols: Sequence[str], value_col: str,
                    num_partitions: int | None = None) -> DataFrame:
-    """Range-partition a histogram by (group, value), tag and pin partition ids."""
-    spark = hist.sparkSession
-    parts = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    """Range-partition a histogram by (group, value), tag and pin partition ids.
+
+    Without ``num_partitions`` the partition count is left to adaptive
+    execution: it coalesces only adjacent ranges (up to the advisory size),
+    so partition ids still follow (group, value) order, and the count
+    follows the data size instead of a fixed number.
+    """
     keys = [F.col(c).asc_nulls_first() for c in group_cols] + [F.col(value_col).asc_nulls_first()]
-    ranged = hist.repartitionByRange(parts, *keys).withColumn("_pid", F.spark_partition_id())
+    ranged = hist.repartitionByRange(num_partitions, *keys) if num_partitions else hist.repartitionByRange(*keys)
+    ranged = ranged.withColumn("_pid", F.spark_partition_id())
     return materialize(ranged, "ranked-histogram")
 
 
