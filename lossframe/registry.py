@@ -241,7 +241,12 @@ def _audit_sql() -> str:
     return D.with_clean(f"SELECT * FROM ({body}) a WHERE affected > 0", extra_ctes=p5x)
 
 
-register("cleaning_audit", _audit_sql)(lambda spark, sf: cleaning_audit(clean_result(spark, sf)))
+def _cleaning_audit(spark, sf):
+    clean_table(spark, sf)  # written once per session; the audit counts its rows
+    return cleaning_audit(clean_result(spark, sf))
+
+
+register("cleaning_audit", _audit_sql)(_cleaning_audit)
 
 
 # ------------------------------------------- analysis: one entry point ----
