@@ -26,22 +26,24 @@ from lossframe.llm.common import lower_ascii, table, written
 #: Distinct benchmark windows that the plan may hold; about 150 bytes each.
 MAX_GRAMS = 50_000
 _SEP = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]"
+_SEPARATORS = "".join(c for c in map(chr, range(128)) if not c.isalnum())
 _HITS = "array<struct<at:int,n:int,items:array<string>>>"
 
 
 def words(text: Column) -> Column:
-    """Array of the words; a null text has none."""
-    low = lower_ascii(F.coalesce(text, F.lit("")))
-    return F.filter(F.split(low, _SEP + "+"), lambda w: w != "")
+    """Array of the words; a null text has none. Trimming first leaves no empty words to filter out."""
+    inner = F.btrim(F.coalesce(text, F.lit("")), F.lit(_SEPARATORS))
+    return F.when(inner == "", F.expr("cast(array() as array<string>)")).otherwise(F.split(lower_ascii(inner), _SEP + "+"))
 
 
 def grams(benchmark: DataFrame, n: int = 13) -> DataFrame:
-    """Distinct windows: (k, gram, h, items); ``k`` words, ``h`` the hash of their array, items sorted as strings."""
+    """Distinct windows: (k, gram, h, begin, items); ``k`` words, ``h`` and ``begin`` hash all and the first two, items sorted as strings."""
     w = benchmark.select(F.col("item_id").cast("string").alias("item_id"), words(F.col("text")).alias("w")).filter("size(w) > 0")
     k = F.least(F.size("w"), F.lit(n))
     w = w.select("item_id", F.explode(F.transform(F.sequence(F.lit(1), F.size("w") - k + 1), lambda i: F.slice("w", i, k))).alias("g"))
     return w.groupBy("g").agg(F.array_sort(F.collect_set("item_id")).alias("items")).select(
-        F.size("g").alias("k"), F.array_join("g", " ").alias("gram"), F.xxhash64("g").alias("h"), "items")
+        F.size("g").alias("k"), F.array_join("g", " ").alias("gram"), F.xxhash64("g").alias("h"),
+        F.xxhash64(F.get("g", F.lit(0)), F.get("g", F.lit(1))).alias("begin"), "items")
 
 
 def _literal(rows: list, buckets: int) -> str:
@@ -67,20 +69,21 @@ def scan(docs: DataFrame, benchmark: DataFrame, n: int = 13) -> DataFrame:
     for k in sorted({r.k for r in found}):
         own = [r for r in found if r.k == k]
         buckets = max(1, size // 2)
-        hashes = ",".join(f"{r.h}L" for r in own)
-        at = (f"filter(transform(case when size(w) >= {k} then sequence(1, size(w) - {k - 1}) else cast(array() as array<int>) end, "
-              f"i -> named_struct('at', i, 'h', xxhash64(slice(w, i, {k})))), x -> x.h in ({hashes}))")
-        parts.append(f"filter(transform({at}, x -> named_struct('at', x.at, 'n', {k}, 'items', "
-                     f"filter(element_at({_literal(own, buckets)}, cast(pmod(x.h, {buckets}) as int) + 1), "
-                     f"e -> e.gram = array_join(slice(w, x.at, {k}), ' '))[0].items)), y -> y.items is not null)")
+        hashes = ",".join(f"bigint('{r.h}')" for r in own)
+        window = f"xxhash64(slice(w, {{}}, {k})) in ({hashes})"
+        if k > 2:  # a window can only be in the set if its first two words begin one
+            pairs = ",".join(sorted({f"bigint('{r.begin}')" for r in own}))
+            window = f"xxhash64(w[{{}} - 1], w[{{}}]) in ({pairs}) and " + window
+        at = f"filter(case when size(w) >= {k} then sequence(1, size(w) - {k - 1}) else cast(array() as array<int>) end, i -> {window.replace('{}', 'i')})"
+        bucket = f"element_at({_literal(own, buckets)}, cast(pmod(xxhash64(slice(w, i, {k})), {buckets}) as int) + 1)"
+        parts.append(f"filter(transform({at}, i -> named_struct('at', i, 'n', {k}, 'items', "
+                     f"get(filter({bucket}, e -> e.gram = array_join(slice(w, i, {k}), ' ')), 0).items)), y -> y.items is not null)")
     return rows.withColumn("hits", F.expr(f"concat({', '.join(parts)})" if len(parts) > 1 else parts[0]).cast(_HITS))
 
 
 class _Gram:
     def __init__(self, row):
-        self.k, self.gram, self.h, self.items = row["k"], row["gram"], row["h"], list(row["items"])
-        if self.h == -(2**63):  # has no literal of its own
-            raise ValueError("a window hashes to the least long")
+        self.k, self.gram, self.h, self.begin, self.items = row["k"], row["gram"], row["h"], row["begin"], list(row["items"])
 
 
 def scan_joined(rows: DataFrame, g: DataFrame) -> DataFrame:
