@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from lossframe.llm import decontaminate, exact_dedup, url_filter
+from lossframe.llm import bpe, decontaminate, exact_dedup, simhash, url_filter
 
 QUERIES = {
     "op1_decontaminate": decontaminate.op1_decontaminate,
     "op2_exact_dedup": exact_dedup.op2_exact_dedup,
+    "op3_simhash": simhash.op3_simhash,
     "op4_url_filter": url_filter.op4_url_filter,
+    "op8_bpe": bpe.op8_bpe,
 }
 ORACLES = {
     "op1_decontaminate": decontaminate.ORACLE,
