@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
-from lossframe.llm import bpe, decontaminate, exact_dedup, simhash, url_filter
+from lossframe.llm import bpe, decontaminate, exact_dedup, language, quality, simhash, toxicity, url_filter
 
 QUERIES = {
     "op1_decontaminate": decontaminate.op1_decontaminate,
     "op2_exact_dedup": exact_dedup.op2_exact_dedup,
     "op3_simhash": simhash.op3_simhash,
     "op4_url_filter": url_filter.op4_url_filter,
+    "op5_language": language.op5_language,
     "op8_bpe": bpe.op8_bpe,
+    "op9_toxicity": toxicity.op9_toxicity,
+    "op10_quality": quality.op10_quality,
 }
 ORACLES = {
     "op1_decontaminate": decontaminate.ORACLE,
