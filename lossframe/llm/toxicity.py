@@ -8,12 +8,11 @@ both directions, attention pools its states, and a logistic unit scores the
 pool. A document's score is that of its highest window, calibrated.
 
 Labels are of documents, so training alternates: it fits the windows, then
-keeps of each toxic document the windows that score highest; empty windows
-count as clean. It learns from at most ``MAX_TOXIC`` toxic and ``MAX_CLEAN``
+keeps of each toxic document the windows that score highest. It learns from at most ``MAX_TOXIC`` toxic and ``MAX_CLEAN``
 other labelled documents, chosen by a hash of their id.
 
-Cases: a null, empty or wordless text is one window of no words, with the
-score of an empty pool; null labels are not learned from; without both classes
+Cases: a null, empty or wordless text has no window and scores like the
+median clean document learned from; null labels are not learned from; without both classes
 in the sample every score is the share of toxic labels, 0 without labels;
 repeated rows each get a row; long texts are scored whole, window after
 window; an empty table gives no rows; other columns are not read.
@@ -22,6 +21,7 @@ window; an empty table gives no rows; other columns are not read.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import repeat
 
 import numpy as np
 import pandas as pd
@@ -56,14 +56,15 @@ def windows(n: int) -> list[int]:
 
 def _features(vocabulary: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Hashed word ids, and the trigram ids of all words with the end of each word's."""
-    h = xxhash.xxh32_intdigest
-    ids = np.fromiter((h(w) % WORDS for w in vocabulary), np.int64, len(vocabulary))
-    grams, ends = [], np.empty(len(vocabulary), np.int64)
-    for i, w in enumerate(vocabulary):
-        b = b"<" + w + b">"
-        grams += [h(b[k:k + 3]) % TRIGRAMS for k in range(len(b) - 2)]
-        ends[i] = len(grams)
-    return ids, np.array(grams, np.int64), ends
+    ids = np.fromiter((xxhash.xxh32_intdigest(w) % WORDS for w in vocabulary), np.int64, len(vocabulary))
+    size = np.fromiter(map(len, vocabulary), np.int64, len(vocabulary))
+    a = np.frombuffer(b"<" + b"><".join(vocabulary) + b">", np.uint8).astype(np.uint32)
+    code = (a[:-2] << 16 | a[1:-1] << 8 | a[2:]) * np.uint32(2654435761) >> np.uint32(16)
+    ends = np.cumsum(size)
+    inside = np.ones(len(code), bool)  # a word of n letters has n trigrams, then two places cross its border
+    border = (ends + 2 * np.arange(len(size)))[:-1]
+    inside[border] = inside[border + 1] = False
+    return ids, (code[inside] % TRIGRAMS).astype(np.int64), ends
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
@@ -82,7 +83,7 @@ class BiGru:
             "u": normal(2, HIDDEN, 3 * HIDDEN), "att": normal(2 * HIDDEN, HIDDEN), "v": normal(HIDDEN, 1)[:, 0],
             "out": normal(2 * HIDDEN, 1)[:, 0], "bias": np.zeros(1, np.float32),
         }
-        self.scale, self.shift = 1.0, 0.0
+        self.scale, self.shift, self.empty = 1.0, 0.0, 0.0
 
     def inputs(self, ids: np.ndarray, grams: np.ndarray, ends: np.ndarray) -> np.ndarray:
         """Vectors of words: word and mean trigram vector side by side."""
@@ -169,45 +170,60 @@ class Scorer:
         self.rows = np.zeros((4096, 2, 3 * HIDDEN), np.float32)
 
     def ids(self, tokens: list[bytes]) -> np.ndarray:
-        known = self.known
-        got = [known.get(w, 0) for w in tokens]
-        new = list(dict.fromkeys(w for w, i in zip(tokens, got) if not i))
-        if new:
+        """Rows of the words' projections; those of new words are added."""
+        look = self.known.get
+        got = np.fromiter(map(look, tokens, repeat(0)), np.int32, len(tokens))
+        absent = np.flatnonzero(got == 0)
+        if len(absent):
+            missed = [tokens[i] for i in absent.tolist()]
+            new = list(dict.fromkeys(missed))
             if self.used + len(new) > len(self.rows):
                 self.rows = np.concatenate([self.rows, np.zeros((max(len(self.rows), len(new)), *self.rows.shape[1:]), np.float32)])
             self.rows[self.used:self.used + len(new)] = self.net.project(self.net.inputs(*_features(new)))
-            known.update(zip(new, range(self.used, self.used + len(new))))
+            self.known.update(zip(new, range(self.used, self.used + len(new))))
             self.used += len(new)
-            got = [i or known[w] for w, i in zip(tokens, got)]
-        return np.array(got, np.int32)
+            got[absent] = np.fromiter(map(look, missed), np.int32, len(missed))
+        return got
 
     def scores(self, texts) -> np.ndarray:
-        best, held, rows = np.full(len(texts), -np.inf), [], []
-
-        def flush() -> None:
-            if held:
-                ids = np.stack(held)
-                np.maximum.at(best, rows, self.net.forward(self.rows[ids], ids > 0))
-                held.clear()
-                rows.clear()
-
+        best = np.full(len(texts), -np.inf)
+        held: list[tuple[int, np.ndarray]] = []
+        size = 0
         for i, text in enumerate(texts):
-            if self.used > CACHE:
-                flush()
-                self._clear()
             tokens = words(text)
-            ids = np.concatenate([self.ids(tokens[a:a + 50_000]) for a in range(0, max(1, len(tokens)), 50_000)])
-            if len(ids) < WINDOW:
-                ids = np.concatenate([ids, np.zeros(WINDOW - len(ids), np.int32)])
-                # short texts are scored apart, so that full windows need no mask
-            for at in windows(len(ids)):
-                held.append(ids[at:at + WINDOW])
-                rows.append(i)
-                if len(held) == BATCH:
-                    flush()
-        flush()
-        z = self.net.scale * best + self.net.shift
-        return 1 / (1 + np.exp(-np.clip(z, -60, 60)))
+            starts = windows(len(tokens))
+            for at in range(0, len(starts), 2048):  # a long text goes in parts
+                few = starts[at:at + 2048]
+                held.append((i, tokens[few[0]:few[-1] + WINDOW]))
+                size += len(held[-1][1]) + 8
+                if size > 50_000:
+                    self._score(held, best)
+                    held, size = [], 0
+        self._score(held, best)
+        return 1 / (1 + np.exp(-np.clip(self.net.scale * best + self.net.shift, -60, 60)))
+
+    def _score(self, held: list[tuple[int, list[bytes]]], best: np.ndarray) -> None:
+        """Raise ``best`` to the highest window of each run of words in ``held``."""
+        if self.used > CACHE:
+            self._clear()
+        ids = self.ids([w for _, tokens in held for w in tokens])
+        full, short, at = [], [], 0
+        for i, tokens in held:
+            n = len(tokens)
+            if not n:
+                best[i] = max(best[i], self.net.empty)
+            elif n < WINDOW:
+                short.append((i, np.pad(ids[at:at + n], (0, WINDOW - n))))
+            else:
+                full += [(i, at + start) for start in windows(n)]
+            at += n
+        if short:  # only these need a mask
+            part = np.stack([x for _, x in short])
+            np.maximum.at(best, [i for i, _ in short], self.net.forward(self.rows[part], part > 0))
+        owner, starts = np.array([i for i, _ in full], int), np.array([a for _, a in full], int)
+        for k in range(0, len(full), BATCH):
+            part = ids[starts[k:k + BATCH, None] + np.arange(WINDOW)]
+            np.maximum.at(best, owner[k:k + BATCH], self.net.forward(self.rows[part], part > 0))
 
 
 def fitted(texts: list[str], y: np.ndarray, epochs: int = 8, seed: int = 3) -> BiGru | float:
@@ -255,7 +271,7 @@ def fitted(texts: list[str], y: np.ndarray, epochs: int = 8, seed: int = 3) -> B
             pick = rng.permutation(np.resize(pick, 6000))
         for at in range(0, len(pick), 256):
             rows = pick[at:at + 256]
-            win, yy = np.pad(wins[rows], ((0, 2), (0, 0))), np.r_[target[rows], 0, 0]
+            win, yy = wins[rows], target[rows]
             x, inverse, used, own_grams, own_ends = batch_inputs(win)
             mask = win > 0
             logit, kept = net.forward(net.project(x)[inverse], mask, keep=True)
@@ -282,6 +298,7 @@ def fitted(texts: list[str], y: np.ndarray, epochs: int = 8, seed: int = 3) -> B
     top = np.full(len(y), -np.inf)
     np.maximum.at(top, owner, logits)
     net.scale, net.shift = _calibrated(top, y)
+    net.empty = float(np.median(top[y == 0]))
     return net
 
 
