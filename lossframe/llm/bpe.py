@@ -2,9 +2,9 @@
 
 For each prefix of a word there is one last token of its BPE encoding. It is
 found among the vocabulary entries that end the prefix: the automaton of all
-entries (Aho-Corasick, whose suffix links lead from the longest match to the
-shorter ones) lists them, longest first, and the one whose pair with the last
-token of the prefix before it stays unmerged is stored with a back-pointer.
+entries, whose suffix links lead from the longest match to the shorter ones,
+lists them, longest first, and the one whose pair with the last token of the
+prefix before it stays unmerged is stored with its length, the back-pointer.
 Following the pointers back from the whole word gives exactly the ids that
 merging by rank would.
 
@@ -20,13 +20,14 @@ no rows; other columns are not read.
 
 from __future__ import annotations
 
+import gc
 import hashlib
 import json
+import re
 import unicodedata
 from array import array
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
-import ahocorasick
 import pandas as pd
 import public_tokenizers
 import regex
@@ -34,10 +35,11 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from lossframe.llm.common import table
 
-#: Words whose encoding a worker remembers, and pairs whose test it remembers.
-CACHE = 200_000
-#: Text of these characters alone is cut by ``regex``; elsewhere its Unicode tables may differ from the library's.
-_PLAIN = regex.compile(r"[\x00-ɏ‐-‧]*+")
+#: Words in each of the two generations of encodings that a worker remembers, and a quarter of the pairs.
+CACHE = 150_000
+#: Texts of these letters alone, Latin and general punctuation, are cut here; for all others the library's own Unicode tables count.
+_PLAIN_LETTERS = [*map(chr, range(0x180)), *map(chr, range(0x2010, 0x2028))]
+_PLAIN = re.compile(r"[\x00-\u017f\u2010-\u2027]*+")
 
 
 def _byte_letters() -> dict[int, str]:
@@ -47,6 +49,54 @@ def _byte_letters() -> dict[int, str]:
     return {b: chr(b) for b in own} | {b: chr(256 + i) for i, b in enumerate(rest)}
 
 
+class Automaton:
+    """Letters lead from state to state; ``ends`` of a state lists the entries that end there, longest first."""
+
+    def __init__(self, entries: Iterable[tuple[str, tuple[int, int]]]):
+        self.next: list[dict[str, int]] = [{}]
+        self.ends: list[tuple] = [()]
+        for body, value in entries:
+            s = 0
+            for c in body:
+                t = self.next[s].get(c)
+                if t is None:
+                    t = self.next[s][c] = len(self.next)
+                    self.next.append({})
+                    self.ends.append(())
+                s = t
+            self.ends[s] = (value,)
+        self.suffix = [0] * len(self.next)
+        queue = list(self.next[0].values())
+        for s in queue:  # grows while it is read: breadth first
+            for c, t in self.next[s].items():
+                queue.append(t)
+                self.suffix[t] = self.step(self.suffix[s], c)
+                self.ends[t] += self.ends[self.suffix[t]]
+
+    def step(self, s: int, c: str) -> int:
+        while s and c not in self.next[s]:
+            s = self.suffix[s]
+        return self.next[s].get(c, 0)
+
+
+class Words(dict):
+    """What ``make`` gives for a word; two generations, so that frequent words stay known."""
+
+    def __init__(self, make):
+        self.make, self.old = make, {}
+
+    def __missing__(self, word: str) -> str:
+        got = self.old.get(word)
+        if got is None:
+            got = self.make(word)
+        if len(self) >= CACHE:
+            self.old = dict(self)
+            self.clear()
+        if len(word) <= 64:
+            self[word] = got
+        return got
+
+
 class Bpe:
     """Encoder and decoder for a tokenizers file with a BPE model and word ends."""
 
@@ -65,70 +115,76 @@ class Bpe:
             a, b = pair if isinstance(pair, list) else pair.split(" ")
             self.rank.setdefault((a, b), i)
             self.split.setdefault(a + b, (a, b))
-        # An entry ends a prefix inside the word, or the word as a whole; the word's end is one letter more.
-        self.automaton = ahocorasick.Automaton()
-        self.mark = "\n"  # stands for the word end; no byte letter
-        for entry, i in self.vocab.items():
-            whole = bool(self.end) and entry.endswith(self.end)
-            body = entry[: -len(self.end)] + self.mark if whole else entry
-            self.automaton.add_word(body, (len(body) - whole, whole, entry, i))
-        self.automaton.make_automaton()
+        # An entry ends a prefix inside the word, or the word as a whole, whose end is one letter more.
+        self.mark = "\n"  # no byte letter
+        whole = lambda entry: bool(self.end) and entry.endswith(self.end)
+        self.automaton = Automaton((entry[: -len(self.end)] + self.mark, (len(entry) - len(self.end), i)) if whole(entry) else (entry, (len(entry), i))
+                                   for entry, i in self.vocab.items())
         self.letters = str.maketrans({chr(b): c for b, c in _byte_letters().items()})
         self.cut_special = regex.compile("|".join(map(regex.escape, self.special))) if self.special else None
-        self.word = regex.compile(spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"])
-        self.pairs: dict[tuple[str, str], bool] = {}
-        self.known: dict[str, tuple[str, int, str]] = {}
+        # The word pattern for plain texts, its classes spelt out.
+        word = spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"]
+        for kind in (r"\p{L}", r"\p{N}", r"\s"):
+            word = word.replace(kind, "".join(re.escape(c) for c in _PLAIN_LETTERS if regex.fullmatch(kind, c)))
+        self.word = re.compile(word)
+        self.pairs: dict[int, bool] = {}
+        self.ids_of = Words(lambda w: " ".join(map(str, self.ids(self.byte_letters(w)))))
+        self.said_of = Words(lambda w: " ".join([self.token[int(i)] for i in self.ids_of[w].split()]))
         self.path, self.library = path, None
 
-    def compatible(self, left: str, right: str) -> bool:
-        """Whether merging by rank leaves ``left`` and ``right`` side by side.
+    def compatible(self, left: int, right: int) -> bool:
+        """Whether merging by rank leaves the tokens ``left`` and ``right`` side by side.
 
         A merge across the border joins a right edge of ``left`` with a left
         edge of ``right``. It happens if, at that time, its rank is below
         those of the merges that would have swallowed either edge.
         """
-        found = self.pairs.get((left, right))
-        if found is None:
-            found = True
-            a, b, top = left, right, len(self.rank)
-            while True:
-                if self.rank.get((a, b), top) < top:
-                    found = False
-                    break
-                up_a, up_b = self.split.get(a), self.split.get(b)
-                ra = self.rank[up_a] if up_a else -1
-                rb = self.rank[up_b] if up_b else -1
-                if ra < 0 and rb < 0:
-                    break
-                if ra > rb:  # the later merge is undone first
-                    a, top = up_a[1], ra
-                else:
-                    b, top = up_b[0], rb + 1
-            if len(self.pairs) >= 4 * CACHE:
-                self.pairs.clear()
-            self.pairs[left, right] = found
-        return found
+        a, b, top = self.token[left], self.token[right], len(self.rank)
+        while True:
+            if self.rank.get((a, b), top) < top:
+                return False
+            up_a, up_b = self.split.get(a), self.split.get(b)
+            ra = self.rank[up_a] if up_a else -1
+            rb = self.rank[up_b] if up_b else -1
+            if ra < 0 and rb < 0:
+                return True
+            if ra > rb:  # the later merge is undone first
+                a, top = up_a[1], ra
+            else:
+                b, top = up_b[0], rb + 1
+
+    def byte_letters(self, word: str) -> str:
+        return word if word.isascii() and word.isprintable() else word.encode().decode("latin-1").translate(self.letters)
 
     def ids(self, letters: str) -> list[int]:
         """Ids of one word given in byte letters."""
-        n = len(letters)
-        size_at, id_at = array("i", [0]) * (n + 1), array("i", [0]) * (n + 1)
-        stop, entries = 0, []
-
-        def settle() -> None:
-            for size, entry, i in sorted(entries, reverse=True):
-                if size == stop or size_at[stop - size] and self.compatible(self.token[id_at[stop - size]], entry):
+        n, pairs, step, ends, after = len(letters), self.pairs, self.automaton.step, self.automaton.ends, self.automaton.next
+        if n > 64:  # compact, as a word may be a whole text
+            size_at, id_at = array("i", [0]) * (n + 1), array("i", [0]) * (n + 1)
+        else:
+            size_at, id_at = [0] * (n + 1), [0] * (n + 1)
+        state = stop = 0
+        last = n if self.end else n + 1
+        for c in letters:
+            state = after[state].get(c) or step(state, c)
+            stop += 1
+            if stop == last:
+                state = step(state, self.mark)
+            for size, i in ends[state]:
+                if size == stop:
                     size_at[stop], id_at[stop] = size, i
-                    return
-
-        for at, (size, whole, entry, i) in self.automaton.iter(letters + self.mark if self.end else letters):
-            if at + 1 - whole == n and self.end and not whole:
-                continue
-            if at + 1 - whole != stop:
-                settle()
-                stop, entries = at + 1 - whole, []
-            entries.append((size, entry, i))
-        settle()
+                    break
+                before = stop - size
+                if size_at[before]:
+                    pair = id_at[before] << 32 | i
+                    fits = pairs.get(pair)
+                    if fits is None:
+                        if len(pairs) >= 4 * CACHE:
+                            pairs.clear()
+                        fits = pairs[pair] = self.compatible(id_at[before], i)
+                    if fits:
+                        size_at[stop], id_at[stop] = size, i
+                        break
         out = []
         while n:
             if not size_at[n]:
@@ -139,9 +195,10 @@ class Bpe:
 
     def words(self, text: str) -> list[str]:
         """The words of a piece of text without special tokens."""
+        if text.isascii():
+            return self.word.findall(text.lower())
         if _PLAIN.fullmatch(text):
-            low = unicodedata.normalize("NFC", text).lower() if not text.isascii() else text.lower()
-            return self.word.findall(low)
+            return self.word.findall(unicodedata.normalize("NFC", text).lower())
         if self.library is None:
             from tokenizers import Tokenizer
 
@@ -152,26 +209,16 @@ class Bpe:
 
     def encoded(self, text: str | None) -> tuple[str, int, str]:
         """(ids joined by spaces, their number, decoded text)."""
-        ids, n, said, known = [], 0, [], self.known
+        ids, said = [], []
         for i, piece in self._pieces(text or ""):
             if i is not None:
                 ids.append(str(i))
                 said.append(piece)
-                n += 1
-                continue
-            for w in self.words(piece):
-                got = known.get(w)
-                if got is None:
-                    own = self.ids(w.encode().decode("latin-1").translate(self.letters))
-                    got = (" ".join(map(str, own)), len(own), " ".join(map(self.token.get, own)))
-                    if len(known) >= CACHE:
-                        known.clear()
-                    if len(w) <= 64:
-                        known[w] = got
-                ids.append(got[0])
-                n += got[1]
-                said.append(got[2])
-        return " ".join(ids), n, " ".join(said)
+            elif words := self.words(piece):
+                ids.append(" ".join(map(self.ids_of.__getitem__, words)))
+                said.append(" ".join(map(self.said_of.__getitem__, words)))
+        joined = " ".join(ids)
+        return joined, joined.count(" ") + 1 if joined else 0, " ".join(said)
 
     def _pieces(self, text: str) -> Iterator[tuple[int | None, str]]:
         at = 0
@@ -193,6 +240,7 @@ _LOADED: dict[str, Bpe] = {}
 def _bpe(path: str) -> Bpe:
     if path not in _LOADED:
         _LOADED[path] = Bpe(path)
+        gc.freeze()  # the automaton stays; no need to look through it again
     return _LOADED[path]
 
 

@@ -158,7 +158,8 @@ class Page:
             if self.tag[i]:
                 f += ["tag=" + self.tag[i], f"share{8 * words // total}", f"depth{min(6, depth[i])}"]
                 f += ["name=" + w for w in self.names[i]]
-                f += [kind for kind, listed in (("junk", _JUNK), ("content", _CONTENT)) if not listed.isdisjoint(self.names[i])]
+                f += [kind for kind, listed, tags in (("junk", _JUNK, _JUNK_TAGS), ("content", _CONTENT, ("article", "main")))
+                      if self.tag[i] in tags or not listed.isdisjoint(self.names[i])]
                 f = ["e" + x for x in f]
             else:
                 up = self.tag[self.parent[i]]

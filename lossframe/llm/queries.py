@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lossframe.llm import bpe, decontaminate, exact_dedup, html_text, language, quality, simhash, toxicity, url_filter
+from lossframe.llm import bpe, decontaminate, exact_dedup, html_text, language, pii, quality, simhash, toxicity, url_filter
 
 QUERIES = {
     "op1_decontaminate": decontaminate.op1_decontaminate,
@@ -11,6 +11,7 @@ QUERIES = {
     "op4_url_filter": url_filter.op4_url_filter,
     "op5_language": language.op5_language,
     "op6_html_text": html_text.op6_html_text,
+    "op7_pii": pii.op7_pii,
     "op8_bpe": bpe.op8_bpe,
     "op9_toxicity": toxicity.op9_toxicity,
     "op10_quality": quality.op10_quality,
