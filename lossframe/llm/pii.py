@@ -60,12 +60,18 @@ def _matches(t: Column, kind: str, pattern: str) -> Column:
 
 
 def _placed(n: str) -> str:
-    """SQL: spans of the matches ``n.m`` from the gaps between them, with the text at their borders."""
-    return f"""aggregate(sequence(0, size({n}.m) - 1), named_struct('at', 0, 'out', cast(array() as {_SPANS})),
-        (a, i) -> named_struct('at', a.at + length({n}.gaps[i]) + length({n}.m[i]), 'out', array_append(a.out, named_struct(
-            'start', a.at + length({n}.gaps[i]), 'end', a.at + length({n}.gaps[i]) + length({n}.m[i]), 'said', {n}.m[i],
-            'left', right({n}.gaps[i], {_LEFT}), 'right', left({n}.gaps[i + 1], 8)))),
-        a -> a.out)"""
+    """SQL: spans of the matches ``m_<n>`` from the gaps between them, with the text at their borders.
+
+    Starts are running sums of ``len_<n>``, the lengths of gap and match, first over blocks of 64 matches, then inside each.
+    """
+    return f"""flatten(transform(aggregate(sequence(0, (size(m_{n}) - 1) div 64), named_struct('at', 0, 'out', cast(array() as array<int>)),
+            (a, b) -> named_struct('at', a.at + aggregate(slice(len_{n}, cast(b * 64 + 1 as int), 64), 0, (s, v) -> s + v), 'out', array_append(a.out, a.at)),
+            a -> a.out),
+        (o, b) -> aggregate(sequence(b * 64, least(b * 64 + 63, size(m_{n}) - 1)), named_struct('at', o, 'out', cast(array() as {_SPANS})),
+            (a, i) -> named_struct('at', a.at + len_{n}[i], 'out', array_append(a.out, named_struct(
+                'start', a.at + length(gaps_{n}[i]), 'end', a.at + len_{n}[i], 'said', m_{n}[i],
+                'left', right(gaps_{n}[i], {_LEFT}), 'right', left(gaps_{n}[i + 1], 8)))),
+            a -> a.out)))"""
 
 
 def _luhn(digits: str) -> str:
@@ -112,10 +118,13 @@ def spans(docs: DataFrame) -> DataFrame:
     """The written documents as ``doc``, with ``base`` spans (start, k, end) and ``cands`` (k, start, end, votes, digits)."""
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc")).withColumn("t", F.coalesce("doc.text", F.lit("")))
     sets = [(f"{name}_{k}", k, p) for name, group in (("base", BASE), ("wide", WIDE)) for k, p in group.items()]
-    rows = rows.select("doc", "t", *[_matches(F.col("t"), k, p).alias(n) for n, k, p in sets])
-    rows = rows.select("doc", *[F.struct(F.col(n).alias("m"), F.when(F.size(n) > 0, F.split("t", p)).alias("gaps")).alias(n) for n, _, p in sets])
+    # Columns of their own, not structs, so that no step is computed again inside the next one's lambdas.
+    rows = rows.select("doc", "t", *[_matches(F.col("t"), k, p).alias(f"m_{n}") for n, k, p in sets])
+    rows = rows.select("doc", *[f"m_{n}" for n, _, _ in sets], *[F.when(F.size(f"m_{n}") > 0, F.split("t", p)).alias(f"gaps_{n}") for n, _, p in sets])
+    rows = rows.select("*", *[F.expr(f"transform(if(size(m_{n}) > 0, m_{n}, null), (x, i) -> length(gaps_{n}[i]) + length(x))").alias(f"len_{n}")
+                              for n, _, _ in sets])
     none = F.expr(f"cast(array() as {_SPANS})")
-    rows = rows.select("doc", *[F.when(F.size(f"{n}.m") > 0, F.expr(_placed(n))).otherwise(none).alias(n) for n, _, _ in sets])
+    rows = rows.select("doc", *[F.when(F.size(f"m_{n}") > 0, F.expr(_placed(n))).otherwise(none).alias(n) for n, _, _ in sets])
     base = [F.expr(f"transform(filter(base_{k}, x -> {_valid(k, 'x.said')}), x -> named_struct('start', x.start, 'k', {i}, 'end', x.end))") for i, k in enumerate(KINDS)]
     cand = [F.expr(f"transform(wide_{k}, x -> named_struct('k', {i}, 'start', x.start, 'end', x.end, 'votes', array({', '.join(_votes(k, 'x'))}), "
                    f"'digits', least(20, length(regexp_replace(x.said, '[^0-9]', '')))))") for i, k in enumerate(KINDS)]
