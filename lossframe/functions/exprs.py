@@ -17,6 +17,7 @@ from ..catalog import FLOOD_SEASON, NO_POPULATION_BAND, NON_FLOOD_SEASON, NULL_T
 # ideographic space U+3000, which Java's \s does not match). Derived by rule
 # and used with btrim/translate, which are much cheaper than regexes.
 WHITESPACE = "".join(chr(i) for i in range(0x3001) if chr(i).isspace())
+# Fixed value: the number pattern of quantities.
 _NUMBER = r"-?\d+(?:\.\d+)?"
 _FULLWIDTH_DIGITS = "０１２３４５６７８９"
 
@@ -76,6 +77,10 @@ def changed(before: Column | str, after: Column | str) -> Column:
 
 # ---------------------------------------------------------------- dates ----
 
+# Dates with a time of day that are read beside the configured formats.
+DATE_TIMES = tuple(f"{d}{gap}{t}" for d in ("%Y-%m-%d", "%Y/%m/%d", "%Y.%m.%d", "%Y年%m月%d日") for gap in (" ", "T") for t in ("%H:%M:%S", "%H:%M")
+                   if gap == " " or d == "%Y-%m-%d")
+
 _PY_TO_JAVA = {"%Y": "yyyy", "%m": "M", "%d": "d", "%H": "H", "%M": "m", "%S": "s"}
 
 
@@ -105,13 +110,15 @@ def java_pattern(py_format: str) -> str:
 
 
 def parse_date(c: Column | str, formats: Iterable[str]) -> Column:
-    """First configured format that parses the whole text, else an ISO cast.
+    """First configured format that parses the whole text, else the first of
+    ``DATE_TIMES``; anything else is null. A recorded decision: bare numbers
+    (serial days) and times without a date are no dates, so a result never
+    depends on the day of the run.
 
     Returns TIMESTAMP_NTZ (a naive date-time, like the source's timestamps).
     """
     text = trim_ws(c)
-    attempts = [F.try_to_timestamp(text, F.lit(java_pattern(f))) for f in formats]
-    attempts.append(text.try_cast("timestamp"))
+    attempts = [F.try_to_timestamp(text, F.lit(java_pattern(f))) for f in (*formats, *DATE_TIMES)]
     parsed = F.coalesce(*attempts).cast("timestamp_ntz")
     return F.when(is_missing(c), F.lit(None).cast("timestamp_ntz")).otherwise(parsed)
 

@@ -42,7 +42,6 @@ class AnalysisResult:
 
     def meta(self) -> DataFrame:
         """``(key, value)`` rows: rows in, rows after filter, groups."""
-        spark = self.source.sparkSession
         parts = [
             self.source.agg(F.count(F.lit(1)).alias("value")).select(F.lit("rows_input").alias("key"), "value"),
             self.filtered.agg(F.count(F.lit(1)).alias("value")).select(F.lit("rows_after_filter").alias("key"), "value"),
@@ -51,7 +50,6 @@ class AnalysisResult:
         out = parts[0]
         for p in parts[1:]:
             out = out.unionByName(p)
-        del spark
         return out
 
 
@@ -87,12 +85,11 @@ def apply_filters(df: DataFrame, filters: dict[str, Any], catalog: Catalog = DEF
         if isinstance(value, (list, tuple, set)):
             data = data.where(column.isin(list(value)))
             continue
-        probe = data.where(column.cast("string") == F.lit(str(value))).limit(1).count()
-        if not probe:
+        same = column == F.lit(value).try_cast(dict(data.dtypes)[name])  # a typed literal is pushed into the scan
+        if data.where(same).isEmpty():
             ignored.append(f"{key}={value} (no matching rows)")
             continue
-        dtype = dict(data.dtypes)[name]
-        data = data.where(column == F.lit(value).try_cast(dtype))
+        data = data.where(same)
     return data, ignored
 
 
@@ -157,8 +154,8 @@ def aggregate(df: DataFrame, request: AnalysisRequest, catalog: Catalog = DEFAUL
         groups = filtered.select(*dim_fields).limit(0)
     elif dim_fields:
         groups = filtered.groupBy(*dim_fields).agg(*sums)
-    else:
-        groups = filtered.agg(*sums)
+    else:  # no record for no rows
+        groups = filtered.agg(*sums, F.count(F.lit(1)).alias("_n")).where(F.col("_n") > 0).drop("_n")
     keys = order_columns(request, catalog, dim_fields, metric_cols)
     records = groups.orderBy(*keys) if keys else groups
     if request.limit is not None:
@@ -205,20 +202,3 @@ def loss_structure(df: DataFrame, catalog: Catalog = DEFAULT_CATALOG, request: A
     )
     columns = [{"key": "loss_type", "role": "dimension"}, {"key": "value", "role": "metric"}]
     return AnalysisResult(request, records, totals, records, filtered, df, ignored or [], columns, is_structure=True)
-
-
-def filter_hints(df: DataFrame, catalog: Catalog = DEFAULT_CATALOG, limit: int = 40) -> DataFrame:
-    """P5: ``(dimension, values)`` for non-virtual dimensions having 1..limit
-    distinct non-null values, values sorted as text.
-
-    One unpivot + distinct (shuffle on (dimension, value)); per dimension at
-    most ``limit + 1`` values are kept before collecting into an array, so
-    no array grows with the data.
-    """
-    dims = [(n, d.field) for n, d in catalog.dimensions.items() if not d.is_virtual and d.field in df.columns]
-    pairs = F.array(*[F.struct(F.lit(n).alias("dimension"), F.col(f).cast("string").alias("value")) for n, f in dims])
-    distinct = df.select(F.inline(pairs)).where(F.col("value").isNotNull()).distinct()
-    ranked = distinct.withColumn("_r", F.row_number().over(Window.partitionBy("dimension").orderBy("value")))
-    capped = ranked.where(F.col("_r") <= limit + 1)
-    out = capped.groupBy("dimension").agg(F.count(F.lit(1)).alias("n"), F.sort_array(F.collect_list("value")).alias("values"))
-    return out.where(F.col("n") <= limit).select("dimension", "values")

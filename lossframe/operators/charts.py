@@ -1,8 +1,9 @@
 """V1–V6: chart-ready frames and geo matching (data only, no drawing).
 
-Inputs are plan results (bounded by the plan limit) and the map feature
-table; feature tables are small reference data and are broadcast behind a
-row-count check.
+Geo matching reads all groups, not a plan's first rows: a county beyond the
+plan's limit has data. Joins carry no hints; Spark picks them by size. The
+windows left run over category groups (years, types, levels), whose number
+the dimensions bound, not the rows.
 """
 
 from __future__ import annotations
@@ -12,7 +13,6 @@ from pyspark.sql import functions as F
 
 from ..catalog import AMOUNT_UNIT, DEFAULT_CATALOG, Catalog
 from ..operators.analyze import AnalysisResult, order_columns
-from .util import checked_broadcast
 
 
 def _with_pos(result: AnalysisResult, catalog: Catalog) -> DataFrame:
@@ -40,13 +40,12 @@ def chart_series(result: AnalysisResult, catalog: Catalog = DEFAULT_CATALOG) ->
 def chart_pivot(result: AnalysisResult, catalog: Catalog = DEFAULT_CATALOG) -> DataFrame:
     """V1: categories × series grid in first-seen order, absent cells 0.0.
 
-    ``pivot`` needs the series values; they come from the plan result,
-    which its limit bounds, so collecting them is a bounded step.
+    ``pivot`` needs the series values: the distinct values of one category
+    dimension.
     """
     d0, d1 = (catalog.dimension(d).field for d in result.request.dimensions[:2])
     m0 = result.request.metrics[0]
     recs = _with_pos(result, catalog).withColumn("_series", F.coalesce(F.col(d1).cast("string"), F.lit("None")))
-    recs = recs.cache()
     series = [r[0] for r in recs.groupBy("_series").agg(F.min("pos").alias("p")).orderBy("p").select("_series").collect()]
     cats = recs.groupBy(d0).agg(F.min("pos").alias("cat_pos"))
     wide = recs.groupBy(d0).pivot("_series", series).agg(F.first(_numeric(m0)))
@@ -78,17 +77,18 @@ def geo_dim(features: DataFrame) -> DataFrame:
 def geo_match(records: DataFrame, geo: DataFrame, name_col: str, value_col: str) -> DataFrame:
     """V4: values summed per matched feature name; names without data are
     left out (no-data is not zero)."""
-    names = checked_broadcast(geo.select("name"))
+    names = geo.select("name")
     r = records.select(F.trim(F.col(name_col).cast("string")).alias("name"), _numeric(value_col).alias("v"))
     return r.join(names, "name").groupBy("name").agg(F.round(F.sum("v"), 4).alias("value"))
 
 
-def geo_unmatched(records: DataFrame, geo: DataFrame, name_col: str, pos_col: str = "pos", limit: int = 10) -> DataFrame:
-    """V4: the first ``limit`` result rows whose name has no feature."""
-    names = checked_broadcast(geo.select("name"))
-    r = records.select(F.col(pos_col).alias("pos"), F.col(name_col).cast("string").alias("record_name"),
+def geo_unmatched(records: DataFrame, geo: DataFrame, name_col: str, value_col: str, limit: int = 10) -> DataFrame:
+    """V4: of the groups whose name has no feature the ``limit`` largest, with their rank."""
+    r = records.select(_numeric(value_col).alias("v"), F.col(name_col).cast("string").alias("record_name"),
                        F.coalesce(F.trim(F.col(name_col).cast("string")), F.lit("")).alias("name"))
-    return r.join(names, "name", "left_anti").orderBy("pos").limit(limit).select("pos", "record_name")
+    keys = [F.col("v").desc(), F.col("record_name").asc_nulls_last()]
+    first = r.join(geo.select("name"), "name", "left_anti").orderBy(*keys).limit(limit)
+    return first.select(F.row_number().over(Window.orderBy(*keys)).alias("pos"), "record_name")
 
 
 def geo_missing(records: DataFrame, geo: DataFrame, name_col: str) -> DataFrame:
@@ -99,14 +99,28 @@ def geo_missing(records: DataFrame, geo: DataFrame, name_col: str) -> DataFrame:
 
 def geo_points(matched: DataFrame, geo: DataFrame) -> DataFrame:
     """V5: matched values with the feature centroid."""
-    return matched.join(checked_broadcast(geo.select("name", "lon", "lat")), "name").select("name", "value", "lon", "lat")
+    return matched.join(geo.select("name", "lon", "lat"), "name").select("name", "value", "lon", "lat")
 
 
 def geo_scaled(matched: DataFrame) -> DataFrame:
     """V6: point size ``70 + 900·(v−min)/(max−min)``; 0.5 of the range when
     every value is equal."""
-    w = Window.partitionBy()
-    lo, hi = F.min("value").over(w), F.max("value").over(w)
-    span = hi - lo
-    frac = F.when(span != 0, (F.col("value") - lo) / span).otherwise(F.lit(0.5))
-    return matched.select("name", "value", F.round(F.lit(70.0) + F.lit(900.0) * frac, 6).alias("size"))
+    ends = matched.agg(F.min("value").alias("lo"), F.max("value").alias("hi")).withColumn("_k", F.lit(1))
+    span = F.col("hi") - F.col("lo")
+    frac = F.when(span != 0, (F.col("value") - F.col("lo")) / span).otherwise(F.lit(0.5))
+    return matched.withColumn("_k", F.lit(1)).join(F.broadcast(ends), "_k").select("name", "value", F.round(F.lit(70.0) + F.lit(900.0) * frac, 6).alias("size"))
+
+
+def geo_summary(records: DataFrame, geo: DataFrame, name_col: str, value_col: str) -> DataFrame:
+    """V4: one row: matched features with their least and largest value,
+    features without data, names without a feature, duplicate feature names."""
+    matched = geo_match(records, geo, name_col, value_col).agg(
+        F.count(F.lit(1)).alias("matched"), F.min("value").alias("min_value"), F.max("value").alias("max_value"))
+    names = records.select(F.coalesce(F.trim(F.col(name_col).cast("string")), F.lit("")).alias("name")).distinct()
+    unmatched = names.join(geo.select("name"), "name", "left_anti").agg(F.count(F.lit(1)).alias("unmatched"))
+    missing = geo_missing(records, geo, name_col).agg(F.count(F.lit(1)).alias("missing"))
+    twice = geo.agg(F.count_if(F.col("feature_count") > 1).alias("duplicates"))
+    out = matched.withColumn("_k", F.lit(1))
+    for part in (unmatched, missing, twice):
+        out = out.join(part.withColumn("_k", F.lit(1)), "_k")
+    return out.drop("_k")

@@ -34,7 +34,6 @@ from ..catalog import DEFAULT_CATALOG, OTHER_CATEGORY, Catalog
 from ..functions import exprs as X
 from ..session import materialize
 from .quantiles import quantiles_from_ranked, rank_histogram
-from .util import checked_broadcast
 
 DATE_FIELD = "occur_date"
 TYPE_FIELD = "disaster_type"
@@ -56,7 +55,9 @@ def to_standard(df: DataFrame, catalog: Catalog = DEFAULT_CATALOG, seq_col: str
             return F.lit(None).cast("string")
         return v if isinstance(v, Column) else F.lit(v)
 
-    cols = [F.col(seq_col).cast("long").alias("_seq")]
+    # a long, or a struct that orders the input
+    seq = F.col(seq_col) if dict(df.dtypes)[seq_col].startswith("struct") else F.col(seq_col).cast("long")
+    cols = [seq.alias("_seq")]
     for name in catalog.standard_columns:
         cols.append((F.col(name).cast("string") if name in present else F.lit(None).cast("string")).alias(name))
     cols.append((F.col("_source_file") if "_source_file" in present else lit_or_col(source_file)).alias("_source_file"))
@@ -190,7 +191,7 @@ def _county_reference(reference: DataFrame | None) -> DataFrame | None:
     ref = reference
     if "level" in ref.columns:
         ref = ref.where(F.col("level") == 3)
-    return ref.groupBy(F.col("code").alias("_ref_code")).agg(F.max("name").alias("_ref_name"))
+    return materialize(ref.groupBy(F.col("code").alias("_ref_code")).agg(F.max("name").alias("_ref_name")), "county-reference")
 
 
 @dataclass
@@ -211,16 +212,6 @@ class CleanResult:
         return cleaning_issues(self)
 
 
-def spread_small_input(df: DataFrame) -> DataFrame:
-    """Parsing is CPU-bound per row. An input with fewer partitions than the
-    cluster has cores (a single small file, a coalesced shuffle) is spread
-    round-robin; large inputs already have many splits and are untouched."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() < cores:
-        return df.repartition(cores)
-    return df
-
-
 def clean(raw: DataFrame, catalog: Catalog = DEFAULT_CATALOG, reference: DataFrame | None = None) -> CleanResult:
     """C1–C23 on a ``to_standard``-shaped frame.
 
@@ -229,7 +220,6 @@ def clean(raw: DataFrame, catalog: Catalog = DEFAULT_CATALOG, reference: DataFra
     table; the returned frames are lazy.
     """
     rules = catalog.rules
-    raw = spread_small_input(raw)
     data_cols = [c for c in catalog.standard_columns if c in raw.columns]
     nonempty = F.greatest(*[F.col(c).isNotNull() for c in data_cols]) if data_cols else F.lit(True)
     parsed = parse_stage(raw.withColumn("_nonempty", nonempty), catalog)
@@ -280,9 +270,9 @@ def _annotate(parsed: DataFrame, catalog: Catalog, stats: FrameStats, reference:
     cols.append(F.col(TYPE_FIELD).isNull().alias("_fill_type"))
     df = df.select(*cols)
 
-    # C13 per-type IQR cap (bounds table is small and checkpointed)
+    # C13 per-type IQR cap (bounds: one written row per type)
     if stats.bounds is not None:
-        df = df.join(checked_broadcast(stats.bounds), df[TYPE_FIELD] == F.col("_bt"), "left")
+        df = df.join(stats.bounds, df[TYPE_FIELD] == F.col("_bt"), "left")
     cols = [F.col(c) for c in df.columns if not c.startswith("_v1_") and not c.startswith("_ub_") and c != "_bt"]
     for m in metrics:
         v1 = F.col(f"_v1_{m}")
@@ -308,7 +298,7 @@ def _annotate(parsed: DataFrame, catalog: Catalog, stats: FrameStats, reference:
     conflict = F.col("_prefix_bad")
     ref = _county_reference(reference) if hierarchy.get("check_name_against_reference", True) else None
     if ref is not None:
-        df = df.join(checked_broadcast(ref), F.col("county_code") == F.col("_ref_code"), "left")
+        df = df.join(ref, F.col("county_code") == F.col("_ref_code"), "left")
         wrong_name = (
             F.col("county_code").isNotNull() & F.col("county").isNotNull()
             & F.col("_ref_name").isNotNull() & (F.col("_ref_name") != "")

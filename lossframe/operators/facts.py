@@ -1,7 +1,8 @@
 """Report facts as small DataFrames.
 
-Facts read the standard-plan results (at most a plan's limit of rows) and
-the untruncated totals; windows here run over those bounded results only.
+Facts read all groups of the standard plans (their limits cut only the plans'
+own output) and the totals. Windows run over years and event types; counties
+are ranked by a distributed top-k.
 """
 
 from __future__ import annotations
@@ -25,13 +26,14 @@ def _ranked(records: DataFrame, key: str, by: str = LOSS) -> DataFrame:
 
 def fact_top_k(clean: DataFrame, catalog: Catalog = DEFAULT_CATALOG, k: int = 3) -> DataFrame:
     """The k counties with the largest direct loss."""
-    recs = run_plan(clean, "county_ranking", catalog).records
-    return _ranked(recs, "county").where(F.col("rank") <= k).select("rank", "county", F.col(LOSS).alias("value"))
+    groups = run_plan(clean, "county_ranking", catalog, cut=False).groups
+    recs = groups.orderBy(F.coalesce(F.col(LOSS), F.lit(0.0)).desc(), F.col("county").asc_nulls_last()).limit(k)
+    return _ranked(recs, "county").select("rank", "county", F.col(LOSS).alias("value"))
 
 
 def fact_peak_year(clean: DataFrame, catalog: Catalog = DEFAULT_CATALOG) -> DataFrame:
     """first/last year, peak year, its value and share of the years shown."""
-    recs = run_plan(clean, "yearly_trend", catalog).records.where(F.col("year").isNotNull())
+    recs = run_plan(clean, "yearly_trend", catalog, cut=False).records.where(F.col("year").isNotNull())
     return recs.agg(
         F.min("year").alias("first_year"), F.max("year").alias("last_year"),
         F.min_by("year", F.struct((-F.col(LOSS)).alias("v"), F.col("year").alias("y"))).alias("peak_year"),
@@ -42,7 +44,7 @@ def fact_peak_year(clean: DataFrame, catalog: Catalog = DEFAULT_CATALOG) -> Data
 
 def fact_yoy(clean: DataFrame, catalog: Catalog = DEFAULT_CATALOG) -> DataFrame:
     """Last year against the one before, only with at least three years."""
-    recs = run_plan(clean, "yearly_trend", catalog).records.where(F.col("year").isNotNull())
+    recs = run_plan(clean, "yearly_trend", catalog, cut=False).records.where(F.col("year").isNotNull())
     w = Window.orderBy("year")
     t = recs.select("year", F.col(LOSS).alias("recent"), F.lag(LOSS).over(w).alias("previous"),
                     F.count(F.lit(1)).over(Window.partitionBy()).alias("years"),
@@ -54,7 +56,7 @@ def fact_yoy(clean: DataFrame, catalog: Catalog = DEFAULT_CATALOG) -> DataFrame:
 
 def fact_season_share(clean: DataFrame, catalog: Catalog = DEFAULT_CATALOG) -> DataFrame:
     """Flood-season direct loss and its share of all seasons shown."""
-    recs = run_plan(clean, "by_season", catalog).records
+    recs = run_plan(clean, "by_season", catalog, cut=False).records
     total = F.sum(F.coalesce(F.col(LOSS), F.lit(0.0)))
     out = recs.agg(F.max(F.when(F.col("season") == FLOOD_SEASON, F.col(LOSS))).alias("flood_value"),
                    total.alias("total"))
@@ -64,7 +66,7 @@ def fact_season_share(clean: DataFrame, catalog: Catalog = DEFAULT_CATALOG) -> D
 
 
 def _plan_total(clean: DataFrame, key: str, catalog: Catalog) -> DataFrame:
-    return run_plan(clean, key, catalog).totals.select(F.col(LOSS).alias("total"))
+    return run_plan(clean, key, catalog, cut=False).totals.select(F.col(LOSS).alias("total"))
 
 
 def fact_county_concentration(clean: DataFrame, catalog: Catalog = DEFAULT_CATALOG) -> DataFrame:
@@ -88,7 +90,7 @@ def _concentration(agg: DataFrame, total: DataFrame) -> DataFrame:
 
 def fact_type_share(clean: DataFrame, catalog: Catalog = DEFAULT_CATALOG) -> DataFrame:
     """Every event type with its share of the untruncated total."""
-    res = run_plan(clean, "by_disaster_type", catalog)
+    res = run_plan(clean, "by_disaster_type", catalog, cut=False)
     recs = res.records.withColumn("_k", F.lit(1))
     total = res.totals.select(F.col(LOSS).alias("total")).withColumn("_k", F.lit(1))
     return recs.join(total, "_k").select(
@@ -109,7 +111,7 @@ def fact_type_leaders(clean: DataFrame, catalog: Catalog = DEFAULT_CATALOG, k: i
 
 def fact_loss_structure(clean: DataFrame, catalog: Catalog = DEFAULT_CATALOG) -> DataFrame:
     """Largest amount item with its share, and the casualty total."""
-    res = run_plan(clean, "loss_structure", catalog)
+    res = run_plan(clean, "loss_structure", catalog, cut=False)
     recs = res.records
     amount = recs.where(F.col("unit") == AMOUNT_UNIT)
     lead = amount.agg(

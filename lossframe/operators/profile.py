@@ -42,29 +42,37 @@ def profile_columns(raw: DataFrame, catalog: Catalog = DEFAULT_CATALOG) -> DataF
 
 
 def overview_kpis(clean: DataFrame, catalog: Catalog = DEFAULT_CATALOG) -> DataFrame:
-    """P2 on the cleaned frame: one row of headline figures (one aggregate)."""
+    """One row of headline figures (one aggregate), of a cleaned frame or of
+    a raw one, whose dates and quantities are then read first (P3). The mean is
+    null for no rows; counts of flags that a raw frame lacks are left out."""
     metrics = [m for m in catalog.metric_names if m in clean.columns]
+    types = dict(clean.dtypes)
+    read = [X.parse_quantity(m, catalog.metric(m).units).alias(m) if types[m] == "string" else F.col(m) for m in metrics]
+    date = X.parse_date("occur_date", catalog.rules["date_formats"]).alias("occur_date") if types["occur_date"] == "string" else F.col("occur_date")
+    flags = [c for c in ("_imputed_metrics", "_hierarchy_ok") if c in types]
+    clean = clean.select("disaster_type", "county", date, *read, *flags)
     n = F.count(F.lit(1))
     aggs = [n.alias("records"), F.count_distinct("disaster_type").alias("event_types"),
             F.count_distinct("county").alias("counties"),
             F.date_format(F.min("occur_date"), "yyyy-MM-dd").alias("period_start"),
             F.date_format(F.max("occur_date"), "yyyy-MM-dd").alias("period_end")]
     aggs += [F.round(F.coalesce(F.sum(m), F.lit(0.0)), 2).alias(f"total_{m}") for m in metrics]
-    aggs += [F.round(F.coalesce(F.sum("direct_economic_loss"), F.lit(0.0)) / n, 2).alias("mean_direct_loss"),
-             F.count_if(F.col("_imputed_metrics") > 0).alias("imputed_records"),
-             F.count_if(~F.col("_hierarchy_ok")).alias("hierarchy_conflicts")]
+    if "direct_economic_loss" in metrics:
+        aggs.append(F.round(F.try_divide(F.coalesce(F.sum("direct_economic_loss"), F.lit(0.0)), n), 2).alias("mean_direct_loss"))
+    if "_imputed_metrics" in flags:
+        aggs.append(F.count_if(F.col("_imputed_metrics") > 0).alias("imputed_records"))
+    if "_hierarchy_ok" in flags:
+        aggs.append(F.count_if(~F.col("_hierarchy_ok")).alias("hierarchy_conflicts"))
     return clean.agg(*aggs)
 
 
 def unit_aware_sum(raw: DataFrame, catalog: Catalog = DEFAULT_CATALOG) -> DataFrame:
     """Per metric, sum of number × unit factor over the raw text;
     unparsable cells ignored, an absent column gives 0."""
-    entries = []
-    for m in catalog.metric_names:
-        value = X.parse_quantity(m, catalog.metric(m).units) if m in raw.columns else F.lit(None).cast("double")
-        entries.append(F.struct(F.lit(m).alias("metric"), value.alias("v")))
-    return (raw.select(F.inline(F.array(*entries))).groupBy("metric")
-            .agg(F.round(F.coalesce(F.sum("v"), F.lit(0.0)), 4).alias("total")))
+    values = [(X.parse_quantity(m, catalog.metric(m).units) if m in raw.columns else F.lit(None).cast("double")).alias(m)
+              for m in catalog.metric_names]
+    row = raw.select(*values).agg(*[F.round(F.coalesce(F.sum(m), F.lit(0.0)), 4).alias(m) for m in catalog.metric_names])
+    return row.select(F.inline(F.array(*[F.struct(F.lit(m).alias("metric"), F.col(m).alias("total")) for m in catalog.metric_names])))
 
 
 def filter_hints(clean: DataFrame, catalog: Catalog = DEFAULT_CATALOG, limit: int = 40) -> DataFrame:

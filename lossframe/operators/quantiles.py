@@ -28,7 +28,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import materialize
-from .util import checked_broadcast
 
 
 def _lerp(lo: Column, hi: Column, t: Column) -> Column:
@@ -79,7 +78,7 @@ def quantiles_from_ranked(ranked: DataFrame, group_cols: Sequence[str], value_co
     )
     running = Window.partitionBy("_pid", *g).orderBy(value_col).rowsBetween(Window.unboundedPreceding, 0)
     cum = ranked.withColumn("_lc", F.sum(weight_col).over(running))
-    cum = cum.join(checked_broadcast(ptot), on=["_pid", *g], how="inner")
+    cum = cum.join(ptot, on=["_pid", *g], how="inner")
     cum = cum.withColumn("_end", F.col("_off") + F.col("_lc")).withColumn("_start", F.col("_end") - F.col(weight_col))
 
     def holds(rank: Column) -> Column:

@@ -11,7 +11,7 @@ from __future__ import annotations
 from ..catalog import (AMOUNT_UNIT, DEFAULT_CATALOG, FLOOD_SEASON, NO_POPULATION_BAND, NON_FLOOD_SEASON,
                        NULL_TOKENS, OTHER_CATEGORY, PEOPLE_UNIT, Catalog)
 from ..functions.exprs import WHITESPACE, ordered_units
-from ..sources.fixtures import GEO_FEATURES_SQL, INCIDENTS_RAW_SQL, REGION_DIM_SQL, duckdb_sql
+from ..sources.fixtures import GEO_FEATURES_SQL, INCIDENT_COLUMNS, INCIDENTS_RAW_SQL, REGION_DIM_SQL, duckdb_sql
 
 
 def q(s: str) -> str:
@@ -38,6 +38,17 @@ def code_clean(c: str) -> str:
     return f"CASE WHEN {missing(c)} THEN NULL ELSE {trim_ws(f'regexp_replace({c}, ' + q(r'\.0$') + ', ' + q('') + ')')} END"
 
 
+# Spelt out here on their own, beside the configured date formats.
+_TIMES = ["%Y-%m-%d %H:%M:%S", "%Y-%m-%d %H:%M", "%Y-%m-%dT%H:%M:%S", "%Y-%m-%dT%H:%M", "%Y/%m/%d %H:%M:%S", "%Y/%m/%d %H:%M",
+          "%Y.%m.%d %H:%M:%S", "%Y.%m.%d %H:%M", "%Y年%m月%d日 %H:%M:%S", "%Y年%m月%d日 %H:%M"]
+
+
+def date_sql(c: str, catalog: Catalog) -> str:
+    t = trim_ws(c)
+    tries = ", ".join(f"try_strptime({t}, {q(fmt)})" for fmt in (*catalog.rules["date_formats"], *_TIMES))
+    return f"CASE WHEN {missing(c)} THEN NULL ELSE coalesce({tries}) END"
+
+
 def raw_cte() -> str:
     """Fixture rows in the raw standard shape."""
     return f"raw0 AS ({duckdb_sql(INCIDENTS_RAW_SQL)})"
@@ -46,10 +57,7 @@ def raw_cte() -> str:
 def clean_cte(catalog: Catalog = DEFAULT_CATALOG) -> str:
     """CTE chain ending in ``clean`` (the cleaned, de-duplicated table)."""
     rules = catalog.rules
-    fixture_cols = {"record_id", "disaster_type", "occur_date", "emergency_level", "province", "province_code",
-                    "city", "city_code", "county", "county_code", "town", "direct_economic_loss",
-                    "affected_population", "deaths", "injured", "missing", "infrastructure_loss",
-                    "agriculture_loss", "housing_loss", "affected_crop_area"}
+    fixture_cols = set(INCIDENT_COLUMNS)
     std = catalog.standard_columns
     raw_sel = ["seq AS _seq"] + [
         (f"CAST({c} AS VARCHAR) AS {c}" if c in fixture_cols else f"CAST(NULL AS VARCHAR) AS {c}") for c in std
@@ -62,9 +70,7 @@ def clean_cte(catalog: Catalog = DEFAULT_CATALOG) -> str:
             p1.append(f"{text_clean(f.name)} AS {f.name}")
             p1.append(f"({text_clean(f.name)}) IS DISTINCT FROM {f.name} AS _chg_{f.name}")
         elif f.name == "occur_date":
-            t = trim_ws("occur_date")
-            tries = ", ".join(f"try_strptime({t}, {q(fmt)})" for fmt in rules["date_formats"])
-            p1.append(f"CASE WHEN {missing('occur_date')} THEN NULL ELSE coalesce({tries}, TRY_CAST({t} AS TIMESTAMP)) END AS occur_date")
+            p1.append(f"{date_sql('occur_date', catalog)} AS occur_date")
     for m in catalog.metric_names:
         p1.append(f"CASE WHEN {missing(m)} THEN NULL ELSE replace(replace({trim_ws(m)}, ',', ''), '，', '') END AS _qt_{m}")
 

@@ -26,8 +26,8 @@ class Plan:
     metrics: tuple[str, ...]
     limit: int = 40
 
-    def request(self) -> AnalysisRequest:
-        return AnalysisRequest(list(self.dimensions), list(self.metrics), limit=self.limit)
+    def request(self, cut: bool = True) -> AnalysisRequest:
+        return AnalysisRequest(list(self.dimensions), list(self.metrics), limit=self.limit if cut else None)
 
 
 # The standard plan list (keys, dimensions, metrics, limits).
@@ -47,8 +47,9 @@ STANDARD_PLANS: tuple[Plan, ...] = (
 PLANS_BY_KEY = {p.key: p for p in STANDARD_PLANS}
 
 
-def run_plan(clean_df: DataFrame, key: str, catalog: Catalog = DEFAULT_CATALOG) -> AnalysisResult:
-    return aggregate(clean_df, PLANS_BY_KEY[key].request(), catalog)
+def run_plan(clean_df: DataFrame, key: str, catalog: Catalog = DEFAULT_CATALOG, cut: bool = True) -> AnalysisResult:
+    """A plan's result; ``cut=False`` keeps all groups, for facts, charts and maps drawn from it."""
+    return aggregate(clean_df, PLANS_BY_KEY[key].request(cut), catalog)
 
 
 def run_all_shared(clean_df: DataFrame, catalog: Catalog = DEFAULT_CATALOG,
@@ -70,13 +71,11 @@ def run_all_shared(clean_df: DataFrame, catalog: Catalog = DEFAULT_CATALOG,
         if s not in sets:
             sets.append(s)
     spark = clean_df.sparkSession
-    view = f"_lf_plans_{abs(hash((tuple(fields), tuple(metrics)))) % 10**8}"
-    clean_df.createOrReplaceTempView(view)
     set_sql = ", ".join("(" + ", ".join(f"`{f}`" for f in s) + ")" for s in sets)
     bits = ", ".join(f"grouping(`{f}`) AS `_g_{f}`" for f in fields)
     sums = ", ".join(f"coalesce(sum(`{m}`), 0D) AS `{m}`" for m in metrics)
     cols = ", ".join(f"`{f}`" for f in fields)
-    shared = spark.sql(f"SELECT {cols}, {bits}, {sums} FROM {view} GROUP BY GROUPING SETS ({set_sql})")
+    shared = spark.sql(f"SELECT {cols}, {bits}, {sums} FROM {{df}} GROUP BY GROUPING SETS ({set_sql})", df=clean_df)
     if pin:
         shared = materialize(shared, "plan-groups")
     out: dict[str, DataFrame] = {}

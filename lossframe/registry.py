@@ -92,9 +92,8 @@ def _per_metric_sql(source: str, expr_of) -> str:
 
 
 def _per_metric_df(df, expr_of):
-    return df.select(F.inline(F.array(*[
-        F.struct(F.lit(m).alias("metric"), expr_of(m).alias("_e")) for m in METRICS]))) \
-        .groupBy("metric").agg(F.sum(F.col("_e").cast("long")).cast("long").alias("n"))
+    row = df.agg(*[F.sum(expr_of(m).cast("long")).cast("long").alias(m) for m in METRICS])
+    return row.select(F.inline(F.array(*[F.struct(F.lit(m).alias("metric"), F.col(m).alias("n")) for m in METRICS])))
 
 
 register("null_tokens", lambda: D.with_clean(
@@ -318,14 +317,14 @@ from .operators import profile as P  # noqa: E402
 from .operators import quality as Q  # noqa: E402
 from .operators import questions as N  # noqa: E402
 from .plans.standard import PLANS_BY_KEY  # noqa: E402
-from .sources.fixtures import geo_features, read_tables, region_reference  # noqa: E402
+from .sources.fixtures import QUESTIONS_SQL, duckdb_sql, geo_features, questions, region_reference  # noqa: E402
 
 RAW_COLS = STD + ["_source_file", "_source_sheet"]
 
 
 def _recs(name, key):
     p = PLANS_BY_KEY[key]
-    return D.records_cte(name, list(p.dimensions), list(p.metrics), p.limit, CAT)
+    return D.records_cte(name, list(p.dimensions), list(p.metrics), None, CAT)  # all groups
 
 
 # P1
@@ -358,6 +357,21 @@ def _overview_sql():
 
 register("overview_kpis", _overview_sql)(lambda spark, sf: P.overview_kpis(clean_table(spark, sf)))
 
+def _overview_raw_sql():
+    tot = ", ".join(f"round(coalesce(sum({D.number_sql(m)} * {D.factor_sql(m, CAT.metric(m).units)}), 0.0), 2) AS total_{m}" for m in METRICS)
+    loss = f"{D.number_sql(LOSS)} * {D.factor_sql(LOSS, CAT.metric(LOSS).units)}"
+    when = D.date_sql("occur_date", CAT)
+    return D.with_clean(
+        "SELECT count(*) AS records, count(DISTINCT disaster_type) AS event_types, count(DISTINCT county) AS counties, "
+        f"strftime(min({when}), '%Y-%m-%d') AS period_start, strftime(max({when}), '%Y-%m-%d') AS period_end, {tot}, "
+        f"round(coalesce(sum({loss}), 0.0) / NULLIF(count(*), 0), 2) AS mean_direct_loss FROM rawstd")
+
+
+register("overview_raw", _overview_raw_sql)(lambda spark, sf: P.overview_kpis(raw_table(spark, sf)))
+
+_reg_request("agg_global_empty", lambda: AnalysisRequest([], [LOSS], {"region_county": ["no such county"]}),
+             lambda: D.with_clean(f"SELECT sum({LOSS}) AS {LOSS} FROM clean WHERE county IN ('no such county') HAVING count(*) > 0"))
+
 # P4
 register("unit_aware_sum", lambda: D.with_clean(" UNION ALL ".join(
     f"SELECT {D.q(m)} AS metric, round(coalesce(sum({D.number_sql(m)} * {D.factor_sql(m, CAT.metric(m).units)}), 0.0), 4) "
@@ -470,7 +484,7 @@ register("fact_kpis", _kpis_sql)(lambda spark, sf: R.fact_kpis(P.overview_kpis(c
 
 register("format_value", lambda: _facts_sql(
     f"SELECT disaster_type, {LOSS} AS value, {_fmt_sql(LOSS)} AS display FROM bt", _recs("bt", "by_disaster_type")))(
-    lambda spark, sf: run_plan(clean_table(spark, sf), "by_disaster_type", CAT).records.select(
+    lambda spark, sf: run_plan(clean_table(spark, sf), "by_disaster_type", CAT, cut=False).records.select(
         "disaster_type", F.col(LOSS).alias("value"), X.format_value(LOSS).alias("display")))
 
 
@@ -478,7 +492,7 @@ register("format_value", lambda: _facts_sql(
 register("chart_series", lambda: _facts_sql(
     f"SELECT pos, CAST(disaster_type AS VARCHAR) AS category, coalesce({LOSS}, 0.0) AS value FROM bt",
     _recs("bt", "by_disaster_type")))(
-    lambda spark, sf: V.chart_series(run_plan(clean_table(spark, sf), "by_disaster_type", CAT)))
+    lambda spark, sf: V.chart_series(run_plan(clean_table(spark, sf), "by_disaster_type", CAT, cut=False)))
 
 register("chart_pivot", lambda: _facts_sql(
     "SELECT CAST(c.cat_pos AS INTEGER) AS cat_pos, CAST(c.category AS VARCHAR) AS category, CAST(s.ser_pos AS INTEGER) "
@@ -490,7 +504,7 @@ register("chart_pivot", lambda: _facts_sql(
     "cats AS (SELECT disaster_type AS category, min(pos) AS cat_pos FROM mx GROUP BY 1)",
     "sers AS (SELECT series, row_number() OVER (ORDER BY p) AS ser_pos FROM (SELECT coalesce(CAST(emergency_level AS "
     "VARCHAR), 'None') AS series, min(pos) AS p FROM mx GROUP BY 1))"))(
-    lambda spark, sf: V.chart_pivot(run_plan(clean_table(spark, sf), "type_level_matrix", CAT)))
+    lambda spark, sf: V.chart_pivot(run_plan(clean_table(spark, sf), "type_level_matrix", CAT, cut=False)))
 
 register("chart_share", lambda: _facts_sql(
     f"SELECT pos, loss_type, value, round(value / NULLIF(sum(value) OVER (), 0) * 100, 2) AS pct FROM ls "
@@ -504,8 +518,8 @@ register("geo_dim", lambda: _facts_sql("SELECT name, lon, lat, feature_count FRO
 
 
 def _choropleth(spark, sf):
-    res = run_plan(clean_table(spark, sf), "county_choropleth", CAT)
-    return V._with_pos(res, CAT), V.geo_dim(geo_features(spark, sf))
+    groups = run_plan(clean_table(spark, sf), "county_choropleth", CAT, cut=False).groups
+    return groups, V.geo_dim(geo_features(spark, sf))
 
 
 _GEO_MATCHED = (f"SELECT trim(county) AS name, round(sum(coalesce({LOSS}, 0.0)), 4) AS value FROM ch "
@@ -514,9 +528,10 @@ register("geo_match", lambda: _facts_sql(_GEO_MATCHED, _recs("ch", "county_choro
     lambda spark, sf: V.geo_match(*_choropleth(spark, sf), "county", LOSS))
 
 register("geo_unmatched", lambda: _facts_sql(
-    "SELECT pos, CAST(county AS VARCHAR) AS record_name FROM ch WHERE coalesce(trim(county), '') NOT IN "
-    "(SELECT name FROM geo) ORDER BY pos LIMIT 10", _recs("ch", "county_choropleth"), D.geo_ctes()))(
-    lambda spark, sf: V.geo_unmatched(*_choropleth(spark, sf), "county"))
+    f"SELECT row_number() OVER (ORDER BY coalesce({LOSS}, 0.0) DESC, county ASC NULLS LAST) AS pos, CAST(county AS VARCHAR) AS record_name "
+    f"FROM ch WHERE coalesce(trim(county), '') NOT IN (SELECT name FROM geo) ORDER BY pos LIMIT 10",
+    _recs("ch", "county_choropleth"), D.geo_ctes()))(
+    lambda spark, sf: V.geo_unmatched(*_choropleth(spark, sf), "county", LOSS))
 
 register("geo_missing", lambda: _facts_sql(
     "SELECT name FROM geo WHERE name NOT IN (SELECT trim(county) FROM ch WHERE county IS NOT NULL)",
@@ -540,6 +555,15 @@ register("geo_scaled", lambda: _facts_sql(
     lambda spark, sf: V.geo_scaled(_matched(spark, sf)[0]))
 
 
+register("geo_summary", lambda: _facts_sql(
+    f"SELECT (SELECT count(*) FROM ({_GEO_MATCHED})) AS matched, (SELECT min(value) FROM ({_GEO_MATCHED})) AS min_value, "
+    f"(SELECT max(value) FROM ({_GEO_MATCHED})) AS max_value, (SELECT count(DISTINCT coalesce(trim(county), '')) FROM ch "
+    "WHERE coalesce(trim(county), '') NOT IN (SELECT name FROM geo)) AS unmatched, (SELECT count(*) FROM geo WHERE name NOT IN "
+    "(SELECT trim(county) FROM ch WHERE county IS NOT NULL)) AS missing, (SELECT count(*) FROM geo WHERE feature_count > 1) AS duplicates",
+    _recs("ch", "county_choropleth"), D.geo_ctes()))(
+    lambda spark, sf: V.geo_summary(*_choropleth(spark, sf), "county", LOSS))
+
+
 # Q1–Q3
 register("dq_row_count", lambda: D.with_clean(
     "SELECT (SELECT count(*) FROM rawstd) AS rows_in, (SELECT count(*) FROM clean) AS rows_out, "
@@ -604,12 +628,11 @@ def _tag_sql(metric_limit: int):
     return (f"SELECT conv_id, turn, array_to_string(CASE WHEN len({dim_list}) = 0 THEN [{D.q(N.DEFAULT_DIMENSION)}] "
             f"ELSE {dim_list}[1:2] END, '|') AS dims, array_to_string(CASE WHEN len({met_list}) = 0 THEN "
             f"[{D.q(N.DEFAULT_METRIC)}] ELSE {met_list}[1:{metric_limit}] END, '|') AS metrics, "
-            f"{first_type} AS filter_type, {first_level} AS filter_level FROM conversations")
+            f"{first_type} AS filter_type, {first_level} AS filter_level FROM ({duckdb_sql(QUESTIONS_SQL)})")
 
 
 def _tagged(spark, sf):
-    conv = read_tables(spark, sf, ("conversations",))["conversations"]
-    return N.tag_questions(conv.select("conv_id", "turn", "text"))
+    return N.tag_questions(questions(spark, sf))
 
 
 register("tag_questions", lambda: _tag_sql(3))(
@@ -624,17 +647,11 @@ register("sanitize_plans", lambda: f"SELECT conv_id, turn, dims, metrics FROM ({
 
 from .sources import headers as H  # noqa: E402
 from .sources import writers as W  # noqa: E402
-from .sources.delimited import ingest_report  # noqa: E402
+from .sources.delimited import ingest_issues, ingest_report  # noqa: E402
 from .session import scratch_path  # noqa: E402
 from .tables import csv_ingest  # noqa: E402
 
 
-def _layout_headers() -> list[str]:
-    fixture_cols = [c for c in STD if c not in ("town_code", "village", "village_code")]
-    del fixture_cols
-    return sorted(set(W.label_layout().values()) | {"乡镇代码"} | set(W.alias_layout().values()))
-
-
 def _norm_sql(c: str) -> str:
     ws = D.WS_SQL[:-1] + " || '_-')"
     return f"lower(translate(regexp_replace(coalesce({c}, ''), {D.q(r'[（(].*?[)）]')}, '', 'g'), {ws}, ''))"
@@ -647,13 +664,17 @@ def _alias_sql() -> str:
             f"WHERE {_norm_sql('raw_key')} <> '' GROUP BY 1)")
 
 
+def _notes_sql() -> str:
+    return "('c', 0, '列名'), ('c', 1, '说明')"
+
+
 def _headers_sql() -> str:
     lab, ali = W.label_layout(), W.alias_layout()
     present = [c for c in STD]
     a = [lab[c] for c in present] + ["乡镇代码"]
     b = [ali[c] for c in present]
     rows = [f"('a', {i}, {D.q(h)})" for i, h in enumerate(a)] + [f"('b', {i}, {D.q(h)})" for i, h in enumerate(b)]
-    return f"hd AS (SELECT * FROM (VALUES {', '.join(rows)}) v(source, pos, header))"
+    return f"hd AS (SELECT * FROM (VALUES {', '.join(rows)}, {_notes_sql()}) v(source, pos, header))"
 
 
 def _mapping_sql() -> str:
@@ -663,13 +684,6 @@ def _mapping_sql() -> str:
             f"FROM hd LEFT JOIN al ON al.norm_key = {_norm_sql('header')}))")
 
 
-register("normalize_header", lambda: f"WITH {_headers_sql()} SELECT DISTINCT header, {_norm_sql('header')} AS norm_key FROM hd")(
-    lambda spark, sf: csv_ingest(spark, sf).columns.select("header", H.normalize_header("header").alias("norm_key")).distinct())
-
-register("map_columns", lambda: f"WITH {_headers_sql()}, {_alias_sql()}, {_mapping_sql()} "
-         "SELECT DISTINCT pos, header, target, status FROM mp")(
-    lambda spark, sf: csv_ingest(spark, sf).columns.select("pos", "header", "target", "status").distinct())
-
 register("src_csv", lambda: D.with_clean(
     "SELECT " + ", ".join(f"NULLIF({c}, '') AS {c}" for c in STD) + " FROM rawstd"))(
     lambda spark, sf: csv_ingest(spark, sf).frame.select(*STD))
@@ -690,6 +704,20 @@ def _ingest_report_sql() -> str:
         extra_ctes=f"{_headers_sql()}, {_alias_sql()}, {_mapping_sql()}")
 
 
+def _ingest_issues_sql() -> str:
+    req = CAT.required_fields
+    missing = "concat_ws(',', " + ", ".join(f"CASE WHEN count(NULLIF({c}, '')) = 0 THEN {D.q(c)} END" for c in req) + ")"
+    return D.with_clean(
+        "SELECT * FROM (SELECT 'error' AS level, 'SHEET_EMPTY' AS code, (SELECT count(*) FROM (SELECT source FROM mp GROUP BY source "
+        "HAVING count(target) = 0)) AS count, '' AS samples UNION ALL "
+        f"SELECT 'error', 'MISSING_REQUIRED_FIELD', len(string_split(NULLIF(m, ''), ',')), m FROM (SELECT {missing} AS m FROM rawstd) UNION ALL "
+        "SELECT 'warning', 'UNMAPPED_COLUMN', count(*), array_to_string(list(header ORDER BY header)[1:10], ',') "
+        "FROM (SELECT DISTINCT header FROM mp WHERE status = 'unmapped')) WHERE count > 0",
+        extra_ctes=f"{_headers_sql()}, {_alias_sql()}, {_mapping_sql()}")
+
+
+register("ingest_issues", _ingest_issues_sql)(lambda spark, sf: ingest_issues(csv_ingest(spark, sf), CAT))
+
 register("ingest_report", _ingest_report_sql)(lambda spark, sf: ingest_report(csv_ingest(spark, sf), CAT))
 
 
@@ -746,5 +774,7 @@ def _header_detect_sql() -> str:
 register("header_detect", _header_detect_sql)(_header_detect)
 
 register("src_workbook", lambda: D.with_clean(
-    "SELECT " + ", ".join(f"NULLIF({c}, '') AS {c}" for c in STD) + " FROM rawstd"))(
+    "SELECT " + ", ".join(f"NULLIF({c}, '') AS {c}" for c in STD) + " FROM rawstd "
+    "WHERE coalesce(" + ", ".join(f"NULLIF({c}, '')" for c in STD) + ") IS NOT NULL"))(  # a row without any cell is not in a sheet
+
     lambda spark, sf: workbook_ingest(spark, sf)[0].select(*STD))

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import re
+import shutil
 import tempfile
 import uuid
 
@@ -22,6 +25,8 @@ def get_spark(master: str | None = None, shuffle_partitions: int | None = None)
         # cleaning is CPU-bound per row: keep small local shuffles spread
         # over all cores instead of coalescing them into one or two tasks
         .config("spark.sql.adaptive.coalescePartitions.minPartitionSize", "128KB")
+        # and split small files over all cores
+        .config("spark.sql.files.openCostInBytes", "256KB")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .config("spark.ui.enabled", "false")
@@ -44,15 +49,20 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder; set a local one only when unset.
 
     On a cluster ``spark.checkpoint.dir`` names a shared file system folder;
-    we never replace it. Only a session without one (tests, local runs) gets
-    a fresh temporary folder.
+    we never replace it, and without it we refuse to write to a folder of one
+    machine. Only a local session without one (tests) gets a fresh temporary
+    folder, removed when the process ends.
     """
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
     if current:
         return current
     configured = spark.conf.get("spark.checkpoint.dir", None)
+    if not configured and not re.match(r"local(\[[^-]*\])?$", sc.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     path = configured or tempfile.mkdtemp(prefix="lossframe-ckpt-")
+    if not configured:
+        atexit.register(shutil.rmtree, path, ignore_errors=True)
     sc.setCheckpointDir(path)
     return sc.getCheckpointDir() or path
 

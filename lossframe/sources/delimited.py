@@ -1,33 +1,34 @@
 """Delimited text files → one standard raw frame + ingest report.
 
-* Charset: each file is UTF-8 unless its lines decode with replacement
-  characters; those files are read as GBK (needs
-  ``spark.sql.legacy.javaCharsets=true`` on Spark 4).
-* Header: the first line of each file (first split, first row), so files
-  with different layouts are read in groups of equal header and
-  ``unionByName``-ed; each group's columns are renamed by ``map_columns``.
-* Input order: ``_seq`` = file index (20 bits) | split rank within the file
-  (10 bits) | row position within the split (33 bits), so "first in input
-  order" is exact without a global sort.
-
-Only per-file facts (path, header line, charset) reach the driver: one row
-per file, which Spark's own file listing already holds there.
+* Charset: a file is UTF-8 if all its lines are valid UTF-8, else GBK; a file
+  that is neither fails.
+* Cells: doubled quotes stand for a quote, quoted cells may hold line breaks.
+  A file in which some line has an odd number of quotes is read as one piece
+  (such records cannot be cut at line ends); all others are split.
+* Header: the first record of each file. Files are identified by their full
+  path and read in groups of equal header, charset and cutting; headers are
+  mapped once for each distinct layout, and the groups ``unionByName``-ed.
+* Input order: ``_seq`` is the struct (path, block start, row id), so "first in
+  input order" is exact, without a limit, a join or a scan of its own.
+
+Only one row for each file (path, header, charset) reaches the driver, which
+Spark's own file listing already holds there.
 """
 
 from __future__ import annotations
 
+import csv
 from dataclasses import dataclass
-from pathlib import PurePosixPath
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..catalog import DEFAULT_CATALOG, Catalog
 from ..operators.clean import to_standard
-from ..operators.util import checked_broadcast
 from .headers import map_columns
 
-_LOW33 = (1 << 33) - 1
+#: Lines that a header record may span.
+_HEADER_LINES = 50
 
 
 @dataclass
@@ -35,108 +36,129 @@ class FileInfo:
     path: str
     header: str
     charset: str
+    whole: bool  # records go over line ends
 
 
-def inspect_files(spark: SparkSession, paths: list[str]) -> list[FileInfo]:
-    """Header line and charset of each file (one aggregate over the lines)."""
-    lines = spark.read.text(paths).select(
-        "value", F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("bs"),
-        F.monotonically_increasing_id().alias("_id"))
-    per_file = lines.groupBy("path").agg(
-        F.min_by(F.when(F.col("bs") == 0, F.col("value")), F.when(F.col("bs") == 0, F.col("_id"))).alias("header"),
-        F.max(F.col("value").contains("�")).alias("bad_utf8"))
-    return [FileInfo(r["path"], (r["header"] or "").lstrip("﻿"), "GBK" if r["bad_utf8"] else "UTF-8")
-            for r in per_file.orderBy("path").collect()]
+def _decoded(raw: bytes, charset: str) -> str:
+    return raw.decode(charset).lstrip("\ufeff")
 
 
-def _split_header(line: str) -> list[str]:
-    import csv
-    return next(csv.reader([line])) if line else []
+def _odd_quotes(line) -> F.Column:
+    return F.length(F.regexp_replace(line, '[^"]', "")) % 2 == 1
 
 
-def headers_frame(spark: SparkSession, files: list[FileInfo]) -> DataFrame:
-    """``(source, pos, header)`` for every column of every file."""
-    rows = [(PurePosixPath(f.path).name, i, h) for f in files for i, h in enumerate(_split_header(f.header))]
+def inspect_files(spark: SparkSession, paths: list[str]) -> list[FileInfo]:
+    """Header, charset and cutting of each file, from one aggregate over the lines."""
+    raw = F.col("value").cast("binary")
+    lines = spark.read.text(paths).select(
+        raw.alias("raw"), F.is_valid_utf8("value").alias("ok"), _odd_quotes(F.make_valid_utf8("value")).alias("odd"),
+        F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("bs"), F.monotonically_increasing_id().alias("id"))
+    start = F.when(F.col("bs") == 0, F.col("id"))
+    gbk = F.when(~F.col("ok"), F.decode("raw", "GBK").contains("\ufffd"))  # fails, or marks what GBK cannot read
+    found = lines.groupBy("path").agg(F.min_by("raw", start).alias("header"), F.min(start).alias("first"), F.min("ok").alias("ok"),
+                                      F.max("odd").alias("whole"), F.max(gbk).alias("bad")).orderBy("path").collect()
+    if bad := [r["path"] for r in found if r["bad"]]:
+        raise ValueError(f"neither UTF-8 nor GBK: {bad[0]}")
+    out = []
+    for r in found:
+        charset = "UTF-8" if r["ok"] else "GBK"
+        header = _decoded(bytes(r["header"] or b""), charset)
+        if header.count('"') % 2:  # the header record goes on
+            more = lines.where((F.col("path") == r["path"]) & (F.col("bs") == 0) & (F.col("id") < r["first"] + _HEADER_LINES)).orderBy("id")
+            header = ""
+            for line in more.select("raw").collect():
+                header += _decoded(bytes(line["raw"]), charset) + "\n"
+                if header.count('"') % 2 == 0:
+                    break
+        out.append(FileInfo(r["path"], header.rstrip("\n"), charset, bool(r["whole"])))
+    return out
+
+
+def split_header(record: str) -> list[str]:
+    return next(csv.reader([record] if "\n" not in record else record.splitlines(keepends=True)), []) if record else []
+
+
+def headers_frame(spark: SparkSession, layouts: list[str]) -> DataFrame:
+    """``(source, pos, header)`` for every column of every distinct layout; ``source`` is its number."""
+    rows = [(str(n), i, h) for n, layout in enumerate(layouts) for i, h in enumerate(split_header(layout))]
     return spark.createDataFrame(rows, "source STRING, pos INT, header STRING")
 
 
-def _with_seq(df: DataFrame, file_index: dict[str, int]) -> DataFrame:
-    """Exact input order as one long (see module doc).
-
-    A file scan cuts every file at multiples of one split size, so a
-    split's rank in its file is ``block_start / split size``; the split
-    size is the smallest non-zero block start of this scan (one small
-    aggregate). File index: a join with the file list (one row per file,
-    broadcast when small).
-    """
-    spark = df.sparkSession
-    split = df.select(F.col("_metadata.file_block_start").alias("bs")).where(F.col("bs") > 0) \
-        .agg(F.min("bs")).first()[0] or 1
-    idx = spark.createDataFrame(list(file_index.items()), "path STRING, file_idx LONG")
-    df = df.withColumn("_path", F.col("_metadata.file_path"))
-    df = df.join(checked_broadcast(idx), F.col("_path") == F.col("path"))
-    brank = (F.col("_metadata.file_block_start") / F.lit(split)).cast("long")
-    seq = (F.col("file_idx") * F.lit(1 << 43)) + (brank * F.lit(1 << 33)) + \
-        F.monotonically_increasing_id().bitwiseAND(F.lit(_LOW33))
-    return df.withColumn("_seq", seq).drop("_path", "path", "file_idx")
+def input_order(*first) -> F.Column:
+    """Position in the input: what comes first, then file, block and row."""
+    return F.struct(*first, F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("block"),
+                    F.monotonically_increasing_id().alias("row"))
 
 
 @dataclass
 class IngestResult:
-    frame: DataFrame        # standard raw shape
-    columns: DataFrame      # (source, pos, header, target, status)
+    frame: DataFrame        # standard raw shape; ``_seq`` is the struct of ``input_order``
+    columns: DataFrame      # (source, pos, header, target, status), one source for each distinct layout
     files: list[FileInfo]
-    empty_sources: list[str]
+    empty_sources: list[str]  # paths without any known column
 
 
 def read_delimited(spark: SparkSession, paths: list[str], catalog: Catalog = DEFAULT_CATALOG) -> IngestResult:
     """S1 + S6 + S7: read every file, map headers, union in standard shape."""
+    spark.conf.set("spark.sql.legacy.javaCharsets", "true")  # GBK is none of Spark's own charsets
     files = inspect_files(spark, paths)
-    mapping = map_columns(headers_frame(spark, files), catalog)
-    matched = {}
-    for r in mapping.where(F.col("status") == "matched").collect():  # one row per source column
-        matched.setdefault(r["source"], {})[r["pos"]] = r["target"]
-    file_index = {f.path: i for i, f in enumerate(files)}
-    groups: dict[tuple[str, str], list[str]] = {}
+    layouts = list(dict.fromkeys(f.header for f in files))
+    mapping = map_columns(headers_frame(spark, layouts), catalog)
+    targets: dict[str, dict[int, str]] = {}
+    for r in mapping.where(F.col("status") == "matched").collect():  # one row for each column of a layout
+        targets.setdefault(layouts[int(r["source"])], {})[r["pos"]] = r["target"]
+    groups: dict[tuple[str, str, bool], list[str]] = {}
     for f in files:
-        groups.setdefault((f.header, f.charset), []).append(f.path)
+        groups.setdefault((f.header, f.charset, f.whole), []).append(f.path)
     frames, empty = [], []
-    for (header, charset), group in groups.items():
-        targets = matched.get(PurePosixPath(group[0]).name, {})
-        if not targets:
-            empty += [PurePosixPath(p).name for p in group]
+    for (header, charset, whole), group in groups.items():
+        if header not in targets:
+            empty += group
             continue
-        df = (spark.read.option("header", True).option("encoding", charset).option("inferSchema", False)
-              .csv(group))
+        df = (spark.read.option("header", True).option("encoding", charset).option("inferSchema", False).option("quote", '"').option("escape", '"')
+              .option("multiLine", whole).csv(group))
         cols = df.columns
-        select = [F.col(f"`{cols[i]}`").alias(t) for i, t in sorted(targets.items()) if i < len(cols)]
-        df = df.select(*select, "_metadata")
-        df = _with_seq(df, file_index)
-        df = df.withColumn("_source_file", F.col("_metadata.file_name")) \
-            .withColumn("_source_sheet", F.regexp_replace(F.col("_metadata.file_name"), r"\.[^.]*$", "")).drop("_metadata")
+        df = df.select(*[F.col(f"`{cols[i]}`").alias(t) for i, t in sorted(targets[header].items()) if i < len(cols)],
+                       input_order().alias("_seq"), F.col("_metadata.file_name").alias("_source_file"),
+                       F.regexp_replace(F.col("_metadata.file_name"), r"\.[^.]*$", "").alias("_source_sheet"))
         frames.append(to_standard(df, catalog, seq_col="_seq"))
-    if frames:
-        out = frames[0]
-        for f in frames[1:]:
-            out = out.unionByName(f)
-    else:
-        out = spark.createDataFrame([], catalog.raw_schema())
+    if not frames:
+        frames = [spark.createDataFrame([], catalog.raw_schema())]
+    out = frames[0]
+    for f in frames[1:]:
+        out = out.unionByName(f)
     return IngestResult(out, mapping, files, empty)
 
 
-def ingest_report(result: IngestResult, catalog: Catalog = DEFAULT_CATALOG) -> DataFrame:
-    """One-row template comparison: rows out, matched / unmapped column
-    counts, matched rate, required fields missing or all-null in the union."""
+def _report_parts(result: IngestResult, catalog: Catalog) -> DataFrame:
     cols = result.columns
-    # distinct targets matched and distinct unmapped header names, over all files
+    # distinct targets matched and distinct unmapped header names, over all layouts
+    unmapped = F.when(F.col("status") == "unmapped", F.col("header"))
     counts = cols.agg(F.count_distinct(F.when(F.col("status") == "matched", F.col("target"))).alias("matched"),
-                      F.count_distinct(F.when(F.col("status") == "unmapped", F.col("header"))).alias("unmapped"))
-    present = result.frame.agg(*[F.count(c).alias(c) for c in catalog.required_fields])
+                      F.count_distinct(unmapped).alias("unmapped"), F.array_sort(F.collect_set(unmapped)).alias("unmapped_headers"))
+    present = result.frame.agg(F.count(F.lit(1)).alias("rows_out"), *[F.count(c).alias(c) for c in catalog.required_fields])
     missing = F.array_compact(F.array(*[F.when(F.col(c) == 0, F.lit(c)) for c in catalog.required_fields]))
-    rep = counts.withColumn("_k", F.lit(1)).join(
-        present.select(missing.alias("missing_required")).withColumn("_k", F.lit(1)), "_k").join(
-        result.frame.agg(F.count(F.lit(1)).alias("rows_out")).withColumn("_k", F.lit(1)), "_k")
-    return rep.select(
+    return counts.withColumn("_k", F.lit(1)).join(
+        present.select("rows_out", missing.alias("missing_required")).withColumn("_k", F.lit(1)), "_k")
+
+
+def ingest_report(result: IngestResult, catalog: Catalog = DEFAULT_CATALOG) -> DataFrame:
+    """One-row template comparison: rows out, matched / unmapped column
+    counts, matched rate, required fields missing or all-null in the union."""
+    return _report_parts(result, catalog).select(
         "rows_out", "matched", "unmapped",
         F.round(F.col("matched") / F.greatest(F.col("matched") + F.col("unmapped"), F.lit(1)), 4).alias("matched_rate"),
         F.array_join("missing_required", ",").alias("missing_required"))
+
+
+def ingest_issues(result: IngestResult, catalog: Catalog = DEFAULT_CATALOG, samples: int = 10) -> DataFrame:
+    """``(level, code, count, samples)``: sources without any known column,
+    required fields missing, unknown columns (first ``samples`` in name order)."""
+    parts = _report_parts(result, catalog)
+    empty = result.columns.sparkSession.createDataFrame([(len(result.empty_sources),)], "n int")
+    row = lambda level, code, n, said: F.struct(
+        F.lit(level).alias("level"), F.lit(code).alias("code"), n.cast("long").alias("count"), said.alias("samples"))
+    issues = F.array(row("error", "SHEET_EMPTY", F.col("n"), F.lit("")),
+                     row("error", "MISSING_REQUIRED_FIELD", F.size("missing_required"), F.array_join("missing_required", ",")),
+                     row("warning", "UNMAPPED_COLUMN", F.col("unmapped"), F.array_join(F.slice("unmapped_headers", 1, samples), ",")))
+    return parts.join(empty.withColumn("_k", F.lit(1)), "_k").select(F.inline(issues)).where(F.col("count") > 0)

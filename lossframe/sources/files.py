@@ -13,3 +13,10 @@ def list_files(spark: SparkSession, pattern: str) -> list[str]:
     fs = path.getFileSystem(conf)
     statuses = fs.globStatus(path) or []
     return sorted(str(s.getPath().toString()) for s in statuses if s.isFile())
+
+
+def rename(spark: SparkSession, old: str, new: str) -> None:
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
+    path = hadoop.Path(old)
+    if not path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).rename(path, hadoop.Path(new)):
+        raise OSError(f"cannot rename {old}")

@@ -7,8 +7,10 @@ with the standard library and emits long cells
 — header-row detection, header mapping, the pivot to one row per record —
 is DataFrame work, distributed over cells.
 
-Cells are read as text (the stored value; shared and inline strings
-resolved). Date-formatted numeric cells stay serial numbers.
+Cells are read as text: shared and inline strings resolved, numbers as
+stored, date-formatted numbers as ISO dates (both epochs). Sheets are parsed
+element by element, so memory does not grow with a sheet. Workbooks are
+identified by their full path.
 """
 
 from __future__ import annotations
@@ -18,13 +20,12 @@ import re
 import zipfile
 from xml.etree import ElementTree as ET
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from ..catalog import DEFAULT_CATALOG, Catalog
 from ..operators.clean import to_standard
-from ..operators.util import checked_broadcast
 from ..session import materialize
 from .headers import map_columns
 
@@ -32,7 +33,7 @@ CELL_SCHEMA = "file string, sheet string, sheet_idx int, row_idx int, col_idx in
 _NS = {"m": "http://schemas.openxmlformats.org/spreadsheetml/2006/main"}
 _REL = "{http://schemas.openxmlformats.org/officeDocument/2006/relationships}id"
 _REF = re.compile(r"([A-Z]+)(\d+)")
-_C, _V, _IS, _T = (f"{{{_NS['m']}}}{t}" for t in ("c", "v", "is", "t"))
+_C, _V, _IS, _T, _SI, _ROW = (f"{{{_NS['m']}}}{t}" for t in ("c", "v", "is", "t", "si", "row"))
 _BATCH_CELLS = 65_536
 
 
@@ -57,41 +58,73 @@ def _text(node) -> str:
     return "".join(t.text or "" for t in node.iter(_T))
 
 
+# Number formats that show dates, in the workbook standard.
+_DATE_FORMATS = frozenset([*range(14, 23), *range(27, 37), *range(45, 48), *range(50, 59)])
+
+
+def _date_styles(z: zipfile.ZipFile) -> set[int]:
+    """Cell styles whose number format shows a date or time."""
+    if "xl/styles.xml" not in z.namelist():
+        return set()
+    root = ET.fromstring(z.read("xl/styles.xml"))
+    own = {int(f.get("numFmtId")): f.get("formatCode", "") for f in root.findall("m:numFmts/m:numFmt", _NS)}
+    shows = lambda code: re.search("[ymdhs年月日]", re.sub(r'"[^"]*"|\\[[^\\]]*\\]|\\\\.', "", code).lower()) is not None
+    formats = [int(x.get("numFmtId", 0)) for x in root.findall("m:cellXfs/m:xf", _NS)]
+    return {i for i, f in enumerate(formats) if (shows(own[f]) if f in own else f in _DATE_FORMATS)}
+
+
+def serial_date(value: str, since_1904: bool) -> str:
+    """ISO text of a serial day; what is no date stays as it is."""
+    import datetime as dt
+    try:
+        days = float(value)
+        base = dt.datetime(1904, 1, 1) if since_1904 else dt.datetime(1899, 12, 30) if days >= 61 else dt.datetime(1899, 12, 31)
+        when = base + dt.timedelta(seconds=round(days * 86400))
+    except (ValueError, OverflowError):
+        return value
+    return when.strftime("%Y-%m-%d" if when.time() == dt.time() else "%Y-%m-%d %H:%M:%S")
+
+
 def iter_cells(path: str):
     """Yield ``(sheet, sheet_idx, row_idx, col_idx, value)`` for non-empty cells."""
     fs, p = _filesystem(path)
-    with fs.open_input_file(p) as f:
-        data = f.read()
-    with zipfile.ZipFile(io.BytesIO(data)) as z:
-        names = set(z.namelist())
+    with fs.open_input_file(p) as f, zipfile.ZipFile(f) as z:
         shared = []
-        if "xl/sharedStrings.xml" in names:
-            root = ET.fromstring(z.read("xl/sharedStrings.xml"))
-            shared = [_text(si) for si in root.findall("m:si", _NS)]
+        if "xl/sharedStrings.xml" in z.namelist():
+            with z.open("xl/sharedStrings.xml") as part:
+                for _, si in ET.iterparse(part):
+                    if si.tag == _SI:
+                        shared.append(_text(si))
+                        si.clear()
         wb = ET.fromstring(z.read("xl/workbook.xml"))
         rels = ET.fromstring(z.read("xl/_rels/workbook.xml.rels"))
         targets = {r.get("Id"): r.get("Target") for r in rels}
+        props = wb.find("m:workbookPr", _NS)
+        since_1904 = props is not None and props.get("date1904") in ("1", "true")
+        dates = _date_styles(z)
         for sheet_idx, sh in enumerate(wb.find("m:sheets", _NS)):
             target = targets[sh.get(_REL)].lstrip("/")
             target = target if target.startswith("xl/") else f"xl/{target}"
-            root = ET.fromstring(z.read(target))
             name = sh.get("name")
-            for c in root.iter(_C):
-                m = _REF.match(c.get("r", ""))
-                if not m:
-                    continue
-                kind = c.get("t")
-                value = None
-                for child in c:
-                    if kind == "inlineStr" and child.tag == _IS:
-                        value = _text(child)
-                    elif child.tag == _V:
-                        value = child.text
-                        if kind == "s" and value is not None:
-                            value = shared[int(value)]
-                if value is None or value == "":
-                    continue
-                yield name, sheet_idx, int(m.group(2)) - 1, _col_index(m.group(1)), value
+            with z.open(target) as part:
+                for _, node in ET.iterparse(part):
+                    if node.tag == _ROW:
+                        node.clear()
+                    if node.tag != _C:
+                        continue
+                    m = _REF.match(node.get("r", ""))
+                    kind, value = node.get("t"), None
+                    for child in node:
+                        if kind == "inlineStr" and child.tag == _IS:
+                            value = _text(child)
+                        elif child.tag == _V:
+                            value = child.text
+                            if kind == "s" and value is not None:
+                                value = shared[int(value)]
+                    if m and value:
+                        if kind in (None, "n") and int(node.get("s", 0)) in dates:
+                            value = serial_date(value, since_1904)
+                        yield name, sheet_idx, int(m.group(2)) - 1, _col_index(m.group(1)), value
 
 
 class WorkbookDataSource(DataSource):
@@ -119,8 +152,7 @@ class _WorkbookReader(DataSourceReader):
         """Arrow record batches of cells (no per-row conversion in Spark)."""
         import pyarrow as pa
 
-        path = partition.value
-        name = path.rsplit("/", 1)[-1]
+        path = name = partition.value
         schema = pa.schema([("file", pa.string()), ("sheet", pa.string()), ("sheet_idx", pa.int32()),
                             ("row_idx", pa.int32()), ("col_idx", pa.int32()), ("value", pa.string())])
         cols: list[list] = [[], [], [], [], []]
@@ -179,21 +211,17 @@ def read_workbooks(spark: SparkSession, paths: list[str], catalog: Catalog = DEF
     """
     cells = materialize(read_cells(spark, paths), "workbook-cells")
     hdr = header_rows(cells)
-    cells = cells.join(checked_broadcast(hdr), ["file", "sheet"])  # one row per sheet
+    cells = cells.join(hdr, ["file", "sheet"])
     headers = cells.where(F.col("row_idx") == F.col("header_row")).select(
         F.concat_ws("#", "file", "sheet").alias("source"), F.col("col_idx").alias("pos"), F.col("value").alias("header"))
     mapping = map_columns(headers, catalog)
     targets = mapping.where(F.col("status") == "matched").select("source", "pos", "target")
     data = cells.where(F.col("row_idx") > F.col("header_row")).withColumn("source", F.concat_ws("#", "file", "sheet"))
-    data = data.join(checked_broadcast(targets), (data["source"] == targets["source"]) & (data["col_idx"] == targets["pos"]))
-    file_idx = F.dense_rank().over(Window.orderBy("file")) - 1
+    data = data.join(targets, (data["source"] == targets["source"]) & (data["col_idx"] == targets["pos"]))
     rows = data.groupBy("file", "sheet", "sheet_idx", "row_idx").agg(
         *[F.max(F.when(F.col("target") == t, F.col("value"))).alias(t) for t in catalog.standard_columns])
-    files = rows.select("file").distinct().withColumn("_fidx", file_idx)
-    rows = rows.join(checked_broadcast(files), "file")  # one row per workbook
-    rows = rows.withColumn("_seq", F.col("_fidx") * F.lit(1 << 43) + F.col("sheet_idx").cast("long") * F.lit(1 << 33)
-                           + F.col("row_idx").cast("long"))
-    rows = rows.withColumnRenamed("file", "_source_file").withColumnRenamed("sheet", "_source_sheet")
+    rows = rows.withColumn("_seq", F.struct("file", "sheet_idx", "row_idx")).withColumn(
+        "_source_file", F.element_at(F.split("file", "/"), -1)).withColumnRenamed("sheet", "_source_sheet").drop("file")
     return to_standard(rows, catalog, seq_col="_seq"), mapping
 
 

@@ -30,24 +30,27 @@ def write_reports_csv(raw: DataFrame, path: str, layout: dict[str, str],
     """Write raw reports (standard shape) as CSV with the given headers.
 
     Rows keep ``_seq`` order across and within the written files; cell text
-    is written as is (no trimming), so reading it back is lossless.
+    is written as is (no trimming, quotes doubled), so reading it back is
+    lossless.
     """
     cols = [F.col(c).alias(h) for c, h in layout.items() if c in raw.columns]
     cols += [F.col(c).alias(h) for h, c in (extra or {}).items()]
+    raw.sparkSession.conf.set("spark.sql.legacy.javaCharsets", "true")  # GBK is none of Spark's own charsets
     (raw.orderBy("_seq").select(*cols).write.mode("overwrite")
-     .option("header", True).option("encoding", encoding)
+     .option("header", True).option("encoding", encoding).option("escape", '"')
      .option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False)
      .csv(path))
 
 
 def write_clean(clean: DataFrame, path: str, fmt: str = "parquet") -> None:
     """Cleaned records; Parquet partitioned by year (year filters prune
-    files), or CSV with header."""
-    w = clean.write.mode("overwrite")
+    files; rows are clustered by year first, a hot year split), or CSV whose
+    files start with a byte order mark and a header."""
     if fmt == "parquet":
-        w.partitionBy("year").parquet(path)
+        clean.hint("rebalance", "year").write.mode("overwrite").partitionBy("year").parquet(path)
     else:
-        w.option("header", True).csv(path)
+        first, *rest = clean.columns
+        clean.withColumnRenamed(first, "\ufeff" + first).write.mode("overwrite").option("header", True).option("escape", '"').csv(path)
 
 
 def write_quality_log(audit: DataFrame, issues: DataFrame, path: str) -> None:

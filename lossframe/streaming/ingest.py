@@ -6,12 +6,10 @@ standard fields (same alias rules as the batch sources), and appends them
 to the raw report table in ``foreachBatch``. Each micro-batch is written
 (overwrite) into its own ``_batch=<id>`` folder, so a batch replayed after
 a failure replaces its own output instead of appending it twice; with the
-stream's checkpoint every file lands exactly once. Input order is
-``_seq`` = batch id | file rank in the batch (by path) | split rank in the
-file | row position in the split. Bit budget: 2^20 batches, 1024 files per
-batch (``maxFilesPerTrigger`` defaults to 1000), 128 splits per file,
-2^26 rows per split; a batch beyond these limits fails instead of
-producing colliding positions.
+stream's checkpoint every file lands exactly once. Input order is the struct
+``_seq`` = (batch, path, block start, row id), without limits. A file whose
+header is not the stream's layout is not mapped by position: its rows go, as
+they are, to the table ``<table_path>_rejected``.
 
 Cleaning is not streamed: per-type quartiles, the reported-metric set and
 keep-first de-duplication depend on the whole table, so ``clean`` runs as a
@@ -26,12 +24,10 @@ from pyspark.sql import types as T
 
 from ..catalog import DEFAULT_CATALOG, Catalog
 from ..operators.clean import to_standard
-from ..operators.util import checked_broadcast
-from ..session import scratch_path
+from ..session import materialize, scratch_path
+from ..sources.delimited import input_order
 from ..sources.headers import map_columns
 
-_LOW26 = (1 << 26) - 1
-
 
 def layout_mapping(spark: SparkSession, headers: list[str], catalog: Catalog = DEFAULT_CATALOG) -> dict[int, str]:
     """Column position → standard field for one header layout."""
@@ -42,41 +38,37 @@ def layout_mapping(spark: SparkSession, headers: list[str], catalog: Catalog = D
 
 def ingest_stream(spark: SparkSession, source_dir: str, headers: list[str], table_path: str,
                   catalog: Catalog = DEFAULT_CATALOG, checkpoint: str | None = None,
-                  available_now: bool = False, max_files_per_trigger: int | None = None):
+                  available_now: bool = False, max_files_per_trigger: int | None = None, whole_files: bool = False):
     """Start the stream; returns the ``StreamingQuery``.
 
     ``headers`` is the layout of the files in ``source_dir`` (a streaming
     source needs a fixed schema). ``available_now=True`` processes what is
-    there and stops (batch-like catch-up).
+    there and stops (batch-like catch-up). ``whole_files=True`` reads each file
+    as one piece, for files whose quoted cells hold line breaks.
     """
     mapping = layout_mapping(spark, headers, catalog)
     schema = T.StructType([T.StructField(f"c{i}", T.StringType()) for i in range(len(headers))])
-    reader = spark.readStream.schema(schema).option("header", True)
+    reader = spark.readStream.schema(schema).option("header", False).option("quote", '"').option("escape", '"').option("multiLine", whole_files)
     reader = reader.option("maxFilesPerTrigger", max_files_per_trigger or 1000)
-    stream = reader.csv(source_dir).select(
-        *[F.col(f"c{i}").alias(t) for i, t in sorted(mapping.items())],
-        F.col("_metadata.file_name").alias("_source_file"), F.col("_metadata.file_path").alias("_fpath"),
-        F.col("_metadata.file_block_start").alias("_fbs"))
+    fields = [f"c{i}" for i in range(len(headers))]
+    stream = reader.csv(source_dir).select(*fields, "_metadata")
 
     def append(batch: DataFrame, batch_id: int) -> None:
-        if batch_id >= 1 << 20:
-            raise ValueError("stream position overflow: more than 2^20 micro-batches")
-        # one row per file of this micro-batch (bounded by maxFilesPerTrigger)
-        files = sorted(r["_fpath"] for r in batch.select("_fpath").distinct().collect())
-        if len(files) > 1 << 10:
-            raise ValueError(f"{len(files)} files in one micro-batch; lower maxFilesPerTrigger")
-        stats = batch.agg(F.min(F.when(F.col("_fbs") > 0, F.col("_fbs"))).alias("split"),
-                          F.max("_fbs").alias("last")).first()
-        split = stats["split"] or 1
-        if (stats["last"] or 0) // split >= 1 << 7:
-            raise ValueError("a file has more than 128 splits; raise spark.sql.files.maxPartitionBytes")
-        idx = batch.sparkSession.createDataFrame([(p, i) for i, p in enumerate(files)], "_fp string, _fidx long")
-        brank = (F.col("_fbs") / F.lit(split)).cast("long")
-        seq = (F.lit(batch_id).cast("long") * F.lit(1 << 43) + F.col("_fidx") * F.lit(1 << 33)
-               + brank * F.lit(1 << 26) + F.monotonically_increasing_id().bitwiseAND(F.lit(_LOW26)))
-        out = (batch.join(checked_broadcast(idx), F.col("_fpath") == F.col("_fp"))
-               .withColumn("_seq", seq)
-               .withColumn("_source_sheet", F.regexp_replace(F.col("_source_file"), r"\.[^.]*$", "")))
+        # the header line arrives as the first row of each file
+        batch = materialize(batch.select(*fields, input_order().alias("_at"), F.col("_metadata.file_name").alias("_source_file")), "ingest-batch")
+        is_header = (F.col("_at.block") == 0) & (F.col("_at.row") == F.col("first"))
+        first = batch.where(F.col("_at.block") == 0).groupBy(F.col("_at.path").alias("_path")).agg(F.min("_at.row").alias("first"))
+        rows = batch.withColumn("_path", F.col("_at.path")).join(first, "_path")
+        same = F.lit(True)
+        for c, h in zip(fields, headers):
+            same = same & (F.regexp_replace(F.col(c), "^\ufeff", "") == F.lit(h))
+        known = rows.where(is_header & same).select("_path")
+        bad = rows.join(known, "_path", "left_anti").select(*fields, F.col("_at.path").alias("path"), F.col("_at.row").alias("row"))
+        bad.write.mode("overwrite").parquet(f"{table_path.rstrip('/')}_rejected/_batch={batch_id}")
+        out = (rows.where(~F.coalesce(is_header, F.lit(False))).join(known, "_path", "left_semi")
+               .select(*[F.col(f"c{i}").alias(t) for i, t in sorted(mapping.items())], "_source_file",
+                       F.regexp_replace(F.col("_source_file"), r"\.[^.]*$", "").alias("_source_sheet"),
+                       F.struct(F.lit(batch_id).cast("long").alias("batch"), "_at.*").alias("_seq")))
         # idempotent: a replayed batch overwrites its own folder
         to_standard(out, catalog, seq_col="_seq").write.mode("overwrite").parquet(f"{table_path.rstrip('/')}/_batch={batch_id}")
 

@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from .catalog import DEFAULT_CATALOG
-from .operators.clean import CleanResult, clean, materialize_annotated, spread_small_input, to_standard
+from .operators.clean import CleanResult, clean, materialize_annotated, to_standard
 from .session import scratch_path
 from .sources.fixtures import incidents_raw, region_reference
 
@@ -30,7 +30,7 @@ def raw_table(spark: SparkSession, sf_dir: str) -> DataFrame:
         raw = to_standard(incidents_raw(spark, sf_dir), DEFAULT_CATALOG,
                           source_file="fixture", source_sheet="incidents_raw")
         path = scratch_path(spark, "raw")
-        spread_small_input(raw).write.mode("overwrite").parquet(path)
+        raw.write.mode("overwrite").parquet(path)
         _MEMO[k] = path
     return spark.read.parquet(_MEMO[k])
 
@@ -66,19 +66,25 @@ def reset() -> None:
 def csv_inputs(spark: SparkSession, sf_dir: str) -> list[str]:
     """The raw reports written as uploaded CSV files in two header layouts
     (template labels / aliases + one unknown column), split by a hash of the
-    province so every business key stays in one upload. Written once."""
+    province so every business key stays in one upload, and a notes file.
+    Written once."""
     from pyspark.sql import functions as F
 
     from .sources import writers as W
-    from .sources.files import list_files
+    from .sources.files import list_files, rename
 
     k = _key(spark, sf_dir, "csv")
     if k not in _MEMO:
         raw = raw_table(spark, sf_dir)
         base = scratch_path(spark, "csv")
         first = F.coalesce(F.xxhash64("province") % 2 == 0, F.lit(False))
-        W.write_reports_csv(raw.where(first), f"{base}/a_labels", W.label_layout(), extra={"乡镇代码": "record_id"})
+        # the first layout in GBK; a file of the same name in each folder; notes without any known column
+        W.write_reports_csv(raw.where(first), f"{base}/a_labels", W.label_layout(), extra={"乡镇代码": "record_id"}, encoding="GBK")
         W.write_reports_csv(raw.where(~first), f"{base}/b_aliases", W.alias_layout())
+        notes = raw.limit(1).select(F.lit("灾种").alias("列名"), F.lit("灾害类型").alias("说明"))
+        notes.write.option("header", True).csv(f"{base}/c_notes")
+        for folder in ("a_labels", "b_aliases"):
+            rename(spark, list_files(spark, f"{base}/{folder}/*.csv")[0], f"{base}/{folder}/data.csv")
         _MEMO[k] = list_files(spark, f"{base}/*/*.csv")
     return list(_MEMO[k])  # type: ignore[arg-type]
 
@@ -90,13 +96,14 @@ def csv_ingest(spark: SparkSession, sf_dir: str):
         res = read_delimited(spark, csv_inputs(spark, sf_dir), DEFAULT_CATALOG)
         # pin the ingested rows (and their input order) as a written table
         path = scratch_path(spark, "ingested")
-        spread_small_input(res.frame).write.mode("overwrite").parquet(path)
+        res.frame.write.mode("overwrite").parquet(path)
         res.frame = spark.read.parquet(path)
         _MEMO[k] = res
     return _MEMO[k]
 
 
-# Workbook inputs: rows per workbook are bounded (a spreadsheet holds about
+# Workbook inputs: rows per written workbook, a block size that drops
+# nothing: rows per workbook are bounded (a spreadsheet holds about
 # a million rows at most); layout group by province-code parity, so every
 # business key stays in one group and keeps its input order there.
 WORKBOOK_BLOCK_ROWS = 50_000
@@ -151,6 +158,6 @@ def workbook_ingest(spark: SparkSession, sf_dir: str):
     if k not in _MEMO:
         frame, mapping = read_workbooks(spark, workbook_inputs(spark, sf_dir), DEFAULT_CATALOG)
         path = scratch_path(spark, "xlsx-ingested")
-        spread_small_input(frame).write.mode("overwrite").parquet(path)
+        frame.write.mode("overwrite").parquet(path)
         _MEMO[k] = (spark.read.parquet(path), mapping)
     return _MEMO[k]

@@ -55,3 +55,30 @@ def test_order_temporal_nulls_last(clean):
     years = [r["year"] for r in run_plan(clean, "yearly_trend").records.collect()]
     non_null = [y for y in years if y is not None]
     assert non_null == sorted(non_null) and (years[-1] is None or None not in years)
+
+
+def test_global_aggregate_of_no_rows(clean):
+    res = aggregate(clean, AnalysisRequest([], ["direct_economic_loss"], {"disaster_type": ["no-such"]}))
+    assert res.records.count() == 0
+    assert aggregate(clean, AnalysisRequest([], ["direct_economic_loss"])).records.count() == 1
+
+
+def test_virtual_filter_is_skipped_and_labels(clean):
+    res = aggregate(clean, AnalysisRequest(["time_year"], ["direct_economic_loss"], {"loss_structure": "x"}), labels=True)
+    assert not res.ignored_filters and res.filtered.count() == clean.count()
+    assert res.records.columns == [c["label"] for c in res.columns]
+
+
+def test_overview_of_raw_and_of_nothing(spark, sf, clean):
+    from lossframe.operators.profile import overview_kpis
+    from lossframe.tables import raw_table
+    raw = overview_kpis(raw_table(spark, sf)).first()
+    assert raw.records == raw_table(spark, sf).count() and raw.period_start < raw.period_end and raw.total_direct_economic_loss > 0
+    none = overview_kpis(clean.limit(0)).first()
+    assert none.records == 0 and none.mean_direct_loss is None
+
+
+def test_facts_use_all_groups(clean):
+    """A map shows every county with data, however many the plan's own output has."""
+    assert run_plan(clean, "county_choropleth", cut=False).records.count() == clean.select("county").distinct().count()
+    assert run_plan(clean, "county_choropleth").records.count() <= 200

@@ -57,3 +57,12 @@ def test_codes_and_format(spark):
     assert one(spark, X.format_value, 12345.678, "double") == "12,346"
     assert one(spark, X.format_value, 12.0, "double") == "12"
     assert one(spark, X.format_value, 12.345, "double") == "12.35"
+
+
+def test_date_times_serials_and_times(spark):
+    import datetime as dt
+    d = lambda c: X.parse_date(c, CAT.rules["date_formats"])
+    assert one(spark, d, "2021/5/3 08:30") == dt.datetime(2021, 5, 3, 8, 30)
+    assert one(spark, d, "2021-05-03T23:59:59") == dt.datetime(2021, 5, 3, 23, 59, 59)
+    assert one(spark, d, "2021年5月3日 8:30") == dt.datetime(2021, 5, 3, 8, 30)
+    assert one(spark, d, "44927") is None and one(spark, d, "20:15") is None and one(spark, d, "2021.5.3") == dt.datetime(2021, 5, 3)

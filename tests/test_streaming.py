@@ -15,12 +15,12 @@ def test_ingest_stream(spark, sf, tmp_path):
     headers = [layout[c] for c in raw.columns if c in layout]
     table = str(tmp_path / "table")
     ckpt = str(tmp_path / "ckpt")
-    q = ingest_stream(spark, str(src / "*"), headers, table, checkpoint=ckpt, available_now=True)
+    q = ingest_stream(spark, str(src / "*"), headers, table, checkpoint=ckpt, available_now=True, whole_files=True)
     q.awaitTermination(300)
     n1 = spark.read.parquet(table).count()
     assert n1 == part1.count()
     W.write_reports_csv(part2, str(src / "b"), layout)
-    q = ingest_stream(spark, str(src / "*"), headers, table, checkpoint=ckpt, available_now=True)
+    q = ingest_stream(spark, str(src / "*"), headers, table, checkpoint=ckpt, available_now=True, whole_files=True)
     q.awaitTermination(300)
     got = spark.read.parquet(table)
     assert got.count() == raw.count()                       # each file exactly once
@@ -31,3 +31,15 @@ def test_ingest_stream(spark, sf, tmp_path):
     assert got.select("_seq").distinct().count() == got.count()
     # every micro-batch has its own folder (a replay overwrites, never appends)
     assert got.select("_batch").distinct().count() >= 2
+
+
+def test_file_of_another_layout_is_rejected(spark, tmp_path):
+    from lossframe.streaming import ingest_stream
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "a.csv").write_text("编号,县（区）\nR1,甲县\n", "utf-8")
+    (tmp_path / "in" / "b.csv").write_text("县（区）,编号\n乙县,R2\n", "utf-8")
+    table = str(tmp_path / "table")
+    q = ingest_stream(spark, str(tmp_path / "in"), ["编号", "县（区）"], table, checkpoint=str(tmp_path / "c"), available_now=True)
+    q.awaitTermination(300)
+    assert [(r.record_id, r.county) for r in spark.read.parquet(table).collect()] == [("R1", "甲县")]
+    assert {r.c1 for r in spark.read.parquet(table + "_rejected").collect()} == {"编号", "R2"}

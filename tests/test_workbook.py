@@ -84,3 +84,28 @@ def test_workbook_write_read_round_trip(spark, tmp_path):
     # keep-first order: group a files first, then b; input order inside each
     want = [r for g in (0, 1) for r in rows if (r[0] % 3 == 0) == (g == 0)]
     assert [(r["record_id"], r["disaster_type"], r["direct_economic_loss"]) for r in got] == [(w[1], w[2], w[5]) for w in want]
+
+
+def test_same_named_books_and_date_cells(spark, tmp_path):
+    from lossframe.sources.workbook import read_workbooks, serial_date
+    ns = 'xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main"'
+    paths = []
+    for n, folder in enumerate("xy"):
+        (tmp_path / folder).mkdir()
+        p = tmp_path / folder / "book.xlsx"
+        write_xlsx(p, [("s", [["编号", "灾种", "发生时间"], [f"R{n}", "洪涝"]])])
+        with zipfile.ZipFile(p) as z:
+            parts = {i: z.read(i) for i in z.namelist()}
+        sheet = "xl/worksheets/sheet1.xml"
+        serial = f'<c r="C2" s="{n + 1}"><v>44927.5</v></c>'
+        at = parts[sheet].rindex(b"</row>")
+        parts[sheet] = parts[sheet][:at] + serial.encode() + parts[sheet][at:]
+        parts["xl/styles.xml"] = (f'<styleSheet {ns}><numFmts><numFmt numFmtId="170" formatCode="yyyy&quot;年&quot;m"/></numFmts><cellXfs><xf numFmtId="0"/>'
+                                  '<xf numFmtId="14"/><xf numFmtId="170"/></cellXfs></styleSheet>').encode()
+        with zipfile.ZipFile(p, "w") as z:
+            for name, data in parts.items():
+                z.writestr(name, data)
+        paths.append(str(p))
+    frame, _ = read_workbooks(spark, paths)
+    assert [(r.record_id, r.occur_date) for r in frame.orderBy("_seq").collect()] == [("R0", "2023-01-01 12:00:00"), ("R1", "2023-01-01 12:00:00")]
+    assert serial_date("0", True) == "1904-01-01" and serial_date("x", False) == "x" and serial_date("61", False) == "1900-03-01"
