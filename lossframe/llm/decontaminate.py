@@ -115,8 +115,9 @@ def report(docs: DataFrame, benchmark: DataFrame, n: int = 13, share: int = 20)
 
 def clean_documents(docs: DataFrame, benchmark: DataFrame, n: int = 13, share: int = 20) -> DataFrame:
     """The given rows without contaminated documents, columns as given."""
-    return report(docs, benchmark, n, share).filter(~F.col("contaminated")).select(
-        *[F.col("doc").getField(c).alias(c) for c in docs.columns])
+    # A generator keeps the rows: a filter would be pushed below the steps of the scan and repeat them inside their lambdas.
+    kept = report(docs, benchmark, n, share).select(F.explode(F.when(~F.col("contaminated"), F.array("doc"))).alias("doc"))
+    return kept.select(*[F.col("doc").getField(c).alias(c) for c in docs.columns])
 
 
 def clean_spans(docs: DataFrame, benchmark: DataFrame, n: int = 13) -> DataFrame:

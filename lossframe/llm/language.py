@@ -181,6 +181,7 @@ def identified(docs: DataFrame, model: Ppm | None) -> DataFrame:
             yield out
 
     docs.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
+    predict = predict.asNondeterministic()  # else a filter on its result would run it twice
     lettered = F.when(F.col("doc.text").rlike(r"\p{L}"), F.col("doc.text"))
     return rows.select("doc", predict(lettered).alias("p")).select("doc", "p.*")
 

@@ -96,6 +96,7 @@ def judged(pages: DataFrame, rules: Iterable[tuple[str, str]] = RULES, default:
             found = [match(h, p) or (None, default) for h, p in zip(hosts, paths)]
             yield pd.DataFrame(found, columns=["rule", "verdict"])
 
+    judge = judge.asNondeterministic()  # else a filter on its result would run it twice
     url = F.col("url")
     rows = pages.select("page_id", "url", host_of(url).alias("host"), path_of(url).alias("path"))
     return rows.withColumn("j", judge("host", "path")).select("page_id", "url", "host", "path", "j.rule", "j.verdict")
