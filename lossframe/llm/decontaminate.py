@@ -122,10 +122,10 @@ def clean_documents(docs: DataFrame, benchmark: DataFrame, n: int = 13, share: i
 
 def clean_spans(docs: DataFrame, benchmark: DataFrame, n: int = 13) -> DataFrame:
     """The given rows with hit words, and the separators before them, cut out of ``text``."""
-    word = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]"
-    text, piece = F.coalesce(F.col("doc.text"), F.lit("")), f"{_SEP}*+{word}++"
+    other = r"\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F"  # the text keeps its capitals
+    text, piece = F.coalesce(F.col("doc.text"), F.lit("")), f"[{other}]*+[^{other}]++"
     rows = scan(docs, benchmark, n).withColumn("bad", _hit_words()).withColumn("pieces", F.regexp_extract_all(text, F.lit(f"({piece})"), 1))
-    cut = F.concat(F.expr("array_join(filter(pieces, (p, i) -> not array_contains(bad, i + 1)), '')"), F.regexp_extract(text, f"({_SEP}*+)$", 1))
+    cut = F.concat(F.expr("array_join(filter(pieces, (p, i) -> not array_contains(bad, i + 1)), '')"), F.substr(text, F.length(F.rtrim(text, F.lit(_SEPARATORS))) + 1))
     return rows.select(*[(F.when(F.size("bad") > 0, cut).otherwise(F.col("doc.text")) if c == "text" else F.col("doc").getField(c)).alias(c)
                          for c in docs.columns])
 
