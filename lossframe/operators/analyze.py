@@ -100,7 +100,7 @@ def order_columns(request: AnalysisRequest, catalog: Catalog, dim_fields: list[s
     """A7/A8 ordering as sort keys, ending with every group key so ties are
     deterministic (the group-by's own key order)."""
     keys: list[Column] = []
-    labels = catalog.label_map()
+    labels = catalog.labels
 
     def resolve(name: str) -> str | None:
         for dim, f in zip(request.dimensions, dim_fields):
