@@ -72,35 +72,35 @@ class Ppm:
         self.code[seen] = np.arange(len(seen))
         size = self.size = len(seen) + 1
         a, b, c, d = (self.code[x] for x in at)
-        n = len(langs)
-        low = np.full((n, size), 1 / 256)
-        for context, contexts in ((np.zeros_like(d), 1), (c, size), (b * size + c, size * size)):
-            counts = np.zeros((n, contexts, size))
-            np.add.at(counts, (lang, context, d), count)
-            low = self._order(counts, low if contexts == 1 else low[:, np.arange(contexts) % max(1, contexts // size)])
-        # low is (languages, contexts of two, symbols); of the contexts of three, the most frequent.
+        # Contexts of three: the most frequent that fit the table beside all contexts of two.
+        n, two = len(langs), size * size
         deep, inverse = np.unique((a * size + b) * size + c, return_inverse=True)
         weight = np.bincount(inverse, count, len(deep)) if len(deep) else np.zeros(0)
-        room = max(0, MAX_CELLS // (size * n) - size * size)
-        kept = np.sort(np.argsort(-weight, kind="stable")[:room])
+        kept = np.sort(np.argsort(-weight, kind="stable")[:max(0, MAX_CELLS // (size * n) - two)])
         place = np.full(len(deep), -1)
         place[kept] = np.arange(len(kept))
-        own = place[inverse] >= 0
-        counts = np.zeros((n, len(kept), size))
-        np.add.at(counts, (lang[own], place[inverse][own], d[own]), count[own])
-        high = self._order(counts, low[:, deep[kept] % (size * size)])
-        table_ = -np.log2(np.concatenate([low, high], axis=1))
-        self.cost = np.ascontiguousarray(table_.transpose(1, 2, 0).reshape(-1, n).astype(np.float32))
-        self.state = np.tile(np.arange(size * size, dtype=np.int32), size)
-        self.state[deep[kept]] = size * size + np.arange(len(kept))
+        cost = np.empty((two + len(kept), size, n), np.float32)
+        for i in range(n):  # one language at a time bounds the counts held
+            own = lang == i
+            low = np.full((1, size), 1 / 256)
+            for context, contexts in ((np.zeros_like(d), 1), (c, size), (b * size + c, two)):
+                counts = np.zeros((contexts, size))
+                np.add.at(counts, (context[own], d[own]), count[own])
+                low = self._order(counts, low[np.arange(contexts) % len(low)])
+            own &= place[inverse] >= 0
+            counts = np.zeros((len(kept), size))
+            np.add.at(counts, (place[inverse][own], d[own]), count[own])
+            cost[:two, :, i] = -np.log2(low)
+            cost[two:, :, i] = -np.log2(self._order(counts, low[deep[kept] % two]))
+        self.cost = cost.reshape(-1, n)
+        self.state = np.tile(np.arange(two, dtype=np.int32), size)
+        self.state[deep[kept]] = two + np.arange(len(kept))
 
     @staticmethod
     def _order(counts: np.ndarray, lower: np.ndarray) -> np.ndarray:
-        """Probabilities in the contexts of ``counts`` (language, context, symbol), escaping to ``lower``."""
-        lower = lower if lower.ndim == 3 else lower[:, None, :]
+        """Probabilities in the contexts of ``counts`` (context, symbol), escaping to ``lower``."""
         n, d = counts.sum(-1, keepdims=True), (counts > 0).sum(-1, keepdims=True)
-        known = np.where(counts > 0, counts, d * lower) / np.maximum(n + d, 1)
-        return np.where(n > 0, known, np.broadcast_to(lower, known.shape))
+        return np.where(n > 0, np.where(counts > 0, counts, d * lower) / np.maximum(n + d, 1), lower)
 
     def bits(self, texts: list[str]) -> np.ndarray:
         """Code length of each text in each language."""
