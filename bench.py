@@ -51,7 +51,7 @@ def main() -> None:
         return [f.collect() for f in frames.values()]
     timed("plans_shared_scan", shared)
     for key in ("cleaning_audit", "profile_columns", "overview_kpis", "filter_hints", "by_county",
-                "fact_conclusion", "geo_scaled", "dq_totals"):
+                "fact_conclusion", "geo_scaled", "dq_totals", "overview_raw", "parse_quantity", "union_sources", "src_workbook"):
         timed(key, lambda k=key: QUERIES[k](spark, sf_dir).collect())
 
     m = re.search(r"sf([0-9.]+)", sf_dir)
