@@ -9,9 +9,10 @@ there, d of them distinct), down to an even share of 256 bytes; a context that
 the language never saw hands on at no cost. The text's code length is the
 exact sum over all its symbols, and the language with the least one wins.
 
-The frozen trees become one table: each context leads to its longest suffix
-that any tree holds, whose row has the code length of every next symbol in
-every language. So scoring is two look-ups a symbol.
+The frozen trees are sparse: the escape's code length for each context and
+language that saw it, the symbol's for each context, symbol and language. So
+all contexts of the sample stay, for any number of languages. Scoring looks up
+the distinct four-symbol strings of a slab of texts, then adds up by text.
 
 The trees learn from a sample of labelled documents: about ``docs_per_lang``
 whole texts of each language, chosen by a hash, all if there are fewer. The
@@ -37,8 +38,6 @@ from lossframe.llm.common import crc_mod, table
 DOCS_PER_LANG = 1000
 MAX_GRAMS = 400_000
 MAX_LANGS = 256
-#: Floats in the table of code lengths: 64 MB.
-MAX_CELLS = 16_000_000
 _SLAB = 1 << 20
 _SYMBOLS = 27 + 128
 
@@ -61,78 +60,80 @@ def _grams(s: np.ndarray, size: int) -> np.ndarray:
     return ((s[:-3] * size + s[1:-2]) * size + s[2:-1]) * size + s[3:]
 
 
+class Entries:
+    """Keys with, for each, the languages that have it and a value in each of them."""
+
+    def __init__(self, key: np.ndarray, lang: np.ndarray, value: np.ndarray):
+        """The arrays are sorted by key, each pair of key and language once."""
+        self.keys, starts = np.unique(key, return_index=True)
+        self.starts = np.append(starts, len(key))
+        self.lang, self.value = lang.astype(np.int32), value.astype(np.float32)
+
+    def of(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(place in ``keys``, language, value) of all entries of the asked keys."""
+        at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
+        rows = np.flatnonzero(self.keys[at] == keys)
+        at = at[rows]
+        n = self.starts[at + 1] - self.starts[at]
+        entry = np.arange(n.sum()) + np.repeat(self.starts[at] - (np.cumsum(n) - n), n)
+        return np.repeat(rows, n), self.lang[entry], self.value[entry]
+
+
 class Ppm:
     """Frozen trees: ``grams`` are the four symbols, with the language's number and the count."""
 
     def __init__(self, langs: list[str], lang: np.ndarray, gram: np.ndarray, count: np.ndarray):
         self.langs = langs
-        at = [gram // _SYMBOLS**k % _SYMBOLS for k in (3, 2, 1, 0)]
-        seen = np.union1d([0], np.concatenate(at)) if len(gram) else np.array([0])
-        self.code = np.full(_SYMBOLS, len(seen), np.int64)  # symbols that were never seen share the last code
-        self.code[seen] = np.arange(len(seen))
-        size = self.size = len(seen) + 1
-        a, b, c, d = (self.code[x] for x in at)
-        # Contexts of three: the most frequent that fit the table beside all contexts of two.
-        n, two = len(langs), size * size
-        deep, inverse = np.unique((a * size + b) * size + c, return_inverse=True)
-        weight = np.bincount(inverse, count, len(deep)) if len(deep) else np.zeros(0)
-        kept = np.sort(np.argsort(-weight, kind="stable")[:max(0, MAX_CELLS // (size * n) - two)])
-        place = np.full(len(deep), -1)
-        place[kept] = np.arange(len(kept))
-        cost = np.empty((two + len(kept), size, n), np.float32)
-        for i in range(n):  # one language at a time bounds the counts held
-            own = lang == i
-            low = np.full((1, size), 1 / 256)
-            for context, contexts in ((np.zeros_like(d), 1), (c, size), (b * size + c, two)):
-                counts = np.zeros((contexts, size))
-                np.add.at(counts, (context[own], d[own]), count[own])
-                low = self._order(counts, low[np.arange(contexts) % len(low)])
-            own &= place[inverse] >= 0
-            counts = np.zeros((len(kept), size))
-            np.add.at(counts, (place[inverse][own], d[own]), count[own])
-            cost[:two, :, i] = -np.log2(low)
-            cost[two:, :, i] = -np.log2(self._order(counts, low[deep[kept] % two]))
-        self.cost = cost.reshape(-1, n)
-        self.state = np.tile(np.arange(two, dtype=np.int32), size)
-        self.state[deep[kept]] = two + np.arange(len(kept))
-
-    @staticmethod
-    def _order(counts: np.ndarray, lower: np.ndarray) -> np.ndarray:
-        """Probabilities in the contexts of ``counts`` (context, symbol), escaping to ``lower``."""
-        n, d = counts.sum(-1, keepdims=True), (counts > 0).sum(-1, keepdims=True)
-        return np.where(n > 0, np.where(counts > 0, counts, d * lower) / np.maximum(n + d, 1), lower)
+        n = len(langs)
+        #: For contexts of 0 to 3 symbols: code lengths of escapes by context, and of seen symbols by context and symbol.
+        self.orders: list[tuple[Entries, Entries]] = []
+        for k in range(4 if len(gram) else 0):
+            pair, of = np.unique(gram % _SYMBOLS**(k + 1) * n + lang, return_inverse=True)
+            seen = np.bincount(of, count)
+            key, own = pair // n, pair % n
+            context, of = np.unique(key // _SYMBOLS * n + own, return_inverse=True)
+            total, distinct = np.bincount(of, seen), np.bincount(of)
+            self.orders.append((Entries(context // n, context % n, np.log2((total + distinct) / distinct)),
+                                Entries(key, own, np.log2((total + distinct)[of] / seen))))
+
+    def costs(self, grams: np.ndarray) -> np.ndarray:
+        """Code length of the last symbol of each gram in each language."""
+        out = np.full((len(grams), len(self.langs)), 8.0)
+        for k, (escapes, symbols_) in enumerate(self.orders):
+            row, lang, bits = escapes.of(grams % _SYMBOLS**(k + 1) // _SYMBOLS)
+            out[row, lang] += bits
+            row, lang, bits = symbols_.of(grams % _SYMBOLS**(k + 1))
+            out[row, lang] = bits
+        return out
 
     def bits(self, texts: list[str]) -> np.ndarray:
         """Code length of each text in each language."""
         out = np.zeros((len(texts), len(self.langs)))
+        slab = max(1, min(_SLAB, 8 * _SLAB // len(self.langs)))  # bounds the costs held
         held, rows, total = [], [], 0
         for i, text in enumerate(texts):
-            s = self.code[symbols(text)]
-            for at in range(0, max(1, len(s) - 3), _SLAB):  # each slab starts with the three symbols before it
-                part = s[at:at + _SLAB + 3]
-                held.append(part)
+            s = symbols(text)
+            for at in range(0, max(1, len(s) - 3), slab):  # each slab starts with the three symbols before it
+                part = s[at:at + slab + 3]
+                held.append(_grams(part, _SYMBOLS))
                 rows.append(i)
-                total += len(part)
-                if total >= _SLAB:
+                total += len(held[-1])
+                if total >= slab:
                     self._add(out, held, rows)
                     held, rows, total = [], [], 0
         self._add(out, held, rows)
         return out
 
     def _add(self, out: np.ndarray, held: list[np.ndarray], rows: list[int]) -> None:
-        if not held:
-            return
-        s = np.concatenate(held)
-        if len(s) < 4:
+        if not sum(map(len, held)):
             return
-        size = self.size
-        state = self.state[(s[:-3] * size + s[1:-2]) * size + s[2:-1]]
-        cost = self.cost[state * np.int64(size) + s[3:]]
-        lengths = np.array([len(h) - 3 for h in held])
-        starts = np.cumsum(lengths + 3) - lengths - 3
-        for i, a, n in zip(rows, starts, lengths):
-            if n > 0:
-                out[i] += cost[a:a + n].sum(axis=0, dtype=np.float64)
+        grams, at = np.unique(np.concatenate(held), return_inverse=True)
+        first = rows[0]  # rows rise
+        row = np.repeat(np.array(rows) - first, [len(h) for h in held])
+        cost = self.costs(grams)
+        for i in range(len(self.langs)):
+            sums = np.bincount(row, cost[at, i])
+            out[first:first + len(sums), i] += sums
 
 
 def trained(docs: DataFrame, docs_per_lang: int = DOCS_PER_LANG, held_out: int = 1) -> Ppm | None:

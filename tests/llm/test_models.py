@@ -63,6 +63,22 @@ def test_ppm_code_lengths(monkeypatch, slab):
     assert np.allclose(model.bits(asked), [brute_bits(texts, t) for t in asked], rtol=1e-5)
 
 
+def test_ppm_keeps_all_contexts_of_many_symbols_and_languages():
+    rng = np.random.default_rng(3)
+    points = [*range(0x61, 0x7b), *range(0x80, 0x800, 5), *range(0x800, 0xd800, 500), *range(0xe000, 0x110000, 5000)]
+    letters = "".join(map(chr, points))  # all bytes that UTF-8 has
+    texts = [["".join(rng.choice(list(letters + " "), 400)) for _ in range(3)] for _ in range(10)]
+    rows = defaultdict(int)
+    for i, group in enumerate(texts):
+        for t in group:
+            for g in language._grams(language.symbols(t), language._SYMBOLS):
+                rows[i, int(g)] += 1
+    lang, gram = np.array(list(rows)).T
+    model = language.Ppm([str(i) for i in range(10)], lang, gram, np.array(list(rows.values()), float))
+    asked = [texts[7][1][:100], "".join(rng.choice(list(letters), 60)), "日本 abc"]
+    assert np.allclose(model.bits(asked), [brute_bits(texts, t) for t in asked], rtol=1e-5)
+
+
 def test_language_accuracy(spark):
     d = "/root/testdata/sf0.01"
     got = language.op5_language(spark, d).join(spark.read.parquet(f"{d}/documents.parquet"), "doc_id").collect()
