@@ -16,8 +16,8 @@ the distinct four-symbol strings of a slab of texts, then adds up by text.
 
 The trees learn from a sample of labelled documents: about ``docs_per_lang``
 whole texts of each language, chosen by a hash, all if there are fewer. The
-counts are summed by Spark; the ``MAX_GRAMS`` most frequent four-symbol
-strings are kept, which bounds the driver's and the broadcast table's size.
+counts are summed by Spark and all are kept, for every language, so the sample
+alone bounds the driver's and the broadcast trees' size.
 
 Cases: a null text, or one without a letter, is ``und`` with score 0, and so
 is every text if nothing can be learned; ties go to the language that sorts
@@ -36,8 +36,6 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from lossframe.llm.common import crc_mod, table
 
 DOCS_PER_LANG = 1000
-MAX_GRAMS = 400_000
-MAX_LANGS = 256
 _SLAB = 1 << 20
 _SYMBOLS = 27 + 128
 
@@ -139,13 +137,13 @@ class Ppm:
 def trained(docs: DataFrame, docs_per_lang: int = DOCS_PER_LANG, held_out: int = 1) -> Ppm | None:
     """Trees of the documents with a language whose crc32(doc_id) mod 3 is not ``held_out``."""
     known = docs.filter(F.col("lang").isNotNull() & (crc_mod(F.col("doc_id"), 3) != held_out))
-    sizes = known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGS).collect()
-    if not sizes:
+    sizes = known.groupBy("lang").agg(F.least(F.lit(1.0), F.lit(docs_per_lang) / F.count("*")).alias("rate"))
+    langs = sorted(r["lang"] for r in sizes.select("lang").collect())
+    if not langs:
         return None
-    langs = sorted(r["lang"] for r in sizes)
-    rates = F.create_map(*[F.lit(x) for r in sizes for x in (r["lang"], min(1.0, docs_per_lang / r["count"]))])
-    chosen = F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 20)) < F.element_at(rates, F.col("lang")) * (1 << 20)
-    sample = known.filter(F.col("lang").isin(langs) & F.col("text").isNotNull()).filter(chosen).select("lang", "text")
+    chosen = F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 20)) < F.col("rate") * (1 << 20)
+    sample = known.filter(F.col("text").isNotNull()).join(F.broadcast(sizes), "lang").filter(chosen).select("lang", "text")
+    docs.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
 
     def count(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:
@@ -155,9 +153,11 @@ def trained(docs: DataFrame, docs_per_lang: int = DOCS_PER_LANG, held_out: int =
                 yield pd.DataFrame({"lang": lang, "gram": gram, "n": n})
 
     counts = sample.mapInPandas(count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
-    rows = counts.orderBy(F.desc("n"), "lang", "gram").limit(MAX_GRAMS).toPandas()
-    number = {x: i for i, x in enumerate(langs)}
-    return Ppm(langs, rows["lang"].map(number).to_numpy(np.int64), rows["gram"].to_numpy(np.int64), rows["n"].to_numpy(np.float64))
+    rows = counts.toArrow()
+    lang = rows["lang"].combine_chunks().dictionary_encode()
+    place = {x: i for i, x in enumerate(langs)}
+    number = np.array([place[x] for x in lang.dictionary.to_pylist()], np.int64)
+    return Ppm(langs, number[lang.indices.to_numpy()], rows["gram"].to_numpy(), rows["n"].to_numpy().astype(np.float64))
 
 
 def identified(docs: DataFrame, model: Ppm | None) -> DataFrame:

@@ -79,6 +79,22 @@ def test_ppm_keeps_all_contexts_of_many_symbols_and_languages():
     assert np.allclose(model.bits(asked), [brute_bits(texts, t) for t in asked], rtol=1e-5)
 
 
+def test_every_language_is_learned(frame):
+    """Many languages, and one whose long text has more strings than all others together."""
+    rng = np.random.default_rng(4)
+    long = "".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz "), 2_000_000))
+    rows = [(3 * i, long, "big") for i in range(1, 5)]
+    own = {f"l{n:03}": "".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz"), 24)) for n in range(300)}
+    rows += [(1000 * n + i, f"{w} {w[::-1]} {w[12:]}{w[:12]}", x) for n, (x, w) in enumerate(own.items(), 1) for i in range(4)]
+    docs = frame(rows, "doc_id long, text string, lang string")
+    model = language.trained(docs)
+    learned = {r[2] for r in rows if not held(r[0], 3, 1)}
+    assert set(model.langs) == learned and len(learned) > 256
+    asked = [x for x in own if x in learned]
+    best = model.bits([own[x] for x in asked]).argmin(axis=1)
+    assert [model.langs[i] for i in best] == asked
+
+
 def test_language_accuracy(spark):
     d = "/root/testdata/sf0.01"
     got = language.op5_language(spark, d).join(spark.read.parquet(f"{d}/documents.parquet"), "doc_id").collect()
