@@ -46,9 +46,11 @@ _RAW = frozenset("script style textarea title noscript template svg iframe objec
 _CLOSES = {"li": ("li", ("ul", "ol", "menu")), "dd": ("dd dt", ("dl",)), "dt": ("dd dt", ("dl",)), "tr": ("tr td th", ("table",)),
            "td": ("td th", ("tr", "table")), "th": ("td th", ("tr", "table")), "option": ("option", ("select",))}
 _NO_P = _BLOCK - {"body", "head", "html", "br", "td", "th", "tr", "tbody", "thead", "tfoot", "caption"}
+# A quote opens a value only after "="; one that no quote closes is a letter like others, so the tag ends at its ">".
+_VALUE = r"=\s*+(?:\"[^\"]*+\"|'[^']*+'"
 _TAG = re.compile(
-    r"<(?:!--(?:.*?)(?:-->|\Z)|(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"']++|\"[^\"]{0,4096}+\"|'[^']{0,4096}+')*+)(?:>|[^>]*+(?:>|\Z))|[!?][^>]*+(?:>|\Z))", re.S)
-_NAMED = re.compile(r"(?:^|\s)(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
+    r"<(?:!--(?:.*?)(?:-->|\Z)|(/?)([a-zA-Z][^\s/>]*+)((?:[^>=]++|" + _VALUE + r"|[^\s\"'>][^\s>]*+)?+)*+)(?:>|\Z)|[!?][^>]*+(?:>|\Z))", re.S)
+_NAMED = re.compile(r"(?:^|\s)(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))|" + _VALUE + ")", re.I)
 _TOKEN = re.compile(r"[a-z]+|[A-Z][a-z]*|[0-9]+")
 
 
@@ -99,7 +101,7 @@ class Page:
                 self._drop(stack, tags.split(), scope)
             self.tag.append(name)
             self.parent.append(stack[-1])
-            self.names.append(_names(m[3]) if m[3] else ())
+            self.names.append((_names if len(m[3]) <= 4096 else _names.__wrapped__)(m[3]) if m[3] else ())  # long ones are not cached
             self.text.append("")
             self.block.append(block)
             if name not in _VOID and not m[3].endswith("/"):

@@ -150,6 +150,18 @@ def test_page_parts_and_references():
     assert page.joined([True] * len(page.tag)) == "a&b éé c\nd\nef\nh\ni\nj\nk&am"
 
 
+def test_quoted_values_of_any_length():
+    for quote in "\"'":
+        for n in (10, 4_096, 5_000, 300_000):
+            page = html_text.Page(f"<p>a</p><div data-x={quote}{'a' * n} 1 > 0 <b> class=x hidden{quote} class={quote}comments{quote}>reply</div>")
+            assert page.joined([True] * len(page.tag)) == "a\nreply"
+            assert page.names[page.tag.index("div")] == ("comments",) and "b" not in page.tag
+    page = html_text.Page("<p don't>a</p><p>it's b</p><p id=x\"y class=z>c</p><p class=\"open>d</p><p>e")
+    assert page.joined([True] * len(page.tag)) == "a\nit's b\nc\nd\ne"
+    page = html_text.Page("<a b='" * 50_000 + "<a b=\"" * 50_000 + "<a b" * 50_000)
+    assert len(page.tag) >= 2
+
+
 def test_main_text_of_pages(spark, frame):
     got = html_text.op6_html_text(spark, "/root/testdata/sf0.001").collect()
     assert got and all(r.n_chars == len(r.text) for r in got)
