@@ -60,7 +60,7 @@ def _names(attributes: str) -> tuple[str, ...]:
     found = []
     for m in _NAMED.finditer(attributes):
         found += [w.lower() for w in _TOKEN.findall(m[2] or m[3] or m[4] or "")]
-    return tuple(dict.fromkeys(found))[:12]
+    return tuple(dict.fromkeys(found))
 
 
 class Page:

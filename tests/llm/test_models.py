@@ -162,6 +162,12 @@ def test_quoted_values_of_any_length():
     assert len(page.tag) >= 2
 
 
+def test_all_words_of_names_are_evidence():
+    page = html_text.Page('<div class="d-flex flex-column align-items-center justify-content-between px-3 py-2 mt-4 comments" role="navigation">x</div>')
+    assert {"content", "comments", "navigation"} <= set(page.names[1])
+    assert {"econtent", "ejunk"} <= set(page.features()[1])
+
+
 def test_main_text_of_pages(spark, frame):
     got = html_text.op6_html_text(spark, "/root/testdata/sf0.001").collect()
     assert got and all(r.n_chars == len(r.text) for r in got)
