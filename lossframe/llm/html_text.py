@@ -10,8 +10,10 @@ labelled pages: template pages whose parts are known, and up to
 ``MAX_PAGES`` given pages with an ``article`` or ``main`` landmark, which are
 also learned from with the landmark taken away.
 
-Scripts, styles and the like are dropped when the page is parsed. Character
-references are decoded, white space inside a block becomes one space, blocks
+Scripts, styles, titles, templates, form controls, drawings (``svg``), frames
+and what stands in for scripts and frames are dropped when the page is parsed.
+Formulas, ``xmp`` and what stands in for ``object`` and ``canvas`` are judged
+like other elements. Character references are decoded, white space inside a block becomes one space, blocks
 are trimmed and joined in page order by a line break; ``br`` ends a block too.
 
 Cases: a null or blank page has the empty text; unclosed tags, comments and
@@ -40,9 +42,9 @@ EPOCHS, RATE, L2 = 25, 0.1, 1e-3
 
 _BLOCK = frozenset(
     "address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 "
-    "head header hgroup hr html legend li main menu nav ol optgroup option p pre section summary table tbody td tfoot th thead tr ul br".split())
+    "head header hgroup hr html legend li main menu nav ol optgroup option p pre section summary table tbody td tfoot th thead tr ul xmp br".split())
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-_RAW = frozenset("script style textarea title noscript template svg iframe object select button xmp noembed noframes canvas math".split())
+_RAW = frozenset("script style textarea title noscript template svg iframe select button noembed noframes".split())
 _CLOSES = {"li": ("li", ("ul", "ol", "menu")), "dd": ("dd dt", ("dl",)), "dt": ("dd dt", ("dl",)), "tr": ("tr td th", ("table",)),
            "td": ("td th", ("tr", "table")), "th": ("td th", ("tr", "table")), "option": ("option", ("select",))}
 _NO_P = _BLOCK - {"body", "head", "html", "br", "td", "th", "tr", "tbody", "thead", "tfoot", "caption"}
@@ -88,14 +90,14 @@ class Page:
                 continue
             if name in _RAW:
                 shut = re.compile(rf"</{name}(?=[\s/>])", re.I).search(source, at)
-                if name in ("noscript", "button", "select", "svg", "object", "template", "canvas", "math") and not shut:
+                if name in ("noscript", "button", "select", "svg", "template") and not shut:
                     continue
                 at = shut.start() if shut else end
                 after = _TAG.match(source, at) if shut else None
                 at = after.end() if after else at
                 continue
             if name in _NO_P:
-                self._drop(stack, ("p",), ("td", "th", "caption", "button"))
+                self._drop(stack, ("p",), ("td", "th", "caption", "button", "object"))
             if name in _CLOSES:
                 tags, scope = _CLOSES[name]
                 self._drop(stack, tags.split(), scope)
@@ -106,9 +108,13 @@ class Page:
             self.block.append(block)
             if name not in _VOID and not m[3].endswith("/"):
                 stack.append(len(self.tag) - 1)
+            if name == "xmp":  # its text has no tags or references
+                shut = re.compile(r"</xmp(?=[\s/>])", re.I).search(source, at)
+                start, at = at, shut.start() if shut else end
+                self._text(source[start:at], stack[-1], block, plain=True)
 
-    def _text(self, raw: str, parent: int, block: int) -> None:
-        words = html.unescape(raw) if "&" in raw else raw
+    def _text(self, raw: str, parent: int, block: int, plain: bool = False) -> None:
+        words = html.unescape(raw) if "&" in raw and not plain else raw
         self.tag.append("")
         self.parent.append(parent)
         self.names.append(())

@@ -168,6 +168,21 @@ def test_all_words_of_names_are_evidence():
     assert {"econtent", "ejunk"} <= set(page.features()[1])
 
 
+def test_formulas_and_fallbacks_are_text():
+    page = html_text.Page("<p>if <math><mi>x</mi><mo>=</mo><mn>2</mn></math> then<xmp>a <b> &amp; c</xmp>"
+                          "<object data=f><p>no film</p></object><canvas>a chart</canvas><script>s</script><object>open")
+    assert page.joined([True] * len(page.tag)) == "if x=2 then\na <b> &amp; c\nno film\na chartopen"
+    page = html_text.Page("<xmp>open <i>")
+    assert page.joined([True] * len(page.tag)) == "open <i>"
+    model = html_text.TreeModel().fit(html_text.templates(200))
+    said = "The sum of all the parts is, as was shown above, equal to the whole of it, and so nothing is lost here."
+    got = model.main_text(f"<body><nav class=menu><ul><li><a href=/>home</a></ul></nav><article><h1>Sums</h1><p>{said}</p><p>{said} So "
+                          f"<math><mi>x</mi><mo>=</mo><mn>2</mn></math> holds. {said}</p><xmp>{said}</xmp><p><object>{said}</object><p>{said}</article></body>")
+    assert "So x=2 holds." in got and got.count(said) == 6
+    got = model.main_text(f"<article><h1>Sums</h1><p>{said} {said}</p><p>{said}</p></article><footer><object><ul><li><a href=/>legal</a></ul></object></footer>")
+    assert got == f"Sums\n{said} {said}\n{said}"
+
+
 def test_main_text_of_pages(spark, frame):
     got = html_text.op6_html_text(spark, "/root/testdata/sf0.001").collect()
     assert got and all(r.n_chars == len(r.text) for r in got)
