@@ -66,11 +66,12 @@ def chart_share(result: AnalysisResult) -> DataFrame:
 
 
 def geo_dim(features: DataFrame) -> DataFrame:
-    """One row per feature name: first centroid (by position) and the
-    number of features with that name (> 1 = duplicate name)."""
+    """One row per feature name: first centroid (by position) of those
+    with a point, and the number of features with that name (> 1 = duplicate
+    name)."""
     named = features.where(F.col("name").isNotNull() & (F.trim(F.col("name")) != ""))
     return named.groupBy(F.trim(F.col("name")).alias("name")).agg(
-        F.min_by(F.struct("lon", "lat"), F.col("pos")).alias("_c"), F.count(F.lit(1)).alias("feature_count")
+        F.min_by(F.struct("lon", "lat"), F.when(F.col("lon").isNotNull() & F.col("lat").isNotNull(), F.col("pos"))).alias("_c"), F.count(F.lit(1)).alias("feature_count")
     ).select("name", F.col("_c.lon").alias("lon"), F.col("_c.lat").alias("lat"), "feature_count")
 
 
