@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lossframe.llm import bpe, decontaminate, exact_dedup, html_text, language, pii, quality, simhash, toxicity, url_filter
+from lossframe.llm import bpe, decontaminate, exact_dedup, filter_audit, html_text, language, pii, quality, simhash, toxicity, url_filter
 
 QUERIES = {
     "op1_decontaminate": decontaminate.op1_decontaminate,
@@ -15,9 +15,11 @@ QUERIES = {
     "op8_bpe": bpe.op8_bpe,
     "op9_toxicity": toxicity.op9_toxicity,
     "op10_quality": quality.op10_quality,
+    "op11_filter_audit": filter_audit.op11_filter_audit,
 }
 ORACLES = {
     "op1_decontaminate": decontaminate.ORACLE,
     "op2_exact_dedup": exact_dedup.ORACLE,
     "op4_url_filter": url_filter.ORACLE,
+    "op11_filter_audit": filter_audit.ORACLE,
 }
