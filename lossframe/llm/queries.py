@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from lossframe.llm import bpe, decontaminate, exact_dedup, filter_audit, html_text, language, pii, quality, simhash, toxicity, url_filter
+from lossframe.llm import (alignment, bpe, decontaminate, exact_dedup, filter_audit, html_text, language, pieces, pii, quality, simhash, toxicity,
+                           url_filter)
 
 QUERIES = {
     "op1_decontaminate": decontaminate.op1_decontaminate,
@@ -16,6 +17,8 @@ QUERIES = {
     "op9_toxicity": toxicity.op9_toxicity,
     "op10_quality": quality.op10_quality,
     "op11_filter_audit": filter_audit.op11_filter_audit,
+    "op12_pieces": pieces.op12_pieces,
+    "op13_alignment": alignment.op13_alignment,
 }
 ORACLES = {
     "op1_decontaminate": decontaminate.ORACLE,
