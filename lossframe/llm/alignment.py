@@ -17,8 +17,8 @@ is counted out of memory:
 4. The runs are read once more in that same order, against the counts; what each
    record adds goes back to its document, summed by block.
 
-The libraries' own encoders cut the texts, with special tokens taken as plain
-text; the first side gets a space in front, as the second one adds its own.
+Encoders of public libraries cut the texts, the first side's by the merge ranks
+that its ids are, with special tokens taken as plain text; the first side gets a space in front, as the second one adds its own.
 Token bytes come from the vocabulary files: byte letters on the first side; on
 the second the piece in UTF-8 with U+2581 as space, and byte pieces as bytes.
 
@@ -34,7 +34,7 @@ from __future__ import annotations
 import gc
 import hashlib
 import heapq
-import os
+import json
 from collections.abc import Iterator
 from itertools import groupby
 
@@ -56,6 +56,7 @@ PART_BITS, ID_BITS = 6, 20
 BLOCK_DOCS, BLOCK_CHARS = 2048, 4_000_000
 #: Runs that one merge takes, on average.
 MERGED_RUNS = 64
+_BYTE_LEVEL = {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": True}
 _FIGURES = ("n_a", "n_b", "n_groups", "n_links")
 
 
@@ -63,18 +64,24 @@ class Sides:
     """Both tokenizers, and the bytes of their tokens."""
 
     def __init__(self, path_a: str, path_b: str):
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks are the parallelism
         import sentencepiece
-        from tokenizers import Tokenizer
+        import tiktoken
 
-        self.a = Tokenizer.from_file(path_a)
-        self.a.encode_special_tokens = True
-        self.b = sentencepiece.SentencePieceProcessor(model_file=path_b)
+        model = json.load(open(path_a, encoding="utf-8"))
+        if model["normalizer"] or model["pre_tokenizer"] != _BYTE_LEVEL:
+            raise ValueError("only byte-level files without normalisation and with the usual word pattern are covered")
         byte_of = {c: b for b, c in _byte_letters().items()}
-        vocab = self.a.get_vocab(with_added_tokens=False)
+        vocab = {bytes(byte_of[c] for c in token): i for token, i in model["model"]["vocab"].items()}
         self.bytes_a = [b""] * (max(vocab.values()) + 1)
         for token, i in vocab.items():
-            self.bytes_a[i] = bytes(byte_of[c] for c in token)
+            self.bytes_a[i] = token
+        merges = [pair if isinstance(pair, list) else pair.split(" ") for pair in model["model"]["merges"]]
+        made = [vocab[bytes(byte_of[c] for c in a + b)] for a, b in merges]
+        if any(a >= b for a, b in zip(made, made[1:])) or len(made) + 256 != len(vocab):
+            raise ValueError("only files whose ids are in the order of their merges are covered")
+        # The ids are merge ranks, so the faster encoder for ranks gives the same ids.
+        self.a = tiktoken.Encoding("a", pat_str=public_tokenizers.PATTERN, mergeable_ranks=vocab, special_tokens={})
+        self.b = sentencepiece.SentencePieceProcessor(model_file=path_b)
         self.bytes_b = [bytes([int(self.b.id_to_piece(i)[3:-1], 16)]) if self.b.is_byte(i) else b"" if self.b.is_control(i)
                         else self.b.id_to_piece(i).replace("▁", " ").encode() for i in range(self.b.get_piece_size())]
         if max(len(self.bytes_a), len(self.bytes_b)) > 1 << ID_BITS:
@@ -87,11 +94,11 @@ class Sides:
     def encoded(self, text: str) -> tuple[list[int], list[int]]:
         """Ids of both sides; none if either side does not spell the text."""
         said = f" {text}".encode()
-        a = self.a.encode_batch_fast([f" {text}"], add_special_tokens=False)[0].ids
-        if b"".join([self.bytes_a[i] if i < len(self.bytes_a) else b"" for i in a]) != said:
+        a = self.a.encode_ordinary(f" {text}")
+        if b"".join(map(self.bytes_a.__getitem__, a)) != said:
             return [], []
         b = self.b.encode(text, num_threads=1)
-        return (a, b) if b"".join([self.bytes_b[i] for i in b]) == said else ([], [])
+        return (a, b) if b"".join(map(self.bytes_b.__getitem__, b)) == said else ([], [])
 
 
 _LOADED: dict[tuple[str, str], Sides] = {}
@@ -111,18 +118,22 @@ class Block:
         cut = [sides.encoded(t) if t else ([], []) for t in texts]
         self.sides = sides
         self.n_a, self.n_b = (np.array([len(x[k]) for x in cut], dtype=np.int64) for k in (0, 1))
-        self.a, self.b = (np.fromiter((i for x in cut for i in x[k]), np.int64, int(n.sum())) for k, n in ((0, self.n_a), (1, self.n_b)))
+        self.a, self.b = (np.array([i for x in cut for i in x[k]], dtype=np.int64) for k in (0, 1))
         ends_a, ends_b = np.cumsum(sides.size_a[self.a]), np.cumsum(sides.size_b[self.b])
         # Documents end in both sides, so offsets run on from one to the next.
         self.doc_a = np.repeat(np.arange(len(texts)), self.n_a)
-        ends = np.union1d(ends_a, ends_b)
-        self.link_a, self.link_b = np.searchsorted(ends_a, ends), np.searchsorted(ends_b, ends)
+        # Marks at all ends, 1 for the first side, 2 for the second; each stretch up to a mark is a link.
+        marks = np.zeros(int(ends_a[-1]) + 1 if len(ends_a) else 1, dtype=np.int8)
+        marks[ends_a] = 1
+        marks[ends_b] += 2
+        of = marks[np.flatnonzero(marks)]
+        for name, bit in (("link_a", 1), ("link_b", 2)):
+            own = of & bit > 0
+            setattr(self, name, np.cumsum(own) - own)
         self.link_doc = self.doc_a[self.link_a]
-        both = np.isin(ends_a, ends_b, assume_unique=True)
-        self.group_a = np.cumsum(both) - both
-        self.group_b = np.searchsorted(ends_a[both], ends_b)
-        self.last_a, self.last_b = both, np.isin(ends_b, ends_a, assume_unique=True)
-        self.n_groups = np.bincount(self.doc_a[both], minlength=len(texts))
+        self.last_a, self.last_b = marks[ends_a] == 3, marks[ends_b] == 3
+        self.group_a, self.group_b = (np.cumsum(last) - last for last in (self.last_a, self.last_b))
+        self.n_groups = np.bincount(self.doc_a[self.last_a], minlength=len(texts))
         self.n_links = np.bincount(self.link_doc, minlength=len(texts))
 
     def spelt_groups(self) -> Iterator[bytes]:
@@ -142,12 +153,12 @@ class Block:
         a, b = self.a[self.link_a], self.b[self.link_b]
         low = (1 << PART_BITS) - 1
         key = (((a & low) << (ID_BITS - PART_BITS) | a >> PART_BITS) << ID_BITS | b) << 11 | self.link_doc
-        record, links = np.unique(key, return_counts=True)
-        pair, first = np.unique(record >> 11, return_index=True)
-        docs = np.diff(np.append(first, len(record)))
+        key.sort()
+        record, links = _counted(key)
+        pair, docs = _counted(record >> 11)
         part = pair >> (2 * ID_BITS - PART_BITS)
         at = np.searchsorted(part, np.arange((1 << PART_BITS) + 1))
-        rows = np.append(first, len(record))
+        rows = np.append(0, np.cumsum(docs))
         press = zstandard.ZstdCompressor(level=1).compress
         for k in range(1 << PART_BITS):
             lo, hi = at[k], at[k + 1]
@@ -157,6 +168,12 @@ class Block:
                        press((record[own] & 2047).astype(np.uint16).tobytes() + links[own].astype(np.uint32).tobytes()))
 
 
+def _counted(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The different values of a sorted array, and how often each stands."""
+    first = np.flatnonzero(np.append(x[:1] == x[:1], x[1:] != x[:-1]))
+    return x[first], np.diff(np.append(first, len(x)))
+
+
 def _blocks(texts: list[str | None]) -> Iterator[slice]:
     start = chars = 0
     for i, t in enumerate(texts):
