@@ -5,12 +5,13 @@ leftmost and non-overlapping for each kind, with the kinds' checks. Wider
 patterns propose candidates, the base forms among them. Five labelers vote on
 each candidate (1, -1, or 0 for no opinion): the base pattern, a gazetteer
 (endings of domains, issuers' and countries' prefixes, reserved addresses),
-the words before it, its borders and its shape. Expectation-maximisation over
-the counts of vote patterns estimates each labeler's reliability and each
-pattern's probability; those probabilities train the final span classifier, a
-logistic regression on the votes and on features of the span, which is
-compiled into a Spark expression. A candidate that it accepts and that overlaps
-no base span is added; base spans always stay.
+words of its sentence before and after it, its borders (other signs, other
+numbers), and its shape. Expectation-maximisation over the counts of vote
+patterns estimates each labeler's reliability and each pattern's probability;
+those probabilities train the final span classifier, a logistic regression on
+the votes and on features of the span, which is compiled into a Spark
+expression. A candidate that it accepts and that overlaps no base span and no
+candidate accepted before it is added; base spans always stay.
 
 All of it is Spark's own functions. Only counts by vote pattern and feature
 reach the driver, at most ``MAX_PATTERNS`` rows. Positions are code points,
@@ -33,8 +34,8 @@ from lossframe.llm.common import table, written
 KINDS = ("email", "ip", "card", "phone")
 LABELERS = ("pattern", "gazetteer", "context", "border", "shape")
 MAX_PATTERNS = 50_000
-#: Characters before a candidate that the context labeler reads.
-_LEFT = 24
+#: Characters before and after a candidate that the context and border labelers read.
+_LEFT, _RIGHT = 48, 32
 
 _LOCAL, _LABEL = "[A-Za-z0-9._%+-]", "[A-Za-z0-9-]"
 # Possessive forms of the contract's patterns: same matches, no backtracking into a run.
@@ -70,7 +71,7 @@ def _placed(n: str) -> str:
         (o, b) -> aggregate(sequence(b * 64, least(b * 64 + 63, size(m_{n}) - 1)), named_struct('at', o, 'out', cast(array() as {_SPANS})),
             (a, i) -> named_struct('at', a.at + len_{n}[i], 'out', array_append(a.out, named_struct(
                 'start', a.at + length(gaps_{n}[i]), 'end', a.at + len_{n}[i], 'said', m_{n}[i],
-                'left', right(gaps_{n}[i], {_LEFT}), 'right', left(gaps_{n}[i + 1], 8)))),
+                'left', right(gaps_{n}[i], {_LEFT}), 'right', left(gaps_{n}[i + 1], {_RIGHT})))),
             a -> a.out)))"""
 
 
@@ -96,16 +97,20 @@ def _votes(kind: str, x: str) -> list[str]:
     said, left, right = f"{x}.said", f"{x}.left", f"{x}.right"
     plain = f"regexp_replace(regexp_replace({said}, ' ?[\\\\[({{{{]at[\\\\])}}}}] ?', '@'), ' ?[\\\\[({{{{]?(dot|[.])[\\\\])}}}}] ?', '.')".replace("{{", "{").replace("}}", "}")
     digits = f"regexp_replace({said}, '[^0-9]', '')"
-    tight = f"if({left} rlike '[\\\\p{{L}}0-9_]$' or {right} rlike '^[\\\\p{{L}}0-9_]', -1, 1)"
-    cue = lambda words, against="": (f"if({left} rlike '(?i)\\\\b({words})[^\\\\p{{L}}0-9]*$', 1, "
-                                     + (f"if({left} rlike '(?i)\\\\b({against})[^\\\\p{{L}}0-9]*$', -1, 0)" if against else "0") + ")")
+    # Joined to a letter or sign it is part of something else; next to another number it may be one of a row of figures.
+    tight = (f"if({left} rlike '[\\\\p{{L}}0-9_/=#&]$' or {right} rlike '^[\\\\p{{L}}0-9_/=&]', -1, "
+             f"if({left} rlike '[0-9][\\\\s,;|]{{1,2}}$' or {right} rlike '^[\\\\s,;|]{{1,2}}[0-9]', 0, 1))")
+    # A word against it right before it counts most; else one for it in the same sentence, before or after.
+    cue = lambda words, against="never": (
+        f"if({left} rlike '(?i)\\\\b({against})[^\\\\p{{L}}0-9]*$', -1, if({left} rlike '(?i)\\\\b({words})\\\\b[^.!?\\\\n]*$' "
+        f"or {right} rlike '(?i)^[^.!?\\\\n]*\\\\b({words})\\\\b', 1, 0))")
     base = BASE[kind].replace("\\G|", "").replace("\\", "\\\\")
     strict = f"if({said} rlike '^(?:{base})$' and {_valid(kind, said)}, 1, -1)"
     ip = f"split(regexp_replace({said}, '[\\\\[\\\\]()]', ''), '[.]')"
     return {
         "email": [strict, f"if(lower({plain}) rlike '[.](com|org|net|edu|gov|info|io|[a-z]{{2}})$', 1, -1)",
-                  cue("e-?mail|mail|contact|write|reach|address"), tight, f"if(split({plain}, '@')[0] rlike '[A-Za-z0-9].*' and length({said}) <= 254, 1, -1)"],
-        "ip": [strict, f"if(get({ip}, 0) in ('0', '127', '255'), -1, 0)", cue("ip|server|host|addr|address|from|at", "version|ver|v|release|section|rev"), tight,
+                  cue("e-?mail|mail|contact|write|reach|address|inbox|correo|courriel", "user|repo|package|git|clone|import"), tight, f"if(split({plain}, '@')[0] rlike '[A-Za-z0-9].*' and length({said}) <= 254, 1, -1)"],
+        "ip": [strict, f"if(get({ip}, 0) in ('0', '127', '255'), -1, 0)", cue("ip|server|host|addr|address|login|network|router|client", "version|ver|v|release|section|rev"), tight,
                f"if(forall({ip}, p -> p = '0' or p not like '0%') and forall({ip}, p -> length(p) <= 3 and cast(p as int) <= 255), 1, -1)"],
         "card": [strict, f"if({digits} rlike '^(4|5[1-5]|2[2-7]|3[0-9]|6)', 1, -1)", cue("card|visa|mastercard|amex|credit|karte|carte|tarjeta", "order|id|ref|no|number|isbn"),
                  tight, f"if(length({digits}) between 13 and 19 and {_luhn(digits)}, 1, -1)"],
@@ -149,6 +154,15 @@ def reliabilities(counts: dict[tuple, float], rounds: int = 50) -> tuple[dict[tu
     return p, share
 
 
+def reliability_rows(found: DataFrame) -> list[tuple[str, str, int, float, float]]:
+    """(kind, labeler, vote, P(vote | other), P(vote | personal)) as estimated from the candidates of ``spans``."""
+    by_kind: dict[int, dict[tuple, float]] = {}
+    for k, votes, _, n in _vote_counts(found):
+        own = by_kind.setdefault(k, {})
+        own[votes] = own.get(votes, 0.0) + n
+    return [(KINDS[k], LABELERS[j], vote, *p) for k, counts in sorted(by_kind.items()) for j, share in enumerate(reliabilities(counts)[1]) for vote, p in sorted(share.items())]
+
+
 def _features(k: int, votes: tuple, digits: int) -> list[tuple[int, str]]:
     return [(k, ""), (k, f"size(x.votes) > 0 and x.digits between {digits - digits % 3} and {digits - digits % 3 + 2}"),
             *((k, f"x.votes[{j}] = {v}") for j, v in enumerate(votes))]
@@ -178,22 +192,53 @@ def classifier(rows: list[tuple[int, tuple, int, float]], rounds: int = 400) ->
     return weight
 
 
-def trained(found: DataFrame) -> dict[tuple[int, str], float]:
-    """The classifier for the candidates of ``spans``."""
+def _vote_counts(found: DataFrame) -> list[tuple[int, tuple, int, float]]:
+    """(kind, votes, digits, candidates), the most frequent first, ``MAX_PATTERNS`` at most."""
     counts = (found.select(F.explode("cands").alias("x")).groupBy("x.k", "x.votes", "x.digits").agg(F.count("*").alias("n"))
               .orderBy(F.desc("n"), "k", "votes", "digits").limit(MAX_PATTERNS).collect())
-    return classifier([(r["k"], tuple(r["votes"]), r["digits"], float(r["n"])) for r in counts])
+    return [(r["k"], tuple(r["votes"]), r["digits"], float(r["n"])) for r in counts]
+
+
+def trained(found: DataFrame) -> dict[tuple[int, str], float]:
+    """The classifier for the candidates of ``spans``."""
+    return classifier(_vote_counts(found))
+
+
+_EDGE = "struct<start:int,k:int,end:int,own:int>"
+
+
+def _swept(items: str, start: int, keep: str, after: str) -> str:
+    """SQL: the x of the column ``items`` that pass ``keep``, walked in their order with a number ``at``, which ``after`` moves on.
+
+    First ``at`` alone, noted at every 64th x, then 64 at a time, as a growing array is copied at each step; by position, as a
+    slice of an array looks at all of it.
+    """
+    of = lambda sql, at: sql.replace("at.", at).replace("x.", f"{items}[i].")
+    block = f"sequence(b * 64, least(b * 64 + 63, size({items}) - 1))"
+    return f"""if(size({items}) = 0, cast(array() as array<{_EDGE}>), flatten(transform(
+        aggregate(sequence(0, (size({items}) - 1) div 64), named_struct('at', {start}, 'out', cast(array() as array<int>)),
+            (a, b) -> named_struct('at', aggregate({block}, a.at, (c, i) -> {of(after, 'c')}), 'out', array_append(a.out, a.at)), a -> a.out),
+        (o, b) -> aggregate({block}, named_struct('at', o, 'out', cast(array() as array<{_EDGE}>)),
+            (a, i) -> named_struct('at', {of(after, 'a.at')}, 'out', if({of(keep, 'a.at')}, array_append(a.out, {items}[i]), a.out)), a -> a.out))))"""
 
 
 def with_added(found: DataFrame, weight: dict[tuple[int, str], float]) -> DataFrame:
-    """doc, base, and ``spans``: the base spans and the accepted candidates that overlap none of them, by start, then kind."""
+    """doc, base, and ``spans``: the base spans and the accepted candidates, by start, then kind.
+
+    A candidate that overlaps a base span, or one accepted before it in this order, is left out. Two walks over the
+    sorted spans find that: from the end, with the start of the next base span, and from the start, with the furthest end.
+    """
     score = " ".join(f"+ if(x.k = {k}{' and ' + when if when else ''}, {w!r}D, 0D)" for (k, when), w in weight.items())
     if not score:
         return found.select("doc", "base", F.col("base").alias("spans"))
-    kept = F.expr(f"""transform(filter(cands, x -> 0D {score} > 0D and not exists(base, b -> b.start < x.end and x.start < b.end)),
-                      x -> named_struct('start', x.start, 'k', x.k, 'end', x.end))""")
-    return found.withColumn("kept", kept).select("doc", "base", F.array_sort(F.concat("base", F.expr(
-        "filter(kept, (x, i) -> not exists(slice(kept, 1, i), b -> b.start < x.end and x.start < b.end))"))).alias("spans"))
+    edge = "named_struct('start', x.start, 'k', x.k, 'end', x.end, 'own', {})"
+    rows = found.withColumn("taken", F.expr(f"filter(cands, x -> 0D {score} > 0D)"))
+    rows = rows.withColumn("edges", F.expr(f"if(size(taken) = 0, cast(array() as array<{_EDGE}>), reverse(array_sort(concat(transform(base, x -> {edge.format(0)}), "
+                                           f"transform(taken, x -> {edge.format(1)})))))"))
+    last = 2**31 - 1
+    rows = rows.withColumn("clear", F.expr("reverse(" + _swept("edges", last, "x.own = 0 or x.end <= at.", "if(x.own = 0, least(at., x.start), at.)") + ")"))
+    rows = rows.withColumn("all", F.expr(_swept("clear", 0, "x.own = 0 or x.start >= at.", "if(x.own = 0 or x.start >= at., greatest(at., x.end), at.)")))
+    return rows.select("doc", "base", F.expr("if(size(taken) = 0, base, transform(all, x -> named_struct('start', x.start, 'k', x.k, 'end', x.end)))").alias("spans"))
 
 
 def listed(c: str) -> Column:
@@ -203,13 +248,24 @@ def listed(c: str) -> Column:
 
 
 def redacted(docs: DataFrame) -> DataFrame:
-    """The given rows with each span of ``text`` replaced by its kind in brackets, columns as given."""
+    """The given rows with each span of ``text`` replaced by its kind in brackets, columns as given.
+
+    Of overlapping spans the first one's kind stands. The text is cut at every 64th span, then each stretch at its own spans,
+    as a position in a text is found by counting from its start.
+    """
     found = spans(docs)
-    rows = with_added(found, trained(found))
+    rows = with_added(found, trained(found)).withColumn("edges", F.expr(
+        f"transform(spans, x -> cast(named_struct('start', x.start, 'k', x.k, 'end', x.end, 'own', 1) as {_EDGE}))"))
+    rows = rows.withColumn("clear", F.expr(_swept("edges", 0, "x.start >= at.", "if(x.start >= at., x.end, at.)")))
     names = "array(" + ", ".join(f"'[{k.upper()}]'" for k in KINDS) + ")"
-    cut = F.expr(f"""aggregate(spans, named_struct('at', 0, 'said', ''), (a, x) -> if(x.start < a.at, a, named_struct('at', x.end, 'said',
-        concat(a.said, substr(doc.text, a.at + 1, x.start - a.at), element_at({names}, x.k + 1)))), a -> concat(a.said, substr(doc.text, a.at + 1)))""")
-    return rows.select(*[(F.when(F.size("spans") > 0, cut).otherwise(F.col("doc.text")) if c == "text" else F.col("doc").getField(c)).alias(c)
+    before = "if({0} = 0, 0, clear[{0} - 1].end)"
+    rows = rows.withColumn("stretches", F.expr(f"""transform(sequence(0, (size(clear) - 1) div 64), b -> named_struct(
+        'from', {before.format('(b * 64)')}, 'first', b * 64, 'last', least(b * 64 + 63, size(clear) - 1),
+        'said', substr(doc.text, {before.format('(b * 64)')} + 1, clear[least(b * 64 + 63, size(clear) - 1)].end - {before.format('(b * 64)')})))"""))
+    cut = F.expr(f"""concat(array_join(flatten(transform(stretches, s -> transform(sequence(s.first, s.last), i -> concat(
+        substr(s.said, {before.format('i')} - s.from + 1, clear[i].start - {before.format('i')}), element_at({names}, clear[i].k + 1))))), ''),
+        substr(doc.text, element_at(clear, -1).end + 1))""")
+    return rows.select(*[(F.when(F.size("clear") > 0, cut).otherwise(F.col("doc.text")) if c == "text" else F.col("doc").getField(c)).alias(c)
                          for c in docs.columns])
 
 
@@ -218,4 +274,5 @@ def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = with_added(found, trained(found))
     count = lambda i: F.size(F.filter("base", lambda x: x["k"] == i)).cast("long")
     return rows.select("doc.doc_id", *[count(i).alias(f"n_{k}") for i, k in enumerate(KINDS)],
-                       F.sha2(listed("base"), 256).alias("base_sha256"), listed("spans").alias("spans"))
+                       F.sha2(listed("base"), 256).alias("base_sha256"), listed("spans").alias("spans"),
+                       F.size("spans").cast("long").alias("n_spans"), (F.size("spans") > 0).alias("has_pii"))

@@ -73,3 +73,79 @@ def test_added_spans(frame):
         assert r.spans.startswith(r.base) or r.base in r.spans
         if r.text.startswith("version"):
             assert r.spans == ""
+
+
+def merged(base, taken):
+    """Base spans, and the taken ones that overlap none of them nor one kept before, by plain loops."""
+    meets = lambda a, b: a[0] < b[2] and b[0] < a[2]
+    kept = []
+    for x in sorted(taken):
+        if not any(meets(x, b) for b in base) and not any(meets(x, k) for k in kept):
+            kept.append(x)
+    return sorted(base + kept)
+
+
+def test_added_spans_equal_brute_force(frame):
+    rng = random.Random(8)
+    parts = ["(415) 555-2671", "joe (at) mail (dot) com", "joe@mail.com", "10[.]0[.]0[.]7", "10.0.0.7", "4111 1111 1111 1111", "4111.1111.1111.1111", "+1 415 555 2671",
+             "0041 79 555 26 71", " ", " ", " call ", " card: ", ", ", "x", "7", "\n"]
+    texts = ["".join(rng.choices(parts, k=rng.randint(1, 30))) for _ in range(400)] + ["".join(rng.choices(parts, k=900)) for _ in range(3)]
+    found = pii.spans(frame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string"))
+    # weights that take many candidates of all kinds, so that they meet
+    for weight in ({(k, ""): 1.0 for k in range(4)}, {(0, ""): 1.0, (1, ""): -1.0, (2, ""): 0.25, (2, "x.votes[0] = 1"): -1.0, (3, ""): 0.5}):
+        rows = pii.with_added(found, weight).join(found.selectExpr("doc.doc_id as id", "cands"), pii.F.expr("doc.doc_id = id")).collect()
+        assert len(rows) == len(texts)
+        added = 0
+        for r in rows:
+            score = lambda c: weight.get((c.k, ""), 0) + (weight.get((c.k, "x.votes[0] = 1"), 0) if c.votes[0] == 1 else 0)
+            base = [(b.start, b.k, b.end) for b in r.base]
+            want = merged(base, [(c.start, c.k, c.end) for c in r.cands if score(c) > 0])
+            assert [(x.start, x.k, x.end) for x in r.spans] == want, r.doc.text
+            added += len(want) - len(base)
+        assert added > 100
+
+
+def test_candidates_are_where_they_are_said_to_be(frame):
+    texts = ["é (415) 555-2671, joe [at] mail [dot] com; " * 70 + "10(.)0(.)0(.)9 " + "4111.1111.1111.1111 " * 70]
+    r, = pii.spans(frame([(1, texts[0])], "doc_id long, text string")).collect()
+    said = [(pii.KINDS[c.k], texts[0][c.start:c.end]) for c in r.cands]
+    assert said == [("email", "joe [at] mail [dot] com")] * 70 + [("ip", "10(.)0(.)0(.)9")] + [("card", "4111.1111.1111.1111")] * 70 + [("phone", "(415) 555-2671")] * 70
+
+
+def test_a_text_of_100_000_spans(frame):
+    import time
+    took = []
+    for n in (3_125, 50_000):
+        text = "a@b.co 10.0.0.1 " * n + "(415) 555-2671"
+        df = frame([(1, text)], "doc_id long, text string")
+        t = time.perf_counter()
+        found = pii.spans(df)
+        r, = pii.with_added(found, {(3, ""): 1.0, (0, ""): 1.0, (1, ""): 1.0}).collect()
+        took.append(time.perf_counter() - t)
+        assert len(r.base) == 2 * n and len(r.spans) == 2 * n + 1 and r.spans[-1].end == len(text) and r.spans[2 * n - 1].end == 16 * n - 1
+    assert took[1] < 24 * took[0]
+    said, = pii.redacted(df).collect()
+    assert said.text.startswith("[EMAIL] [IP] " * 50_000)
+
+
+def test_context_and_borders_vote(frame):
+    texts = []
+    for i in range(300):
+        number = f"(415) 555-{i:04d}"
+        texts.append(f"My phone is still {number}, call." if i % 3 else f"see order {number} soon")
+        texts.append(f"reach me, {number} is my new mobile" if i % 3 == 1 else f"nothing said {number} here")
+        texts.append(f"10 415-555-{i:04d} 22" if i % 2 else f"ref {number}.")
+    found = pii.spans(frame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string"))
+    votes = {(t.doc.text[:8], c.votes[2], c.votes[3]) for t in found.collect() for c in t.cands if c.k == 3}
+    assert {v for _, v, _ in votes} == {-1, 0, 1} and {v for _, _, v in votes} >= {0, 1}
+    assert ("My phone", 1, 1) in votes and ("see orde", -1, 1) in votes and ("nothing ", 0, 1) in votes and ("reach me", 1, 1) in votes
+    rows = {(kind, name, vote): (other, personal) for kind, name, vote, other, personal in pii.reliability_rows(found)}
+    gain = {name: sum(abs(rows["phone", name, v][1] - rows["phone", name, v][0]) for v in (-1, 0, 1)) for name in pii.LABELERS}
+    assert gain["context"] > 0.2 and len({round(g, 2) for g in gain.values()}) >= 3
+
+
+def test_query_columns(spark, sf):
+    df = pii.op7_pii(spark, sf)
+    assert df.columns == ["doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans", "n_spans", "has_pii"]
+    for r in df.collect():
+        assert r.n_spans == len(list(filter(None, r.spans.split(",")))) >= r.n_email + r.n_ip + r.n_card + r.n_phone and r.has_pii == (r.n_spans > 0)
