@@ -138,7 +138,7 @@ def test_messages_give_exact_marginals():
     z, on = 0.0, [0.0] * n
     for code in range(2**n):
         y = [code >> i & 1 for i in range(n)]
-        w = math.exp(sum(u for u, v in zip(unary, y) if v) + sum(model.pair[not page.tag[i]][y[page.parent[i]]][y[i]] for i in range(1, n)))
+        w = math.exp(sum(u for u, v in zip(unary, y) if v) + sum(model.pair[page.kinds()[i]][y[page.parent[i]]][y[i]] for i in range(1, n)))
         z += w
         for i in range(n):
             on[i] += w * y[i]
