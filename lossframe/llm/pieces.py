@@ -64,12 +64,25 @@ class Pieces:
         self.starts = Automaton((p[::-1], (len(p), i)) for p, i in self.id.items())
         self.said = [_UNKNOWN if i == self.unknown else "" if i in self.control else self.piece[i].replace(SPACE, " ") for i in ids]
         self.fits: dict[int, bool] = {}
-        # No piece crosses a letter that is in no piece of two letters or more, nor a space mark after another letter.
+        # Letters that stand side by side in a piece are of one class; no piece crosses from one class to another, nor to a space mark.
+        kind: dict[str, str] = {}
+
+        def root(c: str) -> str:
+            while kind.setdefault(c, c) != c:
+                c = kind[c]
+            return c
+
         long = [p for p in self.id if len(p) > 1]
-        joins = "".join(sorted({c for p in long for c in p} - {SPACE}))
         inner = any(SPACE in p.lstrip(SPACE) for p in long)
-        letters = f"[{re.escape(joins)}]" if joins else "(?!)"
-        self.stretch = re.compile(f"[{SPACE}{re.escape(joins)}]+|." if inner else f"{SPACE}+{letters}*|{letters}+|.", re.S)
+        for p in long:
+            for a, b in zip(p, p[1:]):
+                if inner or SPACE not in (a, b):
+                    kind[root(a)] = root(b)
+        classes: dict[str, list[str]] = {}
+        for c in sorted({c for p in long for c in p if inner or c != SPACE}):
+            classes.setdefault(root(c), []).append(c)
+        runs = "|".join(f"[{re.escape(''.join(own))}]+" for own in sorted(classes.values(), key=len, reverse=True)) or "(?!)"
+        self.stretch = re.compile(f"{runs}|." if inner else f"{SPACE}*(?:{runs})|{SPACE}+|.", re.S)
         self.known = Words(self._both)
 
     def merged(self, text: str) -> list[str]:
@@ -101,7 +114,8 @@ class Pieces:
         states = [0] * n if short else array("i", [0]) * n
         s, i = 0, n
         for c in reversed(text):
-            s = after[s].get(c) or step(s, c)
+            t = after[s].get(c)
+            s = t if t is not None else step(s, c)
             i -= 1
             states[i] = s
         failed = bytearray((n >> 3) + 1)
@@ -158,6 +172,8 @@ class Pieces:
 
     def _joined(self, ids: list[int]) -> str:
         """Text of the ids, its first space included; each byte that is not part of a letter as U+FFFD."""
+        if self.byte.keys().isdisjoint(ids) and ids and 0 <= min(ids) and max(ids) < len(self.piece):
+            return "".join([self.said[i] for i in ids])
         out, raw = [], bytearray()
 
         def letters() -> None:
