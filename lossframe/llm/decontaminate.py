@@ -7,13 +7,16 @@ held in the plan. Each document's token windows are hashed and looked up in
 the set; each hit is verified on its words; a document word inside any
 verified window is hit. A document is contaminated if at least one word in
 ``1 / share`` is hit. All of it is one scan of the documents with Spark's own
-functions and no shuffle. A benchmark of more than ``MAX_GRAMS`` distinct
-windows is joined by a shuffle instead (``scan_joined``), with equal results.
+functions and no shuffle. Beyond ``MAX_GRAMS`` distinct pairs of a window and an
+item the set is a table (``scan_joined``), with equal results: the hashes of the
+first two words are broadcast, only positions that begin like a window go on,
+as (row id, position, hash), and words are compared for hash hits alone.
 
 Cases: null or wordless texts have no words and no hits; wordless and null
-items have no windows; repeated documents each get a row, repeated items of
-one id count once; windows that several items share count for each; an empty
-benchmark hits nothing; given columns pass through ``clean_documents`` and
+items have no windows; an item without an id has windows that hit, but is not
+counted or named among the items; repeated documents each get a row, repeated
+items of one id count once; windows that several items share count for each; an
+empty benchmark hits nothing; given columns pass through ``clean_documents`` and
 ``clean_spans`` untouched, whatever their names.
 """
 
@@ -21,13 +24,14 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from lossframe.llm.common import lower_ascii, table, written
+from lossframe.llm.common import lower_ascii, small_side, table, written
 
-#: Distinct benchmark windows that the plan may hold; about 150 bytes each.
+#: Distinct pairs of a benchmark window and an item that the plan may hold; about 150 bytes each.
 MAX_GRAMS = 50_000
 _SEP = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]"
 _SEPARATORS = "".join(c for c in map(chr, range(128)) if not c.isalnum())
 _HITS = "array<struct<at:int,n:int,items:array<string>>>"
+_NONE = "cast(array() as array<string>)"
 
 
 def words(text: Column) -> Column:
@@ -37,13 +41,13 @@ def words(text: Column) -> Column:
 
 
 def grams(benchmark: DataFrame, n: int = 13) -> DataFrame:
-    """Distinct windows: (k, gram, h, begin, items); ``k`` words, ``h`` and ``begin`` hash all and the first two, items sorted as strings."""
+    """Distinct (k, gram, h, begin, item_id): windows of ``k`` words, ``h`` and ``begin`` hash all and the first two, with the items they are in."""
     w = benchmark.select(F.col("item_id").cast("string").alias("item_id"), words(F.col("text")).alias("w")).filter("size(w) > 0")
     k = F.least(F.size("w"), F.lit(n))
     w = w.select("item_id", F.explode(F.transform(F.sequence(F.lit(1), F.size("w") - k + 1), lambda i: F.slice("w", i, k))).alias("g"))
-    return w.groupBy("g").agg(F.array_sort(F.collect_set("item_id")).alias("items")).select(
+    return w.distinct().select(
         F.size("g").alias("k"), F.array_join("g", " ").alias("gram"), F.xxhash64("g").alias("h"),
-        F.xxhash64(F.get("g", F.lit(0)), F.get("g", F.lit(1))).alias("begin"), "items")
+        F.xxhash64(F.get("g", F.lit(0)), F.get("g", F.lit(1))).alias("begin"), "item_id")
 
 
 def _literal(rows: list, buckets: int) -> str:
@@ -57,14 +61,15 @@ def _literal(rows: list, buckets: int) -> str:
 
 
 def scan(docs: DataFrame, benchmark: DataFrame, n: int = 13) -> DataFrame:
-    """Add ``w`` (words) and ``hits`` (verified windows, in order) to the documents, under ``doc``."""
-    g = written(grams(benchmark, n), "decontaminate-grams")
+    """Add ``w`` (words), ``hits`` (verified windows) and ``items`` (ids, sorted as strings) to the documents, under ``doc``."""
+    pairs = written(grams(benchmark, n), "decontaminate-grams")
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc")).withColumn("w", words(F.col("doc.text")))
-    if (size := g.count()) > MAX_GRAMS:
-        return scan_joined(rows, g)
-    found = [_Gram(r) for r in g.collect()]
+    if pairs.count() > MAX_GRAMS:
+        return scan_joined(rows, pairs)
+    found = [_Gram(r) for r in pairs.groupBy("k", "gram", "h", "begin").agg(F.array_sort(F.collect_set("item_id")).alias("items")).collect()]
+    size = len(found)
     if not found:
-        return rows.withColumn("hits", F.expr(f"cast(array() as {_HITS})"))
+        return rows.withColumn("hits", F.expr(f"cast(array() as {_HITS})")).withColumn("items", F.expr(_NONE))
     parts = []
     for k in sorted({r.k for r in found}):
         own = [r for r in found if r.k == k]
@@ -78,7 +83,8 @@ def scan(docs: DataFrame, benchmark: DataFrame, n: int = 13) -> DataFrame:
         bucket = f"element_at({_literal(own, buckets)}, cast(pmod(xxhash64(slice(w, i, {k})), {buckets}) as int) + 1)"
         parts.append(f"filter(transform({at}, i -> named_struct('at', i, 'n', {k}, 'items', "
                      f"get(filter({bucket}, e -> e.gram = array_join(slice(w, i, {k}), ' ')), 0).items)), y -> y.items is not null)")
-    return rows.withColumn("hits", F.expr(f"concat({', '.join(parts)})" if len(parts) > 1 else parts[0]).cast(_HITS))
+    rows = rows.withColumn("hits", F.expr(f"concat({', '.join(parts)})" if len(parts) > 1 else parts[0]).cast(_HITS))
+    return rows.withColumn("items", F.array_sort(F.array_distinct(F.flatten(F.transform("hits", lambda x: x["items"])))))
 
 
 class _Gram:
@@ -86,16 +92,38 @@ class _Gram:
         self.k, self.gram, self.h, self.begin, self.items = row["k"], row["gram"], row["h"], row["begin"], list(row["items"])
 
 
-def scan_joined(rows: DataFrame, g: DataFrame) -> DataFrame:
-    """``scan`` for a benchmark of any size: windows joined with the set on length and words."""
+def scan_joined(rows: DataFrame, pairs: DataFrame) -> DataFrame:
+    """``scan`` for a benchmark of any size.
+
+    Windows are exploded as numbers, without text, and those that don't begin like a benchmark window go before
+    any shuffle as long as the beginnings can be broadcast. Documents are joined by row id with what was found in them.
+    """
     rows = written(rows.withColumn("row_id", F.monotonically_increasing_id()), "decontaminate-rows")
-    lengths = [r.k for r in g.select("k").distinct().collect()]  # n at most
+    sets = written(pairs.select("k", "gram", "h", "begin").distinct().withColumn("gram_id", F.monotonically_increasing_id()), "decontaminate-windows")
+    items = written(pairs.filter("item_id is not null").join(sets.select("gram", "gram_id"), "gram").select("gram_id", "item_id"), "decontaminate-items")
+    n = sets.count()
+    lengths = [r.k for r in sets.select("k").distinct().collect()]  # as many as a window has words, at most
     wins = F.concat(*[F.expr(
         f"transform(case when size(w) >= {k} then sequence(1, size(w) - {k - 1}) else cast(array() as array<int>) end, "
-        f"i -> named_struct('at', i, 'n', {k}, 'h', xxhash64(slice(w, i, {k})), 'gram', array_join(slice(w, i, {k}), ' ')))") for k in lengths])
-    hit = rows.select("row_id", F.explode(wins).alias("x")).select("row_id", "x.*").join(g, ["h", "gram"])
-    hit = hit.groupBy("row_id").agg(F.array_sort(F.collect_list(F.struct("at", "n", "items"))).alias("hits"))
-    return rows.join(hit, "row_id", "left").select("doc", "w", F.coalesce(F.col("hits").cast(_HITS), F.expr(f"cast(array() as {_HITS})")).alias("hits"))
+        f"i -> named_struct('at', i, 'k', {k}, 'begin', xxhash64(w[i - 1], get(w, i)), 'h', xxhash64(slice(w, i, {k}))))") for k in lengths])
+    # a window of one word has no second one to begin with
+    begins = sets.select("k", F.when(F.col("k") > 1, F.col("begin")).otherwise(F.col("h")).alias("begin")).distinct()
+    at = rows.select("row_id", F.explode(wins).alias("x")).select(
+        "row_id", "x.at", "x.k", F.when(F.col("x.k") > 1, F.col("x.begin")).otherwise(F.col("x.h")).alias("begin"), "x.h")
+    at = at.join(small_side(begins, n), ["k", "begin"], "left_semi").select("row_id", "at", "k", "h")
+    maybe = written(at.join(small_side(sets.select("k", "h", "gram_id", "gram"), 8 * n), ["k", "h"]), "decontaminate-maybe")
+    by_row = maybe.groupBy("row_id").agg(F.collect_list(F.struct("at", "k", "gram_id", "gram")).alias("maybe"))
+    seen = rows.select("row_id", "w").join(small_side(by_row, maybe.count()), "row_id")
+    true = F.filter("maybe", lambda x: F.array_join(F.slice("w", x["at"], x["k"]), " ") == x["gram"])
+    hits = written(seen.select("row_id", F.transform(true, lambda x: F.struct(x["at"].alias("at"), x["k"].alias("n"), x["gram_id"].alias("gram_id"))).alias("hits"))
+                   .filter("size(hits) > 0"), "decontaminate-hits")
+    named = hits.select("row_id", F.explode(F.array_distinct(F.col("hits.gram_id"))).alias("gram_id")).join(items, "gram_id").groupBy("row_id").agg(
+        F.array_sort(F.collect_set("item_id")).alias("items"))
+    found = written(hits.join(named, "row_id", "left"), "decontaminate-found")
+    none = F.expr(f"cast(array() as {_HITS})")
+    shown = F.transform("hits", lambda x: F.struct(x["at"].alias("at"), x["n"].alias("n"), F.expr(_NONE).alias("items"))).cast(_HITS)
+    both = rows.join(small_side(found.select("row_id", shown.alias("hits"), "items"), found.count()), "row_id", "left")
+    return both.select("doc", "w", F.coalesce("hits", none).alias("hits"), F.coalesce("items", F.expr(_NONE)).alias("items"))
 
 
 def _hit_words() -> Column:
@@ -107,7 +135,7 @@ def report(docs: DataFrame, benchmark: DataFrame, n: int = 13, share: int = 20)
     rows = scan(docs, benchmark, n).select(
         "doc", F.size("w").cast("long").alias("n_words"),
         F.when(F.size("hits") == 0, F.lit(0)).otherwise(F.size(_hit_words())).cast("long").alias("n_hit"),
-        F.array_sort(F.array_distinct(F.flatten(F.transform("hits", lambda x: x["items"])))).alias("items"))
+        "items")
     return rows.select("doc", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"),
                        F.sha2(F.array_join("items", ","), 256).alias("items_sha256"),
                        ((F.col("n_hit") > 0) & (F.col("n_hit") * share >= F.col("n_words"))).alias("contaminated"))

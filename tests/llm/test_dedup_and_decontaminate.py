@@ -6,6 +6,7 @@ import pytest
 
 from lossframe.llm import decontaminate, exact_dedup
 
+WORDS = [a + b for a in "ab cd ef gh ij kl mn op".split() for b in "a e i o u".split()]
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 
 
@@ -28,7 +29,7 @@ def brute(docs, items, n=13):
             for i in range(len(w) - k + 1):
                 if (g := tuple(w[i:i + k])) in windows:
                     hit.update(range(i, i + k))
-                    found |= windows[g]
+                    found |= windows[g] - {"None"}
         out.append((doc_id, len(w), len(hit), len(found), hashlib.sha256(",".join(sorted(found)).encode()).hexdigest(),
                     len(hit) > 0 and 20 * len(hit) >= len(w)))
     return Counter(out)
@@ -51,8 +52,25 @@ def rows(df):
 def test_decontaminate_equals_brute_force(contaminated, monkeypatch, most):
     docs, items, d, b = contaminated
     monkeypatch.setattr(decontaminate, "MAX_GRAMS", most)  # 0: by a shuffled join
-    items = [i for i in items if i[0] is not None]
-    assert rows(decontaminate.report(d, b.filter("item_id is not null"))) == brute(docs, items)
+    assert rows(decontaminate.report(d, b)) == brute(docs, items)  # the item without an id hits and is not counted
+    kept = decontaminate.clean_documents(d, b)
+    assert kept.columns == d.columns and sorted(r.doc_id for r in kept.collect()) == sorted(r[0] for r in brute(docs, items).elements() if not r[5])
+
+
+def test_decontaminate_of_a_large_benchmark(frame, monkeypatch):
+    """More windows than the plan holds, an item text that thousands of items share, and a window in a third of the documents."""
+    import random
+    rng = random.Random(4)
+    said = lambda n: " ".join(rng.choice(WORDS) for _ in range(n))
+    items = [(i, said(rng.choice((1, 2, 5, 13, 20, 40)))) for i in range(3000)] + [(10_000 + i, "a passage that very many of the items share with each other and more") for i in range(3000)]
+    docs = [(i, said(rng.randint(0, 60))) for i in range(300)]
+    docs += [(1000 + i, said(20) + " " + rng.choice(items)[1] + " " + said(9)) for i in range(150)] + [(2000 + i, "so: " + items[-1][1].upper()) for i in range(150)]
+    d, b = frame(docs, "doc_id long, text string"), frame(items, "item_id long, text string")
+    want = brute(docs, items)
+    monkeypatch.setattr(decontaminate, "MAX_GRAMS", 1000)
+    assert rows(decontaminate.report(d, b)) == want
+    monkeypatch.setattr("lossframe.llm.common.BROADCAST_ROWS", 0)
+    assert rows(decontaminate.report(d, b)) == want
 
 
 def test_decontaminate_cuts_spans(contaminated):
