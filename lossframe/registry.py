@@ -749,15 +749,14 @@ register("quality_log", lambda: D.with_clean(
 # The raw reports written as workbooks by Spark tasks, read back
 # through the workbook data source (one input partition per workbook).
 
-from .sources.workbook import header_rows, read_cells  # noqa: E402
+from .sources.workbook import header_rows, read_rows  # noqa: E402
 from .tables import (WORKBOOK_BLOCK_ROWS, WORKBOOK_COVER_SHEET, WORKBOOK_DATA_SHEET,  # noqa: E402
                      WORKBOOK_NOTES_SHEET, WORKBOOK_PLAIN_SHEET, workbook_group_sql, workbook_ingest,
                      workbook_inputs)
 
 
 def _header_detect(spark, sf):
-    cells = read_cells(spark, workbook_inputs(spark, sf))
-    return header_rows(cells).groupBy("sheet", "header_row").agg(F.count(F.lit(1)).alias("workbooks"))
+    return header_rows(read_rows(spark, workbook_inputs(spark, sf))).groupBy("sheet", "header_row").agg(F.count(F.lit(1)).alias("workbooks"))
 
 
 def _header_detect_sql() -> str:

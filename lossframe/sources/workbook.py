@@ -1,16 +1,20 @@
 """Spreadsheet workbooks (.xlsx / .xlsm) as a Spark data source.
 
 Spark has no built-in workbook reader, so ``WorkbookDataSource`` is a Python
-Data Source: one input partition per workbook, each task unzips its file
-with the standard library and emits long cells
-``(file, sheet, sheet_idx, row_idx, col_idx, value)``. Everything after that
-— header-row detection, header mapping, the pivot to one row per record —
-is DataFrame work, distributed over cells.
-
-Cells are read as text: shared and inline strings resolved, numbers as
-stored, date-formatted numbers as ISO dates (both epochs). Sheets are parsed
-element by element, so memory does not grow with a sheet. Workbooks are
-identified by their full path.
+Data Source: one input partition per workbook, each task unzips its file with
+the standard library and emits a row for each sheet row,
+``(file, sheet, sheet_idx, row_idx, values)``. Everything after that (header
+detection, header mapping, the choice of columns) is DataFrame work: small
+aggregates for each sheet, and one projection of the rows, which are never
+shuffled.
+
+Cells are read as text: shared and inline strings without their phonetic hints,
+numbers as stored, numbers shown as dates as ISO dates (both epochs), elapsed
+times as hours, truth values as True and False; errors count as missing. What a
+number shows depends on its format (``number_formats``). Rows and cells may
+leave out their positions, and then follow the one before. A sheet is parsed
+row by row and nothing of it stays, so memory does not grow with it. Workbooks
+are identified by their full path.
 """
 
 from __future__ import annotations
@@ -27,13 +31,15 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 from ..catalog import DEFAULT_CATALOG, Catalog
 from ..operators.clean import to_standard
 from ..session import materialize
+from . import number_formats as formats
 from .headers import map_columns
+from .number_formats import serial_date as serial_date
 
-CELL_SCHEMA = "file string, sheet string, sheet_idx int, row_idx int, col_idx int, value string"
+ROW_SCHEMA = "file string, sheet string, sheet_idx int, row_idx int, values array<string>"
 _NS = {"m": "http://schemas.openxmlformats.org/spreadsheetml/2006/main"}
 _REL = "{http://schemas.openxmlformats.org/officeDocument/2006/relationships}id"
-_REF = re.compile(r"([A-Z]+)(\d+)")
-_C, _V, _IS, _T, _SI, _ROW = (f"{{{_NS['m']}}}{t}" for t in ("c", "v", "is", "t", "si", "row"))
+_REF = re.compile(r"\$?([A-Z]+)\$?(\d+)")
+_C, _V, _IS, _T, _R, _SI, _ROW, _DATA = (f"{{{_NS['m']}}}{t}" for t in ("c", "v", "is", "t", "r", "si", "row", "sheetData"))
 _BATCH_CELLS = 65_536
 
 
@@ -55,76 +61,94 @@ def _col_index(letters: str) -> int:
 
 
 def _text(node) -> str:
-    return "".join(t.text or "" for t in node.iter(_T))
-
-
-# Number formats that show dates, in the workbook standard.
-_DATE_FORMATS = frozenset([*range(14, 23), *range(27, 37), *range(45, 48), *range(50, 59)])
-
-
-def _date_styles(z: zipfile.ZipFile) -> set[int]:
-    """Cell styles whose number format shows a date or time."""
-    if "xl/styles.xml" not in z.namelist():
-        return set()
-    root = ET.fromstring(z.read("xl/styles.xml"))
-    own = {int(f.get("numFmtId")): f.get("formatCode", "") for f in root.findall("m:numFmts/m:numFmt", _NS)}
-    shows = lambda code: re.search("[ymdhs年月日]", re.sub(r'"[^"]*"|\\[[^\\]]*\\]|\\\\.', "", code).lower()) is not None
-    formats = [int(x.get("numFmtId", 0)) for x in root.findall("m:cellXfs/m:xf", _NS)]
-    return {i for i, f in enumerate(formats) if (shows(own[f]) if f in own else f in _DATE_FORMATS)}
-
-
-def serial_date(value: str, since_1904: bool) -> str:
-    """ISO text of a serial day; what is no date stays as it is."""
-    import datetime as dt
-    try:
-        days = float(value)
-        base = dt.datetime(1904, 1, 1) if since_1904 else dt.datetime(1899, 12, 30) if days >= 61 else dt.datetime(1899, 12, 31)
-        when = base + dt.timedelta(seconds=round(days * 86400))
-    except (ValueError, OverflowError):
-        return value
-    return when.strftime("%Y-%m-%d" if when.time() == dt.time() else "%Y-%m-%d %H:%M:%S")
-
-
-def iter_cells(path: str):
-    """Yield ``(sheet, sheet_idx, row_idx, col_idx, value)`` for non-empty cells."""
+    """Text of a string item: its own and that of its runs, not its phonetic hints."""
+    return "".join(t.text or "" for part in node if part.tag in (_T, _R) for t in ([part] if part.tag == _T else part.iter(_T)))
+
+
+def _shown_by(z: zipfile.ZipFile):
+    """Function (style number, number as text) -> the text it is read as."""
+    codes: list[str | int] = []
+    if "xl/styles.xml" in z.namelist():
+        root = ET.fromstring(z.read("xl/styles.xml"))
+        own = {int(f.get("numFmtId")): f.get("formatCode", "") for f in root.findall("m:numFmts/m:numFmt", _NS)}
+        codes = [own.get(n, n) for n in (int(x.get("numFmtId", 0)) for x in root.findall("m:cellXfs/m:xf", _NS))]
+
+    def shown(style: int, value: str, since_1904: bool) -> str:
+        code = codes[style] if style < len(codes) else 0
+        if code == 0:
+            return value
+        try:
+            kind = formats.shows_built_in(code) if isinstance(code, int) else formats.shows(code, float(value))
+        except ValueError:
+            return value
+        return formats.serial_date(value, since_1904) if kind == formats.DATE else formats.elapsed_time(value) if kind == formats.ELAPSED else value
+
+    return shown
+
+
+def _cell_text(node, shared: list[str], shown, since_1904: bool) -> str | None:
+    kind, value = node.get("t", "n"), None
+    for child in node:
+        if child.tag == _IS and kind == "inlineStr":
+            value = _text(child)
+        elif child.tag == _V:
+            value = child.text
+    if not value or kind == "e":
+        return None
+    if kind == "s":
+        return shared[int(value)] or None
+    if kind == "n":
+        return shown(int(node.get("s", 0)), value, since_1904)
+    return {"b": lambda v: "True" if v == "1" else "False", "d": formats.iso_date}.get(kind, str)(value)
+
+
+def iter_rows(path: str):
+    """Yield ``(sheet, sheet_idx, row_idx, values)`` for rows with at least one filled cell."""
     fs, p = _filesystem(path)
     with fs.open_input_file(p) as f, zipfile.ZipFile(f) as z:
         shared = []
         if "xl/sharedStrings.xml" in z.namelist():
             with z.open("xl/sharedStrings.xml") as part:
-                for _, si in ET.iterparse(part):
-                    if si.tag == _SI:
+                root = None
+                for event, si in ET.iterparse(part, ("start", "end")):
+                    root = si if root is None else root
+                    if event == "end" and si.tag == _SI:
                         shared.append(_text(si))
-                        si.clear()
+                        root.clear()
         wb = ET.fromstring(z.read("xl/workbook.xml"))
         rels = ET.fromstring(z.read("xl/_rels/workbook.xml.rels"))
         targets = {r.get("Id"): r.get("Target") for r in rels}
         props = wb.find("m:workbookPr", _NS)
         since_1904 = props is not None and props.get("date1904") in ("1", "true")
-        dates = _date_styles(z)
+        shown = _shown_by(z)
         for sheet_idx, sh in enumerate(wb.find("m:sheets", _NS)):
             target = targets[sh.get(_REL)].lstrip("/")
-            target = target if target.startswith("xl/") else f"xl/{target}"
-            name = sh.get("name")
-            with z.open(target) as part:
-                for _, node in ET.iterparse(part):
-                    if node.tag == _ROW:
-                        node.clear()
-                    if node.tag != _C:
-                        continue
-                    m = _REF.match(node.get("r", ""))
-                    kind, value = node.get("t"), None
-                    for child in node:
-                        if kind == "inlineStr" and child.tag == _IS:
-                            value = _text(child)
-                        elif child.tag == _V:
-                            value = child.text
-                            if kind == "s" and value is not None:
-                                value = shared[int(value)]
-                    if m and value:
-                        if kind in (None, "n") and int(node.get("s", 0)) in dates:
-                            value = serial_date(value, since_1904)
-                        yield name, sheet_idx, int(m.group(2)) - 1, _col_index(m.group(1)), value
+            with z.open(target if target.startswith("xl/") else f"xl/{target}") as part:
+                for row_idx, values in _sheet_rows(part, lambda c: _cell_text(c, shared, shown, since_1904)):
+                    yield sh.get("name"), sheet_idx, row_idx, values
+
+
+def _sheet_rows(part, text):
+    """(row index, values) of each filled row; rows and cells without a position follow the one before."""
+    data, at, column, values = None, -1, -1, []
+    for event, node in ET.iterparse(part, ("start", "end")):
+        if event == "start":
+            if node.tag == _DATA:
+                data = node
+            elif node.tag == _ROW:
+                at = int(node.get("r")) - 1 if node.get("r") else at + 1
+                column, values = -1, []
+        elif node.tag == _C and data is not None:
+            m = _REF.fullmatch(node.get("r", ""))
+            column = _col_index(m.group(1)) if m else column + 1
+            value = text(node)
+            if value is not None:
+                values += [None] * (column + 1 - len(values))
+                values[column] = value
+        elif node.tag == _ROW and data is not None:
+            data.clear()
+            if values:
+                yield at, values
 
 
 class WorkbookDataSource(DataSource):
@@ -135,7 +159,7 @@ class WorkbookDataSource(DataSource):
         return "workbook"
 
     def schema(self):
-        return CELL_SCHEMA
+        return ROW_SCHEMA
 
     def reader(self, schema):
         return _WorkbookReader(self.options)
@@ -149,31 +173,29 @@ class _WorkbookReader(DataSourceReader):
         return [InputPartition(p) for p in self.paths]
 
     def read(self, partition):
-        """Arrow record batches of cells (no per-row conversion in Spark)."""
+        """Arrow record batches of rows (no per-row conversion in Spark)."""
         import pyarrow as pa
 
-        path = name = partition.value
         schema = pa.schema([("file", pa.string()), ("sheet", pa.string()), ("sheet_idx", pa.int32()),
-                            ("row_idx", pa.int32()), ("col_idx", pa.int32()), ("value", pa.string())])
-        cols: list[list] = [[], [], [], [], []]
+                            ("row_idx", pa.int32()), ("values", pa.list_(pa.string()))])
+        rows, cells = [], 0
 
         def batch():
-            n = len(cols[0])
-            return pa.RecordBatch.from_arrays(
-                [pa.array([name] * n, pa.string())] + [pa.array(v, t.type) for v, t in zip(cols, list(schema)[1:])],
-                schema=schema)
-
-        for cell in iter_cells(path):
-            for acc, v in zip(cols, cell):
-                acc.append(v)
-            if len(cols[0]) >= _BATCH_CELLS:
+            columns = [[partition.value] * len(rows), *map(list, zip(*rows))]
+            return pa.RecordBatch.from_arrays([pa.array(v, t.type) for v, t in zip(columns, schema)], schema=schema)
+
+        for row in iter_rows(partition.value):
+            rows.append(row)
+            cells += len(row[-1])
+            if cells >= _BATCH_CELLS:
                 yield batch()
-                cols = [[], [], [], [], []]
-        if cols[0]:
+                rows, cells = [], 0
+        if rows:
             yield batch()
 
 
-def read_cells(spark: SparkSession, paths: list[str]) -> DataFrame:
+def read_rows(spark: SparkSession, paths: list[str]) -> DataFrame:
+    """``(file, sheet, sheet_idx, row_idx, values)``, a row for each filled sheet row."""
     for p in paths:
         if not p.lower().endswith((".xlsx", ".xlsm")):
             raise ValueError(f"unsupported workbook type: {p}")
@@ -181,18 +203,25 @@ def read_cells(spark: SparkSession, paths: list[str]) -> DataFrame:
     return spark.read.format("workbook").option("paths", "\n".join(paths)).load()
 
 
-def header_rows(cells: DataFrame) -> DataFrame:
+def read_cells(spark: SparkSession, paths: list[str]) -> DataFrame:
+    """``(file, sheet, sheet_idx, row_idx, col_idx, value)`` of the filled cells."""
+    rows = read_rows(spark, paths)
+    return rows.select("file", "sheet", "sheet_idx", "row_idx", F.posexplode("values").alias("col_idx", "value")).where("value IS NOT NULL")
+
+
+def header_rows(rows: DataFrame) -> DataFrame:
     """S3: ``(file, sheet, header_row)``.
 
     A header candidate "looks like a title" when the sheet has at least 3
     columns and the row right under the candidate holds exactly one filled
     cell. Row 0 is kept unless it looks like that; then rows 1, 2, 3 are
     tried in order and the first that does not is the header, else row 0.
+    One aggregate, combined before its shuffle of a row for each sheet and task.
     """
-    per_row = cells.where(F.col("row_idx") <= 4).groupBy("file", "sheet", "row_idx").agg(F.count(F.lit(1)).alias("filled"))
-    sheets = cells.groupBy("file", "sheet").agg((F.max("col_idx") + 1).alias("ncols"), F.max("row_idx").alias("last_row"))
-    wide = per_row.groupBy("file", "sheet").pivot("row_idx", list(range(5))).agg(F.first("filled"))
-    s = sheets.join(wide, ["file", "sheet"], "left")
+    filled = F.size(F.array_compact("values"))
+    s = rows.groupBy("file", "sheet").agg(
+        F.max(F.size("values")).alias("ncols"), F.max("row_idx").alias("last_row"),
+        *[F.max(F.when(F.col("row_idx") == i, filled)).alias(str(i)) for i in range(1, 5)])
 
     def titled(h: int):
         return (F.col("ncols") >= 3) & (F.col("last_row") > h) & (F.coalesce(F.col(str(h + 1)), F.lit(0)) == 1)
@@ -206,23 +235,24 @@ def header_rows(cells: DataFrame) -> DataFrame:
 def read_workbooks(spark: SparkSession, paths: list[str], catalog: Catalog = DEFAULT_CATALOG):
     """S2 + S3 + S6 + S7: workbooks → standard raw frame and column mapping.
 
-    The long cells are written once (Python parses each workbook once;
-    header detection, header mapping and the pivot all read that table).
+    The sheet rows are written once (Python parses each workbook once). From
+    them come the header rows and the layout of each sheet, a row for each
+    sheet; the records are one projection of the written rows.
     """
-    cells = materialize(read_cells(spark, paths), "workbook-cells")
-    hdr = header_rows(cells)
-    cells = cells.join(hdr, ["file", "sheet"])
-    headers = cells.where(F.col("row_idx") == F.col("header_row")).select(
-        F.concat_ws("#", "file", "sheet").alias("source"), F.col("col_idx").alias("pos"), F.col("value").alias("header"))
-    mapping = map_columns(headers, catalog)
-    targets = mapping.where(F.col("status") == "matched").select("source", "pos", "target")
-    data = cells.where(F.col("row_idx") > F.col("header_row")).withColumn("source", F.concat_ws("#", "file", "sheet"))
-    data = data.join(targets, (data["source"] == targets["source"]) & (data["col_idx"] == targets["pos"]))
-    rows = data.groupBy("file", "sheet", "sheet_idx", "row_idx").agg(
-        *[F.max(F.when(F.col("target") == t, F.col("value"))).alias(t) for t in catalog.standard_columns])
-    rows = rows.withColumn("_seq", F.struct("file", "sheet_idx", "row_idx")).withColumn(
-        "_source_file", F.element_at(F.split("file", "/"), -1)).withColumnRenamed("sheet", "_source_sheet").drop("file")
-    return to_standard(rows, catalog, seq_col="_seq"), mapping
+    rows = materialize(read_rows(spark, paths), "workbook-rows")
+    source = F.concat_ws("#", "file", "sheet").alias("source")
+    heads = header_rows(rows)
+    at_head = rows.where("row_idx <= 3").join(heads.withColumnRenamed("header_row", "row_idx"), ["file", "sheet", "row_idx"])
+    headers = at_head.select(source, F.posexplode("values").alias("pos", "header")).where("header IS NOT NULL")
+    mapping = materialize(map_columns(headers, catalog), "workbook-layouts")  # a row for each column of a sheet
+    places = mapping.where(F.col("status") == "matched").groupBy("source").agg(
+        *[F.max(F.when(F.col("target") == t, F.col("pos"))).alias(f"_{t}") for t in catalog.standard_columns])
+    sheets = heads.select("file", "sheet", "header_row", source).join(places, "source").drop("source")
+    records = rows.join(sheets, ["file", "sheet"]).where(F.col("row_idx") > F.col("header_row")).select(
+        F.struct("file", "sheet_idx", "row_idx").alias("_seq"), F.element_at(F.split("file", "/"), -1).alias("_source_file"),
+        F.col("sheet").alias("_source_sheet"), *[F.get("values", F.col(f"_{t}")).alias(t) for t in catalog.standard_columns])
+    records = records.where(F.coalesce(*catalog.standard_columns).isNotNull())
+    return to_standard(records, catalog, seq_col="_seq"), mapping
 
 
 # ------------------------------------------------------------- writing ----
@@ -242,13 +272,41 @@ def _col_letters(i: int) -> str:
     return s
 
 
-def xlsx_bytes_to(target, sheets: list[tuple[str, list[list[str | None]]]]) -> None:
-    """Write a minimal workbook: inline-string cells, empty cells left out."""
+#: Styles of typed cells: text, amounts, dates.
+_FORMATS = ["General", "#,##0.00;[Red]-#,##0.00", "[$-804]yyyy\\-mm\\-dd"]
+_AMOUNT, _DAY = re.compile(r"-?(?:0|[1-9][0-9]{0,13})(?:\.[0-9]{1,6})?"), re.compile(r"(19[1-9][0-9]|20[0-9]{2})-(0[1-9]|1[0-2])-(0[1-9]|[12][0-9]|3[01])")
+
+
+def _typed(v: str) -> str | None:
+    """Style and value of a cell that holds an amount or a day; None for other text."""
+    if _AMOUNT.fullmatch(v):
+        return f' s="1"><v>{v}</v></c>'
+    if m := _DAY.fullmatch(v):
+        import datetime as dt
+        try:
+            return f' s="2"><v>{(dt.date(*map(int, m.groups())) - dt.date(1899, 12, 30)).days}</v></c>'
+        except ValueError:
+            return None
+    return None
+
+
+def xlsx_bytes_to(target, sheets: list[tuple[str, list[list[str | None]]]], typed: bool = False, positions: bool = True) -> None:
+    """Write a minimal workbook: inline strings, empty cells left out.
+
+    With ``typed``, amounts and days are numbers with a format. Without ``positions``, rows and cells
+    don't say where they stand, and empty cells are written.
+    """
     from xml.sax.saxutils import escape
 
     def attr(v: str) -> str:
         return escape(v, {'"': "&quot;"})
 
+    def cell(r: int, c: int, v: str | None) -> str:
+        at = f' r="{_col_letters(c)}{r + 1}"' if positions else ""
+        if v is None or v == "":
+            return "" if positions else "<c/>"
+        return f"<c{at}" + (typed and _typed(v) or f' t="inlineStr"><is><t xml:space="preserve">{escape(v)}</t></is></c>')
+
     with zipfile.ZipFile(target, "w", zipfile.ZIP_DEFLATED) as z:
         z.writestr("[Content_Types].xml",
                    '<?xml version="1.0"?><Types xmlns="http://schemas.openxmlformats.org/package/2006/content-types"/>')
@@ -259,13 +317,14 @@ def xlsx_bytes_to(target, sheets: list[tuple[str, list[list[str | None]]]]) -> N
         z.writestr("xl/_rels/workbook.xml.rels",
                    '<?xml version="1.0"?><Relationships xmlns="http://schemas.openxmlformats.org/package/2006/relationships">'
                    f"{rels}</Relationships>")
+        own = "".join(f'<numFmt numFmtId="{164 + i}" formatCode="{attr(code)}"/>' for i, code in enumerate(_FORMATS) if i)
+        styles = "".join(f'<xf numFmtId="{164 + i if i else 0}"/>' for i in range(len(_FORMATS)))
+        z.writestr("xl/styles.xml", f'<?xml version="1.0"?><styleSheet {_SHEET_NS}><numFmts>{own}</numFmts><cellXfs>{styles}</cellXfs></styleSheet>')
         for i, (_, rows) in enumerate(sheets):
             parts = [f'<?xml version="1.0"?><worksheet {_SHEET_NS}><sheetData>']
             for r, row in enumerate(rows):
-                cells = "".join(
-                    f'<c r="{_col_letters(c)}{r + 1}" t="inlineStr"><is><t xml:space="preserve">{escape(v)}</t></is></c>'
-                    for c, v in enumerate(row) if v is not None and v != "")
-                parts.append(f'<row r="{r + 1}">{cells}</row>')
+                cells = "".join(cell(r, c, v) for c, v in enumerate(row))
+                parts.append(f'<row r="{r + 1}">{cells}</row>' if positions else f"<row>{cells}</row>")
             parts.append("</sheetData></worksheet>")
             z.writestr(f"xl/worksheets/sheet{i + 1}.xml", "".join(parts))
 
@@ -273,13 +332,14 @@ def xlsx_bytes_to(target, sheets: list[tuple[str, list[list[str | None]]]]) -> N
 def write_workbooks(df: DataFrame, path: str, layouts: dict[str, tuple[list[str], list[str]]],
                     group_col: str, block_col: str, order_col: str = "_seq",
                     extra_sheets: dict[str, list[tuple[str, list[list[str | None]]]]] | None = None,
-                    data_sheet: dict[str, str] | None = None) -> list[str]:
+                    data_sheet: dict[str, str] | None = None, typed: bool = False, bare: tuple[str, ...] = ()) -> list[str]:
     """Write ``df`` as workbooks, one per ``(group, block)``; returns the paths.
 
     ``layouts[group] = (columns, headers)``: which columns go to the data
     sheet, under which header texts. ``extra_sheets[group]`` are added after
     the data sheet. Rows keep ``order_col`` order inside a workbook, and file
-    names sort like ``(group, block)``. The caller bounds a block's size.
+    names sort like ``(group, block)``. The caller bounds a block's size. With
+    ``typed``, amounts and days are numbers; groups of ``bare`` leave out positions.
     """
     extra_sheets = extra_sheets or {}
     data_sheet = data_sheet or {}
@@ -308,7 +368,7 @@ def write_workbooks(df: DataFrame, path: str, layouts: dict[str, tuple[list[str]
             rows = [list(headers)] + body.where(body.notna(), None).values.tolist()
             name = f"{g}-{b:012d}.xlsx"
             buf = io.BytesIO()
-            xlsx_bytes_to(buf, [(data_sheet.get(g, "Sheet1"), rows)] + list(extra_sheets.get(g, [])))
+            xlsx_bytes_to(buf, [(data_sheet.get(g, "Sheet1"), rows)] + list(extra_sheets.get(g, [])), typed, g not in bare)
             # write under an attempt-specific name, then move into place: a
             # retried or speculative attempt never exposes a partial file
             tmp = f"{root}/_attempts/{name}.{attempt}"

@@ -147,7 +147,7 @@ def workbook_inputs(spark: SparkSession, sf_dir: str) -> list[str]:
         _MEMO[k] = write_workbooks(
             df, scratch_path(spark, "xlsx"), layouts, "_grp", "_blk",
             extra_sheets={"a": [(WORKBOOK_COVER_SHEET, WORKBOOK_COVER), (WORKBOOK_NOTES_SHEET, notes)]},
-            data_sheet={"a": WORKBOOK_DATA_SHEET, "b": WORKBOOK_PLAIN_SHEET})
+            data_sheet={"a": WORKBOOK_DATA_SHEET, "b": WORKBOOK_PLAIN_SHEET}, typed=True, bare=("b",))
     return list(_MEMO[k])  # type: ignore[arg-type]
 
 
