@@ -3,8 +3,8 @@
 * Charset: a file is UTF-8 if all its lines are valid UTF-8, else GBK; a file
   that is neither fails.
 * Cells: doubled quotes stand for a quote, quoted cells may hold line breaks.
-  A file in which some line has an odd number of quotes is read as one piece
-  (such records cannot be cut at line ends); all others are split.
+  Files in which some line has an odd number of quotes are cut into records by
+  ``records``, all others at line ends; both in parallel.
 * Header: the first record of each file. Files are identified by their full
   path and read in groups of equal header, charset and cutting; headers are
   mapped once for each distinct layout, and the groups ``unionByName``-ed.
@@ -26,17 +26,14 @@ from pyspark.sql import functions as F
 from ..catalog import DEFAULT_CATALOG, Catalog
 from ..operators.clean import to_standard
 from .headers import map_columns
-
-#: Lines that a header record may span.
-_HEADER_LINES = 50
-
+from .records import ends_open, read_records
 
 @dataclass
 class FileInfo:
     path: str
     header: str
     charset: str
-    whole: bool  # records go over line ends
+    broken: bool  # records may go over line ends
 
 
 def _decoded(raw: bytes, charset: str) -> str:
@@ -56,24 +53,36 @@ def inspect_files(spark: SparkSession, paths: list[str]) -> list[FileInfo]:
     start = F.when(F.col("bs") == 0, F.col("id"))
     gbk = F.when(~F.col("ok"), F.decode("raw", "GBK").contains("\ufffd"))  # fails, or marks what GBK cannot read
     found = lines.groupBy("path").agg(F.min_by("raw", start).alias("header"), F.min(start).alias("first"), F.min("ok").alias("ok"),
-                                      F.max("odd").alias("whole"), F.max(gbk).alias("bad")).orderBy("path").collect()
+                                      F.max("odd").alias("broken"), F.max(gbk).alias("bad")).orderBy("path").collect()
     if bad := [r["path"] for r in found if r["bad"]]:
         raise ValueError(f"neither UTF-8 nor GBK: {bad[0]}")
     out = []
     for r in found:
         charset = "UTF-8" if r["ok"] else "GBK"
         header = _decoded(bytes(r["header"] or b""), charset)
-        if header.count('"') % 2:  # the header record goes on
-            more = lines.where((F.col("path") == r["path"]) & (F.col("bs") == 0) & (F.col("id") < r["first"] + _HEADER_LINES)).orderBy("id")
-            header = ""
-            for line in more.select("raw").collect():
-                header += _decoded(bytes(line["raw"]), charset) + "\n"
-                if header.count('"') % 2 == 0:
-                    break
-        out.append(FileInfo(r["path"], header.rstrip("\n"), charset, bool(r["whole"])))
+        if ends_open(bytes(r["header"] or b""), False):
+            header = _decoded(_long_header(lines, r["path"]), charset)
+        out.append(FileInfo(r["path"], header.rstrip("\r\n"), charset, bool(r["broken"])))
     return out
 
 
+def _long_header(lines: DataFrame, path: str) -> bytes:
+    """The first record of a file whose first line ends inside a quoted cell, read on until that cell closes."""
+    own = lines.where((F.col("path") == path)).orderBy("bs", "id").select("raw")
+    most = 64
+    while True:
+        got, is_open = b"", False
+        rows = own.limit(most).collect()
+        for line in rows:
+            got += bytes(line["raw"]) + b"\n"
+            is_open = ends_open(bytes(line["raw"]), is_open)
+            if not is_open:
+                return got
+        if len(rows) < most:
+            raise ValueError(f"a quote in the header is never closed: {path}")
+        most *= 8
+
+
 def split_header(record: str) -> list[str]:
     return next(csv.reader([record] if "\n" not in record else record.splitlines(keepends=True)), []) if record else []
 
@@ -98,6 +107,25 @@ class IngestResult:
     empty_sources: list[str]  # paths without any known column
 
 
+_CELLS = {"quote": '"', "escape": '"'}
+
+
+def _line_cells(spark: SparkSession, paths: list[str], charset: str) -> DataFrame:
+    """``(cells, path, _seq)`` of files whose records end at line ends."""
+    df = spark.read.options(**_CELLS, header=True, encoding=charset, inferSchema=False).csv(paths)
+    return df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("cells"), F.col("_metadata.file_name").alias("path"), input_order().alias("_seq"))
+
+
+def _broken_cells(spark: SparkSession, paths: list[str], charset: str, width: int) -> DataFrame:
+    """``(cells, path, _seq)`` of files with line breaks in quoted cells."""
+    rows = read_records(spark, paths).where("NOT (block = 0 AND row = 0)")
+    text = F.decode("record", charset)
+    # where lines end in \r\n, so do those inside cells, which Spark's reader makes \n
+    text = F.when(text.endswith("\r"), F.regexp_replace(F.regexp_replace(text, r"\r\z", ""), "\r\n", "\n")).otherwise(text)
+    cells = F.from_csv(text, ", ".join(f"c{i} string" for i in range(width)), {**_CELLS, "multiLine": "true"})
+    return rows.where(F.length(F.btrim(text)) > 0).select(cells.alias("cells"), "path", F.struct("path", "block", "row").alias("_seq"))
+
+
 def read_delimited(spark: SparkSession, paths: list[str], catalog: Catalog = DEFAULT_CATALOG) -> IngestResult:
     """S1 + S6 + S7: read every file, map headers, union in standard shape."""
     spark.conf.set("spark.sql.legacy.javaCharsets", "true")  # GBK is none of Spark's own charsets
@@ -109,18 +137,16 @@ def read_delimited(spark: SparkSession, paths: list[str], catalog: Catalog = DEF
         targets.setdefault(layouts[int(r["source"])], {})[r["pos"]] = r["target"]
     groups: dict[tuple[str, str, bool], list[str]] = {}
     for f in files:
-        groups.setdefault((f.header, f.charset, f.whole), []).append(f.path)
+        groups.setdefault((f.header, f.charset, f.broken), []).append(f.path)
     frames, empty = [], []
-    for (header, charset, whole), group in groups.items():
+    for (header, charset, broken), group in groups.items():
         if header not in targets:
             empty += group
             continue
-        df = (spark.read.option("header", True).option("encoding", charset).option("inferSchema", False).option("quote", '"').option("escape", '"')
-              .option("multiLine", whole).csv(group))
-        cols = df.columns
-        df = df.select(*[F.col(f"`{cols[i]}`").alias(t) for i, t in sorted(targets[header].items()) if i < len(cols)],
-                       input_order().alias("_seq"), F.col("_metadata.file_name").alias("_source_file"),
-                       F.regexp_replace(F.col("_metadata.file_name"), r"\.[^.]*$", "").alias("_source_sheet"))
+        df = _broken_cells(spark, group, charset, len(split_header(header))) if broken else _line_cells(spark, group, charset)
+        df = df.select(*[F.col(f"cells.`{df.schema['cells'].dataType.names[i]}`").alias(t) for i, t in sorted(targets[header].items()) if i < len(df.schema["cells"].dataType)],
+                       "_seq", F.element_at(F.split("path", "/"), -1).alias("_source_file"))
+        df = df.withColumn("_source_sheet", F.regexp_replace("_source_file", r"\.[^.]*$", ""))
         frames.append(to_standard(df, catalog, seq_col="_seq"))
     if not frames:
         frames = [spark.createDataFrame([], catalog.raw_schema())]
