@@ -33,7 +33,7 @@ import public_tokenizers
 import regex
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from lossframe.llm.common import table
+from lossframe.llm.common import slices, table
 
 #: Words in each of the two generations of encodings that a worker remembers, and a quarter of the pairs.
 CACHE = 150_000
@@ -250,10 +250,9 @@ def encode(docs: DataFrame, path: str) -> DataFrame:
     @F.pandas_udf("array<int>")
     def ids(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         bpe = _bpe(path)
-        for part in texts:
+        for part in slices(texts):
             yield pd.Series([[int(i) for i in bpe.encoded(t)[0].split()] for t in part], dtype=object)
 
-    docs.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
     return docs.select("doc_id", ids("text").alias("ids"))
 
 
@@ -275,11 +274,10 @@ def digests(docs: DataFrame, path: str) -> DataFrame:
     @F.pandas_udf("n_tokens long, ids_sha256 string, decoded_sha256 string")
     def of(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         bpe, sha = _bpe(path), lambda s: hashlib.sha256(s.encode()).hexdigest()
-        for part in texts:
+        for part in slices(texts):
             rows = [(n, sha(ids), sha(said)) for ids, n, said in map(bpe.encoded, part)]
             yield pd.DataFrame(rows, columns=["n_tokens", "ids_sha256", "decoded_sha256"])
 
-    docs.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
     return docs.select("doc_id", of("text").alias("t")).select("doc_id", "t.*")
 
 

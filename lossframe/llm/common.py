@@ -6,6 +6,7 @@ import atexit
 import shutil
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
@@ -52,5 +53,12 @@ def crc_mod(doc_id: Column, n: int) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % n, F.lit(0))
 
 
+def slices(parts: Iterator, rows: int = 1000) -> Iterator:
+    """Series or frames of at most ``rows`` rows, from batches that Spark ends by bytes and rows."""
+    for part in parts:
+        for at in range(0, len(part), rows):
+            yield part.iloc[at:at + rows].reset_index(drop=True)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

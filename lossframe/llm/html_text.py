@@ -42,7 +42,7 @@ from functools import lru_cache
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from lossframe.llm.common import table
+from lossframe.llm.common import slices, table
 
 MAX_PAGES = 120
 TEMPLATES = 420
@@ -463,7 +463,7 @@ def extracted(pages: DataFrame, model: TreeModel) -> DataFrame:
 
     @F.pandas_udf("string")
     def text(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for part in parts:
+        for part in slices(parts):
             yield pd.Series([shared.value.main_text(x) for x in part], dtype=object)
 
     return pages.select("page_id", "url", text("html").alias("text")).withColumn("n_chars", F.char_length("text").cast("long"))

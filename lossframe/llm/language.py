@@ -33,7 +33,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from lossframe.llm.common import crc_mod, table
+from lossframe.llm.common import crc_mod, slices, table
 
 DOCS_PER_LANG = 1000
 _SLAB = 1 << 20
@@ -143,10 +143,9 @@ def trained(docs: DataFrame, docs_per_lang: int = DOCS_PER_LANG, held_out: int =
         return None
     chosen = F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 20)) < F.col("rate") * (1 << 20)
     sample = known.filter(F.col("text").isNotNull()).join(F.broadcast(sizes), "lang").filter(chosen).select("lang", "text")
-    docs.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
 
     def count(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for part in parts:
+        for part in slices(parts):
             for lang, texts in part.groupby("lang")["text"]:
                 found = [_grams(symbols(t), _SYMBOLS) for t in texts]
                 gram, n = np.unique(np.concatenate(found), return_counts=True)
@@ -171,7 +170,7 @@ def identified(docs: DataFrame, model: Ppm | None) -> DataFrame:
     @F.pandas_udf("lang_pred string, score double")
     def predict(parts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         ppm = shared.value
-        for part in parts:
+        for part in slices(parts):
             known = part.notna().to_numpy()
             bits = ppm.bits(part[known].tolist())
             best = bits.argmin(axis=1)
@@ -181,7 +180,6 @@ def identified(docs: DataFrame, model: Ppm | None) -> DataFrame:
             out.loc[known, "score"] = 1 / odds.sum(axis=1)
             yield out
 
-    docs.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
     predict = predict.asNondeterministic()  # else a filter on its result would run it twice
     lettered = F.when(F.col("doc.text").rlike(r"\p{L}"), F.col("doc.text"))
     return rows.select("doc", predict(lettered).alias("p")).select("doc", "p.*")

@@ -37,7 +37,7 @@ import sentencepiece
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from lossframe.llm.bpe import CACHE, Automaton, Words
-from lossframe.llm.common import table
+from lossframe.llm.common import slices, table
 
 SPACE = "▁"
 #: What the unknown id decodes to.
@@ -224,7 +224,7 @@ def encode(docs: DataFrame, path: str) -> DataFrame:
     @F.pandas_udf("array<int>")
     def ids(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         model = _pieces(path)
-        for part in texts:
+        for part in slices(texts):
             yield pd.Series([[int(i) for i in model.encoded(t)[0].split()] for t in part], dtype=object)
 
     return docs.select("doc_id", ids("text").alias("ids"))
@@ -248,7 +248,7 @@ def digests(docs: DataFrame, path: str) -> DataFrame:
     @F.pandas_udf("n_tokens long, ids_sha256 string, decoded_sha256 string")
     def of(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         model, sha = _pieces(path), lambda s: hashlib.sha256(s.encode()).hexdigest()
-        for part in texts:
+        for part in slices(texts):
             rows = [(n, sha(ids), sha(said)) for ids, n, said in map(model.encoded, part)]
             yield pd.DataFrame(rows, columns=["n_tokens", "ids_sha256", "decoded_sha256"])
 

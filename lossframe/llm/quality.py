@@ -148,10 +148,13 @@ def fitted(x: np.ndarray, y: np.ndarray, names: list[str], seed: int = 7) -> Rul
 
 
 def sample(docs: DataFrame, labels: DataFrame, label: str, mod: int, held_out: int, most: int) -> DataFrame:
-    """(doc_id, text, y) of at most ``most`` labelled documents outside the held-out part; the chosen ids are what is broadcast."""
+    """(doc_id, text, y) of at most ``most`` labelled documents outside the held-out part; the chosen ids are what is broadcast.
+
+    One row for each chosen id: of several labels the lowest, of several texts the first in order.
+    """
     chosen = (labels.filter(F.col(label).isNotNull() & F.col("doc_id").isNotNull() & (crc_mod(F.col("doc_id"), mod) != held_out))
-              .select("doc_id", F.col(label).cast("double").alias("y")).orderBy(F.xxhash64("doc_id"), "doc_id", "y").limit(most))
-    return docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
+              .groupBy("doc_id").agg(F.min(F.col(label).cast("double")).alias("y")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most))
+    return docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "y").agg(F.min("text").alias("text"))
 
 
 def trained(docs: DataFrame, labels: DataFrame) -> Rules:

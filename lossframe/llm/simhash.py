@@ -36,7 +36,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from lossframe.llm.common import small_side, table, written
+from lossframe.llm.common import slices, small_side, table, written
 from lossframe.llm.components import components
 
 BLOCK = 1024
@@ -68,10 +68,9 @@ def fingerprints(docs: DataFrame, shingle: int = 4) -> DataFrame:
 
     @F.pandas_udf("long")
     def of(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for part in texts:
+        for part in slices(texts):
             yield pd.Series([fingerprint(t, shingle) for t in part], dtype="int64")
 
-    docs.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
     rows = docs.select(F.monotonically_increasing_id().alias("row_id"), F.col("doc_id"),
                        F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"))
     return written(rows.withColumn("fp", of("doc.text")), "simhash-rows")

@@ -28,7 +28,7 @@ import pandas as pd
 import xxhash
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from lossframe.llm.common import crc_mod, table
+from lossframe.llm.common import crc_mod, slices, table
 from lossframe.llm.quality import sample
 
 WINDOW, STRIDE = 32, 16
@@ -331,10 +331,9 @@ def scored(docs: DataFrame, model: BiGru | float) -> DataFrame:
     @F.pandas_udf("double")
     def score(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         scorer = Scorer(shared.value)
-        for part in parts:
+        for part in slices(parts):
             yield pd.Series(scorer.scores(part.tolist()))
 
-    docs.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
     return docs.select("doc_id", score("text").alias("score"))
 
 
