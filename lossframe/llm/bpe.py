@@ -82,14 +82,14 @@ class Automaton:
 class Words(dict):
     """What ``make`` gives for a word; two generations, so that frequent words stay known."""
 
-    def __init__(self, make):
-        self.make, self.old = make, {}
+    def __init__(self, make, most: int = CACHE):
+        self.make, self.most, self.old = make, most, {}
 
     def __missing__(self, word: str) -> str:
         got = self.old.get(word)
         if got is None:
             got = self.make(word)
-        if len(self) >= CACHE:
+        if len(self) >= self.most:
             self.old = dict(self)
             self.clear()
         if len(word) <= 64:

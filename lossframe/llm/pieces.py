@@ -40,6 +40,8 @@ from lossframe.llm.bpe import CACHE, Automaton, Words
 from lossframe.llm.common import slices, table
 
 SPACE = "▁"
+#: Stretches in each of the two generations that a worker remembers; about 350 bytes each.
+KNOWN = 400_000
 #: What the unknown id decodes to.
 _UNKNOWN = " ⁇ "
 
@@ -63,6 +65,7 @@ class Pieces:
         self.score = {self.piece[i]: model.get_score(i) for i in own}
         self.starts = Automaton((p[::-1], (len(p), i)) for p, i in self.id.items())
         self.said = [_UNKNOWN if i == self.unknown else "" if i in self.control else self.piece[i].replace(SPACE, " ") for i in ids]
+        self.number = [str(i) for i in ids]
         self.fits: dict[int, bool] = {}
         # Letters that stand side by side in a piece are of one class; no piece crosses from one class to another, nor to a space mark.
         kind: dict[str, str] = {}
@@ -83,7 +86,7 @@ class Pieces:
             classes.setdefault(root(c), []).append(c)
         runs = "|".join(f"[{re.escape(''.join(own))}]+" for own in sorted(classes.values(), key=len, reverse=True)) or "(?!)"
         self.stretch = re.compile(f"{runs}|." if inner else f"{SPACE}*(?:{runs})|{SPACE}+|.", re.S)
-        self.known = Words(self._both)
+        self.known = Words(self._both, KNOWN)
 
     def merged(self, text: str) -> list[str]:
         """Merging by score, of equal ones the leftmost first: for the short texts of two pieces."""
@@ -161,13 +164,14 @@ class Pieces:
 
     def _both(self, stretch: str) -> tuple[str, str]:
         ids = self.ids(stretch)
-        return " ".join(map(str, ids)), self._joined(ids)
+        return " ".join([self.number[i] for i in ids]), self._joined(ids)
 
     def encoded(self, text: str | None) -> tuple[str, int, str]:
         """(ids joined by spaces with the end id last, their number, decoded text)."""
-        parts = [self.known[x] for x in self.stretch.findall(SPACE + text.replace(" ", SPACE))] if text else []
-        joined = " ".join([*[ids for ids, _ in parts], str(self.end)])
-        said = "".join([x for _, x in parts])
+        if not text:
+            return self.number[self.end], 1, ""
+        ids, parts = zip(*map(self.known.__getitem__, self.stretch.findall(SPACE + text.replace(" ", SPACE))))
+        joined, said = f"{' '.join(ids)} {self.end}", "".join(parts)
         return joined, joined.count(" ") + 1, said[1:] if said[:1] == " " else said
 
     def _joined(self, ids: list[int]) -> str:
