@@ -17,8 +17,9 @@ C22 audit table (one aggregate)      C23 ``clean`` = all of the above
 
 Row-local steps are one projection of native expressions. Whole-frame
 dependencies (which metrics were reported at all, per-type quartiles) come
-from one histogram aggregate that is range-partitioned and checkpointed;
-see ``quantiles.py``. Filters from later analyses never move below this
+from two aggregates over the parsed metric columns; see ``quantiles.py``.
+Written are the parsed rows and, by the caller, the cleaned ones; the flags
+of each step are projections of the parsed rows and the bounds. Filters from later analyses never move below this
 chain: quartiles, the reported-metric set and keep-first depend on the
 whole frame.
 """
@@ -33,11 +34,12 @@ from pyspark.sql import functions as F
 from ..catalog import DEFAULT_CATALOG, OTHER_CATEGORY, Catalog
 from ..functions import exprs as X
 from ..session import materialize
-from .quantiles import quantiles_from_ranked, rank_histogram
+from .quantiles import column_quantiles
 
 DATE_FIELD = "occur_date"
 TYPE_FIELD = "disaster_type"
-_ROWS = "__rows__"  # pseudo metric carrying group sizes through the histogram
+#: Repeated keys that may be broadcast: about 100 bytes each.
+BROADCAST_KEYS = 500_000
 
 
 # ------------------------------------------------------------ raw shape ----
@@ -146,34 +148,27 @@ class FrameStats:
 
 
 def frame_stats(parsed: DataFrame, catalog: Catalog = DEFAULT_CATALOG, kept: Column | None = None) -> FrameStats:
-    """One histogram pass for the whole-frame facts the chain needs.
+    """The whole-frame facts the chain needs, from two passes over the metric columns.
 
-    ``(type, metric, value) → (rows kept, non-null count)`` over the filled,
-    low-clamped values; range-partitioned and checkpointed once. From it:
-    the reported-metric set, group sizes and exact per-type quartiles.
+    The first aggregate counts each type's rows and each metric's reported
+    values and sketches the filled, low-clamped values of the rows kept; the
+    second finds the exact quartiles inside the sketches' brackets.
     """
     rules = catalog.rules
     kept = kept if kept is not None else F.lit(True)
     type_col = F.coalesce(F.col(TYPE_FIELD), F.lit(OTHER_CATEGORY))
-    entries = [F.struct(F.lit(_ROWS).alias("m"), F.lit(0.0).alias("v"), F.lit(0).alias("nn"))]
-    for m in catalog.metric_names:
-        v = _low_clamped(catalog, m, _filled(catalog, m))
-        entries.append(F.struct(F.lit(m).alias("m"), v.alias("v"), F.col(m).isNotNull().cast("int").alias("nn")))
-    long = parsed.select(type_col.alias("t"), kept.cast("int").alias("k"), F.inline(F.array(*entries)))
-    hist = long.groupBy("t", "m", "v").agg(F.sum("k").cast("long").alias("_c"), F.sum("nn").cast("long").alias("_nn"))
-    ranked = rank_histogram(hist, ["t", "m"], "v")
-
-    reported_rows = ranked.where(F.col("m") != _ROWS).groupBy("m").agg(F.sum("_nn").alias("nn")).collect()
-    has_values = {r["m"] for r in reported_rows if r["nn"] and r["nn"] > 0}
-    reported = [m for m in catalog.metric_names if m in has_values]
-
     outlier = rules.get("outlier", {})
+    counts = [F.count(m).alias(f"_nn_{m}") for m in catalog.metric_names]
+    rows = parsed.withColumn("t", type_col)
     if outlier.get("method") != "iqr":
-        return FrameStats(reported, None)
+        return FrameStats(_reported(rows.agg(*counts), catalog), None)
+    values = {m: F.when(kept, _low_clamped(catalog, m, _filled(catalog, m))) for m in catalog.metric_names}
+    qs, groups = column_quantiles(rows, "t", values, [0.25, 0.75], [*counts, F.count_if(kept).alias("size")])
+    reported = _reported(groups.agg(*[F.sum(f"_nn_{m}").alias(f"_nn_{m}") for m in catalog.metric_names]), catalog)
+
     factor = float(outlier.get("iqr_factor", 1.5))
     min_n = int(outlier.get("min_group_size", 8))
-    sizes = ranked.where(F.col("m") == _ROWS).groupBy("t").agg(F.sum("_c").alias("size"))
-    qs = quantiles_from_ranked(ranked.where(F.col("m") != _ROWS), ["t", "m"], "v", [0.25, 0.75])
+    sizes = groups.select("t", "size")
     iqr = F.col("q1") - F.col("q0")
     upper = F.when((F.col("size") >= min_n) & (iqr > 0), F.col("q1") + F.lit(factor) * iqr)
     per_metric = qs.join(sizes, "t").select("t", "m", upper.alias("ub"))
@@ -182,6 +177,12 @@ def frame_stats(parsed: DataFrame, catalog: Catalog = DEFAULT_CATALOG, kept: Col
     return FrameStats(reported, materialize(wide, "iqr-bounds"))
 
 
+def _reported(counts: DataFrame, catalog: Catalog) -> list[str]:
+    """Metrics with at least one value, from one row of their counts."""
+    row = counts.first()
+    return [m for m in catalog.metric_names if row[f"_nn_{m}"]]
+
+
 # ------------------------------------------------------------ the chain ----
 
 def _county_reference(reference: DataFrame | None) -> DataFrame | None:
@@ -215,9 +216,9 @@ class CleanResult:
 def clean(raw: DataFrame, catalog: Catalog = DEFAULT_CATALOG, reference: DataFrame | None = None) -> CleanResult:
     """C1–C23 on a ``to_standard``-shaped frame.
 
-    Writes the parsed rows once, then runs the whole-frame statistics pass
-    eagerly (one histogram job plus small jobs on its checkpoint) over that
-    table; the returned frames are lazy.
+    Writes the parsed rows once, then runs the whole-frame statistics and the
+    search for repeated keys over the columns they need of that table; the
+    returned frames are lazy.
     """
     rules = catalog.rules
     data_cols = [c for c in catalog.standard_columns if c in raw.columns]
@@ -322,32 +323,24 @@ def dedupe_keep_first(df: DataFrame, catalog: Catalog = DEFAULT_CATALOG, order_c
     """One row per business key, the first in input order; null keys
     compare equal.
 
-    ``min_by`` over a struct is aggregated map-side first, so a key with
-    millions of copies reaches the reducer as one row per map task.
+    Only keys and order are aggregated, combined before the shuffle, so a key
+    with millions of copies reaches the reducer as one row per map task. Keys
+    with more than one row are joined back, and all rows but their first go;
+    the rows themselves are shuffled only if those keys are too many to
+    broadcast, and then Spark splits hot ones.
     """
     keys = [k for k in catalog.rules.get("dedupe_on", []) if k in df.columns]
     if not keys:
         return df
-    others = [c for c in df.columns if c not in keys]
-    packed = F.struct(*[F.col(c) for c in others])
-    first = df.groupBy(*keys).agg(F.min_by(packed, F.col(order_col)).alias("_row"))
-    return first.select(*[F.col(k) for k in keys], "_row.*").select(*df.columns)
+    names = [f"_k{i}" for i in range(len(keys))]
+    repeated = materialize(df.select(*[F.col(k).alias(n) for k, n in zip(keys, names)], F.col(order_col).alias("_at"))
+                           .groupBy(*names).agg(F.min("_at").alias("_first"), F.count(F.lit(1)).alias("_copies")).where("_copies > 1").drop("_copies"),
+                           "repeated-keys")
+    if repeated.count() <= BROADCAST_KEYS:
+        repeated = F.broadcast(repeated)
+    same = [F.col(k).eqNullSafe(F.col(n)) for k, n in zip(keys, names)]
+    return df.join(repeated, same, "left").where(F.col("_first").isNull() | (F.col(order_col) == F.col("_first"))).select(*df.columns)
 
 
 def clean_frame(raw: DataFrame, catalog: Catalog = DEFAULT_CATALOG, reference: DataFrame | None = None) -> DataFrame:
     return clean(raw, catalog, reference).frame
-
-
-def materialize_annotated(result: CleanResult) -> CleanResult:
-    """Write the annotated rows (with every step's flags) once and derive
-    the cleaned frame from that table.
-
-    The parse runs once for output (plus the column-pruned stats pass);
-    the audit, issues and per-step views become aggregates over a written
-    table instead of re-running the chain, and executor loss re-reads files.
-    """
-    annotated = materialize(result.annotated, "annotated")
-    cols = [f.name for f in result.catalog.clean_schema().fields]
-    frame = dedupe_keep_first(annotated.where(F.col("_kept")).select(*cols), result.catalog)
-    return CleanResult(frame=frame, annotated=annotated, reported=result.reported, catalog=result.catalog,
-                       raw=result.raw, bounds=result.bounds)
