@@ -39,18 +39,20 @@ class AnalysisResult:
     ignored_filters: list[str]
     columns: list[dict[str, Any]]
     is_structure: bool = False
+    predicate: Column | None = None  # of the filters in force
+    group_fields: list[str] | None = None  # None: the number of groups does not depend on rows,
+    structure: list | None = None          # but is that of these loss groups, or none without metrics
 
     def meta(self) -> DataFrame:
-        """``(key, value)`` rows: rows in, rows after filter, groups."""
-        parts = [
-            self.source.agg(F.count(F.lit(1)).alias("value")).select(F.lit("rows_input").alias("key"), "value"),
-            self.filtered.agg(F.count(F.lit(1)).alias("value")).select(F.lit("rows_after_filter").alias("key"), "value"),
-            self.groups.agg(F.count(F.lit(1)).alias("value")).select(F.lit("record_count").alias("key"), "value"),
-        ]
-        out = parts[0]
-        for p in parts[1:]:
-            out = out.unionByName(p)
-        return out
+        """``(key, value)`` rows: rows in, rows after filter, groups; one scan, with
+        the rows of each group counted before and after the filters."""
+        kept = self.predicate if self.predicate is not None else F.lit(True)
+        counts = [F.count(F.lit(1)).alias("n"), F.count_if(kept).alias("kept")]
+        by = self.source.groupBy(*self.group_fields).agg(*counts) if self.group_fields else self.source.agg(*counts)
+        groups = F.count_if(F.col("kept") > 0) if self.group_fields is not None else F.lit(len(self.structure or []))
+        total = by.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.coalesce(F.sum("kept"), F.lit(0)).alias("kept"), groups.cast("long").alias("groups"))
+        return total.select(F.inline(F.array(*[F.struct(F.lit(k).alias("key"), F.col(c).cast("long").alias("value"))
+                                               for k, c in (("rows_input", "n"), ("rows_after_filter", "kept"), ("record_count", "groups"))])))
 
 
 # ------------------------------------------------------------- filters ----
@@ -64,15 +66,25 @@ def _filter_field(key: str, catalog: Catalog) -> tuple[str | None, bool]:
 
 
 def apply_filters(df: DataFrame, filters: dict[str, Any], catalog: Catalog = DEFAULT_CATALOG
-                  ) -> tuple[DataFrame, list[str]]:
+                  ) -> tuple[DataFrame, list[str], Column | None]:
     """A1–A3: equality / IN filters, applied in order.
 
     A scalar that matches no row of the already-filtered data is ignored and
     reported (one ``limit(1)`` probe each); a list/tuple/set is an IN filter
     and is never ignored; virtual-dimension filters are skipped. The
     literal is compared as the column's type (``"2021"`` matches year 2021).
+    The probe reads one matching row at most, and the filters that stay are
+    plain comparisons, so they prune partitions and reach the scan. Also
+    returns the filters in force as one predicate.
     """
     data = df
+    predicate: Column | None = None
+
+    def add(condition: Column) -> None:
+        nonlocal data, predicate
+        data = data.where(condition)
+        predicate = condition if predicate is None else predicate & condition
+
     ignored: list[str] = []
     for key, value in filters.items():
         name, virtual = _filter_field(key, catalog)
@@ -83,14 +95,14 @@ def apply_filters(df: DataFrame, filters: dict[str, Any], catalog: Catalog = DEF
             continue
         column = F.col(name)
         if isinstance(value, (list, tuple, set)):
-            data = data.where(column.isin(list(value)))
+            add(column.isin(list(value)))
             continue
         same = column == F.lit(value).try_cast(dict(data.dtypes)[name])  # a typed literal is pushed into the scan
         if data.where(same).isEmpty():
             ignored.append(f"{key}={value} (no matching rows)")
             continue
-        data = data.where(same)
-    return data, ignored
+        add(same)
+    return data, ignored, predicate
 
 
 # ------------------------------------------------------------ ordering ----
@@ -142,10 +154,12 @@ def aggregate(df: DataFrame, request: AnalysisRequest, catalog: Catalog = DEFAUL
     """
     dims = [catalog.dimension(n) for n in request.dimensions]      # A12: unknown → KeyError
     metrics = [catalog.metric(n) for n in request.metrics]
-    filtered, ignored = apply_filters(df, request.filters, catalog)
+    filtered, ignored, predicate = apply_filters(df, request.filters, catalog)
 
     if any(d.is_virtual for d in dims):
-        return loss_structure(df, catalog, request=request, filtered=filtered, ignored=ignored)
+        out = loss_structure(df, catalog, request=request, filtered=filtered, ignored=ignored)
+        out.predicate = predicate
+        return out
 
     dim_fields = [d.field for d in dims]
     metric_cols = [m.name for m in metrics]
@@ -168,24 +182,32 @@ def aggregate(df: DataFrame, request: AnalysisRequest, catalog: Catalog = DEFAUL
         mapping = {d.field: d.label for d in dims} | {m.name: m.label for m in metrics}
         records = records.select(*[F.col(c).alias(mapping.get(c, c)) for c in records.columns])
         totals = totals.select(*[F.col(c).alias(mapping.get(c, c)) for c in totals.columns])
-    return AnalysisResult(request, records, totals, groups, filtered, df, ignored, columns)
+    return AnalysisResult(request, records, totals, groups, filtered, df, ignored, columns, predicate=predicate,
+                          group_fields=dim_fields if metric_cols else None)
+
+
+def structure_groups(catalog: Catalog, columns: list[str]) -> list[tuple]:
+    """(loss group, its metrics that are present) of the groups with any."""
+    groups = [(g, [m for m in g.metrics if m in columns]) for g in catalog.loss_groups]
+    return [(g, ms) for g, ms in groups if ms]
 
 
 def loss_structure(df: DataFrame, catalog: Catalog = DEFAULT_CATALOG, request: AnalysisRequest | None = None,
-                   filtered: DataFrame | None = None, ignored: list[str] | None = None) -> AnalysisResult:
+                   filtered: DataFrame | None = None, ignored: list[str] | None = None, sums: DataFrame | None = None) -> AnalysisResult:
     """One row per loss group: ``pos, loss_type, value, unit, share``.
 
     ``value`` = sum over the group's metrics, rounded to 4 places; ``share``
     only within the amount unit (万元), null elsewhere or when the amount
     total is 0. Direct loss and its parts are all amounts, so shares
-    double-count by design of the groups.
+    double-count by design of the groups. ``sums``, one row of the metrics'
+    sums, spares the scan.
     """
     request = request or AnalysisRequest(["loss_structure"], [])
     filtered = df if filtered is None else filtered
-    groups = [(g, [m for m in g.metrics if m in filtered.columns]) for g in catalog.loss_groups]
-    groups = [(g, ms) for g, ms in groups if ms]
+    groups = structure_groups(catalog, filtered.columns)
     needed = sorted({m for _, ms in groups for m in ms})
-    sums = filtered.agg(*[F.coalesce(F.sum(m), F.lit(0.0)).alias(m) for m in needed])
+    if sums is None:
+        sums = filtered.agg(*[F.coalesce(F.sum(m), F.lit(0.0)).alias(m) for m in needed])
     rows = F.array(*[
         F.struct(F.lit(i).alias("pos"), F.lit(g.name).alias("loss_type"),
                  F.round(sum((F.col(m) for m in ms[1:]), F.col(ms[0])), 4).alias("value"),
@@ -201,4 +223,33 @@ def loss_structure(df: DataFrame, catalog: Catalog = DEFAULT_CATALOG, request: A
         F.round(F.coalesce(F.sum(F.when(F.col("unit") == PEOPLE_UNIT, F.col("value"))), F.lit(0.0)), 2).alias("casualty_total"),
     )
     columns = [{"key": "loss_type", "role": "dimension"}, {"key": "value", "role": "metric"}]
-    return AnalysisResult(request, records, totals, records, filtered, df, ignored or [], columns, is_structure=True)
+    return AnalysisResult(request, records, totals, records, filtered, df, ignored or [], columns, is_structure=True, structure=groups)
+
+
+#: Levels of the region drill with the columns that qualify them.
+DRILL_KEYS = ("province_code", "city_code", "county_code", "town")
+_DRILL_NAMES = ("province", "city", "county", "town")
+
+
+def region_drill(df: DataFrame, metrics: list[str], catalog: Catalog = DEFAULT_CATALOG) -> DataFrame:
+    """A15 by code: ``(level, province_code, city_code, county_code, town, name, records, <metrics>)`` for all levels.
+
+    One ``ROLLUP`` over the codes, so that counties and towns of the same name
+    stay apart. ``level`` tells which codes a row has (0 all, 4 a town); a
+    region without a code keeps a row of its own under its parent. ``name`` is
+    the least of the names its rows carry.
+    """
+    from ..functions import exprs as X
+
+    for m in metrics:
+        catalog.metric(m)
+    codes = [X.normalize_code(c).alias(c) for c in DRILL_KEYS[:-1]]
+    rows = df.select(*codes, *_DRILL_NAMES, *metrics)
+    level = sum((1 - F.grouping(c).cast("int") for c in DRILL_KEYS), F.lit(0))
+    names = [F.min(n).alias(f"_name{i}") for i, n in enumerate(_DRILL_NAMES[:-1], 1)]
+    out = rows.rollup(*DRILL_KEYS).agg(level.alias("level"), *names, F.count(F.lit(1)).alias("records"),
+                                       *[F.coalesce(F.sum(m), F.lit(0.0)).alias(m) for m in metrics])
+    name = F.when(F.col("level") == 4, F.col("town"))
+    for i in (3, 2, 1):
+        name = name.when(F.col("level") == i, F.col(f"_name{i}"))
+    return out.select("level", *DRILL_KEYS, name.alias("name"), "records", *metrics)

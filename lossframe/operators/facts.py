@@ -12,7 +12,10 @@ from pyspark.sql import functions as F
 
 from ..catalog import AMOUNT_UNIT, DEFAULT_CATALOG, FLOOD_SEASON, PEOPLE_UNIT, Catalog
 from ..functions.exprs import format_value
-from ..plans.standard import run_plan
+from ..operators.analyze import AnalysisResult
+from ..plans.standard import PLANS_BY_KEY, run_plan, run_plans_shared
+
+Results = dict[str, AnalysisResult]
 
 LOSS = "direct_economic_loss"
 _SHARE_FLOOR = 1e-9
@@ -24,9 +27,14 @@ def _ranked(records: DataFrame, key: str, by: str = LOSS) -> DataFrame:
     return records.withColumn("rank", F.row_number().over(w))
 
 
-def fact_top_k(clean: DataFrame, catalog: Catalog = DEFAULT_CATALOG, k: int = 3) -> DataFrame:
+def _plan(clean: DataFrame, key: str, catalog: Catalog, results: Results | None) -> AnalysisResult:
+    """The plan's result with all groups: from ``results`` of a shared scan, or by a scan of its own."""
+    return results[key] if results else run_plan(clean, key, catalog, cut=False)
+
+
+def fact_top_k(clean: DataFrame, catalog: Catalog = DEFAULT_CATALOG, k: int = 3, results: Results | None = None) -> DataFrame:
     """The k counties with the largest direct loss."""
-    groups = run_plan(clean, "county_ranking", catalog, cut=False).groups
+    groups = _plan(clean, "county_ranking", catalog, results).groups
     recs = groups.orderBy(F.coalesce(F.col(LOSS), F.lit(0.0)).desc(), F.col("county").asc_nulls_last()).limit(k)
     return _ranked(recs, "county").select("rank", "county", F.col(LOSS).alias("value"))
 
@@ -54,9 +62,9 @@ def fact_yoy(clean: DataFrame, catalog: Catalog = DEFAULT_CATALOG) -> DataFrame:
         F.when(F.col("recent") > F.col("previous"), F.lit("up")).otherwise(F.lit("down")).alias("direction"))
 
 
-def fact_season_share(clean: DataFrame, catalog: Catalog = DEFAULT_CATALOG) -> DataFrame:
+def fact_season_share(clean: DataFrame, catalog: Catalog = DEFAULT_CATALOG, results: Results | None = None) -> DataFrame:
     """Flood-season direct loss and its share of all seasons shown."""
-    recs = run_plan(clean, "by_season", catalog, cut=False).records
+    recs = _plan(clean, "by_season", catalog, results).records
     total = F.sum(F.coalesce(F.col(LOSS), F.lit(0.0)))
     out = recs.agg(F.max(F.when(F.col("season") == FLOOD_SEASON, F.col(LOSS))).alias("flood_value"),
                    total.alias("total"))
@@ -88,9 +96,9 @@ def _concentration(agg: DataFrame, total: DataFrame) -> DataFrame:
         .alias("share"))
 
 
-def fact_type_share(clean: DataFrame, catalog: Catalog = DEFAULT_CATALOG) -> DataFrame:
+def fact_type_share(clean: DataFrame, catalog: Catalog = DEFAULT_CATALOG, results: Results | None = None) -> DataFrame:
     """Every event type with its share of the untruncated total."""
-    res = run_plan(clean, "by_disaster_type", catalog, cut=False)
+    res = _plan(clean, "by_disaster_type", catalog, results)
     recs = res.records.withColumn("_k", F.lit(1))
     total = res.totals.select(F.col(LOSS).alias("total")).withColumn("_k", F.lit(1))
     return recs.join(total, "_k").select(
@@ -99,9 +107,9 @@ def fact_type_share(clean: DataFrame, catalog: Catalog = DEFAULT_CATALOG) -> Dat
         .alias("share"))
 
 
-def fact_type_leaders(clean: DataFrame, catalog: Catalog = DEFAULT_CATALOG, k: int = 3) -> DataFrame:
+def fact_type_leaders(clean: DataFrame, catalog: Catalog = DEFAULT_CATALOG, k: int = 3, results: Results | None = None) -> DataFrame:
     """Leading event type and the next two, with shares."""
-    shares = fact_type_share(clean, catalog)
+    shares = fact_type_share(clean, catalog, results)
     pos = F.array_position(F.array(*[F.lit(v) for v in catalog.dimension("disaster_type").order]), F.col("disaster_type"))
     ranked = shares.withColumn("_pos", F.when(pos > 0, pos).otherwise(F.lit(10**6))) \
         .withColumn("rank", F.row_number().over(Window.orderBy(F.col("value").desc(), F.col("_pos").asc(),
@@ -109,9 +117,9 @@ def fact_type_leaders(clean: DataFrame, catalog: Catalog = DEFAULT_CATALOG, k: i
     return ranked.where(F.col("rank") <= k).select("rank", "disaster_type", "value", "share")
 
 
-def fact_loss_structure(clean: DataFrame, catalog: Catalog = DEFAULT_CATALOG) -> DataFrame:
+def fact_loss_structure(clean: DataFrame, catalog: Catalog = DEFAULT_CATALOG, results: Results | None = None) -> DataFrame:
     """Largest amount item with its share, and the casualty total."""
-    res = run_plan(clean, "loss_structure", catalog, cut=False)
+    res = _plan(clean, "loss_structure", catalog, results)
     recs = res.records
     amount = recs.where(F.col("unit") == AMOUNT_UNIT)
     lead = amount.agg(
@@ -126,14 +134,16 @@ def fact_loss_structure(clean: DataFrame, catalog: Catalog = DEFAULT_CATALOG) ->
 
 
 def fact_conclusion(clean: DataFrame, catalog: Catalog = DEFAULT_CATALOG) -> DataFrame:
-    """``(slot, label, value)`` conclusion facts from R5–R9."""
-    lead = fact_type_leaders(clean, catalog, 1).select(F.lit("leading_type").alias("slot"),
+    """``(slot, label, value)`` conclusion facts from R5–R9, all from one scan."""
+    keys = ("by_disaster_type", "county_ranking", "by_season", "loss_structure")
+    results = run_plans_shared(clean, catalog, tuple(PLANS_BY_KEY[k] for k in keys), cut=False)
+    lead = fact_type_leaders(clean, catalog, 1, results).select(F.lit("leading_type").alias("slot"),
                                                        F.col("disaster_type").alias("label"), F.col("share").alias("value"))
-    top = fact_top_k(clean, catalog, 3).select(F.concat(F.lit("top_county_"), F.col("rank").cast("string")).alias("slot"),
+    top = fact_top_k(clean, catalog, 3, results).select(F.concat(F.lit("top_county_"), F.col("rank").cast("string")).alias("slot"),
                                                 F.col("county").alias("label"), F.col("value"))
-    flood = fact_season_share(clean, catalog).select(F.lit("flood_share").alias("slot"), F.lit(FLOOD_SEASON).alias("label"),
+    flood = fact_season_share(clean, catalog, results).select(F.lit("flood_share").alias("slot"), F.lit(FLOOD_SEASON).alias("label"),
                                                      F.col("flood_share").alias("value"))
-    struct = fact_loss_structure(clean, catalog).select(F.lit("structure_leader").alias("slot"),
+    struct = fact_loss_structure(clean, catalog, results).select(F.lit("structure_leader").alias("slot"),
                                                         F.col("largest_type").alias("label"),
                                                         F.col("largest_share").alias("value"))
     return lead.unionByName(top).unionByName(flood).unionByName(struct)

@@ -17,21 +17,18 @@ def profile_columns(raw: DataFrame, catalog: Catalog = DEFAULT_CATALOG) -> DataF
     One unpivot to ``(field, value)`` and one pass: a two-level aggregate,
     first per ``(field, value)`` (combined map-side, so a value repeated on
     millions of rows leaves each map task as one row), then per field. The
-    parsed number is a function of the value, so its count and max carry
-    through the first level. No per-field set is held in one task.
+    number is a function of the value, so each distinct value is parsed once,
+    after the first level. No per-field set is held in one task.
     """
     cols = [c for c in raw.columns if c != "_seq"]
     metrics = set(catalog.metric_names)
-    long = raw.select(F.inline(F.array(*[
-        F.struct(F.lit(c).alias("field"), F.col(c).cast("string").alias("value"),
-                 (X.parse_number(c) if c in metrics else F.lit(None).cast("double")).alias("num"))
-        for c in cols])))
-    per_value = long.groupBy("field", "value").agg(
-        F.count(F.lit(1)).alias("c"), F.count("num").alias("p"), F.max("num").alias("mx"))
+    is_metric = F.col("field").isin(sorted(metrics))
+    long = raw.select(*[F.col(c).cast("string").alias(c) for c in cols]).unpivot([], cols, "field", "value")
+    per_value = long.groupBy("field", "value").agg(F.count(F.lit(1)).alias("c"))
+    per_value = per_value.withColumn("num", F.when(is_metric, X.parse_number("value")))
     out = per_value.groupBy("field").agg(
         F.sum("c").alias("n"), F.coalesce(F.sum(F.when(F.col("value").isNull(), F.col("c"))), F.lit(0)).alias("missing"),
-        F.sum("p").alias("parsed"), F.max("mx").alias("max"), F.count("value").alias("distinct"))
-    is_metric = F.col("field").isin(sorted(metrics))
+        F.coalesce(F.sum(F.when(F.col("num").isNotNull(), F.col("c"))), F.lit(0)).alias("parsed"), F.max("num").alias("max"), F.count("value").alias("distinct"))
     return out.select(
         "field", F.col("missing").cast("long").alias("missing"),
         F.round(F.col("missing") / F.greatest(F.col("n"), F.lit(1)), 4).alias("missing_rate"),
@@ -79,13 +76,17 @@ def filter_hints(clean: DataFrame, catalog: Catalog = DEFAULT_CATALOG, limit: in
     """P5: ``(dimension, n, values)`` for non-virtual dimensions with 1..limit
     distinct non-null values; values sorted as text, joined by ``|``.
 
-    Distinct pairs are counted per dimension first; only dimensions within
+    A sketch of each dimension's distinct values drops the wide ones before any
+    value is shuffled: it is all but exact at such counts, and what it lets
+    through, up to twice the limit, is counted exactly. Only dimensions within
     the limit collect their (at most ``limit``) values.
     """
     dims = [(name, d.field) for name, d in catalog.dimensions.items()
             if not d.is_virtual and d.field in clean.columns]
-    pairs = clean.select(F.inline(F.array(*[
-        F.struct(F.lit(n).alias("dimension"), F.col(f).cast("string").alias("value")) for n, f in dims])))
+    sketch = clean.agg(*[F.approx_count_distinct(f, 0.02).alias(n) for n, f in dims])
+    narrow = sketch.select(F.inline(F.array(*[F.struct(F.lit(n).alias("dimension"), F.col(n).alias("about")) for n, _ in dims]))).where(F.col("about") <= 2 * limit)
+    pairs = clean.select(*[F.col(f).cast("string").alias(n) for n, f in dims]).unpivot([], [n for n, _ in dims], "dimension", "value")
+    pairs = pairs.join(F.broadcast(narrow.select("dimension")), "dimension")  # at most one row per dimension
     distinct = pairs.where(F.col("value").isNotNull()).distinct()
     sizes = distinct.groupBy("dimension").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") <= limit)
     small = distinct.join(F.broadcast(sizes), "dimension")  # at most one row per dimension

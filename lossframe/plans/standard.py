@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..catalog import DEFAULT_CATALOG, Catalog
-from ..operators.analyze import AnalysisRequest, AnalysisResult, aggregate, order_columns
+from ..operators.analyze import AnalysisRequest, AnalysisResult, aggregate, loss_structure, order_columns, structure_groups
 from ..session import materialize
 
 
@@ -52,42 +52,53 @@ def run_plan(clean_df: DataFrame, key: str, catalog: Catalog = DEFAULT_CATALOG,
     return aggregate(clean_df, PLANS_BY_KEY[key].request(cut), catalog)
 
 
-def run_all_shared(clean_df: DataFrame, catalog: Catalog = DEFAULT_CATALOG,
-                   plans: tuple[Plan, ...] = STANDARD_PLANS, pin: bool = True) -> dict[str, DataFrame]:
-    """All grouped plans from one ``GROUPING SETS`` aggregate.
+def run_plans_shared(clean_df: DataFrame, catalog: Catalog = DEFAULT_CATALOG, plans: tuple[Plan, ...] = STANDARD_PLANS,
+                     pin: bool = True, cut: bool = True) -> dict[str, AnalysisResult]:
+    """Results of all plans, their totals too, from one ``GROUPING SETS`` aggregate.
 
-    Returns ordered, limited record frames keyed by plan. With ``pin`` the
-    shared aggregate runs once, here, and is written to the checkpoint
-    folder (its size is the number of groups, not rows); every plan then
-    reads that small table instead of re-running the scan and shuffle.
-    The virtual loss-structure plan is a global aggregate of its own.
+    With ``pin`` that aggregate runs once, here, and is written to the
+    checkpoint folder (its size is the number of groups, not rows); records,
+    totals and the loss structure read that small table instead of re-running
+    the scan and shuffle. The empty set holds the totals.
     """
     grouped = [p for p in plans if not any(catalog.dimension(d).is_virtual for d in p.dimensions)]
     fields = sorted({catalog.dimension(d).field for p in grouped for d in p.dimensions})
-    metrics = sorted({m for p in grouped for m in p.metrics})
-    sets = []
+    metrics = {m for p in grouped for m in p.metrics}
+    if len(grouped) < len(plans):
+        metrics |= {m for _, ms in structure_groups(catalog, clean_df.columns) for m in ms}
+    sets = [()]
     for p in grouped:
         s = tuple(sorted(catalog.dimension(d).field for d in p.dimensions))
         if s not in sets:
             sets.append(s)
-    spark = clean_df.sparkSession
     set_sql = ", ".join("(" + ", ".join(f"`{f}`" for f in s) + ")" for s in sets)
-    bits = ", ".join(f"grouping(`{f}`) AS `_g_{f}`" for f in fields)
-    sums = ", ".join(f"coalesce(sum(`{m}`), 0D) AS `{m}`" for m in metrics)
-    cols = ", ".join(f"`{f}`" for f in fields)
-    shared = spark.sql(f"SELECT {cols}, {bits}, {sums} FROM {{df}} GROUP BY GROUPING SETS ({set_sql})", df=clean_df)
+    select = [f"`{f}`" for f in fields] + [f"grouping(`{f}`) AS `_g_{f}`" for f in fields] + [f"coalesce(sum(`{m}`), 0D) AS `{m}`" for m in sorted(metrics)]
+    shared = clean_df.sparkSession.sql(f"SELECT {', '.join(select)} FROM {{df}} GROUP BY GROUPING SETS ({set_sql})", df=clean_df)
     if pin:
         shared = materialize(shared, "plan-groups")
-    out: dict[str, DataFrame] = {}
-    for p in grouped:
-        pf = [catalog.dimension(d).field for d in p.dimensions]
+
+    def of(own: list[str]) -> DataFrame:
         cond = F.lit(True)
         for f in fields:
-            cond = cond & (F.col(f"_g_{f}") == (0 if f in pf else 1))
-        req = p.request()
-        recs = shared.where(cond).select(*pf, *p.metrics)
-        out[p.key] = recs.orderBy(*order_columns(req, catalog, pf, list(p.metrics))).limit(p.limit)
+            cond = cond & (F.col(f"_g_{f}") == (0 if f in own else 1))
+        return shared.where(cond)
+
+    # one row, of zeros for no rows at all
+    sums = of([]).agg(*[F.coalesce(F.max(m), F.lit(0.0)).alias(m) for m in sorted(metrics)])
+    out: dict[str, AnalysisResult] = {}
     for p in plans:
+        req = p.request(cut)
         if p not in grouped:
-            out[p.key] = aggregate(clean_df, p.request(), catalog).records
+            out[p.key] = loss_structure(clean_df, catalog, request=req, sums=sums)
+            continue
+        own = [catalog.dimension(d).field for d in p.dimensions]
+        groups = of(own).select(*own, *p.metrics)
+        records = groups.orderBy(*order_columns(req, catalog, own, list(p.metrics)))
+        out[p.key] = AnalysisResult(req, records.limit(p.limit) if cut else records, sums.select(*[F.round(m, 4).alias(m) for m in p.metrics]), groups,
+                                    clean_df, clean_df, [], [], group_fields=own)
     return out
+
+
+def run_all_shared(clean_df: DataFrame, catalog: Catalog = DEFAULT_CATALOG, plans: tuple[Plan, ...] = STANDARD_PLANS, pin: bool = True) -> dict[str, DataFrame]:
+    """Ordered, limited record frames of all plans from one scan."""
+    return {k: r.records for k, r in run_plans_shared(clean_df, catalog, plans, pin).items()}

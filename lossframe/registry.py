@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .catalog import DEFAULT_CATALOG as CAT
 from .plans import duckdb_sql as D
-from .plans.standard import STANDARD_PLANS, run_plan
+from .plans.standard import STANDARD_PLANS, run_plan, run_plans_shared
 from .tables import clean_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -126,13 +126,12 @@ def _unit_name(text, units):
        + " END" if CAT.metric(m).units else "CAST(NULL AS VARCHAR)")
     + f" AS unit FROM p2 WHERE _num_{m} IS NOT NULL" for m in METRICS)))
 def q_parse_quantity(spark, sf):
-    raw = C.drop_empty_rows(raw_table(spark, sf))
-    entries = []
-    for m in METRICS:
-        text = X.quantity_text(m)
-        entries.append(F.struct(F.lit(m).alias("metric"), X.number_of_text(text).alias("value"),
-                                _unit_name(text, CAT.metric(m).units).alias("unit")))
-    return raw.select("_seq", F.inline(F.array(*entries))).where(F.col("value").isNotNull())
+    # texts, then what they hold, then one row for each: no step is worked out inside the unpivot
+    raw = C.drop_empty_rows(raw_table(spark, sf)).select("_seq", *[X.quantity_text(m).alias(m) for m in METRICS])
+    read = raw.select("_seq", *[F.struct(X.number_of_text(F.col(m)).alias("value"), _unit_name(F.col(m), CAT.metric(m).units).alias("unit")).alias(m)
+                                for m in METRICS])
+    long = read.unpivot("_seq", METRICS, "metric", "cell")
+    return long.select("_seq", "metric", "cell.value", "cell.unit").where(F.col("value").isNotNull())
 
 
 register("convert_units", lambda: D.with_clean(_per_metric_sql("p2", lambda m: f"count_if(_conv_{m})")))(
@@ -250,7 +249,7 @@ register("cleaning_audit", _audit_sql)(_cleaning_audit)
 
 # ------------------------------------------- analysis: one entry point ----
 
-from .operators.analyze import AnalysisRequest, aggregate, loss_structure  # noqa: E402
+from .operators.analyze import AnalysisRequest, aggregate, loss_structure, region_drill  # noqa: E402
 
 
 def _req_query(req_factory, part="records"):
@@ -308,6 +307,20 @@ for _key, _dim in [("by_year", "time_year"), ("by_quarter", "time_quarter"), ("b
                  (lambda d=_dim: D.plan_sql([d], [LOSS], None, CAT)))
 
 
+def _drill_sql():
+    codes = ", ".join(f"{D.code_clean(c)} AS {c}" for c in ("province_code", "city_code")) + ", county_code"
+    keys = ("province_code", "city_code", "county_code", "town")
+    level = " + ".join(f"(1 - GROUPING({k}))" for k in keys)
+    return D.with_clean(
+        f"SELECT CAST(level AS INTEGER) AS level, {', '.join(keys)}, CASE level WHEN 4 THEN town WHEN 3 THEN n3 WHEN 2 THEN n2 WHEN 1 THEN n1 END AS name, "
+        f"records, {LOSS}, affected_population FROM (SELECT {level} AS level, {', '.join(keys)}, min(province) AS n1, min(city) AS n2, min(county) AS n3, "
+        f"count(*) AS records, coalesce(sum({LOSS}), 0.0) AS {LOSS}, coalesce(sum(affected_population), 0.0) AS affected_population "
+        f"FROM (SELECT {codes}, province, city, county, town, {LOSS}, affected_population FROM clean) GROUP BY ROLLUP ({', '.join(keys)}))")
+
+
+register("region_drill_by_code", _drill_sql)(lambda spark, sf: region_drill(clean_table(spark, sf), [LOSS, "affected_population"], CAT))
+
+
 # ------------------------------------- profiling, facts, charts, quality ----
 
 from .catalog import AMOUNT_UNIT, FLOOD_SEASON, PEOPLE_UNIT  # noqa: E402
@@ -593,8 +606,8 @@ def _dq_totals_sql():
 
 def _dq_totals(spark, sf):
     clean = clean_table(spark, sf)
-    results = {p.key: run_plan(clean, p.key, CAT) for p in STANDARD_PLANS}
-    for key, res in results.items():
+    results = run_plans_shared(clean, CAT)
+    for res in results.values():
         if res.is_structure:
             res.totals = res.totals.select("amount_total", "casualty_total")
     return Q.dq_totals(results)
