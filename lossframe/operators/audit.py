@@ -11,6 +11,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import exprs as X
+
 from .clean import CleanResult
 
 
@@ -78,17 +80,35 @@ def cleaning_audit(result: CleanResult) -> DataFrame:
     return out.where(F.col("affected") > 0)
 
 
-def hierarchy_issue(result: CleanResult, samples: int = 8) -> DataFrame:
-    """C18 issue row: ``(level, code, count, samples)``; samples are the
-    first conflicting rows in input order (a bounded top-k, never a
-    collect of all conflicts)."""
-    bad = result.annotated.where(F.col("_kept") & ~F.col("_hierarchy_ok"))
+# Sample texts of a code that does not begin like its parent's, and of a name that the reference has otherwise.
+PREFIX_SAMPLE = "%s(%s) 与上级 %s 前缀不符"
+NAME_SAMPLE = "%s/%s 参照表记录为 %s"
+
+
+def hierarchy_issue(result: CleanResult, samples: int = 8, each: int = 5) -> DataFrame:
+    """C18 issue row: ``(level, code, count, samples)``.
+
+    Samples name the parent code or the expected name: the first ``each`` rows in
+    input order whose code differs from the province's, then from the city's,
+    then rows whose name differs, ``samples`` in all (bounded top-k, never a
+    collect of all conflicts).
+    """
+    rows = result.annotated.where(F.col("_kept"))
+    bad = rows.where(~F.col("_hierarchy_ok"))
+    county, code = F.coalesce("county", F.lit("")), F.col("county_code")
+    kinds = []
+    for parent, width in (("province_code", 2), ("city_code", 4)):
+        up = X.normalize_code(parent)
+        differs = F.substring(code, 1, width) != F.substring(up, 1, width)
+        kinds.append((differs, F.format_string(PREFIX_SAMPLE, county, code, up), each))
+    kinds.append((F.col("_name_bad"), F.format_string(NAME_SAMPLE, county, code, F.col("_ref_name")), samples))
+    found = None
+    for kind, (when, said, most) in enumerate(kinds):
+        first = bad.where(when).select(F.lit(kind).alias("kind"), "_seq", said.alias("s")).orderBy("_seq").limit(most)
+        found = first if found is None else found.unionByName(first)
+    listed = F.slice(F.array_sort(F.collect_list(F.struct("kind", "_seq", "s"))), 1, samples)  # of 18 at most
+    first = found.agg(F.array_join(F.transform(listed, lambda x: x["s"]), "; ").alias("samples"))
     count = bad.agg(F.count(F.lit(1)).alias("count"))
-    first = (bad.select("_seq", F.concat(F.col("county"), F.lit("("), F.coalesce(F.col("county_code"), F.lit("")),
-                                          F.lit(")")).alias("s"))
-             .orderBy("_seq").limit(samples)
-             .agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("_seq", "s"))), lambda x: x["s"]),
-                               "; ").alias("samples")))
     out = count.withColumn("_k", F.lit(1)).join(first.withColumn("_k", F.lit(1)), "_k")
     return out.where(F.col("count") > 0).select(
         F.lit("warning").alias("level"), F.lit("HIERARCHY_CONFLICT").alias("code"), "count", "samples")

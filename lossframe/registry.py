@@ -184,10 +184,23 @@ register("hierarchy_prefix", lambda: D.with_clean("SELECT _seq FROM p6 WHERE _pr
 register("hierarchy_name", lambda: D.with_clean("SELECT _seq FROM p6 WHERE _name_bad"))(
     lambda spark, sf: _kept(spark, sf).where(F.col("_name_bad")).select("_seq"))
 
-register("hierarchy_flag", lambda: D.with_clean(
-    "SELECT 'warning' AS level, 'HIERARCHY_CONFLICT' AS code, count(*) AS count, "
-    "array_to_string(list(county || '(' || coalesce(county_code, '') || ')' ORDER BY _seq)[1:8], '; ') AS samples "
-    "FROM p6 WHERE NOT _hierarchy_ok HAVING count(*) > 0"))(
+
+def _hierarchy_samples_sql() -> str:
+    """The first five rows against the province's code, five against the city's, then names; eight in all."""
+    parts = [f"(SELECT {kind} AS kind, _seq, coalesce(county, '') || '(' || county_code || ') 与上级 ' || up || ' 前缀不符' AS said "
+             f"FROM (SELECT *, {D.code_clean(parent)} AS up FROM p6) WHERE up IS NOT NULL AND substr(county_code, 1, {width}) <> substr(up, 1, {width}) "
+             "ORDER BY _seq LIMIT 5)" for kind, parent, width in ((0, "province_code", 2), (1, "city_code", 4))]
+    parts.append("(SELECT 2, _seq, county || '/' || county_code || ' 参照表记录为 ' || ref.name FROM p6 JOIN ref ON ref.code = county_code "
+                 "WHERE _name_bad ORDER BY _seq LIMIT 8)")
+    return f"(SELECT array_to_string(list(said ORDER BY kind, _seq)[1:8], '; ') FROM ({' UNION ALL '.join(parts)}))"
+
+
+def _hierarchy_issue_sql() -> str:
+    return (f"SELECT 'warning' AS level, 'HIERARCHY_CONFLICT' AS code, count(*) AS count, {_hierarchy_samples_sql()} AS samples "
+            "FROM p6 WHERE NOT _hierarchy_ok HAVING count(*) > 0")
+
+
+register("hierarchy_flag", lambda: D.with_clean(_hierarchy_issue_sql()))(
     lambda spark, sf: hierarchy_issue(clean_result(spark, sf)))
 
 register("season_dim", lambda: D.with_clean("SELECT season, count(*) AS n FROM clean GROUP BY season"))(
@@ -710,23 +723,27 @@ def _ingest_report_sql() -> str:
     req = CAT.required_fields
     missing = "concat_ws(',', " + ", ".join(f"CASE WHEN count(NULLIF({c}, '')) = 0 THEN {D.q(c)} END" for c in req) + ")"
     return D.with_clean(
-        f"SELECT (SELECT count(*) FROM rawstd) AS rows_out, m.matched, m.unmapped, "
+        # the notes file holds one row, and none without reports
+        f"SELECT (SELECT count(*) + least(count(*), 1) FROM rawstd) AS rows_read, (SELECT count(*) FROM rawstd) AS rows_out, m.matched, m.unmapped, "
         f"round(m.matched / greatest(m.matched + m.unmapped, 1), 4) AS matched_rate, "
         f"(SELECT {missing} FROM rawstd) AS missing_required FROM (SELECT count(DISTINCT target) FILTER (WHERE status = 'matched') "
         f"AS matched, count(DISTINCT header) FILTER (WHERE status = 'unmapped') AS unmapped FROM mp) m",
         extra_ctes=f"{_headers_sql()}, {_alias_sql()}, {_mapping_sql()}")
 
 
-def _ingest_issues_sql() -> str:
+def _ingest_issues_body() -> str:
     req = CAT.required_fields
     missing = "concat_ws(',', " + ", ".join(f"CASE WHEN count(NULLIF({c}, '')) = 0 THEN {D.q(c)} END" for c in req) + ")"
-    return D.with_clean(
+    return (
         "SELECT * FROM (SELECT 'error' AS level, 'SHEET_EMPTY' AS code, (SELECT count(*) FROM (SELECT source FROM mp GROUP BY source "
         "HAVING count(target) = 0)) AS count, '' AS samples UNION ALL "
         f"SELECT 'error', 'MISSING_REQUIRED_FIELD', len(string_split(NULLIF(m, ''), ',')), m FROM (SELECT {missing} AS m FROM rawstd) UNION ALL "
         "SELECT 'warning', 'UNMAPPED_COLUMN', count(*), array_to_string(list(header ORDER BY header)[1:10], ',') "
-        "FROM (SELECT DISTINCT header FROM mp WHERE status = 'unmapped')) WHERE count > 0",
-        extra_ctes=f"{_headers_sql()}, {_alias_sql()}, {_mapping_sql()}")
+        "FROM (SELECT DISTINCT header FROM mp WHERE status = 'unmapped')) WHERE count > 0")
+
+
+def _ingest_issues_sql() -> str:
+    return D.with_clean(_ingest_issues_body(), extra_ctes=f"{_headers_sql()}, {_alias_sql()}, {_mapping_sql()}")
 
 
 register("ingest_issues", _ingest_issues_sql)(lambda spark, sf: ingest_issues(csv_ingest(spark, sf), CAT))
@@ -746,16 +763,15 @@ register("sink_clean", lambda: D.with_clean(f"SELECT {', '.join(CLEAN_COLS)} FRO
 def _quality_log(spark, sf):
     res = clean_result(spark, sf)
     path = scratch_path(spark, "quality_log")
-    W.write_quality_log(cleaning_audit(res), res.issues(), path)
+    W.write_quality_log(cleaning_audit(res), res.issues(), path, ingest_issues(csv_ingest(spark, sf), CAT))
     return spark.read.parquet(f"{path}/issues")
 
 
 register("quality_log", lambda: D.with_clean(
     "SELECT 'warning' AS level, 'DATE_PARSE_FAILED' AS code, count_if(_date_raw) - count(occur_date) AS count, '' AS samples "
     "FROM p1 HAVING count_if(_date_raw) - count(occur_date) > 0 UNION ALL "
-    "SELECT 'warning', 'HIERARCHY_CONFLICT', count(*), "
-    "array_to_string(list(county || '(' || coalesce(county_code, '') || ')' ORDER BY _seq)[1:8], '; ') "
-    "FROM p6 WHERE NOT _hierarchy_ok HAVING count(*) > 0"))(_quality_log)
+    f"{_hierarchy_issue_sql()} UNION ALL SELECT * FROM ({_ingest_issues_body()})",
+    extra_ctes=f"{_headers_sql()}, {_alias_sql()}, {_mapping_sql()}"))(_quality_log)
 
 
 # ------------------------------------------------------------ workbooks ----

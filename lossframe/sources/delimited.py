@@ -105,6 +105,7 @@ class IngestResult:
     columns: DataFrame      # (source, pos, header, target, status), one source for each distinct layout
     files: list[FileInfo]
     empty_sources: list[str]  # paths without any known column
+    unknown: DataFrame      # their records, a row for each
 
 
 _CELLS = {"quote": '"', "escape": '"'}
@@ -138,12 +139,13 @@ def read_delimited(spark: SparkSession, paths: list[str], catalog: Catalog = DEF
     groups: dict[tuple[str, str, bool], list[str]] = {}
     for f in files:
         groups.setdefault((f.header, f.charset, f.broken), []).append(f.path)
-    frames, empty = [], []
+    frames, empty, unknown = [], [], spark.createDataFrame([], "path string")
     for (header, charset, broken), group in groups.items():
+        df = _broken_cells(spark, group, charset, len(split_header(header))) if broken else _line_cells(spark, group, charset)
         if header not in targets:
             empty += group
+            unknown = unknown.unionByName(df.select("path"))
             continue
-        df = _broken_cells(spark, group, charset, len(split_header(header))) if broken else _line_cells(spark, group, charset)
         df = df.select(*[F.col(f"cells.`{df.schema['cells'].dataType.names[i]}`").alias(t) for i, t in sorted(targets[header].items()) if i < len(df.schema["cells"].dataType)],
                        "_seq", F.element_at(F.split("path", "/"), -1).alias("_source_file"))
         df = df.withColumn("_source_sheet", F.regexp_replace("_source_file", r"\.[^.]*$", ""))
@@ -153,7 +155,7 @@ def read_delimited(spark: SparkSession, paths: list[str], catalog: Catalog = DEF
     out = frames[0]
     for f in frames[1:]:
         out = out.unionByName(f)
-    return IngestResult(out, mapping, files, empty)
+    return IngestResult(out, mapping, files, empty, unknown)
 
 
 def _report_parts(result: IngestResult, catalog: Catalog) -> DataFrame:
@@ -164,15 +166,17 @@ def _report_parts(result: IngestResult, catalog: Catalog) -> DataFrame:
                       F.count_distinct(unmapped).alias("unmapped"), F.array_sort(F.collect_set(unmapped)).alias("unmapped_headers"))
     present = result.frame.agg(F.count(F.lit(1)).alias("rows_out"), *[F.count(c).alias(c) for c in catalog.required_fields])
     missing = F.array_compact(F.array(*[F.when(F.col(c) == 0, F.lit(c)) for c in catalog.required_fields]))
+    unread = result.unknown.agg(F.count(F.lit(1)).alias("unknown")).withColumn("_k", F.lit(1))
     return counts.withColumn("_k", F.lit(1)).join(
-        present.select("rows_out", missing.alias("missing_required")).withColumn("_k", F.lit(1)), "_k")
+        present.select("rows_out", missing.alias("missing_required")).withColumn("_k", F.lit(1)), "_k").join(unread, "_k").withColumn(
+        "rows_read", F.col("rows_out") + F.col("unknown"))
 
 
 def ingest_report(result: IngestResult, catalog: Catalog = DEFAULT_CATALOG) -> DataFrame:
-    """One-row template comparison: rows out, matched / unmapped column
-    counts, matched rate, required fields missing or all-null in the union."""
+    """One-row template comparison: rows read (those of sources without any
+    known column too) and rows out, matched / unmapped column counts, matched rate, required fields missing or all-null in the union."""
     return _report_parts(result, catalog).select(
-        "rows_out", "matched", "unmapped",
+        "rows_read", "rows_out", "matched", "unmapped",
         F.round(F.col("matched") / F.greatest(F.col("matched") + F.col("unmapped"), F.lit(1)), 4).alias("matched_rate"),
         F.array_join("missing_required", ",").alias("missing_required"))
 

@@ -53,7 +53,9 @@ def write_clean(clean: DataFrame, path: str, fmt: str = "parquet") -> None:
         clean.withColumnRenamed(first, "\ufeff" + first).write.mode("overwrite").option("header", True).option("escape", '"').csv(path)
 
 
-def write_quality_log(audit: DataFrame, issues: DataFrame, path: str) -> None:
-    """Audit steps and issues as two small Parquet tables."""
+def write_quality_log(audit: DataFrame, issues: DataFrame, path: str, ingest: DataFrame | None = None) -> None:
+    """Audit steps and issues, those of the ingest too, as two small Parquet tables."""
+    if ingest is not None:
+        issues = ingest.unionByName(issues)
     audit.coalesce(1).write.mode("overwrite").parquet(f"{path}/audit")
     issues.coalesce(1).write.mode("overwrite").parquet(f"{path}/issues")
