@@ -3,6 +3,7 @@
 import math
 
 import duckdb
+import pandas as pd
 import pytest
 
 import __spark_entry__ as E
@@ -11,7 +12,7 @@ TABLES = "region nation customer supplier part orders lineitem events documents
 
 
 def _norm(v):
-    if v is None:
+    if v is None or v is pd.NaT:
         return None
     if isinstance(v, float):
         if math.isnan(v):
