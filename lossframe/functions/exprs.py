@@ -6,7 +6,10 @@ codegen; no Python runs per row.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterable, Mapping, Sequence
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -65,9 +68,14 @@ def strip_all_ws(c: Column | str) -> Column:
     return F.translate(col_(c), WHITESPACE, "")
 
 
+# Printable ASCII without white space that is no missing token: most cells, told by one regex.
+_PLAIN_TEXT = r"\A(?!(?i:%s)\z)[!-~]+\z" % "|".join(re.escape(t) for t in NULL_TOKENS if t.isascii())
+
+
 def normalize_text(c: Column | str) -> Column:
     """Missing → null, otherwise every white-space character removed."""
-    return F.when(is_missing(c), F.lit(None).cast("string")).otherwise(strip_all_ws(c))
+    text = col_(c)
+    return F.when(text.rlike(_PLAIN_TEXT), text).when(is_missing(c), F.lit(None).cast("string")).otherwise(strip_all_ws(c))
 
 
 def changed(before: Column | str, after: Column | str) -> Column:
@@ -118,7 +126,14 @@ def parse_date(c: Column | str, formats: Iterable[str]) -> Column:
     Returns TIMESTAMP_NTZ (a naive date-time, like the source's timestamps).
     """
     text = trim_ws(c)
-    attempts = [F.try_to_timestamp(text, F.lit(java_pattern(f))) for f in (*formats, *DATE_TIMES)]
+
+    def attempt(f: str) -> Column:
+        parsed = F.try_to_timestamp(text, F.lit(java_pattern(f)))
+        # a text without the format's separators is not tried (letters match in either case, and spaces are left to the parser)
+        needed = sorted({ch for ch in re.sub("%.", "", f) if not ch.isspace() and not (ch.isascii() and ch.isalpha())})
+        return F.when(reduce(and_, [text.contains(ch) for ch in needed]), parsed) if needed else parsed
+
+    attempts = [attempt(f) for f in (*formats, *DATE_TIMES)]
     parsed = F.coalesce(*attempts).cast("timestamp_ntz")
     return F.when(is_missing(c), F.lit(None).cast("timestamp_ntz")).otherwise(parsed)
 
@@ -158,6 +173,15 @@ def number_of_text(text: Column | str) -> Column:
     return F.when(found != "", found).try_cast("double")
 
 
+def plain_integer(c: Column | str) -> Column:
+    """A cell of digits alone as a number; null for any other text.
+
+    Most cells are such, and need none of the trimming, token tests and
+    replacements before ``number_of_text``, which gives the same number.
+    """
+    return F.when(col_(c).rlike(r"\A[0-9]{1,15}\z"), col_(c).try_cast("double"))
+
+
 def unit_factor(c: Column | str, units: Mapping[str, float]) -> Column:
     return factor_of_text(quantity_text(c), units)
 
@@ -182,8 +206,9 @@ def unit_converted(c: Column | str, units: Mapping[str, float]) -> Column:
 
 def normalize_code(c: Column | str) -> Column:
     """Missing → null; drop a trailing ``.0`` (spreadsheet float); trim."""
-    return F.when(is_missing(c), F.lit(None).cast("string")).otherwise(
-        trim_ws(F.regexp_replace(col_(c), r"\.0$", ""))
+    code = col_(c)
+    return F.when(code.rlike(r"\A[0-9]+\z"), code).when(is_missing(c), F.lit(None).cast("string")).otherwise(
+        trim_ws(F.regexp_replace(code, r"\.0$", ""))
     )
 
 

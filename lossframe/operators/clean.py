@@ -103,15 +103,20 @@ def parse_stage(raw: DataFrame, catalog: Catalog = DEFAULT_CATALOG) -> DataFrame
             s1.append(F.col(name).isNotNull().alias("_date_raw"))
         elif f.dtype == "string":
             s1.append(F.col(name))
+    # only cells that are more than digits are read as text (units without a letter could be digits)
+    plain = {m for m in catalog.metric_names if all(any(ch.isalpha() for ch in u) for u in catalog.metric(m).units)}
     for m in catalog.metric_names:
-        s1.append(X.quantity_text(m).alias(f"_qt_{m}"))
+        number = X.plain_integer(m) if m in plain else F.lit(None).cast("double")
+        s1.append(number.alias(f"_int_{m}"))
+        s1.append(F.when(number.isNull(), X.quantity_text(m)).alias(f"_qt_{m}"))
     df = raw.select(*s1)
     # stage 2: typed values from the prepared text
-    s2: list[Column] = [F.col(c) for c in df.columns if not c.startswith("_qt_") and c != "_date_txt"]
+    s2: list[Column] = [F.col(c) for c in df.columns if not c.startswith(("_qt_", "_int_")) and c != "_date_txt"]
     s2.append(X.parse_date("_date_txt", rules["date_formats"]).alias(DATE_FIELD))
     for m in catalog.metric_names:
-        s2.append(X.number_of_text(f"_qt_{m}").alias(f"_num_{m}"))
-        s2.append(X.factor_of_text(f"_qt_{m}", catalog.metric(m).units).alias(f"_fac_{m}"))
+        text = F.col(f"_qt_{m}")  # null for digits alone, whose factor is 1, and missing cells
+        s2.append(F.when(text.isNull(), F.col(f"_int_{m}")).otherwise(X.number_of_text(f"_qt_{m}")).alias(f"_num_{m}"))
+        s2.append(F.when(text.isNull(), F.lit(1.0)).otherwise(X.factor_of_text(f"_qt_{m}", catalog.metric(m).units)).alias(f"_fac_{m}"))
     df = df.select(*s2)
     # stage 3: converted values, calendar parts
     s3: list[Column] = [F.col(c) for c in df.columns if not c.startswith(("_num_", "_fac_"))]

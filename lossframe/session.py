@@ -8,8 +8,9 @@ import re
 import shutil
 import tempfile
 import uuid
+from contextlib import contextmanager
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def get_spark(master: str | None = None, shuffle_partitions: int | None = None) -> SparkSession:
@@ -73,12 +74,39 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{base}/lossframe-scratch/{name}-{uuid.uuid4().hex[:12]}"
 
 
+#: HotSpot never compiles a method whose bytecode is longer; such a stage runs interpreted.
+_COMPILED_METHOD_BYTES = 8000
+#: Most bytes of a file that one task of a wide write reads, and about those of a row group: a written
+#: row takes some thirty times as much memory, and a write by partition sorts all rows of its task.
+_TASK_BYTES = 16 << 20
+
+
+@contextmanager
+def wide_rows(spark: SparkSession):
+    """Jobs run inside split wide projections into methods short enough to be compiled and read
+    files in small parts, whatever the session sets."""
+    limits = {"spark.sql.codegen.hugeMethodLimit": _COMPILED_METHOD_BYTES, "spark.sql.files.maxPartitionBytes": _TASK_BYTES}
+    before = {key: spark.conf.get(key, None) for key in limits}
+    for key, most in limits.items():
+        if not (before[key] or "").isdigit() or int(before[key]) > most:
+            spark.conf.set(key, most)
+    try:
+        yield
+    finally:
+        for key, value in before.items():
+            spark.conf.unset(key) if value is None else spark.conf.set(key, value)
+
+
+def write_parquet(df: DataFrame, path: str, *partition_by: str) -> DataFrame:
+    """Write a frame of wide rows and read it back."""
+    with wide_rows(df.sparkSession):
+        df.write.mode("overwrite").option("parquet.block.size", _TASK_BYTES).partitionBy(*partition_by).parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
 def materialize(df, name: str):
     """Cut lineage with one job: write ``df`` as Parquet under the shared
     checkpoint folder and read it back. (An eager ``checkpoint()`` runs the
     lineage twice: once to count, once more to write.) Survives executor
     loss: downstream stages re-read files, never recompute upstream."""
-    spark = df.sparkSession
-    path = scratch_path(spark, name)
-    df.write.mode("overwrite").parquet(path)
-    return spark.read.parquet(path)
+    return write_parquet(df, scratch_path(df.sparkSession, name))

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .catalog import DEFAULT_CATALOG
 from .operators.clean import CleanResult, clean, to_standard
-from .session import scratch_path
+from .session import scratch_path, write_parquet
 from .sources.fixtures import incidents_raw, region_reference
 
 _MEMO: dict[tuple[str, str, str], object] = {}
@@ -30,7 +30,7 @@ def raw_table(spark: SparkSession, sf_dir: str) -> DataFrame:
         raw = to_standard(incidents_raw(spark, sf_dir), DEFAULT_CATALOG,
                           source_file="fixture", source_sheet="incidents_raw")
         path = scratch_path(spark, "raw")
-        raw.write.mode("overwrite").parquet(path)
+        write_parquet(raw, path)
         _MEMO[k] = path
     return spark.read.parquet(_MEMO[k])
 
@@ -49,7 +49,7 @@ def clean_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     if k not in _MEMO:
         path = scratch_path(spark, "clean")
         res = clean_result(spark, sf_dir)
-        res.frame.write.mode("overwrite").partitionBy("year").parquet(path)
+        write_parquet(res.frame, path, "year")
         _MEMO[k] = path
         # from now on the result's frame is the written table: the audit's
         # output count and any other reader skip the de-dup aggregate
@@ -95,8 +95,7 @@ def csv_ingest(spark: SparkSession, sf_dir: str):
         res = read_delimited(spark, csv_inputs(spark, sf_dir), DEFAULT_CATALOG)
         # pin the ingested rows (and their input order) as a written table
         path = scratch_path(spark, "ingested")
-        res.frame.write.mode("overwrite").parquet(path)
-        res.frame = spark.read.parquet(path)
+        res.frame = write_parquet(res.frame, path)
         _MEMO[k] = res
     return _MEMO[k]
 
@@ -157,6 +156,5 @@ def workbook_ingest(spark: SparkSession, sf_dir: str):
     if k not in _MEMO:
         frame, mapping = read_workbooks(spark, workbook_inputs(spark, sf_dir), DEFAULT_CATALOG)
         path = scratch_path(spark, "xlsx-ingested")
-        frame.write.mode("overwrite").parquet(path)
-        _MEMO[k] = (spark.read.parquet(path), mapping)
+        _MEMO[k] = (write_parquet(frame, path), mapping)
     return _MEMO[k]
