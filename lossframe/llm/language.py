@@ -36,7 +36,8 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from lossframe.llm.common import crc_mod, slices, table
 
 DOCS_PER_LANG = 1000
-_SLAB = 1 << 20
+#: Symbols scored at once, which bounds the arrays that a worker holds.
+_SLAB = 1 << 18
 _SYMBOLS = 27 + 128
 
 _CLASS = np.zeros(256, np.uint8)

@@ -22,6 +22,7 @@ from __future__ import annotations
 import io
 import re
 import zipfile
+from functools import lru_cache
 from xml.etree import ElementTree as ET
 
 from pyspark.sql import DataFrame, SparkSession
@@ -53,6 +54,7 @@ def _filesystem(path: str):
     return fs.FileSystem.from_uri(path) if "://" in path else (fs.LocalFileSystem(), path)
 
 
+@lru_cache(20_000)  # a sheet has 16,384 columns at most
 def _col_index(letters: str) -> int:
     n = 0
     for ch in letters:
@@ -264,6 +266,7 @@ _SHEET_NS = 'xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main"'
 _R_NS = 'xmlns:r="http://schemas.openxmlformats.org/officeDocument/2006/relationships"'
 
 
+@lru_cache(20_000)
 def _col_letters(i: int) -> str:
     s, i = "", i + 1
     while i:
