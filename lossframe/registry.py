@@ -746,9 +746,9 @@ def _ingest_issues_sql() -> str:
     return D.with_clean(_ingest_issues_body(), extra_ctes=f"{_headers_sql()}, {_alias_sql()}, {_mapping_sql()}")
 
 
-register("ingest_issues", _ingest_issues_sql)(lambda spark, sf: ingest_issues(csv_ingest(spark, sf), CAT))
+register("ingest_issues", _ingest_issues_sql)(lambda spark, sf: ingest_issues(csv_ingest(spark, sf, pinned=False), CAT))
 
-register("ingest_report", _ingest_report_sql)(lambda spark, sf: ingest_report(csv_ingest(spark, sf), CAT))
+register("ingest_report", _ingest_report_sql)(lambda spark, sf: ingest_report(csv_ingest(spark, sf, pinned=False), CAT))
 
 
 def _sink_clean(spark, sf):
@@ -763,7 +763,7 @@ register("sink_clean", lambda: D.with_clean(f"SELECT {', '.join(CLEAN_COLS)} FRO
 def _quality_log(spark, sf):
     res = clean_result(spark, sf)
     path = scratch_path(spark, "quality_log")
-    W.write_quality_log(cleaning_audit(res), res.issues(), path, ingest_issues(csv_ingest(spark, sf), CAT))
+    W.write_quality_log(cleaning_audit(res), res.issues(), path, ingest_issues(csv_ingest(spark, sf, pinned=False), CAT))
     return spark.read.parquet(f"{path}/issues")
 
 

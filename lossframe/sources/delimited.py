@@ -41,19 +41,34 @@ def _decoded(raw: bytes, charset: str) -> str:
 
 
 def _odd_quotes(line) -> F.Column:
-    return F.length(F.regexp_replace(line, '[^"]', "")) % 2 == 1
+    # a quote is no part of another character in UTF-8 or GBK, so bytes are counted
+    quotes = F.octet_length(line) - F.octet_length(F.replace(line, F.lit('"'), F.lit("")))
+    return F.when(line.contains('"'), quotes % 2 == 1).otherwise(False)
 
 
-def inspect_files(spark: SparkSession, paths: list[str]) -> list[FileInfo]:
-    """Header, charset and cutting of each file, from one aggregate over the lines."""
-    raw = F.col("value").cast("binary")
-    lines = spark.read.text(paths).select(
-        raw.alias("raw"), F.is_valid_utf8("value").alias("ok"), _odd_quotes(F.make_valid_utf8("value")).alias("odd"),
+def _file_lines(spark: SparkSession, paths: list[str]) -> DataFrame:
+    return spark.read.text(paths).select(
+        F.col("value").cast("binary").alias("raw"), F.is_valid_utf8("value").alias("ok"), _odd_quotes(F.col("value")).alias("odd"),
         F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("bs"), F.monotonically_increasing_id().alias("id"))
+
+
+def _file_kinds(lines: DataFrame) -> DataFrame:
+    """``(path, header, ok, broken, bad)``: the first line of each file and what kinds of lines it has.
+
+    The kinds are few and gathered as a set; beside a text, the least of each flag would sort all lines.
+    """
     start = F.when(F.col("bs") == 0, F.col("id"))
     gbk = F.when(~F.col("ok"), F.decode("raw", "GBK").contains("\ufffd"))  # fails, or marks what GBK cannot read
-    found = lines.groupBy("path").agg(F.min_by("raw", start).alias("header"), F.min(start).alias("first"), F.min("ok").alias("ok"),
-                                      F.max("odd").alias("broken"), F.max(gbk).alias("bad")).orderBy("path").collect()
+    kind = F.struct("ok", "odd", F.coalesce(gbk, F.lit(False)).alias("bad"))
+    kinds = lines.groupBy("path").agg(F.min_by(F.when(start.isNotNull(), F.col("raw")), start).alias("header"), F.collect_set(kind).alias("kinds"))
+    return kinds.select("path", "header", F.forall("kinds", lambda k: k["ok"]).alias("ok"), F.exists("kinds", lambda k: k["odd"]).alias("broken"),
+                        F.exists("kinds", lambda k: k["bad"]).alias("bad"))
+
+
+def inspect_files(spark: SparkSession, paths: list[str]) -> list[FileInfo]:
+    """Header, charset and cutting of each file, from one aggregate over the lines."""
+    lines = _file_lines(spark, paths)
+    found = _file_kinds(lines).orderBy("path").collect()
     if bad := [r["path"] for r in found if r["bad"]]:
         raise ValueError(f"neither UTF-8 nor GBK: {bad[0]}")
     out = []
@@ -147,8 +162,9 @@ def read_delimited(spark: SparkSession, paths: list[str], catalog: Catalog = DEF
             unknown = unknown.unionByName(df.select("path"))
             continue
         df = df.select(*[F.col(f"cells.`{df.schema['cells'].dataType.names[i]}`").alias(t) for i, t in sorted(targets[header].items()) if i < len(df.schema["cells"].dataType)],
-                       "_seq", F.element_at(F.split("path", "/"), -1).alias("_source_file"))
-        df = df.withColumn("_source_sheet", F.regexp_replace("_source_file", r"\.[^.]*$", ""))
+                       "_seq", F.substring_index("path", "/", -1).alias("_source_file"))
+        stem = F.col("_source_file").substr(F.lit(1), F.length("_source_file") - F.length(F.substring_index("_source_file", ".", -1)) - 1)
+        df = df.withColumn("_source_sheet", F.when(F.col("_source_file").contains("."), stem).otherwise(F.col("_source_file")))
         frames.append(to_standard(df, catalog, seq_col="_seq"))
     if not frames:
         frames = [spark.createDataFrame([], catalog.raw_schema())]

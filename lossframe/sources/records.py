@@ -17,9 +17,12 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from functools import reduce
 from itertools import groupby
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -49,69 +52,98 @@ def _lines(spark: SparkSession, paths: list[str]) -> DataFrame:
         F.col("value").cast("binary").alias("raw"), F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("block"))
 
 
-def _blocks(batches: Iterator[pa.RecordBatch], *columns: str) -> Iterator[tuple[tuple, Iterator[bytes]]]:
-    """The lines of each block, in order, with the values of the ``columns``, which are equal in all lines of a block."""
-    def rows():
-        for batch in batches:
-            keys = zip(*[batch.column(c).to_pylist() for c in columns])
-            yield from zip(keys, batch.column("raw").to_pylist())
+def _runs(batches: Iterator[pa.RecordBatch], *columns: str) -> Iterator[tuple[tuple, pa.BinaryArray]]:
+    """The lines of each block, in order and in runs, with the values of the ``columns``, which are equal in all lines of a block."""
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        keys = [batch.column(c) for c in columns]
+        # a block's lines stand together: a run ends where any key differs from that of the line before
+        differs = reduce(pc.or_, [pc.not_equal(k[1:], k[:-1]) for k in keys])
+        ends = [*(pc.indices_nonzero(differs).to_numpy() + 1).tolist(), batch.num_rows]
+        for at, end in zip([0, *ends], ends):
+            yield tuple(k[at].as_py() for k in keys), batch.column("raw")[at:end]
 
-    for key, own in groupby(rows(), key=lambda r: r[0]):
+
+def _blocks(batches: Iterator[pa.RecordBatch], *columns: str) -> Iterator[tuple[tuple, Iterator[pa.BinaryArray]]]:
+    for key, own in groupby(_runs(batches, *columns), key=lambda r: r[0]):
         yield key, (raw for _, raw in own)
 
 
+def _quoted(raw: pa.BinaryArray) -> list[int]:
+    """Where the lines with a quote are; no other line changes whether a cell is open."""
+    return pc.indices_nonzero(pc.match_substring(raw, b'"')).to_pylist()
+
+
 def _ends(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for (path, block), lines in _blocks(batches, "path", "block"):
+    for (path, block), runs in _blocks(batches, "path", "block"):
         outside, inside = False, True
-        for raw in lines:
-            outside, inside = ends_open(raw, outside), ends_open(raw, inside)
+        for raw in runs:
+            for line in raw.take(pa.array(_quoted(raw), pa.int64())).to_pylist():
+                outside, inside = ends_open(line, outside), ends_open(line, inside)
         yield pa.RecordBatch.from_pylist([{"path": path, "block": block, "outside": outside, "inside": inside}])
 
 
 def open_blocks(lines: DataFrame) -> DataFrame:
     """``(path, block)`` of the blocks that start inside a quoted cell."""
-    ends = lines.mapInArrow(_ends, "path string, block long, outside boolean, inside boolean")
+    quoted = F.when(F.col("raw").contains(F.lit(b'"')), F.col("raw")).alias("raw")
+    ends = lines.select(quoted, "path", "block").mapInArrow(_ends, "path string, block long, outside boolean, inside boolean")
     # A block whose end does not depend on its start sets the state; one that turns it around flips it; others keep it.
-    before = Window.partitionBy("path").orderBy("block")
-    fixed = F.when(F.col("outside") == F.col("inside"), F.col("block"))
-    ends = ends.withColumn("since", F.last(fixed, ignorenulls=True).over(before.rowsBetween(Window.unboundedPreceding, -1)))
-    flips = (F.col("outside") & ~F.col("inside")).cast("int")
-    ends = ends.withColumn("flips", F.sum(flips).over(before.rowsBetween(Window.unboundedPreceding, -1)))
-    at = F.struct("since", "flips")
-    state = ends.select("path", "block", at.alias("at"))
-    sets = ends.where(fixed.isNotNull()).select("path", F.col("block").alias("since"), F.col("outside").alias("set"), (F.coalesce("flips", F.lit(0)) + flips).alias("base"))
-    joined = state.select("path", "block", F.col("at.since").alias("since"), F.coalesce("at.flips", F.lit(0)).alias("flips")).join(sets, ["path", "since"], "left")
-    starts_open = F.coalesce("set", F.lit(False)) != ((F.col("flips") - F.coalesce("base", F.lit(0))) % 2 == 1)
-    return joined.where(starts_open).select("path", "block")
+    so_far = Window.partitionBy("path").orderBy("block")
+    flip = (F.col("outside") & ~F.col("inside")).cast("int")
+    ends = ends.withColumn("flip", flip).withColumn("flips", F.sum("flip").over(so_far.rowsBetween(Window.unboundedPreceding, 0)))
+    fixed = F.when(F.col("outside") == F.col("inside"), F.struct(F.col("outside").alias("set"), F.col("flips").alias("base")))
+    ends = ends.withColumn("at", F.last(fixed, ignorenulls=True).over(so_far.rowsBetween(Window.unboundedPreceding, -1)))
+    turned = (F.col("flips") - F.col("flip") - F.coalesce("at.base", F.lit(0))) % 2 == 1
+    return ends.where(F.coalesce("at.set", F.lit(False)) != turned).select("path", "block")
+
+
+_PIECES = pa.schema([("path", pa.string()), ("block", pa.int64()), ("row", pa.int64()), ("kind", pa.int32()), ("record", pa.binary())])
+
+
+def _batch(path: str, block: int, rows: pa.Array, kind: int, records: pa.Array) -> pa.RecordBatch:
+    n = len(records)
+    return pa.RecordBatch.from_arrays([pa.repeat(path, n), pa.repeat(pa.scalar(block, pa.int64()), n), rows, pa.repeat(pa.scalar(kind, pa.int32()), n), records], schema=_PIECES)
 
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    names = ["path", "block", "row", "kind", "record"]
-    types = [pa.string(), pa.int64(), pa.int64(), pa.int32(), pa.binary()]
-    for (path, block, started), lines in _blocks(batches, "path", "block", "open"):
-        out: list[tuple[int, int, bytes]] = []
-        size, held, first, is_open = 0, [], 0, started
+    for (path, block, started), runs in _blocks(batches, "path", "block", "open"):
+        held, first, is_open = [], 0, started
         continued = started  # the piece at hand began in an earlier block
-        for row, raw in enumerate(lines):
-            if not held:
-                first = row
-            held.append(raw)
-            is_open = ends_open(raw, is_open)
-            if not is_open:
-                out.append((first, LAST if continued else WHOLE, b"\n".join(held)))
-                size += len(out[-1][2])
-                held, continued = [], False
-                if size > 1 << 22:
-                    yield _batch(path, block, out, names, types)
-                    out, size = [], 0
+        row = 0  # of the run's first line in its block
+        for raw in runs:
+            raw = raw.cast(pa.binary())
+            single = np.ones(len(raw), bool)  # lines that are whole records
+            joined: list[tuple[int, bytes]] = []
+            last: list[tuple[int, bytes]] = []
+            at = 0  # lines before it are dealt with
+            for k in _quoted(raw):
+                if is_open:
+                    held += raw[at:k].to_pylist()
+                    single[at:k] = False
+                line = raw[k].as_py()
+                opened = ends_open(line, is_open)
+                if is_open or opened:
+                    single[k] = False
+                    if not is_open:
+                        first = row + k
+                    held.append(line)
+                    if not opened:
+                        (last if continued else joined).append((first, b"\n".join(held)))
+                        held, continued = [], False
+                is_open, at = opened, k + 1
+            if is_open:
+                held += raw[at:].to_pylist()
+                single[at:] = False
+            kept = np.flatnonzero(single)
+            if len(kept):
+                yield _batch(path, block, pa.array(kept + row, pa.int64()), WHOLE, raw if len(kept) == len(raw) else raw.take(pa.array(kept)))
+            for kind, pieces in ((LAST, last), (WHOLE, joined)):
+                if pieces:
+                    yield _batch(path, block, pa.array([r for r, _ in pieces], pa.int64()), kind, pa.array([x for _, x in pieces], pa.binary()))
+            row += len(raw)
         if held:
-            out.append((first, NEXT if continued else FIRST, b"\n".join(held)))
-        yield _batch(path, block, out, names, types)
-
-
-def _batch(path, block, out, names, types) -> pa.RecordBatch:
-    columns = [[path] * len(out), [block] * len(out), *([x[i] for x in out] for i in range(3))]
-    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names=names)
+            yield _batch(path, block, pa.array([first], pa.int64()), NEXT if continued else FIRST, pa.array([b"\n".join(held)], pa.binary()))
 
 
 def read_records(spark: SparkSession, paths: list[str]) -> DataFrame:

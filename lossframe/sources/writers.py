@@ -25,6 +25,33 @@ def alias_layout(catalog: Catalog = DEFAULT_CATALOG) -> dict[str, str]:
     return {name: first.get(name, name) for name in catalog.standard_columns}
 
 
+#: Rows of a written file of reports, about, and most files.
+_FILE_ROWS, _MOST_FILES = 100_000, 1000
+
+
+def in_order(df: DataFrame, key: str) -> DataFrame:
+    """Rows in the order of ``key`` over and within partitions, nulls first.
+
+    As ``orderBy``, which reads all columns once more to find the bounds of the
+    partitions; those of a long are found here by a scan of the key alone.
+    """
+    if dict(df.dtypes)[key] != "bigint":
+        return df.orderBy(key)
+    most = [i / _MOST_FILES for i in range(1, _MOST_FILES)]
+    found = df.agg(F.count(F.lit(1)).alias("rows"), F.percentile_approx(key, most, 10 * _MOST_FILES).alias("keys")).first()
+    files = min(-(-found["rows"] // _FILE_ROWS), _MOST_FILES)
+    bounds = sorted({found["keys"][_MOST_FILES * i // files - 1] for i in range(1, files)}) if found["keys"] else []
+
+    def part(low: int, high: int) -> str:
+        """SQL text: the number of bounds below the key, which is ``low`` at least and ``high`` at most."""
+        if low == high:
+            return str(low)
+        mid = (low + high) // 2
+        return f"IF(`{key}` > {bounds[mid]}L, {part(mid + 1, high)}, {part(low, mid)})"
+
+    return df.repartitionById(len(bounds) + 1, F.expr(part(0, len(bounds)))).sortWithinPartitions(key)
+
+
 def write_reports_csv(raw: DataFrame, path: str, layout: dict[str, str],
                       extra: dict[str, str] | None = None, encoding: str = "UTF-8") -> None:
     """Write raw reports (standard shape) as CSV with the given headers.
@@ -33,10 +60,10 @@ def write_reports_csv(raw: DataFrame, path: str, layout: dict[str, str],
     is written as is (no trimming, quotes doubled), so reading it back is
     lossless.
     """
-    cols = [F.col(c).alias(h) for c, h in layout.items() if c in raw.columns]
-    cols += [F.col(c).alias(h) for h, c in (extra or {}).items()]
+    cols = [(c, h) for c, h in layout.items() if c in raw.columns] + [(c, h) for h, c in (extra or {}).items()]
+    read = raw.select(*dict.fromkeys(["_seq", *[c for c, _ in cols]]))
     raw.sparkSession.conf.set("spark.sql.legacy.javaCharsets", "true")  # GBK is none of Spark's own charsets
-    (raw.orderBy("_seq").select(*cols).write.mode("overwrite")
+    (in_order(read, "_seq").select(*[F.col(c).alias(h) for c, h in cols]).write.mode("overwrite")
      .option("header", True).option("encoding", encoding).option("escape", '"')
      .option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False)
      .csv(path))
